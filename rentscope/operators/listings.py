@@ -236,10 +236,10 @@ def plan_groups(plans: DataFrame) -> DataFrame:
     groups = keyed.groupBy(*keys).agg(
         F.min("price").alias("group_price"), F.count(F.lit(1)).alias("n_options"),
         F.min_by("name", "id").alias("group_name"),
-    )
-    on = all_of([keyed[k].eqNullSafe(groups[k]) for k in keys])
+    ).withColumnsRenamed({k: f"g_{k}" for k in keys})
+    on = all_of([F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys])
     joined = keyed.join(groups, on).select(
-        *[keyed[k] for k in keys], "group_price", "n_options", "group_name", keyed["id"].alias("plan_id"), "price"
+        *keys, "group_price", "n_options", "group_name", F.col("id").alias("plan_id"), "price"
     )
     return joined.orderBy(
         "apartment_id", F.asc_nulls_last("group_price"), F.asc_nulls_last("bedrooms"), F.asc_nulls_last("bathrooms"),

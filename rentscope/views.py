@@ -279,7 +279,7 @@ SELECT c.c_custkey AS seq, 'ext_' || cast(c.c_custkey % 400 AS string) AS extern
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 """
 
-_WORD = re.compile(r"\b(?:FROM|JOIN)\s+([a-z_]+)\b", re.IGNORECASE)
+_WORD = re.compile(r"\b(?:FROM|JOIN)\s+\(?([a-z_]+)\b", re.IGNORECASE)
 
 
 def _needed(sql: str) -> list[str]:
