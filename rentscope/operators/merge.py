@@ -15,7 +15,7 @@ from rentscope.operators import quality as Q
 from rentscope.operators.alerts import area_prices
 from rentscope.operators.history import last_two
 from rentscope.operators.listings import min_price_by_apartment
-from rentscope.operators.scale import instant, newest, number_by_hash
+from rentscope.operators.scale import cut_lineage, instant, newest, number_by_hash
 from rentscope.operators.setops import first_seen, missing_children
 
 
@@ -189,19 +189,25 @@ def pause_let_units(rules: DataFrame, units: DataFrame) -> DataFrame:
 def apply_snapshot(
     apartments: DataFrame, plans: DataFrame, units: DataFrame, rules: DataFrame, snapshot: DataFrame, as_of
 ) -> dict[str, DataFrame]:
-    """The whole refresh: sanitise, rename, match, update plans and units, append history, pause alerts."""
-    clean = Q.sanitise(snapshot)
+    """The whole refresh: sanitise, rename, match, update plans and units, append history, pause alerts.
+
+    Cleaned rows, renamed plans and placed rows are each read by several later steps, so each is
+    written once.
+    """
+    clean = cut_lineage(Q.sanitise(snapshot))
     renames = M.rename_generic(clean, plans, apartments).withColumnRenamed("plan_id", "id")
-    named = plans.join(renames, "id", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
-    matched = match_plans(clean, named)
-    created = new_plans(clean, matched, named)
+    named = cut_lineage(
+        plans.join(renames, "id", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
+    )
+    matched = cut_lineage(match_plans(clean, named))
+    created = cut_lineage(new_plans(clean, matched, named))
     ids = created.select("apartment_id", "name", F.col("id").alias("new_id"))
     placed = (
         matched.join(ids, ["apartment_id", "name"], "left")
         .select("apartment_id", "pos", F.when(F.col("tier") == 4, F.col("new_id")).otherwise(F.col("plan_id")).alias("plan_id"))
         .where(F.col("plan_id").isNotNull())
     )
-    rows = clean.join(placed, ["apartment_id", "pos"])
+    rows = cut_lineage(clean.join(placed, ["apartment_id", "pos"]))
     all_plans = named.unionByName(created, allowMissingColumns=True)
     after = refreshed_plans(rows, all_plans)
     history = rows.groupBy("plan_id").agg(F.min("min_price").alias("price")).where(F.col("price").isNotNull()).withColumn(

@@ -12,6 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rentscope.session import ensure_checkpoint_dir
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder: later steps neither recompute nor re-plan what came before."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
 
 def instant(as_of) -> Column:
     """A zone-less timestamp literal; Columns pass through."""

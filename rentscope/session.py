@@ -23,9 +23,9 @@ def local_session(cores: int | str = 8, app: str = "rentscope") -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the cluster's setting, a temporary folder only where unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's shared folder; a temporary one only where none is set, as in tests."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or tempfile.mkdtemp(prefix="rentscope-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rentscope-ckpt-"))

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rentscope.page_views import PAGE_VIEWS
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -279,6 +281,8 @@ SELECT c.c_custkey AS seq, 'ext_' || cast(c.c_custkey % 400 AS string) AS extern
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 """
 
+VIEWS.update(PAGE_VIEWS)
+
 _WORD = re.compile(r"\b(?:FROM|JOIN)\s+\(?([a-z_]+)\b", re.IGNORECASE)
 
 
