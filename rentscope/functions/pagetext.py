@@ -150,8 +150,9 @@ def meta_description(html: Column) -> Column:
 
 
 def first_word_in(text: Column, words) -> Column:
-    """First listed word the text contains, NULL when none."""
-    return F.coalesce(*[F.when(text.contains(w), F.lit(w)) for w in words])
+    """First listed word the text contains, NULL when none.  The text is computed once per row."""
+    found = F.transform(F.array(text), lambda t: F.coalesce(*[F.when(t.contains(w), F.lit(w)) for w in words]))
+    return F.get(found, F.lit(0))
 
 
 def rejection(html: Column, url: Column) -> Column:

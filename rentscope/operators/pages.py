@@ -12,7 +12,7 @@ from rentscope.functions import pagetext as X
 from rentscope.functions import predicates as P
 from rentscope.functions import urls as U
 from rentscope.operators import folds
-from rentscope.operators.scale import any_of, first_k
+from rentscope.operators.scale import any_of, cut_lineage, first_k
 
 ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["'][^"']*["'][^>]*>.*?</a"""
 # Fixed patterns: paths of a single plan's page.
@@ -388,14 +388,18 @@ def extract_all(pages: DataFrame, extractors: Sequence[Extractor] | None = None,
 
     A page goes through its formats in order (its hinted one first); the first with rows wins.  Each
     format reads only the pages it applies to, and unreadable values become NULL rather than errors.
+    The extracted rows are written once, so that choosing the first format does not extract again.
     """
     ways = [e for e in (default_extractors() if extractors is None else extractors) if e.extract is not None]
     found = None
     for rank, e in enumerate(ways):
-        first = F.coalesce(F.col(hint) == e.name, F.lit(False)) if hint else F.lit(False)
-        mine = pages.where(e.detect)
-        ranks = mine.select("page_id", F.when(first, -1).otherwise(rank).alias("rank"))
-        rows = e.extract(mine).join(ranks, "page_id").withColumn("platform", F.lit(e.name))
+        rows = e.extract(pages.where(e.detect)).withColumns({"rank": F.lit(rank), "platform": F.lit(e.name)})
         found = rows if found is None else found.unionByName(rows)
+    if hint:
+        hints = pages.where(F.col(hint).isNotNull()).select("page_id", F.col(hint).alias("_hint"))
+        found = found.join(hints, "page_id", "left").withColumn(
+            "rank", F.when(F.col("_hint") == F.col("platform"), -1).otherwise(F.col("rank"))
+        ).drop("_hint")
+    found = cut_lineage(found)
     best = found.groupBy("page_id").agg(F.min("rank").alias("rank"))
     return found.join(best, ["page_id", "rank"], "left_semi").drop("rank")
