@@ -257,7 +257,10 @@ def f26(t):
     return t.plans.where(U.is_relative(F.col("external_url"))).select("id", "external_url")
 
 
-@query("f27_place_types")
+@query("f27_place_types", """
+SELECT c.seq, c.title FROM candidates c WHERE c.seq % 5 = 0 OR lower(c.title) LIKE '%apartment%' OR lower(c.title) LIKE '%housing%'
+  OR lower(c.title) LIKE '%residence%' OR lower(c.title) LIKE '%complex%'
+""")
 def f27(t):
     places = t.candidates.withColumn(
         "types", F.when(F.col("seq") % 5 == 0, F.array(F.lit("lodging"), F.lit("point_of_interest")))

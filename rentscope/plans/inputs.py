@@ -96,6 +96,20 @@ def s11(t):
     return W.nested_listing(t.apartments, t.plans, t.units, t.price_history)
 
 
+@query("s11_nested_listing_contents", """
+SELECT a.id AS apartment_id, p.id AS plan_id, (SELECT count(*) FROM units u WHERE u.plan_id = p.id) AS units,
+  (SELECT count(*) FROM price_history h WHERE h.plan_id = p.id) AS points FROM apartments a JOIN plans p ON p.apartment_id = a.id WHERE p.is_available
+""")
+def s11_contents(t):
+    docs = W.nested_listing(t.apartments, t.plans, t.units, t.price_history, per_part=7, points_per_part=5)
+    schema = "struct<plans:array<struct<plan_id:bigint,units:array<struct<id:bigint>>,price_history:array<struct<price:double>>>>>"
+    p = docs.select("apartment_id", F.explode(F.from_json("document", schema)["plans"]).alias("p"))
+    size = lambda c: F.sum(F.coalesce(F.size(c), F.lit(0))).alias
+    return p.groupBy("apartment_id", F.col("p.plan_id").alias("plan_id")).agg(
+        size(F.coalesce("p.units", F.array()))("units"), size(F.coalesce("p.price_history", F.array()))("points")
+    )
+
+
 @query("p14_place_rows")
 def p14(t):
     return R.place_rows(_payloads(t), "json")

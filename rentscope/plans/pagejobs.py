@@ -180,19 +180,32 @@ def o13(t):
     return G.ranked_links(t.detail_pages, 3).select("page_id", "pos", "href", "score", "rank")
 
 
-@query("t10_content_blob_units")
+@query("t10_content_blob_units", """
+SELECT p.p_partkey AS page_id, 0 AS pos, 'A' || cast(p.p_partkey % 9 AS string) AS plan_name, cast(p.p_partkey AS string) || '-1' AS unit_number,
+  cast(p.p_size % 4 AS double) AS bedrooms, 1.0::double AS bathrooms, cast(p.p_size * 20 AS double) AS size_sqft, 3 AS floor_level,
+  CASE WHEN p.p_partkey % 5 = 0 THEN NULL WHEN p.p_partkey % 3 = 0 THEN 2500 ELSE cast(2000 + p.p_size AS double) END AS price,
+  CASE WHEN p.p_partkey % 5 = 0 THEN 'unavailable' ELSE 'Available 2026-06-01' END AS availability FROM part p
+UNION ALL SELECT p.p_partkey, 2, 'B1', '9', 0, 1, NULL, NULL, NULL, 'Available Now' FROM part p
+""")
 def t10(t):
     return G.content_blob_units(t.blob_pages)
 
 
-@query("t11_availability_blob_plans")
+@query("t11_availability_blob_plans", """
+SELECT p.p_partkey AS page_id, 0 AS pos, 'One' AS plan_name, 1.0::double AS bedrooms, 1.0::double AS bathrooms, 650.0::double AS size_sqft,
+  1900.0::double AS price FROM part p
+UNION ALL SELECT p.p_partkey, 2, 'Two', 2, NULL, NULL, NULL FROM part p
+""")
 def t11(t):
-    return G.availability_blob_plans(t.blob_pages)
+    return G.availability_blob_plans(t.blob_pages).drop("unit_number", "floor_level", "availability")
 
 
-@query("t12_structured_places")
+@query("t12_structured_places", """
+SELECT p.p_partkey AS page_id, 0 AS pos, 'Alder' || cast(p.p_partkey % 7 AS string) AS plan_name, 2.0::double AS bedrooms, 1.0::double AS bathrooms FROM part p
+UNION ALL SELECT p.p_partkey, 1, 'Birch', 0, 1 FROM part p
+""")
 def t12(t):
-    return G.structured_places(t.blob_pages)
+    return G.structured_places(t.blob_pages).select("page_id", "pos", "plan_name", "bedrooms", "bathrooms")
 
 
 @query("t13_name_anchored_prices", f"""
@@ -206,14 +219,20 @@ def t13(t):
     return G.structured_places_priced(t.blob_pages).select("page_id", "pos", "plan_name", "price")
 
 
-@query("t14_tagged_units")
+@query("t14_tagged_units", """
+SELECT p.p_partkey AS page_id, 'S1' AS plan_name, 1.0::double AS bedrooms, 1.0::double AS bathrooms, 500.0::double AS size_sqft,
+  CASE WHEN p.p_partkey % 2 = 0 THEN least(2100 + p.p_size, 2500) ELSE 2500 END::double AS price, 'available' AS availability FROM part p
+""")
 def t14(t):
-    return G.tagged_units(t.blob_pages)
+    return G.tagged_units(t.blob_pages).drop("pos", "unit_number", "floor_level")
 
 
-@query("t15_call_arguments")
+@query("t15_call_arguments", """
+SELECT p.p_partkey AS page_id, 'L' AS name, 3.0::double AS bedrooms, 1449.0::double AS size_sqft,
+  CASE WHEN p.p_partkey % 4 <> 0 THEN cast(6000 + p.p_size AS double) END AS min_price, 8306.0::double AS max_price FROM part p
+""")
 def t15(t):
-    return G.call_arguments(t.blob_pages)
+    return G.call_arguments(t.blob_pages).drop("pos")
 
 
 _DTEXT = f"z AS (SELECT d.*, {_text('d.html')} AS t, {_TITLE} AS title, {_HEADS} AS heads, {_SLUG} AS slug FROM detail_pages d)"

@@ -19,7 +19,7 @@ def read_table_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int
     reader = spark.read.format("jdbc").options(
         url=url, dbtable=name, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options
     )
-    return reader.load().select(*TABLES[name].fieldNames())
+    return reader.load().to(spark.createDataFrame([], TABLES[name]).schema)
 
 
 def place_map(documents: DataFrame, json: str) -> DataFrame:
