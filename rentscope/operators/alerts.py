@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rentscope.functions import labels as T
 from rentscope.operators.history import last_two, thirty_day_low
 from rentscope.operators.listings import min_price_by_apartment
-from rentscope.operators.scale import before, instant
+from rentscope.operators.scale import before, instant, lookup
 
 DEBOUNCE_HOURS = 24
 
@@ -86,9 +86,8 @@ def rule_prices(rules: DataFrame, units: DataFrame, plans: DataFrame, apartments
     )
     apartment_prices = min_price_by_apartment(plans, "current_price").withColumnRenamed("min_price", "p_apt")
     area = area_prices(tagged.where(F.col("level") == "area"), plans, apartments).select("id", F.col("price").alias("p_area"))
-    joined = (
-        tagged.join(unit_prices, "unit_id", "left").join(plan_prices, "plan_id", "left")
-        .join(apartment_prices, "apartment_id", "left").join(area, "id", "left")
+    joined = lookup(lookup(lookup(tagged, unit_prices, "unit_id"), plan_prices, "plan_id"), apartment_prices, "apartment_id").join(
+        area, "id", "left"
     )
     of_level = lambda name: F.col("level") == name
     return joined.withColumns({
@@ -196,14 +195,11 @@ def targets(rules: DataFrame, units: DataFrame, plans: DataFrame, apartments: Da
     )
     a = apartments.select(F.col("id").alias("eff_apartment_id"), "title", F.col("city").alias("a_city"), "state", "source_url")
     by_unit = F.col("unit_id").isNotNull()
-    return (
-        rules.join(u, "unit_id", "left")
-        .withColumn("eff_plan_id", F.when(by_unit, F.col("u_plan")).otherwise(F.col("plan_id")))
-        .join(p, "eff_plan_id", "left")
-        .withColumn("eff_apartment_id", F.when(by_unit, F.col("p_apartment")).otherwise(F.coalesce("apartment_id", "p_apartment")))
-        .join(a, "eff_apartment_id", "left")
-        .drop("u_plan", "p_apartment")
+    with_unit = lookup(rules, u, "unit_id").withColumn("eff_plan_id", F.when(by_unit, F.col("u_plan")).otherwise(F.col("plan_id")))
+    with_plan = lookup(with_unit, p, "eff_plan_id").withColumn(
+        "eff_apartment_id", F.when(by_unit, F.col("p_apartment")).otherwise(F.coalesce("apartment_id", "p_apartment"))
     )
+    return lookup(with_plan, a, "eff_apartment_id").drop("u_plan", "p_apartment")
 
 
 def context(evaluated: DataFrame, units, plans, apartments, history, as_of, base_url: str = "https://app.example.com") -> DataFrame:
@@ -211,7 +207,7 @@ def context(evaluated: DataFrame, units, plans, apartments, history, as_of, base
     known = targets(evaluated, units, plans, apartments)
     low_plan = thirty_day_low(history, plans, as_of, "plan").withColumnsRenamed({"low": "low_plan"})
     low_apt = thirty_day_low(history, plans, as_of, "apartment").withColumnsRenamed({"low": "low_apt"})
-    lows = known.join(low_plan, "plan_id", "left").join(low_apt, "apartment_id", "left")
+    lows = lookup(lookup(known, low_plan, "plan_id"), low_apt, "apartment_id")
     unit_rule = F.col("unit_id").isNotNull()
     return lows.withColumns({
         "apartment_title": F.coalesce("title", F.lit("your tracked property")),
@@ -232,10 +228,9 @@ def enriched_rules(rules: DataFrame, plans: DataFrame, apartments: DataFrame, hi
     a = apartments.select(F.col("id").alias("eff_apartment_id"), F.col("title").alias("apartment_title"), F.col("city").alias("apartment_city"))
     latest = last_two(history).select("plan_id", F.col("price").alias("by_plan"))
     cheapest = min_price_by_apartment(plans).withColumnRenamed("min_price", "by_apartment")
+    with_plan = lookup(rules, p, "plan_id").withColumn("eff_apartment_id", F.coalesce("apartment_id", "p_apartment"))
     return (
-        rules.join(p, "plan_id", "left")
-        .withColumn("eff_apartment_id", F.coalesce("apartment_id", "p_apartment"))
-        .join(a, "eff_apartment_id", "left").join(latest, "plan_id", "left").join(cheapest, "apartment_id", "left")
+        lookup(lookup(lookup(with_plan, a, "eff_apartment_id"), latest, "plan_id"), cheapest, "apartment_id")
         .withColumn("latest_price", F.when(F.col("plan_id").isNotNull(), F.col("by_plan")).otherwise(F.col("by_apartment")))
         .drop("p_apartment", "by_plan", "by_apartment")
     )
@@ -249,10 +244,8 @@ def infer_baseline(rules: DataFrame, units, plans, apartments, history) -> DataF
     p = plans.select(F.col("id").alias("plan_id"), F.col("price").alias("p_plan"))
     a = min_price_by_apartment(plans).withColumnRenamed("min_price", "p_apt")
     area = area_prices(tagged.where(F.col("level") == "area"), plans, apartments, True).select("id", F.col("price").alias("p_area"))
-    joined = (
-        tagged.join(u, "unit_id", "left").join(h, "plan_id", "left").join(p, "plan_id", "left")
-        .join(a, "apartment_id", "left").join(area, "id", "left")
-    )
+    by_plan = lookup(lookup(tagged, u, "unit_id"), h.join(p, "plan_id", "full_outer"), "plan_id")
+    joined = lookup(by_plan, a, "apartment_id").join(area, "id", "left")
     of = lambda name: F.col("level") == name
     return joined.select(
         "id", "level",

@@ -144,7 +144,7 @@ def primary_plans(plans: DataFrame) -> DataFrame:
     )
 
 
-def similar(apartments: DataFrame, plans: DataFrame, apartment_id: int, limit: int = 5) -> DataFrame:
+def similar(apartments: DataFrame, plans: DataFrame, apartment_id: int, limit: int | None = 5) -> DataFrame:
     """Other apartments of the city with a plan of like size within a quarter of the target's price.
 
     The counts are multiplied by the number of matching plans, as a double join would give them; they
@@ -170,11 +170,12 @@ def similar(apartments: DataFrame, plans: DataFrame, apartment_id: int, limit: i
     out = near.join(matches.withColumnRenamed("apartment_id", "id"), "id").join(
         everything.withColumnRenamed("apartment_id", "id"), "id"
     )
-    return out.select(
+    ordered = out.select(
         "id", "title", "city", "state", "address", "source_url", "latitude", "longitude", "min_price", "max_price",
         "min_beds", "max_beds", (F.col("n_match") * F.col("n_all")).alias("plan_count"),
         (F.col("n_match") * F.col("n_avail")).alias("available_count"), "price_diff",
-    ).orderBy("price_diff", "id").limit(limit)
+    ).orderBy("price_diff", "id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def plan_envelope() -> list[Column]:

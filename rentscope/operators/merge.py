@@ -15,7 +15,7 @@ from rentscope.operators import quality as Q
 from rentscope.operators.alerts import area_prices
 from rentscope.operators.history import last_two
 from rentscope.operators.listings import min_price_by_apartment
-from rentscope.operators.scale import cut_lineage, instant, newest, number_by_hash
+from rentscope.operators.scale import cut_lineage, instant, lookup, newest, number_by_hash
 from rentscope.operators.setops import first_seen, missing_children
 
 
@@ -183,7 +183,7 @@ def upsert_units(rows: DataFrame, units: DataFrame, today, seen_available: bool
 def pause_let_units(rules: DataFrame, units: DataFrame) -> DataFrame:
     """Unit alerts whose unit can no longer be rented are switched off."""
     let = units.where(~F.col("is_available")).select(F.col("id").alias("unit_id"), F.lit(True).alias("_let"))
-    return rules.join(let, "unit_id", "left").withColumn("is_active", F.col("is_active") & F.col("_let").isNull()).drop("_let")
+    return lookup(rules, let, "unit_id").withColumn("is_active", F.col("is_active") & F.col("_let").isNull()).drop("_let")
 
 
 def apply_snapshot(
@@ -323,7 +323,7 @@ def move_rules(rules: DataFrame, kills: DataFrame, plans: DataFrame) -> DataFram
     low = min_price_by_apartment(plans, "current_price").select(F.col("apartment_id").alias("keep_id"), F.col("min_price").alias("_low"))
     hit = kills.withColumnRenamed("kill_id", "apartment_id").join(low, "keep_id", "left")
     moved = F.col("keep_id").isNotNull()
-    return rules.join(hit, "apartment_id", "left").withColumns({
+    return lookup(rules, hit, "apartment_id").withColumns({
         "apartment_id": F.coalesce("keep_id", "apartment_id"),
         "plan_id": F.when(~moved, F.col("plan_id")),
         "baseline_price": F.when(moved, F.col("_low")).otherwise(F.col("baseline_price")),
@@ -346,9 +346,8 @@ def backfill_baselines(rules: DataFrame, plans: DataFrame, apartments: DataFrame
     stored = plans.select(F.col("id").alias("plan_id"), F.col("price").alias("_p"))
     low = min_price_by_apartment(plans).withColumnRenamed("min_price", "_low")
     area = area_prices(rules.where(~by_plan & ~by_apt), plans, apartments, True).select("id", F.col("price").alias("_avg"))
-    joined = (
-        rules.join(latest, "plan_id", "left").join(stored, "plan_id", "left").join(low, "apartment_id", "left").join(area, "id", "left")
-    )
+    by_plan_price = lookup(rules, latest.join(stored, "plan_id", "full_outer"), "plan_id")
+    joined = lookup(by_plan_price, low, "apartment_id").join(area, "id", "left")
     return joined.withColumns({
         "baseline_price": F.when(by_plan, F.coalesce("_h", "_p")).when(by_apt, F.col("_low")).otherwise(F.col("_avg")),
         "baseline_recorded_at": F.col("created_at"),

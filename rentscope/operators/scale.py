@@ -72,27 +72,26 @@ def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
 
 
 def lag_by_segment(
-    df: DataFrame, key: str, segment: Column, order: Sequence[str], value: str, out: str = "previous"
+    df: DataFrame, key: str, segment: Column, order: Sequence[str], value: str, out: str = "previous", hot_rows: int = 1_000_000
 ) -> DataFrame:
-    """``lag(value)`` per key without gathering a key in one task.
+    """``lag(value)`` per key, with ``has_previous`` telling a first row from a NULL before it.
 
-    Rows of a key are windowed per segment (say a day); the last value of each segment is carried
-    to the first row of the key's next segment through a table of one row per key and segment.
-    ``segment`` must rise with ``order``.  Values may be NULL: carried rows travel as structs.
+    Keys of more than ``hot_rows`` rows are windowed per segment (say a day) instead of whole; the last
+    value of each segment is carried to the first row of the key's next one through a table of one row
+    per hot key and segment.  ``segment`` must rise with ``order``.
     """
-    parted = df.withColumn("_seg", segment)
-    inner = Window.partitionBy(key, "_seg").orderBy(*order)
-    local = parted.withColumn("_prev", F.lag(F.struct(F.col(value).alias("v"))).over(inner))
-    ends = parted.groupBy(key, "_seg").agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_end")
-    )
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    parted = df.join(hot, key, "left").withColumn("_seg", F.when(F.col("_hot"), segment))
+    held = F.struct(F.col(value).alias("v"))
+    local = parted.withColumn("_prev", F.lag(held).over(Window.partitionBy(key, "_seg").orderBy(*order)))
+    ends = parted.where("_hot").groupBy(key, "_seg").agg(F.max_by(held, F.struct(*order)).alias("_end"))
     carried = ends.select(
         key, "_seg", F.lag("_end").over(Window.partitionBy(key).orderBy("_seg")).alias("_carry")
-    )
+    ).where(F.col("_carry").isNotNull())
     joined = local.join(carried, [key, "_seg"], "left")
     return joined.withColumn(out, F.coalesce("_prev", "_carry")["v"]).withColumn(
         "has_previous", F.coalesce("_prev", "_carry").isNotNull()
-    ).drop("_seg", "_prev", "_carry")
+    ).drop("_seg", "_prev", "_carry", "_hot")
 
 
 def _value_bucket(v: Column) -> Column:
@@ -155,6 +154,16 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out
     ).drop("_lo", "_hi")
 
 
+def lookup(df: DataFrame, side: DataFrame, key: str, spread_by: str = "id") -> DataFrame:
+    """Left join on ``key`` where many rows may have none.
+
+    Rows without a key match nothing; a salt spreads them instead of sending all of them to one task.
+    """
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(4096))).otherwise(0)
+    salted = df.withColumn("_salt", salt.cast("int"))
+    return salted.join(side.withColumn("_salt", F.lit(0)), [key, "_salt"], "left").drop("_salt")
+
+
 def running_number(df: DataFrame, bucket: Column, order: Sequence[str], out: str) -> DataFrame:
     """1-based position over all rows in (bucket, order), with one task per bucket.
 

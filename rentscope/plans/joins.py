@@ -93,7 +93,7 @@ WHERE a.id <> 7 AND a.is_available AND m.is_available AND m.bedrooms = tgt.bedro
 GROUP BY a.id, a.title, a.city
 """)
 def j08(t):
-    return L.similar(t.apartments, t.plans, 7, limit=1_000_000).select(
+    return L.similar(t.apartments, t.plans, 7, limit=None).select(
         "id", "title", "city", "min_price", "max_price", "min_beds", "max_beds", "plan_count", "available_count", "price_diff"
     )
 

@@ -7,16 +7,32 @@ in decimals, so that the result does not depend on the order in which rows arriv
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 from rentscope.page_views import PAGE_VIEWS
 
-BASE_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+# Declared schemas: reading a table needs neither a footer scan nor inference.
+BASE_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 VIEWS: dict[str, str] = {}
 
@@ -319,31 +335,37 @@ def duckdb_sql(sql: str) -> str:
     )
 
 
-def spark_sql(sql: str, sf_dir: str) -> str:
-    text = with_views(sql).replace("@ts'", "timestamp_ntz '")
-
-    def swap(m: re.Match) -> str:
-        name = m.group(1)
-        if name in BASE_TABLES and name not in VIEWS:
-            return m.group(0).replace(name, f"parquet.`{sf_dir}/{name}.parquet`")
-        return m.group(0)
-
-    return _WORD.sub(swap, text)
-
-
 class Tables:
     """Domain tables of one data folder, each an unevaluated DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._registered: dict[str, str] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(BASE_TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def _base_view(self, name: str) -> str:
+        """Name of a session view over a base table of this folder."""
+        if name not in self._registered:
+            view = f"{name}_{hashlib.md5(self.sf_dir.encode()).hexdigest()[:10]}"
+            self.base(name).createOrReplaceTempView(view)
+            self._registered[name] = view
+        return self._registered[name]
+
+    def _sql(self, sql: str) -> DataFrame:
+        def swap(m: re.Match) -> str:
+            name = m.group(1)
+            if name in BASE_TABLES and name not in VIEWS:
+                return m.group(0)[: m.start(1) - m.start(0)] + self._base_view(name)
+            return m.group(0)
+
+        return self.spark.sql(_WORD.sub(swap, with_views(sql).replace("@ts'", "timestamp_ntz '")))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            return self.spark.sql(spark_sql(VIEWS[name], self.sf_dir))
+            return self._sql(VIEWS[name])
         if name in BASE_TABLES:
             return self.base(name)
         raise AttributeError(name)

@@ -22,9 +22,10 @@ def points(spark):
     return rows, spark.createDataFrame(rows, "key long, day int, seq long, price double")
 
 
-def test_lag_by_segment(points):
+@pytest.mark.parametrize("hot_rows", [50, 1_000_000])
+def test_lag_by_segment(points, hot_rows):
     rows, df = points
-    out = S.lag_by_segment(df, "key", F.col("day"), ["day", "seq"], "price").collect()
+    out = S.lag_by_segment(df, "key", F.col("day"), ["day", "seq"], "price", hot_rows=hot_rows).collect()
     got = {r["seq"]: (r["previous"], r["has_previous"]) for r in out}
     last = {}
     for key, _day, seq, price in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
