@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rentscope.functions import predicates as P
-from rentscope.operators.scale import instant
+from rentscope.operators.scale import instant, once
 
 # Dollars per million tokens read and written, per search and per detail call.
 INPUT_TOKEN_PRICE, OUTPUT_TOKEN_PRICE = Decimal("0.30"), Decimal("1.10")
@@ -90,9 +90,9 @@ MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
-    """A date, or NULL when the parts do not make one."""
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
+    """A date, or NULL when the parts are missing or do not make one."""
+    text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), month.cast("string"), F.lit("-"), day.cast("string"))
+    return F.try_to_date(text, "yyyy-M-d")
 
 
 def parse_availability(text: Column, today) -> tuple[Column, Column]:
@@ -102,27 +102,33 @@ def parse_availability(text: Column, today) -> tuple[Column, Column]:
     means next year.  Impossible dates fall through; a date not after ``today`` means now.
     """
     day0 = instant(today).cast("date")
-    num = lambda i: _as_int(F.regexp_extract(text, NUMERIC_DATE, i))
-    short = num(3)
-    slashed = _date(F.when(short < 100, short + 2000).otherwise(short), num(1), num(2))
-    dashed = _date(num(4), num(5), num(6))
-    numeric = F.when(num(1).isNotNull(), slashed).otherwise(dashed)
-
-    name = F.lower(F.regexp_extract(text, MONTH_DATE, 1))
-    mon = F.when(name != "", ((F.position(name, F.lit(MONTHS)) - 1) / 4 + 1).cast("int"))
-    day = _as_int(F.regexp_extract(text, MONTH_DATE, 2))
-    written = _as_int(F.regexp_extract(text, MONTH_DATE, 3))
-    this_year = F.year(day0)
-    first = _date(F.coalesce(written, this_year), mon, day)
-    named = F.when((first < day0) & written.isNull(), _date(this_year + 1, mon, day)).otherwise(first)
-
-    when = F.coalesce(numeric, named)
-    waitlist = F.lower(text).contains("waitlist")
-    empty = text.isNull() | (text == "")
-    later = when > day0
-    available = F.when(empty, True).when(waitlist, False).when(when.isNotNull(), ~later).otherwise(True)
-    start = F.when(~empty & ~waitlist & later, when.cast("timestamp_ntz"))
-    return available, start
+    parts = F.struct(
+        *[_as_int(F.regexp_extract(text, NUMERIC_DATE, i)).alias(f"n{i}") for i in range(1, 7)],
+        F.lower(F.regexp_extract(text, MONTH_DATE, 1)).alias("name"),
+        *[_as_int(F.regexp_extract(text, MONTH_DATE, i)).alias(f"m{i}") for i in (2, 3)],
+    )
+
+    def date_of(p):
+        short = p["n3"]
+        slashed = _date(F.when(short < 100, short + 2000).otherwise(short), p["n1"], p["n2"])
+        numeric = F.when(p["n1"].isNotNull(), slashed).otherwise(_date(p["n4"], p["n5"], p["n6"]))
+        month = F.when(p["name"] != "", ((F.position(p["name"], F.lit(MONTHS)) - 1) / 4 + 1).cast("int"))
+        this_year = F.year(day0)
+        first = _date(F.coalesce(p["m3"], this_year), month, p["m2"])
+        later = F.when((first < day0) & p["m3"].isNull(), _date(this_year + 1, month, p["m2"])).otherwise(first)
+        return F.coalesce(numeric, later)
+
+    def verdict(d):
+        waitlist = F.lower(text).contains("waitlist")
+        empty = text.isNull() | (text == "")
+        ahead = d > day0
+        return F.struct(
+            F.when(empty, True).when(waitlist, False).when(d.isNotNull(), ~ahead).otherwise(True).alias("now"),
+            F.when(~empty & ~waitlist & ahead, d.cast("timestamp_ntz")).alias("start"),
+        )
+
+    both = once(once(parts, date_of), verdict)
+    return both["now"], both["start"]
 
 
 def _two_digits(c: Column) -> Column:

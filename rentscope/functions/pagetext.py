@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rentscope.functions import predicates as P
 from rentscope.functions import urls as U
+from rentscope.operators.scale import once
 
 # --- fixed patterns and word lists -------------------------------------------------------------
 HIDDEN_TAGS = ("script", "style", "noscript")
@@ -151,8 +152,7 @@ def meta_description(html: Column) -> Column:
 
 def first_word_in(text: Column, words) -> Column:
     """First listed word the text contains, NULL when none.  The text is computed once per row."""
-    found = F.transform(F.array(text), lambda t: F.coalesce(*[F.when(t.contains(w), F.lit(w)) for w in words]))
-    return F.get(found, F.lit(0))
+    return once(text, lambda t: F.coalesce(*[F.when(t.contains(w), F.lit(w)) for w in words]))
 
 
 def rejection(html: Column, url: Column) -> Column:

@@ -249,20 +249,21 @@ def plan_groups(plans: DataFrame) -> DataFrame:
 
 
 def price_rows(plans: DataFrame, units: DataFrame) -> DataFrame:
-    """One row per available unit of a plan, else one for the plan itself; unpriced rows last."""
+    """One row per available unit of a plan, else one for the plan itself; unpriced rows last.
+
+    Plans with and without units are joined apart: an inner join can be split where one plan has very
+    many units, the outer form of it could not.
+    """
     open_units = units.where("is_available").select(
-        "plan_id", F.col("id").alias("unit_id"), F.col("price").alias("unit_price"),
-        F.col("available_from").alias("unit_from"),
+        "plan_id", F.concat(F.lit("u-"), F.col("id")).alias("row_key"), "price", "available_from"
     )
-    joined = plans.join(open_units, plans["id"] == open_units["plan_id"], "left")
-    has_unit = F.col("unit_id").isNotNull()
-    return joined.select(
-        F.when(has_unit, F.concat(F.lit("u-"), F.col("unit_id"))).otherwise(F.concat(F.lit("p-"), plans["id"])).alias("row_key"),
-        plans["id"].alias("plan_id"),
-        F.when(has_unit, F.col("unit_price")).otherwise(F.coalesce(plans["current_price"], plans["price"])).alias("price"),
-        F.when(has_unit, F.col("unit_from")).otherwise(plans["available_from"]).alias("available_from"),
-        plans["external_url"],
-    ).orderBy(F.asc_nulls_last("price"), "row_key")
+    links = plans.select(F.col("id").alias("plan_id"), "external_url")
+    by_unit = open_units.join(links, "plan_id").select("row_key", "plan_id", "price", "available_from", "external_url")
+    by_plan = plans.join(open_units.select(F.col("plan_id").alias("id")).distinct(), "id", "left_anti").select(
+        F.concat(F.lit("p-"), F.col("id")).alias("row_key"), F.col("id").alias("plan_id"),
+        F.coalesce("current_price", "price").alias("price"), "available_from", "external_url",
+    )
+    return by_unit.unionByName(by_plan).orderBy(F.asc_nulls_last("price"), "row_key")
 
 
 def explode_listings(apartments: DataFrame, plans: DataFrame, history: DataFrame) -> DataFrame:
@@ -273,16 +274,13 @@ def explode_listings(apartments: DataFrame, plans: DataFrame, history: DataFrame
     shown = plans.where(F.col("is_available") & (F.col("price") > 0)).select(
         F.col("id").alias("plan_id"), "apartment_id", F.col("name").alias("plan_name"),
         F.col("price").alias("plan_price"),
+    ).join(apartments.select(F.col("id").alias("apartment_id"), "title", "updated_at"), "apartment_id")
+    columns = ["apartment_id", "plan_id", "title", "plan_name", "price", "recorded_at"]
+    told = history.select("plan_id", "price", "recorded_at").join(shown, "plan_id").select(*columns)
+    silent = shown.join(history.select("plan_id").distinct(), "plan_id", "left_anti").withColumnsRenamed(
+        {"plan_price": "price", "updated_at": "recorded_at"}
     )
-    apts = apartments.select(F.col("id").alias("apartment_id"), "title", "updated_at")
-    points = history.select("plan_id", "price", "recorded_at")
-    return (
-        shown.join(apts, "apartment_id")
-        .join(points, "plan_id", "left")
-        .select("apartment_id", "plan_id", "title", "plan_name",
-                F.coalesce("price", "plan_price").alias("price"),
-                F.coalesce("recorded_at", "updated_at").alias("recorded_at"))
-    )
+    return told.unionByName(silent.select(*columns))
 
 
 def favourites(favs: DataFrame, apartments: DataFrame, user_id: int) -> DataFrame:

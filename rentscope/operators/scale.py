@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from rentscope.session import ensure_checkpoint_dir
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows written to the checkpoint folder: later steps neither recompute nor re-plan what came before."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -75,7 +75,8 @@ def nested_listing(
         F.array_sort(F.collect_list(F.struct("recorded_at", "price"))).alias("price_history")
     )
     both = u.join(h, ["plan_id", "part"], "full_outer")
-    rows = active.join(both, "plan_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    bare = active.join(both.select("plan_id").distinct(), "plan_id", "left_anti")
+    rows = both.join(active, "plan_id").unionByName(bare, allowMissingColumns=True).withColumn("part", F.coalesce("part", F.lit(0)))
     listed = rows.groupBy("apartment_id", "plan_part", "part").agg(
         F.array_sort(F.collect_list(F.struct("plan_id", "name", "price", "units", "price_history"))).alias("plans")
     )

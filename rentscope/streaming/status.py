@@ -44,16 +44,30 @@ def advance_status(events: DataFrame, notifications: DataFrame, order: list[str]
     return joined.withColumn("status", F.when(moves, F.col("new_status")).otherwise(F.col("status"))).drop("new_status", "new_rank")
 
 
-def start_status_stream(events: DataFrame, state_path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
-    """Runs ``advance_status`` on each batch.
+def current_status(notifications: DataFrame, updates: DataFrame) -> DataFrame:
+    """Notifications with the newest update of each message (``batch`` orders the updates)."""
+    last = updates.groupBy("external_id").agg(F.max_by("status", "batch").alias("_s"))
+    return notifications.join(last, "external_id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
 
-    State is a folder per batch under ``state_path``; a batch reads the state before it, so a batch
-    that is run again writes the same folder again.
+
+def start_status_stream(events: DataFrame, notifications: DataFrame, updates_path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
+    """Writes the status changes of each batch to ``updates_path/batch=N``; read them with ``current_status``.
+
+    A batch looks only at the messages it names and at earlier batches, so one that is run again writes
+    the same folder again.
     """
     spark = events.sparkSession
+    schema = "external_id string, status string, batch bigint"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state = spark.read.parquet(f"{state_path}/batch={batch_id - 1}")
-        advance_status(batch, state, order).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        spark.createDataFrame([], "external_id string, status string").write.mode("ignore").parquet(f"{updates_path}/batch=-1")
+        earlier = spark.read.schema(schema).parquet(updates_path).where(F.col("batch") < batch_id)
+        named = strongest(batch, order).select("external_id")
+        before = current_status(
+            notifications.join(named, "external_id", "left_semi"), earlier.join(named, "external_id", "left_semi")
+        )
+        after = advance_status(batch, before.withColumn("_old", F.col("status")), order)
+        changed = after.where(F.col("status") != F.col("_old")).select("external_id", "status").distinct()
+        changed.write.mode("overwrite").parquet(f"{updates_path}/batch={batch_id}")
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rentscope.sources import readers as R
 from rentscope.sources import writers as W
 from rentscope.streaming.alerting import start_alert_stream
-from rentscope.streaming.status import start_status_stream
+from rentscope.streaming.status import current_status, start_status_stream
 from rentscope.views import Tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -54,15 +54,16 @@ def test_read_table(spark, tmp_path):
 
 def test_status_stream_equals_sequential_rule(spark, tmp_path):
     state = spark.createDataFrame([("m1", "email", "sent"), ("m2", "email", "clicked"), ("m3", "telegram", "sent")], "external_id string, channel string, status string")
-    state.write.parquet(str(tmp_path / "state/batch=-1"))
+    updates = str(tmp_path / "updates")
     (tmp_path / "in").mkdir()
     checkpoint = str(tmp_path / "ck")
     for i, batch in enumerate([
         [("delivered", "m1.f"), ("open", "m1.f"), ("delivered", "m1.f"), ("open", "m2")], [("bounce", "m1"), ("unsubscribe", "m1.x"), ("click", "m3"), ("processed", "m2")],
     ]):
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps([{"event": e, "sg_message_id": m} for e, m in batch]))
-        start_status_stream(R.read_webhook_stream(spark, str(tmp_path / "in")), str(tmp_path / "state"), checkpoint, ["request", "place"]).awaitTermination(120)
-    got = {r["external_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / "state/batch=1")).collect()}
+        events = R.read_webhook_stream(spark, str(tmp_path / "in"))
+        start_status_stream(events, state, updates, checkpoint, ["request", "place"]).awaitTermination(120)
+    got = {r["external_id"]: r["status"] for r in current_status(state, spark.read.parquet(updates)).collect()}
     assert got == {"m1": "unsubscribed", "m2": "clicked", "m3": "sent"}
 
 
