@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,14 +184,14 @@ def rename_generic(
     def pair(pdf):
         old = pdf[pdf["name"].isna()].sort_values("ord")
         free = list(zip(old["ord"], old["size"], strict=True))
-        out = {"plan_id": [], "new_name": []}
+        ids, names = [], []
         for _, row in pdf[pdf["name"].notna()].sort_values("ord").iterrows():
             for i, (plan_id, size) in enumerate(free):
                 if abs(size - row["size"]) / size <= tolerance:
-                    out["plan_id"].append(plan_id)
-                    out["new_name"].append(row["name"])
+                    ids.append(plan_id)
+                    names.append(row["name"])
                     del free[i]
                     break
-        return pdf.__class__(out)
+        return pd.DataFrame({"plan_id": pd.Series(ids, dtype="int64"), "new_name": pd.Series(names, dtype=object)})
 
     return work.groupBy("grp", "run").applyInPandas(pair, "plan_id long, new_name string")

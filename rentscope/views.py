@@ -285,7 +285,7 @@ WHERE p.p_partkey % 10 <> 9 AND p.p_partkey % (SELECT count(*) FROM supplier sc)
 """
 
 VIEWS["candidates"] = """
-SELECT c.c_custkey AS seq, 'ext_' || cast(c.c_custkey % 400 AS string) AS external_id,
+SELECT c.c_custkey AS seq, 'ext_' || cast(c.c_custkey % (4 * (SELECT count(*) FROM supplier sc)) AS string) AS external_id,
   c.c_name || CASE c.c_custkey % 9 WHEN 0 THEN ' Senior Living' WHEN 1 THEN ' Hotel' WHEN 2 THEN ' Public Housing'
     ELSE ' Residences' END AS title,
   n.n_name AS city, CASE c.c_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 'ftp://x.example.com' WHEN 2 THEN ''
