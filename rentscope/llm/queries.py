@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentscope.llm import simhash
+from rentscope.llm import bpe, simhash, token_store
+from rentscope.llm.words import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +35,20 @@ def op1(spark, sf_dir):
     return groups.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+@query("op6_token_store")
+def op6(spark, sf_dir):
+    folder = shared_path(spark, "tokens")
+    token_store.write(_documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.documents(token_store.read(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_byte_bpe")
+def op7(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path).select(
+        F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def texts_of(batches: Iterable[pa.RecordBatch], *columns: str, limit: int = 4 <<
     for batch in batches:
         table = batch.select(list(columns))
         start, size = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(table.column(0).cast(pa.binary())), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(table.column(0).cast(pa.binary())), 0).to_pylist()
         for i, n in enumerate(lengths):
             if size and size + n > limit:
                 yield _values(table.slice(start, i - start))
