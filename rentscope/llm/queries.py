@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentscope.llm import bpe, simhash, token_store
+from rentscope.llm import bpe, langid, simhash, token_store
 from rentscope.llm.words import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,11 @@ def op7(spark, sf_dir):
         F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    out = langid.held_out(docs)
+    learned = langid.samples(docs.filter(~out))
+    return langid.predict(docs.withColumn("held_out", out), learned, ["doc_id", "held_out"])
