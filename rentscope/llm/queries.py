@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentscope.llm import bpe, langid, simhash, token_store
+from rentscope.llm import bpe, langid, simhash, substrings, token_store
 from rentscope.llm.words import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ def op10(spark, sf_dir):
     out = langid.held_out(docs)
     learned = langid.samples(docs.filter(~out))
     return langid.predict(docs.withColumn("held_out", out), learned, ["doc_id", "held_out"])
+
+
+@query("op9_substring_dedup")
+def op9(spark, sf_dir):
+    out = substrings.drop_repeats(_documents(spark, sf_dir), width=20)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
