@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentscope.llm import bpe, langid, simhash, substrings, token_store
+from rentscope.llm import bpe, langid, line_dedup, simhash, substrings, token_store
 from rentscope.llm.words import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,24 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     out = substrings.drop_repeats(_documents(spark, sf_dir), width=20)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_line_dedup", """
+WITH raw AS (SELECT doc_id, text, unnest(str_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(str_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+lines AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM raw),
+filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ord FROM lines WHERE line <> ''),
+ahead AS (SELECT a.doc_id, a.pos, a.ord, b.ord AS last, sum(length(b.line)) OVER w AS chars, string_agg(b.line, chr(10)) OVER w AS run
+  FROM filled a JOIN filled b ON a.doc_id = b.doc_id AND b.ord BETWEEN a.ord AND a.ord + 15
+  WINDOW w AS (PARTITION BY a.doc_id, a.ord ORDER BY b.ord)),
+least AS (SELECT * FROM ahead WHERE chars >= 16 QUALIFY row_number() OVER (PARTITION BY doc_id, ord ORDER BY last) = 1),
+later AS (SELECT * FROM least QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, ord) > 1),
+gone AS (SELECT DISTINCT f.doc_id, f.pos FROM later l JOIN filled f ON f.doc_id = l.doc_id AND f.ord BETWEEN l.ord AND l.last)
+SELECT r.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (g.pos IS NULL), '') AS text
+FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.pos = r.pos GROUP BY r.doc_id
+""")
+def op3(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")
+    out = line_dedup.drop_repeated_lines(docs.select("doc_id", "text", n_lines))
+    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "text")
