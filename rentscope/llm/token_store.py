@@ -12,6 +12,7 @@ order, so that any store that Spark writes to can hold them and a task that runs
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -27,6 +28,7 @@ MAGIC = b"DAC1"
 RANK_STEP = 512
 SEGMENT_TOKENS = 1 << 20
 CACHED = 300_000
+BATCH_BYTES = 2 << 20
 WORD = np.dtype("<u4")
 
 SEGMENT = "part int, ordinal int, doc_ids array<long>, n_tokens long, payload binary"
@@ -96,28 +98,58 @@ class Segment:
 # ---- encoding ----
 
 
+PUNCTUATION = b".,!?*$%&#;:|"
+PLAIN_LETTERS = re.compile(rb"[a-z]+")
+
+
 class WordEncoder:
-    """Encodes texts word by word: this kind of vocabulary drops white space, so a text's ids are those of its words in a row."""
+    """Encodes texts word by word: this kind of vocabulary lowers case and drops white space, so a text's ids are those of its words.
+
+    Punctuation at the end of a word is a run of its own to the tokenizer and is looked up apart. New words of letters a-z go to its
+    merge model, which is all that is left to do for them; other new words go to the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # a special token's string inside a text is ordinary text
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        model, known = self.tokenizer.model, self.known
+        other = []
+        for w in words:
+            if PLAIN_LETTERS.fullmatch(w):
+                known[w] = np.array([t.id for t in model.tokenize(w.decode())], WORD).tobytes()
+            else:
+                other.append(w)
+        for at in range(0, len(other), 1024):
+            part = other[at : at + 1024]
+            for w, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                known[w] = np.array(found.ids, WORD).tobytes()
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        cut = [split_words(t) for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {}
-        new = [w for w in set().union(*cut) if w not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, WORD).tobytes()
+        words: dict[bytes, bytes] = {}  # one object for equal words
+        cut = []
+        for t in texts:
+            found = split_words(t.lower() if t else None)
+            cut.append(list(map(words.setdefault, found, found)))
         known = self.known
-        return [b"".join([known[w] for w in found]) for found in cut]
+        new = [w for w in words if w not in known]
+        stems = [w.rstrip(PUNCTUATION) for w in new]
+        # a stem that ends with an ASCII letter: no character of its own can join the punctuation that follows
+        stems = [s if s and s[-1:].isalpha() and s[-1] < 128 else w for s, w in zip(stems, new, strict=True)]
+        ends = [w[len(s) :] for s, w in zip(stems, new, strict=True)]
+        self._learn([w for w in {*stems, *ends} if w and w not in known])
+        for w, s, e in zip(new, stems, ends, strict=True):
+            if e:
+                known[w] = known[s] + known[e]
+        ids = {w: known[w] for w in words}
+        if len(known) > CACHED:  # what is frequent is in every batch
+            self.known = dict(ids)
+        return [b"".join(map(ids.__getitem__, found)) for found in cut]
 
 
 def _segments(path: str, end_id: int, text_col: str, id_col: str):
@@ -134,7 +166,7 @@ def _segments(path: str, end_id: int, text_col: str, id_col: str):
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["part", "ordinal", "doc_ids", "n_tokens", "payload"])
 
-        for texts, ids in texts_of(batches, text_col, id_col):
+        for texts, ids in texts_of(batches, text_col, id_col, limit=BATCH_BYTES):
             for doc_id, made in zip(ids, encoder.encode(texts), strict=True):
                 doc_ids.append(doc_id)
                 packed.append(made + end)
