@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentscope.llm import bpe, langid, line_dedup, simhash, substrings, token_store
+from rentscope.llm import bpe, decontaminate, langid, line_dedup, simhash, substrings, token_store
 from rentscope.llm.words import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,10 @@ def op3(spark, sf_dir):
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")
     out = line_dedup.drop_repeated_lines(docs.select("doc_id", "text", n_lines))
     return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "text")
+
+
+@query("op8_decontaminate")
+def op8(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.leaks(_documents(spark, sf_dir), items)
+    return found.select(F.col("id").alias("doc_id"), "item_id", "start", "n_words", "similarity")
