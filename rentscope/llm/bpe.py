@@ -8,8 +8,6 @@ touches only the neighbours: their new pairs enter the index, stale entries are
 from __future__ import annotations
 
 import base64
-import heapq
-from collections import defaultdict
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -21,10 +19,8 @@ from pyspark.sql import functions as F
 
 from rentscope.llm.words import texts_of
 
-CACHED = 300_000
-BATCH_BYTES = 12 << 20
-#: The pieces of a text never cross a blank between two characters that are not white space.
-LOOSE_BLANK = regex.compile(r" (?=\s|\Z)")
+CACHED = 200_000
+BATCH_BYTES = 8 << 20
 
 
 class Merges:
@@ -38,6 +34,7 @@ class Merges:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.width = np.array([*map(len, self.tokens), -self.size])  # a dead symbol (-1) is never part of a pair
         pairs = [
             (self.ranks[token[:k]] * self.size + self.ranks[token[k:]], rank)
             for token, rank in self.ranks.items()
@@ -45,13 +42,15 @@ class Merges:
             if token[:k] in self.ranks and token[k:] in self.ranks
         ]
         table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        self.keys, self.merged = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
+        self.keys, self.merged = np.r_[table[:, 0], np.iinfo(np.int64).max], np.r_[table[:, 1], -1]
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Merged ids of pairs; -1 where they don't merge or a side is missing (negative)."""
+        """Merged ids of pairs; -1 where they don't merge or the left side is missing (-1)."""
         key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.merged[at], -1)
+        at = self.keys.searchsorted(key)
+        found = self.merged[at]
+        found[self.keys[at] != key] = -1
+        return found
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each (non-empty) piece as little-endian 32-bit integers; a piece that is a token is that token."""
@@ -81,48 +80,47 @@ class Merges:
         following[ends - 1] = -1
         before[ends - sizes] = -1
 
-        index: dict[int, list[int]] = defaultdict(list)
-        start = np.nonzero(following >= 0)[0]
-        ranks = self.rank(symbol[start], symbol[following[start]])
-        start, ranks = start[ranks >= 0], ranks[ranks >= 0]
-        order = np.argsort(ranks, kind="stable")
-        start, ranks = start[order], ranks[order]
-        cuts = np.nonzero(np.diff(ranks))[0] + 1
-        for positions in np.split(start, cuts) if len(start) else []:
-            index[int(self.rank(symbol[positions[:1]], symbol[following[positions[:1]]])[0])] = positions.tolist()
-        queue = list(index)
-        heapq.heapify(queue)
-
-        while queue:
-            rank = heapq.heappop(queue)
-            at = np.unique(np.array(index.pop(rank), np.int64))
-            at = at[(symbol[at] >= 0) & (following[at] >= 0)]
-            at = at[self.rank(symbol[at], symbol[following[at]]) == rank]
-            if not len(at):
+        # the index: for every rank the positions whose pair merges to it, taken in order of rank
+        index: list[list[int]] = [[] for _ in range(self.size)]
+
+        def enter(positions: np.ndarray) -> int:
+            ranks = self.rank(symbol[positions], symbol[following[positions]])
+            merging = ranks >= 0
+            ranks = ranks[merging].tolist()
+            for r, p in zip(ranks, positions[merging].tolist(), strict=True):
+                index[r].append(p)
+            return min(ranks, default=self.size)
+
+        rank = enter(np.nonzero(following >= 0)[0])
+        while rank < self.size:
+            if not index[rank]:
+                rank += 1
                 continue
-            # in a run of overlapping pairs (a a a a) every second one merges, from the left
-            chained = np.r_[False, following[at[:-1]] == at[1:]]
-            run_start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
-            at = at[(np.arange(len(at)) - run_start) % 2 == 0]
-            at, later = self._in_turn(at, rank, symbol, following, before, owner)
-
+            at = np.array(index[rank], np.int64)
+            index[rank] = []
+            at.sort()
+            # the bytes from an entry's position on don't change, so its pair still merges to this rank if it is as long
+            after = following[at]
+            valid = (after >= 0) & (self.width[symbol[at]] + self.width[symbol[after]] == self.width[rank])
+            valid[1:] &= at[1:] != at[:-1]
+            at, after = at[valid], after[valid]
+            if len(at) > 1:
+                chained = np.zeros(len(at), bool)
+                chained[1:] = after[:-1] == at[1:]
+                if chained.any():  # in a run of overlapping pairs (a a a a) every second one merges, from the left
+                    place = np.arange(len(at))
+                    at = at[(place - np.maximum.accumulate(np.where(chained, 0, place))) % 2 == 0]
+                at, later = self._in_turn(at, rank, symbol, following, before, owner)
+                index[rank] = later.tolist()
             gone = following[at]
             after = following[gone]
             symbol[at], symbol[gone] = rank, -1
             following[at] = after
-            before[after[after >= 0]] = at[after >= 0]
-            if len(later):
-                index[rank] = later.tolist()
-                heapq.heappush(queue, rank)
-            left, right = before[at], following[at]
-            for first, second in ((left, at), (at, right)):
-                real = (first >= 0) & (second >= 0)
-                first, second = first[real], second[real]
-                new = self.rank(symbol[first], symbol[second])
-                for r, p in zip(new[new >= 0].tolist(), first[new >= 0].tolist(), strict=True):
-                    if r not in index:
-                        heapq.heappush(queue, r)
-                    index[r].append(p)
+            linked = after >= 0
+            before[after[linked]] = at[linked]
+            left = before[at]
+            left = left[left >= 0]
+            rank = min(rank, enter(np.concatenate([left, at[linked]])))
 
         left_over = symbol >= 0
         return symbol[left_over], np.cumsum(np.add.reduceat(left_over.astype(np.int64), ends - sizes))
@@ -134,7 +132,8 @@ class Merges:
         merge their first position only.
         """
         own = owner[at]
-        again = np.r_[False, own[1:] == own[:-1]]
+        again = np.zeros(len(at), bool)
+        again[1:] = own[1:] == own[:-1]
         if not again.any():
             return at, at[:0]
         gone = following[at]
@@ -142,9 +141,11 @@ class Merges:
         left = np.where(before[at] >= 0, symbol[before[at]], -1)
         joined = np.r_[False, beyond[:-1] == at[1:]]  # the left neighbour has just become this rank's token
         left[joined] = rank
-        right = np.where(beyond >= 0, symbol[beyond], -1)
         merged = np.full(len(at), rank)
-        made = np.stack([self.rank(left, merged), self.rank(merged, right), np.where(np.r_[joined[1:], False], self.rank(merged, merged), -1)])
+        made = np.stack([
+            self.rank(left, merged), np.where(beyond >= 0, self.rank(merged, symbol[beyond]), -1),
+            np.where(np.r_[joined[1:], False], self.rank(merged, merged), -1),
+        ])
         low = ((made >= 0) & (made < rank)).any(axis=0)
         if not low.any():
             return at, at[:0]
@@ -158,32 +159,25 @@ def merges(path: str) -> Merges:
 
 
 class Encoder:
-    """Encodes texts; what it has learned about blank-separated chunks is kept up to a bound."""
+    """Encodes texts; pieces it has met are kept up to a bound."""
 
     def __init__(self, path: str, pattern: str):
         self.merges, self.pattern = merges(path), regex.compile(pattern)
         self.known: dict[str, bytes] = {}
 
-    def chunks(self, text: str) -> list[str]:
-        """Cuts of a text that no piece crosses."""
-        if LOOSE_BLANK.search(text):
-            return self.pattern.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
-
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of every text as little-endian 32-bit integers; null gives none."""
-        cut = [self.chunks(t.decode()) if t else [] for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {}
-        new = [x for x in set().union(*cut) if x not in self.known]
-        parts = [self.pattern.findall(x) for x in new]
-        distinct = list({p for found in parts for p in found})
-        ids = dict(zip(distinct, self.merges.replay([p.encode() for p in distinct]), strict=True))
-        for chunk, found in zip(new, parts, strict=True):
-            self.known[chunk] = b"".join([ids[p] for p in found])
-        known = self.known
-        return [b"".join([known[x] for x in found]) for found in cut]
+        pieces: dict[str, str] = {}  # one string object for equal pieces
+        cut = []
+        for t in texts:
+            found = self.pattern.findall(t.decode()) if t else []
+            cut.append(list(map(pieces.setdefault, found, found)))
+        new = [p for p in pieces if p not in self.known]
+        self.known.update(zip(new, self.merges.replay([p.encode() for p in new]), strict=True))
+        out = [b"".join(map(self.known.__getitem__, found)) for found in cut]
+        if len(self.known) > CACHED:  # what is frequent is in every batch
+            self.known = {p: self.known[p] for p in pieces}
+        return out
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +199,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]):
         tokens = merges(path).tokens
-        for packed, ids in texts_of(batches, "ids", "id", limit=BATCH_BYTES):
+        for packed, ids in texts_of(batches, "ids", "id"):
             made = [b"".join([tokens[i] for i in np.frombuffer(p or b"", "<u4").tolist()]) for p in packed]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(made, pa.binary())], names=["id", "ids", "bytes"]
