@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentscope.llm import bpe, decontaminate, langid, line_dedup, rules, simhash, substrings, token_store
+from rentscope.llm import bpe, decontaminate, html_text, langid, line_dedup, rules, simhash, substrings, token_store
 from rentscope.llm.words import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op8(spark, sf_dir):
 def op5(spark, sf_dir):
     rows = rules.judged(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query("op2_html_text")
+def op2(spark, sf_dir):
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])
