@@ -86,8 +86,8 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def _windows(text, once, half_once, width) -> Windows:
-    found = Windows(split_words(text), width)
+def _windows(doc_id, text, once, half_once, width) -> Windows:
+    found = Windows(split_words(text) if doc_id is not None else [], width)
     found.without(once, "anchor")
     found.without(half_once, "code")
     return found
@@ -98,10 +98,10 @@ def _level_rows(k: int, width: int, lists: int):
         for texts, ids, *once in texts_of(batches, "text", "id", *("once", "half_once")[:lists]):
             keys, codes, owners = [], [], []
             for i, text in enumerate(texts):
-                key, code = _windows(text, *(x[i] for x in once), *[None] * (2 - lists), width).level(k)
+                key, code = _windows(ids[i], text, *(x[i] for x in once), *[None] * (2 - lists), width).level(k)
                 keys.append(key)
                 codes.append(code)
-                owners.append(np.full(len(key), ids[i], np.int64))
+                owners.append(np.full(len(key), ids[i] or 0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [_long(np.concatenate(keys)), _long(np.concatenate(owners)), pa.array(np.concatenate(codes).astype(np.int32))], names=["key", "id", "code"]
             )
@@ -116,15 +116,15 @@ def _full_rows(width: int):
         for texts, ids, once, half_once in texts_of(batches, "text", "id", "once", "half_once"):
             parts = []
             for i, text in enumerate(texts):
-                found = _windows(text, once[i], half_once[i], width)
+                found = _windows(ids[i], text, once[i], half_once[i], width)
                 if len(found.start):
                     key, more = found.keys()
                     parts.append((key, more, np.full(len(key), ids[i], np.int64), found.start))
             if parts:
                 key, more, owner, start = (np.concatenate(x) for x in zip(*parts, strict=True))
                 order = np.lexsort((start, owner, more, key))
-                key, more, owner, start = key[order], more[order], owner[order], start[order]
-                first = np.r_[True, (key[1:] != key[:-1]) | (more[1:] != more[:-1])]
+                new = np.r_[True, (key[order[1:]] != key[order[:-1]]) | (more[order[1:]] != more[order[:-1]])]
+                first = np.sort(order[new])  # in text order: neighbours share most bytes of their shuffled rows
                 yield pa.RecordBatch.from_arrays(
                     [_long(key[first]), pa.array(more[first].view(np.int32)), pa.array(owner[first]), pa.array(start[first].astype(np.int32))],
                     names=["key", "more", "id", "start"],
@@ -153,7 +153,7 @@ def _removed(width: int):
                 words = split_words(text)
                 n_words.append(len(words))
                 if ids[i] is not None and len(words) >= width:
-                    found = _windows(text, once[i], half_once[i], width)
+                    found = _windows(ids[i], text, once[i], half_once[i], width)
                     later = np.setdiff1d(found.start, np.asarray(firsts[i] or [], np.int64), assume_unique=True)
                     if len(later):
                         edge = np.zeros(len(words) + 1, np.int64)
@@ -192,12 +192,12 @@ def drop_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_
     if width % 4:
         raise ValueError("width must be a multiple of four")
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
-    known = source.filter("id IS NOT NULL")
-    once = _counted_once(known.mapInArrow(_level_rows(0, width, 0), ONCE), "once")
-    first_pass = source.join(once, "id", "left")
-    lower = first_pass.filter("id IS NOT NULL").select("text", "id", "once").mapInArrow(_level_rows(1, width, 1), ONCE)
-    second_pass = first_pass.join(_counted_once(lower, "half_once"), "id", "left")
-    full = second_pass.filter("id IS NOT NULL").select("text", "id", "once", "half_once").mapInArrow(_full_rows(width), FULL)
+    # every pass joins the same exchange of the texts, which is written once
+    once = _counted_once(source.mapInArrow(_level_rows(0, width, 0), ONCE), "once")
+    first_pass = source.join(once, "id", "left").select("text", "id", "once")
+    lower = first_pass.mapInArrow(_level_rows(1, width, 1), ONCE)
+    second_pass = first_pass.join(_counted_once(lower, "half_once"), "id", "left").select("text", "id", "once", "half_once")
+    full = second_pass.mapInArrow(_full_rows(width), FULL)
     ordered = full.repartition("key").sortWithinPartitions("key", "more", "id", "start")
     firsts = _by_document(ordered.mapInArrow(_first_of_runs, "id long, start int"), "firsts", "start")
     last_pass = second_pass.join(firsts, "id", "left").select("text", "id", "once", "half_once", "firsts")
