@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentscope.llm import bpe, decontaminate, html_text, langid, line_dedup, rules, simhash, substrings, token_store
+from rentscope.llm import bpe, decontaminate, html_text, langid, line_dedup, lm, rules, simhash, substrings, token_store
 from rentscope.llm.words import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op5(spark, sf_dir):
 @query("op2_html_text")
 def op2(spark, sf_dir):
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])
+
+
+@query("op4_lm_scores")
+def op4(spark, sf_dir):
+    out = lm.score(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.withColumnRenamed("id", "doc_id")
