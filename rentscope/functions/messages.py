@@ -15,7 +15,7 @@ def _usd(c: Column) -> Column:
 
 
 def _pct(c: Column) -> Column:
-    return F.format_string("%.1f", c)
+    return F.format_string("%.1f", F.bround(c, 1))
 
 
 def _join(*parts: str | Column) -> Column:

@@ -128,7 +128,7 @@ def trigger(priced: DataFrame) -> DataFrame:
     reason = F.when(
         target, F.concat(F.lit("price "), usd(F.col("latest_price")), F.lit(" dropped below target "), usd(F.col("target_price")))
     ).when(
-        pct, F.concat(F.lit("price dropped "), F.format_string("%.1f", cumulative_drop()), F.lit("% — was "),
+        pct, F.concat(F.lit("price dropped "), F.format_string("%.1f", F.bround(cumulative_drop(), 1)), F.lit("% — was "),
                       usd(F.col("baseline_price")), F.lit(" when you subscribed"), on_date, F.lit(", now "), usd(F.col("latest_price"))),
     ).otherwise("")
     known = F.col("latest_price").isNotNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.operators.scale import before, first_k, instant, lag_by_segment, newest, oldest
+from rentscope.operators.scale import before, exact_avg, first_k, instant, lag_by_segment, newest, oldest
 
 # A row's place in its plan's series: time first, then the arrival columns as tie-break.
 ORDER = ("recorded_at", "seq", "line")
@@ -53,19 +53,18 @@ def top_drops(history: DataFrame, plans: DataFrame, apartments: DataFrame, as_of
 
 
 def price_trends(history: DataFrame, plans: DataFrame, apartments: DataFrame, as_of, days: int = 30, city=None, bedrooms=None):
-    """Average price per calendar day; history is summed per plan and day before it meets the plans."""
-    daily = since(history, as_of, days).groupBy("plan_id", F.to_date("recorded_at").alias("day")).agg(
-        F.sum(F.col("price").cast("decimal(18,8)")).alias("s"), F.count("price").alias("n")
-    )
+    """Average price per calendar day of the plans asked for; one aggregation, combined before its shuffle."""
     chosen = plans if bedrooms is None else plans.where(F.col("bedrooms") == bedrooms)
     areas = apartments.where(F.col("city").ilike(f"%{city}%")) if city else apartments
     kept = chosen.select(F.col("id").alias("plan_id"), "apartment_id").join(
         areas.select(F.col("id").alias("apartment_id")), "apartment_id"
     )
     return (
-        daily.join(kept, "plan_id")
+        since(history, as_of, days)
+        .select("plan_id", "price", F.to_date("recorded_at").alias("day"))
+        .join(kept, "plan_id")
         .groupBy("day")
-        .agg((F.sum("s").cast("double") / F.sum("n")).alias("avg_price"))
+        .agg(exact_avg("price").alias("avg_price"))
         .orderBy("day")
     )
 

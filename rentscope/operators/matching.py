@@ -12,8 +12,8 @@ from rentscope.operators.scale import lag_by_segment
 
 
 def not_known(candidates: DataFrame, apartments: DataFrame) -> DataFrame:
-    """Candidates whose normalised url and external id are both unknown."""
-    urls = apartments.select(U.norm_url(F.col("source_url")).alias("_url")).distinct()
+    """Candidates whose normalised url and external id are both unknown; stored listings without url know none."""
+    urls = apartments.select(U.norm_url(F.col("source_url")).alias("_url")).where("_url <> ''").distinct()
     ids = apartments.where(F.col("external_id").isNotNull()).select("external_id").distinct()
     return (
         candidates.withColumn("_url", U.norm_url(F.col("source_url")))

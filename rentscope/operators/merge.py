@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentscope.functions import labels as T
@@ -62,29 +62,30 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: str, order: st
 
 # --- scraped plans ---------------------------------------------------------------------------
 
+def _same(left: Column, right: Column) -> Column:
+    return left.eqNullSafe(right)
+
+
 def match_plans(snapshot: DataFrame, plans: DataFrame) -> DataFrame:
     """(apartment_id, pos, plan_id, tier) for every snapshot row.
 
     1 active plan of the name, 2 archived plan of the name, 3 the only active plan of like size,
     4 a plan to be created, NULL when nothing fits.  A plan is created at the first row of its name
-    that has bedrooms and no other match; later rows of the name belong to it.  Stored plans alone
+    that has bedrooms and no other match; later rows of the name belong to it.  Rows without a name are one name.  Stored plans alone
     take part in tier 3, so rows do not depend on plans made from other names of the same snapshot.
     """
-    named = plans.groupBy("apartment_id", "name").agg(
+    named = plans.groupBy(F.col("apartment_id").alias("_apt"), F.col("name").alias("_name")).agg(
         F.min(F.when(F.col("is_available"), F.col("id"))).alias("active_id"),
         F.min(F.when(~F.col("is_available"), F.col("id"))).alias("archived_id"),
     )
     near = M.unique_within(snapshot, plans).withColumnRenamed("plan_id", "near_id")
-    rows = (
-        snapshot.select("apartment_id", "pos", "name", "bedrooms")
-        .join(named, ["apartment_id", "name"], "left")
-        .join(near, ["apartment_id", "pos"], "left")
-    )
+    rows = snapshot.select("apartment_id", "pos", "name", "bedrooms")
+    rows = rows.join(named, (F.col("apartment_id") == F.col("_apt")) & _same(F.col("name"), F.col("_name")), "left").drop("_apt", "_name")
+    rows = rows.join(near, ["apartment_id", "pos"], "left")
     unnamed = F.coalesce("active_id", "archived_id").isNull()
-    first = rows.where(unnamed & F.col("near_id").isNull() & F.col("bedrooms").isNotNull()).groupBy("apartment_id", "name").agg(
-        F.min("pos").alias("created_at_pos")
-    )
-    placed = rows.join(first, ["apartment_id", "name"], "left")
+    makes = unnamed & F.col("near_id").isNull() & F.col("bedrooms").isNotNull()
+    made_at = F.min(F.when(makes, F.col("pos"))).over(Window.partitionBy("apartment_id", "name"))
+    placed = rows.withColumn("created_at_pos", made_at)
     created = unnamed & (F.col("pos") >= F.col("created_at_pos"))
     tier = (
         F.when(F.col("active_id").isNotNull(), 1).when(F.col("archived_id").isNotNull(), 2)
@@ -96,17 +97,21 @@ def match_plans(snapshot: DataFrame, plans: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: the name of a plan made from rows without one.
+NAMELESS = "Unit"
+
+
 def new_plans(snapshot: DataFrame, matched: DataFrame, plans: DataFrame) -> DataFrame:
-    """Rows for the plans to be created, described by the first snapshot row that created each."""
+    """Rows for the plans to be created, described by the first snapshot row that created each; ``snapshot_name`` is that row's own."""
     rows = snapshot.join(matched.where(F.col("tier") == 4).select("apartment_id", "pos"), ["apartment_id", "pos"], "left_semi")
     cols = ["bedrooms", "bathrooms", "size_sqft", "min_price"]
     first = first_seen(rows, ["apartment_id", "name"], "pos", cols)
     numbered = next_ids(first, ["apartment_id", "name"], plans)
     return numbered.select(
-        "id", "apartment_id", "name", "bedrooms",
+        "id", "apartment_id", F.coalesce(F.nullif("name", F.lit("")), F.lit(NAMELESS)).alias("name"), "bedrooms",
         F.when(F.col("bathrooms") != 0, F.col("bathrooms")).otherwise(1.0).alias("bathrooms"),
         F.coalesce("size_sqft", F.lit(0.0)).alias("area_sqft"), F.col("min_price").alias("price"),
-        F.col("min_price").alias("current_price"), F.lit(True).alias("is_available"),
+        F.col("min_price").alias("current_price"), F.lit(True).alias("is_available"), F.col("name").alias("snapshot_name"),
     )
 
 
@@ -180,12 +185,22 @@ def upsert_units(rows: DataFrame, units: DataFrame, today, seen_available: bool
     return kept.unionByName(added.withColumn("unit_number", F.nullif("_k", F.lit(""))).select(*units.columns))
 
 
-def pause_let_units(rules: DataFrame, units: DataFrame) -> DataFrame:
-    """Unit alerts whose unit can no longer be rented are switched off."""
-    let = units.where(~F.col("is_available")).select(F.col("id").alias("unit_id"), F.lit(True).alias("_let"))
+def pause_let_units(rules: DataFrame, units: DataFrame, plans: DataFrame, scraped: DataFrame) -> DataFrame:
+    """Unit alerts are switched off whose unit belongs to a scraped listing (``scraped``: apartment_id) and can no longer be rented."""
+    of_scraped = plans.join(scraped.select("apartment_id").distinct(), "apartment_id", "left_semi").select(F.col("id").alias("plan_id"))
+    let = units.where(~F.col("is_available")).join(of_scraped, "plan_id", "left_semi")
+    let = let.select(F.col("id").alias("unit_id"), F.lit(True).alias("_let"))
     return lookup(rules, let, "unit_id").withColumn("is_active", F.col("is_active") & F.col("_let").isNull()).drop("_let")
 
 
+def unavailable_notices(rules: DataFrame, paused: DataFrame, as_of) -> DataFrame:
+    """One message event for every rule that ``pause_let_units`` has just switched off."""
+    now_off = paused.where(~F.col("is_active")).select("id")
+    return rules.where("is_active").join(now_off, "id", "left_semi").select(
+        F.col("id").alias("subscription_id"), "user_id", "unit_id", F.lit("unit_unavailable").alias("trigger_type"), instant(as_of).alias("sent_at")
+    )
+
+
 def apply_snapshot(
     apartments: DataFrame, plans: DataFrame, units: DataFrame, rules: DataFrame, snapshot: DataFrame, as_of
 ) -> dict[str, DataFrame]:
@@ -201,20 +216,23 @@ def apply_snapshot(
     )
     matched = cut_lineage(match_plans(clean, named))
     created = cut_lineage(new_plans(clean, matched, named))
-    ids = created.select("apartment_id", "name", F.col("id").alias("new_id"))
+    ids = created.select(F.col("apartment_id").alias("_apt"), "snapshot_name", F.col("id").alias("new_id"))
     placed = (
-        matched.join(ids, ["apartment_id", "name"], "left")
+        matched.join(ids, (F.col("apartment_id") == F.col("_apt")) & _same(F.col("name"), F.col("snapshot_name")), "left")
         .select("apartment_id", "pos", F.when(F.col("tier") == 4, F.col("new_id")).otherwise(F.col("plan_id")).alias("plan_id"))
         .where(F.col("plan_id").isNotNull())
     )
     rows = cut_lineage(clean.join(placed, ["apartment_id", "pos"]))
-    all_plans = named.unionByName(created, allowMissingColumns=True)
+    all_plans = named.unionByName(created.drop("snapshot_name"), allowMissingColumns=True)
     after = refreshed_plans(rows, all_plans)
     history = rows.groupBy("plan_id").agg(F.min("min_price").alias("price")).where(F.col("price").isNotNull()).withColumn(
         "recorded_at", instant(as_of)
     )
     new_units = upsert_units(rows, units, as_of, seen_available=True)
-    return {"plans": after, "units": new_units, "history": history, "rules": pause_let_units(rules, new_units)}
+    paused = pause_let_units(rules, new_units, all_plans, clean)
+    return {
+        "plans": after, "units": new_units, "history": history, "rules": paused, "notices": unavailable_notices(rules, paused, as_of),
+    }
 
 
 def mark_stale_plans(plans: DataFrame, snapshot: DataFrame) -> DataFrame:

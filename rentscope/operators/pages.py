@@ -288,7 +288,6 @@ def unit_blocks(texts: DataFrame) -> DataFrame:
     ))
 
 
-PLAN_HEADER = r"(?im)^(PLAN\s*\d+)\b"
 SECTION_UNIT = r"(?ms)^\s*(\d{1,2}\s+\d{1,4})\s*\n\s*(.*?)\n\s*(\$\s*[\d,]+)\s*\n\s*(\d{1,2}/\d{1,2}/\d{4}|Today)\b"
 
 

@@ -76,27 +76,23 @@ def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def lag_by_segment(
-    df: DataFrame, key: str, segment: Column, order: Sequence[str], value: str, out: str = "previous", hot_rows: int = 1_000_000
-) -> DataFrame:
+def lag_by_segment(df: DataFrame, key: str, segment: Column, order: Sequence[str], value: str, out: str = "previous") -> DataFrame:
     """``lag(value)`` per key, with ``has_previous`` telling a first row from a NULL before it.
 
-    Keys of more than ``hot_rows`` rows are windowed per segment (say a day) instead of whole; the last
-    value of each segment is carried to the first row of the key's next one through a table of one row
-    per hot key and segment.  ``segment`` must rise with ``order``.
+    Every key is windowed per segment (say a day); the last value of each segment is carried to the first row of the key's next one
+    through a table of one row per key and segment.  ``segment`` must rise with ``order``.
     """
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
-    parted = df.join(hot, key, "left").withColumn("_seg", F.when(F.col("_hot"), segment))
+    parted = df.withColumn("_seg", segment)
     held = F.struct(F.col(value).alias("v"))
     local = parted.withColumn("_prev", F.lag(held).over(Window.partitionBy(key, "_seg").orderBy(*order)))
-    ends = parted.where("_hot").groupBy(key, "_seg").agg(F.max_by(held, F.struct(*order)).alias("_end"))
+    ends = parted.groupBy(key, "_seg").agg(F.max_by(held, F.struct(*order)).alias("_end"))
     carried = ends.select(
         key, "_seg", F.lag("_end").over(Window.partitionBy(key).orderBy("_seg")).alias("_carry")
     ).where(F.col("_carry").isNotNull())
     joined = local.join(carried, [key, "_seg"], "left")
     return joined.withColumn(out, F.coalesce("_prev", "_carry")["v"]).withColumn(
         "has_previous", F.coalesce("_prev", "_carry").isNotNull()
-    ).drop("_seg", "_prev", "_carry", "_hot")
+    ).drop("_seg", "_prev", "_carry")
 
 
 def _value_bucket(v: Column) -> Column:

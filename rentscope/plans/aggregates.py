@@ -512,7 +512,7 @@ def a47(t):
 @query("a49_net_new_by_city", """
 SELECT c.city, count(*) AS n FROM candidates c
 WHERE NOT EXISTS (SELECT 1 FROM apartments a WHERE rtrim(trim(coalesce(a.source_url, '')), '/')
-      = rtrim(trim(coalesce(c.source_url, '')), '/'))
+      = rtrim(trim(coalesce(c.source_url, '')), '/') AND rtrim(trim(coalesce(a.source_url, '')), '/') <> '')
   AND NOT EXISTS (SELECT 1 FROM apartments a WHERE a.external_id = c.external_id) GROUP BY c.city
 """)
 def a49(t):

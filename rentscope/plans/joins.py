@@ -28,11 +28,8 @@ def j02(t):
 
 
 @query("j03_first_and_last", """
-WITH r AS (SELECT h.plan_id, h.price,
-  row_number() OVER (PARTITION BY h.plan_id ORDER BY h.recorded_at DESC, h.seq DESC, h.line DESC) AS d,
-  row_number() OVER (PARTITION BY h.plan_id ORDER BY h.recorded_at, h.seq, h.line) AS u FROM price_history h)
-SELECT x.plan_id, y.price AS previous_price, x.price AS current_price FROM r x JOIN r y ON x.plan_id = y.plan_id
-WHERE x.d = 1 AND y.u = 1
+SELECT h.plan_id, arg_min(h.price, (h.recorded_at, h.seq, h.line)) AS previous_price, arg_max(h.price, (h.recorded_at, h.seq, h.line)) AS current_price
+FROM price_history h GROUP BY h.plan_id
 """)
 def j03(t):
     return H.first_and_last(t.price_history)
@@ -56,7 +53,7 @@ def j05(t):
 @query("j06_anti_join_url_or_id", r"""
 SELECT c.seq, c.title FROM candidates c
 WHERE NOT EXISTS (SELECT 1 FROM apartments a WHERE rtrim(trim(coalesce(a.source_url, '')), '/')
-      = rtrim(trim(coalesce(c.source_url, '')), '/'))
+      = rtrim(trim(coalesce(c.source_url, '')), '/') AND rtrim(trim(coalesce(a.source_url, '')), '/') <> '')
   AND NOT EXISTS (SELECT 1 FROM apartments a WHERE a.external_id = c.external_id)
 """)
 def j06(t):

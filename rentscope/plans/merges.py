@@ -177,11 +177,23 @@ def m07_units(t):
 @query("m07_apply_snapshot_rules", f"""
 WITH {_PLACED}, {_UNITS.format(src='pl', flag='true')}
 SELECT s.id, s.is_active AND NOT coalesce(NOT un.is_available, false) AS is_active FROM subscriptions s LEFT JOIN un ON un.id = s.unit_id
+  AND un.plan_id IN (SELECT p.id FROM plans p WHERE p.apartment_id IN (SELECT x.apartment_id FROM san x)
+  UNION ALL SELECT np.id FROM np WHERE np.apartment_id IN (SELECT x.apartment_id FROM san x))
 """)
 def m07_rules(t):
     return _applied(t)["rules"].select("id", "is_active")
 
 
+@query("m07_apply_snapshot_notices", f"""
+WITH {_PLACED}, {_UNITS.format(src='pl', flag='true')}
+SELECT s.id AS subscription_id, s.user_id, s.unit_id, 'unit_unavailable' AS trigger_type, @ts'2001-11-05 00:00:00' AS sent_at
+FROM subscriptions s JOIN un ON un.id = s.unit_id JOIN plans p ON p.id = un.plan_id
+WHERE s.is_active AND NOT un.is_available AND p.apartment_id IN (SELECT x.apartment_id FROM san x)
+""")
+def m07_notices(t):
+    return _applied(t)["notices"]
+
+
 @query("m08_stale_plans", """
 SELECT p.id, p.is_available AND NOT (EXISTS (SELECT 1 FROM snapshot s WHERE s.apartment_id = p.apartment_id)
   AND NOT EXISTS (SELECT 1 FROM snapshot s WHERE s.apartment_id = p.apartment_id AND s.name = p.name)) AS is_available FROM plans p
@@ -191,10 +203,11 @@ def m08(t):
 
 
 @query("m09_pause_unit_alerts", """
-SELECT s.id, s.is_active AND NOT coalesce(NOT u.is_available, false) AS is_active FROM subscriptions s LEFT JOIN units u ON u.id = s.unit_id
+SELECT s.id, s.is_active AND NOT EXISTS (SELECT 1 FROM units u JOIN plans p ON p.id = u.plan_id JOIN snapshot x ON x.apartment_id = p.apartment_id
+  WHERE u.id = s.unit_id AND NOT u.is_available) AS is_active FROM subscriptions s
 """)
 def m09(t):
-    return G.pause_let_units(t.subscriptions, t.units).select("id", "is_active")
+    return G.pause_let_units(t.subscriptions, t.units, t.plans, t.snapshot).select("id", "is_active")
 
 
 @query("m10_amenities_and_special", """

@@ -36,24 +36,24 @@ _PRICED = """SELECT a.id, m.min_price FROM apartments a LEFT JOIN (SELECT p.apar
   WHERE p.is_available AND p.price IS NOT NULL GROUP BY 1) m ON m.apartment_id = a.id"""
 
 
-@query("o03_price_ascending", f"{_PRICED} ORDER BY coalesce(m.min_price, 999999999), a.id LIMIT 30")
+@query("o03_price_ascending", f"{_PRICED} ORDER BY coalesce(m.min_price, 999999999), a.id")
 def o03(t):
-    return L.sort_listings(t.apartments, t.plans, "price_asc").select("id", "min_price").limit(30)
+    return L.sort_listings(t.apartments, t.plans, "price_asc").select("id", "min_price")
 
 
-@query("o03_price_descending", f"{_PRICED} ORDER BY coalesce(m.min_price, 0) DESC, a.id LIMIT 30")
+@query("o03_price_descending", f"{_PRICED} ORDER BY coalesce(m.min_price, 0) DESC, a.id")
 def o03_desc(t):
-    return L.sort_listings(t.apartments, t.plans, "price_desc").select("id", "min_price").limit(30)
+    return L.sort_listings(t.apartments, t.plans, "price_desc").select("id", "min_price")
 
 
-@query("o04_newest_updated", "SELECT a.id, a.updated_at FROM apartments a ORDER BY a.updated_at DESC, a.id LIMIT 15")
+@query("o04_newest_updated", "SELECT a.id, a.updated_at FROM apartments a ORDER BY a.updated_at DESC, a.id")
 def o04(t):
-    return L.sort_listings(t.apartments, t.plans, "updated_desc").select("id", "updated_at").limit(15)
+    return L.sort_listings(t.apartments, t.plans, "updated_desc").select("id", "updated_at")
 
 
-@query("o04_by_name", "SELECT a.id, a.title FROM apartments a ORDER BY a.title, a.id LIMIT 15")
+@query("o04_by_name", "SELECT a.id, a.title FROM apartments a ORDER BY a.title, a.id")
 def o04_name(t):
-    return L.sort_listings(t.apartments, t.plans, "name_asc").select("id", "title").limit(15)
+    return L.sort_listings(t.apartments, t.plans, "name_asc").select("id", "title")
 
 
 @query("o05_second_page", f"{_PRICED} ORDER BY coalesce(m.min_price, 999999999), a.id LIMIT 20 OFFSET 20")

@@ -24,8 +24,10 @@ def local_session(cores: int | str = 8, app: str = "rentscope") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """Use the cluster's shared folder, ``spark.checkpoint.dir``; a folder of this machine only where the whole session runs on it."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rentscope-ckpt-"))

@@ -131,7 +131,8 @@ FROM lineitem l
 
 VIEWS["subscriptions"] = """
 SELECT c.c_custkey AS id, c.c_custkey % 500 AS user_id,
-  CASE WHEN c.c_custkey % 4 = 0 THEN (c.c_custkey % (SELECT count(*) FROM part pc)) * 4 END AS unit_id,
+  CASE WHEN c.c_custkey % 4 = 0 THEN ((c.c_custkey + 1 + c.c_custkey % 3) % (SELECT count(*) FROM part pc)) * 4 + least(c.c_custkey % 3, 1)
+    END AS unit_id,
   CASE WHEN c.c_custkey % 4 = 1 THEN c.c_custkey % (SELECT count(*) FROM part pc) END AS plan_id,
   CASE WHEN c.c_custkey % 4 = 2 THEN c.c_custkey % (SELECT count(*) FROM supplier sc) END AS apartment_id,
   CASE WHEN c.c_custkey % 4 = 3 AND c.c_custkey % 8 = 3 THEN lower(n.n_name) END AS city,

@@ -11,6 +11,7 @@ from rentscope.functions import predicates as P
 from rentscope.operators import alerts as A
 from rentscope.operators import backoff as B
 from rentscope.operators import listings as L
+from rentscope.operators import matching as M
 from rentscope.operators import merge as G
 from rentscope.operators import quality as Q
 from rentscope.operators import stats as S
@@ -202,3 +203,37 @@ def test_card_rent(spark):
     cards = {"Deposit $500 from $2,450": 2450.0, "$1,899.50 /mo": 1899.5, "Deposit starting at $1,500": None, "$99 /mo special, $1,800": 1800.0, "$800": None}
     rows = spark.createDataFrame([(k,) for k in cards], "t string").select("t", X.card_rent(F.col("t")).alias("r")).collect()
     assert {r["t"]: r["r"] for r in rows} == cards
+
+
+def test_rows_without_a_name_make_one_unit_plan(spark):
+    stored = plans(spark, (1, "A1", 1.0, 600.0), (2, None, 2.0, 900.0))
+    rows = snap(spark, (None, 2500.0, 1.0, 700.0), ("", 2600.0, 3.0, 1200.0), (None, 2400.0, 2.0, 900.0), ("", 2600.0, 3.0, 1200.0), (None, 1.0))
+    matched = {r["pos"]: (r["tier"], r["plan_id"]) for r in G.match_plans(rows, stored).collect()}
+    assert matched == {0: (1, 2), 1: (4, None), 2: (1, 2), 3: (4, None), 4: (1, 2)}
+    fresh = snap(spark, (None, 2500.0, 1.0, 700.0), ("", 2600.0, 3.0, 1200.0))
+    none = stored.limit(0)
+    made = G.new_plans(fresh, G.match_plans(fresh, none), none).collect()
+    assert sorted((r["name"], r["bedrooms"]) for r in made) == [("Unit", 1.0), ("Unit", 3.0)]
+    units = spark.createDataFrame([], "id long, plan_id long, unit_number string, price double, area_sqft double, floor_level int, facing string, "
+                                  "available_from timestamp_ntz, is_available boolean")
+    places = spark.createDataFrame([(1, "https://x.example.com")], "id long, source_url string")
+    rules = spark.createDataFrame([], "id long, user_id long, unit_id long, is_active boolean")
+    out = G.apply_snapshot(places, none, units, rules, fresh, NOW)
+    assert out["units"].count() == 2 and out["history"].count() == 2
+
+
+def test_only_rules_of_scraped_listings_are_paused(spark):
+    stored = spark.createDataFrame([(10, 1), (20, 2)], "id long, apartment_id long")
+    units = spark.createDataFrame([(100, 10, False), (101, 10, True), (200, 20, False)], "id long, plan_id long, is_available boolean")
+    rules = spark.createDataFrame([(1, 5, 100, True), (2, 5, 101, True), (3, 5, 200, True), (4, 5, None, True), (5, 5, 100, False)],
+                                  "id long, user_id long, unit_id long, is_active boolean")
+    scraped = spark.createDataFrame([(1,), (1,)], "apartment_id long")
+    paused = G.pause_let_units(rules, units, stored, scraped)
+    assert {r["id"]: r["is_active"] for r in paused.collect()} == {1: False, 2: True, 3: True, 4: True, 5: False}
+    assert [(r["subscription_id"], r["unit_id"]) for r in G.unavailable_notices(rules, paused, NOW).collect()] == [(1, 100)]
+
+
+def test_listings_without_url_know_no_url(spark):
+    stored = spark.createDataFrame([("e1", None), ("e2", "https://a.example.com/")], "external_id string, source_url string")
+    new = spark.createDataFrame([(1, "e1", None), (2, "n2", None), (3, "n3", "https://a.example.com"), (4, None, "")], "seq long, external_id string, source_url string")
+    assert sorted(r["seq"] for r in M.not_known(new, stored).collect()) == [2, 4]
