@@ -10,12 +10,21 @@ BELL, CLIPBOARD, CHART = "\U0001f514", "\U0001f4cb", "\U0001f4c9"
 RULE = "─" * 54
 
 
+def one_decimal(c: Column) -> Column:
+    """A double with one decimal, rounded by its exact binary value, ties to even."""
+    tenths = F.floor(c * 10)
+    high = c.cast("float").cast("double")  # 24 bits: both products below are exact
+    beyond = (high * 20 - (tenths * 2 + 1)) + (c - high) * 20
+    up = (beyond > 0) | ((beyond == 0) & (tenths % 2 != 0))
+    return F.format_string("%.1f", (tenths + up.cast("int")) / 10)
+
+
 def _usd(c: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(F.bround(c, 0), 0))
 
 
 def _pct(c: Column) -> Column:
-    return F.format_string("%.1f", F.bround(c, 1))
+    return one_decimal(c)
 
 
 def _join(*parts: str | Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentscope.functions import labels as T
+from rentscope.functions.messages import one_decimal
 from rentscope.operators.history import last_two, thirty_day_low
 from rentscope.operators.listings import min_price_by_apartment
 from rentscope.operators.scale import before, instant, lookup
@@ -128,7 +129,7 @@ def trigger(priced: DataFrame) -> DataFrame:
     reason = F.when(
         target, F.concat(F.lit("price "), usd(F.col("latest_price")), F.lit(" dropped below target "), usd(F.col("target_price")))
     ).when(
-        pct, F.concat(F.lit("price dropped "), F.format_string("%.1f", F.bround(cumulative_drop(), 1)), F.lit("% — was "),
+        pct, F.concat(F.lit("price dropped "), one_decimal(cumulative_drop()), F.lit("% — was "),
                       usd(F.col("baseline_price")), F.lit(" when you subscribed"), on_date, F.lit(", now "), usd(F.col("latest_price"))),
     ).otherwise("")
     known = F.col("latest_price").isNotNull()
