@@ -19,12 +19,13 @@ def newest_two(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def start_alert_stream(
-    history: DataFrame, state_path: str, checkpoint: str, units: DataFrame, plans: DataFrame, apartments: DataFrame, as_of
+    history: DataFrame, state_path: str, checkpoint: str, units: DataFrame, plans: DataFrame, apartments: DataFrame, as_of=None
 ) -> StreamingQuery:
     """Evaluates the active rules after each batch and writes events, rules and history state under the batch id.
 
     Folder ``batch=-1`` holds the state before the first batch.  A batch reads only its predecessor's
-    folder, so running it again gives the same output.
+    folder, so running it again gives the same output.  The moment of a batch is that of the newest history row so far, so that
+    debounce, stamps and the look-back advance with the data; a fixed ``as_of`` replaces it.
     """
     spark = history.sparkSession
 
@@ -33,8 +34,13 @@ def start_alert_stream(
         newest_two(spark.read.parquet(f"{old}/history"), batch).write.mode("overwrite").parquet(f"{new}/history")
         rules = spark.read.parquet(f"{old}/rules")
         known = spark.read.parquet(f"{new}/history")
-        checked = A.evaluate(rules, units, plans, apartments, known, as_of)
+        newest = known.agg(F.max("recorded_at")).first()[0]
+        if as_of is None and newest is None:  # no row yet: nothing can fire
+            moment = "1970-01-01 00:00:00"
+        else:
+            moment = as_of or str(newest)
+        checked = A.evaluate(rules, units, plans, apartments, known, moment)
         A.fan_out(checked).write.mode("overwrite").parquet(f"{new}/events")
-        A.advance(rules, checked, as_of).write.mode("overwrite").parquet(f"{new}/rules")
+        A.advance(rules, checked, moment).write.mode("overwrite").parquet(f"{new}/rules")
 
     return history.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

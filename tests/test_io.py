@@ -84,3 +84,27 @@ def test_alert_stream_fires_once(spark, tmp_path):
     assert fired[0] > 0 and left <= active - fired[0]
     again = spark.read.parquet(str(tmp_path / "state/batch=0/events")).join(spark.read.parquet(str(tmp_path / "state/batch=1/events")), "subscription_id")
     assert again.count() == 0
+
+
+def test_alert_stream_follows_the_time_of_its_rows(spark, tmp_path):
+    """One rule, a falling price on three days: a day's second alert is held back, two days later it may fire again."""
+    t = Tables(spark, SF_DIR)
+    rule = t.subscriptions.where("plan_id IS NOT NULL AND is_active").limit(1).withColumns({
+        "target_price": F.lit(None).cast("double"), "price_drop_pct": F.lit(1.0), "baseline_price": F.lit(9000.0), "last_notified_at": F.lit(None).cast("timestamp_ntz"),
+        "notify_email": F.lit(True),
+    })
+    rule.write.parquet(str(tmp_path / "state/batch=-1/rules"))
+    plan = rule.first()["plan_id"]
+    t.price_history.limit(0).write.parquet(str(tmp_path / "state/batch=-1/history"))
+    stamps = []
+    for i, (when, price) in enumerate([("2001-03-01 08:00:00", 5000.0), ("2001-03-01 20:00:00", 4000.0), ("2001-03-03 21:00:00", 3000.0)]):
+        row = spark.createDataFrame([(plan, price, when, i, i)], "plan_id long, price double, at string, seq long, line int")
+        row = row.withColumn("recorded_at", F.col("at").cast("timestamp_ntz")).select(*[F.col(c).cast(d) for c, d in t.price_history.dtypes])
+        row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(row.schema).parquet(str(tmp_path / "in"))
+        start_alert_stream(stream, str(tmp_path / "state"), str(tmp_path / "ck"), t.units, t.plans, t.apartments).awaitTermination(180)
+        stamps.append(str(spark.read.parquet(str(tmp_path / f"state/batch={i}/rules")).first()["last_notified_at"]))
+        if not spark.read.parquet(str(tmp_path / f"state/batch={i}/rules")).first()["is_active"]:
+            break
+    assert stamps[0] == "2001-03-01 08:00:00"
+    assert len(stamps) == 1 or (stamps[1] == stamps[0] and stamps[2] == "2001-03-03 21:00:00")
