@@ -189,13 +189,3 @@ def number_by_hash(df: DataFrame, key: Sequence[str], out: str) -> DataFrame:
     """
     hashed = df.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key])))
     return running_number(hashed, F.substring("_h", 1, 3), ["_h", *key], out).drop("_h")
-
-
-def split_groups(df: DataFrame, keys: Sequence[str], item: str, rows_per_part: int, part: str = "part") -> DataFrame:
-    """Adds ``part`` so that (keys, part) holds about ``rows_per_part`` rows however large a key is."""
-    parts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_part)).cast("int").alias("_parts"))
-    return (
-        df.join(parts, list(keys))
-        .withColumn(part, F.pmod(F.xxhash64(item), F.greatest(F.col("_parts"), F.lit(1))).cast("int"))
-        .drop("_parts")
-    )

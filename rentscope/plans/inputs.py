@@ -91,23 +91,27 @@ def s10(t):
     return R.webhook_batch(t.webhook_events.select("seq", body), "json", "seq").select("request", "event", "sg_message_id")
 
 
-@query("s11_nested_listing")
+_NESTED = """lv AS (SELECT p.id, p.apartment_id, p.name, p.price FROM plans p JOIN apartments a ON a.id = p.apartment_id WHERE p.is_available),
+ne AS (SELECT a.id AS apartment_id, 'listing' AS kind, NULL AS plan_id, NULL AS item, NULL AS line, a.title, a.city, NULL AS name, NULL AS unit_number,
+  NULL AS price, NULL AS recorded_at FROM apartments a
+UNION ALL SELECT lv.apartment_id, 'plan', lv.id, NULL, NULL, NULL, NULL, lv.name, NULL, lv.price, NULL FROM lv
+UNION ALL SELECT lv.apartment_id, 'unit', lv.id, u.id, NULL, NULL, NULL, NULL, u.unit_number, u.price, NULL FROM units u JOIN lv ON lv.id = u.plan_id
+UNION ALL SELECT lv.apartment_id, 'point', lv.id, h.seq, h.line, NULL, NULL, NULL, NULL, h.price, h.recorded_at FROM price_history h
+  JOIN lv ON lv.id = h.plan_id)"""
+
+
+@query("s11_nested_listing", f"WITH {_NESTED} SELECT * FROM ne")
 def s11(t):
     return W.nested_listing(t.apartments, t.plans, t.units, t.price_history)
 
 
-@query("s11_nested_listing_contents", """
-SELECT a.id AS apartment_id, p.id AS plan_id, (SELECT count(*) FROM units u WHERE u.plan_id = p.id) AS units,
-  (SELECT count(*) FROM price_history h WHERE h.plan_id = p.id) AS points FROM apartments a JOIN plans p ON p.apartment_id = a.id WHERE p.is_available
+@query("s11_nested_listing_contents", f"""
+WITH {_NESTED} SELECT ne.apartment_id, ne.plan_id, count(*) FILTER (WHERE ne.kind = 'unit') AS units, count(*) FILTER (WHERE ne.kind = 'point') AS points
+FROM ne WHERE ne.plan_id IS NOT NULL GROUP BY 1, 2
 """)
 def s11_contents(t):
-    docs = W.nested_listing(t.apartments, t.plans, t.units, t.price_history, per_part=7, points_per_part=5)
-    schema = "struct<plans:array<struct<plan_id:bigint,units:array<struct<id:bigint>>,price_history:array<struct<price:double>>>>>"
-    p = docs.select("apartment_id", F.explode(F.from_json("document", schema)["plans"]).alias("p"))
-    size = lambda c: F.sum(F.coalesce(F.size(c), F.lit(0))).alias
-    return p.groupBy("apartment_id", F.col("p.plan_id").alias("plan_id")).agg(
-        size(F.coalesce("p.units", F.array()))("units"), size(F.coalesce("p.price_history", F.array()))("points")
-    )
+    rows = W.nested_listing(t.apartments, t.plans, t.units, t.price_history).where("plan_id IS NOT NULL")
+    return rows.groupBy("apartment_id", "plan_id").agg(F.count_if(F.col("kind") == "unit").alias("units"), F.count_if(F.col("kind") == "point").alias("points"))
 
 
 @query("p14_place_rows")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.operators.scale import instant, split_groups
+from rentscope.operators.scale import instant
 
 # Defaults of the run log and the cost log.
 RUN_DEFAULTS = {
@@ -54,34 +56,23 @@ def write_document(found: DataFrame, path: str, cost_per_city: float) -> None:
     found.write.mode("overwrite").json(f"{path}/apartments")
 
 
-def nested_listing(
-    apartments: DataFrame, plans: DataFrame, units: DataFrame, history: DataFrame, per_part: int = 1_000, points_per_part: int = 10_000
-) -> DataFrame:
-    """Listing documents with active plans, their units and history.
+def nested_listing(apartments: DataFrame, plans: DataFrame, units: DataFrame, history: DataFrame) -> DataFrame:
+    """Listing documents as rows of one shape whatever their size: a header row of each listing, then one row for each active plan, for
+    each of its units and for each of its history points.
 
-    An apartment's plans, and a plan's units and history points, are split into numbered parts of bounded
-    size; a document row is one part, and all parts of an id make the whole document.
+    ``kind`` tells them apart; ``plan_id`` and ``item`` (unit id or history sequence) name the place in the document.  Nothing is gathered.
     """
-    active = split_groups(
-        plans.where("is_available").select("apartment_id", F.col("id").alias("plan_id"), "name", "price"), ["apartment_id"], "plan_id",
-        per_part, "plan_part",
-    )
-    live = active.select("plan_id")
-    u = split_groups(units.join(live, "plan_id", "left_semi"), ["plan_id"], "id", per_part).groupBy("plan_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("id", "unit_number", "price"))).alias("units")
-    )
-    points = history.join(live, "plan_id", "left_semi").withColumn("_item", F.struct("recorded_at", "seq", "line"))
-    h = split_groups(points, ["plan_id"], "_item", points_per_part).groupBy("plan_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("recorded_at", "price"))).alias("price_history")
-    )
-    both = u.join(h, ["plan_id", "part"], "full_outer")
-    bare = active.join(both.select("plan_id").distinct(), "plan_id", "left_anti")
-    rows = both.join(active, "plan_id").unionByName(bare, allowMissingColumns=True).withColumn("part", F.coalesce("part", F.lit(0)))
-    listed = rows.groupBy("apartment_id", "plan_part", "part").agg(
-        F.array_sort(F.collect_list(F.struct("plan_id", "name", "price", "units", "price_history"))).alias("plans")
-    )
-    docs = apartments.withColumnRenamed("id", "apartment_id").join(listed, "apartment_id", "left")
-    return docs.select(
-        "apartment_id", F.coalesce("plan_part", F.lit(0)).alias("plan_part"), F.coalesce("part", F.lit(0)).alias("part"),
-        F.to_json(F.struct("apartment_id", "title", "city", "plans")).alias("document"),
-    )
+    live = plans.where("is_available").select("apartment_id", F.col("id").alias("plan_id"), "name", "price")
+    of = live.join(apartments.select(F.col("id").alias("apartment_id")), "apartment_id", "left_semi")
+    parents = of.select("apartment_id", "plan_id")
+    headers = apartments.select(F.col("id").alias("apartment_id"), F.lit("listing").alias("kind"), "title", "city")
+    unit_rows = units.select("plan_id", F.col("id").alias("item"), "unit_number", "price").join(parents, "plan_id")
+    point_rows = history.select("plan_id", F.col("seq").alias("item"), "line", "price", "recorded_at").join(parents, "plan_id")
+    parts = [headers, of.withColumn("kind", F.lit("plan")), unit_rows.withColumn("kind", F.lit("unit")), point_rows.withColumn("kind", F.lit("point"))]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return out.select("apartment_id", "kind", "plan_id", "item", "line", "title", "city", "name", "unit_number", "price", "recorded_at")
+
+
+def write_nested(rows: DataFrame, path: str) -> None:
+    """The rows of ``nested_listing`` as JSON lines; what a kind doesn't have is left out of its lines."""
+    rows.write.mode("overwrite").json(path)

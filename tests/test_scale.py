@@ -64,16 +64,6 @@ def test_running_number_and_hash_number(points):
     assert sorted(numbers) == list(range(1, len(rows) + 1))
 
 
-def test_split_groups_keeps_rows(points):
-    rows, df = points
-    out = S.split_groups(df, ["key"], "seq", 50).collect()
-    assert len(out) == len(rows)
-    sizes = {}
-    for r in out:
-        sizes[(r["key"], r["part"])] = sizes.get((r["key"], r["part"]), 0) + 1
-    assert max(sizes.values()) <= 100 and len({p for k, p in sizes if k == 1}) == 6
-
-
 def test_contains_join_matches_all_pairs(spark):
     rng = random.Random(3)
     hosts = ["a.com", "www.a.com", "xa.com", "b.co", "b.com", "long-name-of-a-site.org", "site.org", "m.b.com", ".com"]
