@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from rentscope.llm.words import texts_of
 
-CACHED = 200_000
-BATCH_BYTES = 8 << 20
+CACHED = 150_000
+BATCH_BYTES = 6 << 20
 
 
 class Merges:
@@ -199,7 +199,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]):
         tokens = merges(path).tokens
-        for packed, ids in texts_of(batches, "ids", "id"):
+        for packed, ids in texts_of(batches, "ids", "id", limit=2 << 20):
             made = [b"".join([tokens[i] for i in np.frombuffer(p or b"", "<u4").tolist()]) for p in packed]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(made, pa.binary())], names=["id", "ids", "bytes"]

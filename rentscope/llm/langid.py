@@ -173,18 +173,20 @@ def predict(docs: DataFrame, learned: dict[str, list[str]], keep: list[str], tex
     letter is ``und`` with score 0, as are all if nothing was learned. Languages that need equally many phrases win by name.
     """
     keep = [c for c in keep if c not in ("lang_pred", "score")]
-    source = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    # a kept text travels to the tasks once
+    name = text_col if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string" else "__text"
+    source = docs.select(*keep) if name in keep else docs.select(*keep, F.col(text_col).cast("string").alias(name))
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     table = source.sparkSession.sparkContext.broadcast(parser(learned))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, starts, steps = table.value
         for batch in batches:
-            names, scores = [], []
-            for (texts,) in texts_of([batch], "__text"):
+            at = 0
+            for (texts,) in texts_of([batch], name):
                 made = [symbols(t.decode()) if t else np.empty(0, np.uint8) for t in texts]
-                counts = phrases(made, starts, steps)
-                for t, row in zip(made, counts, strict=True):
+                names, scores = [], []
+                for t, row in zip(made, phrases(made, starts, steps), strict=True):
                     if not len(t) or not languages:
                         names.append(NONE)
                         scores.append(0.0)
@@ -192,8 +194,9 @@ def predict(docs: DataFrame, learned: dict[str, list[str]], keep: list[str], tex
                     best, *others = np.argsort(row, kind="stable").tolist()
                     names.append(languages[best])
                     scores.append(1 - float(row[best]) / float(row[others[0]]) if others else 1.0)
-            columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                columns = [batch.column(c).slice(at, len(texts)) for c in keep]
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
 
