@@ -31,7 +31,7 @@ CACHED = 300_000
 BATCH_BYTES = 2 << 20
 WORD = np.dtype("<u4")
 
-SEGMENT = "part int, ordinal int, doc_ids array<long>, n_tokens long, payload binary"
+SEGMENT = "part int, inside long, doc_ids array<long>, n_tokens long, payload binary"
 
 
 # ---- one segment ----
@@ -156,15 +156,15 @@ def _segments(path: str, end_id: int, text_col: str, id_col: str):
     end = WORD.type(end_id).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, ordinal = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, inside = WordEncoder(path), TaskContext.get().partitionId(), 0
         doc_ids, packed, total = [], [], 0
 
         def segment():
             ends = np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)
             payload = pack(np.frombuffer(b"".join(packed), WORD), ends)
-            row = [[part], [ordinal], [doc_ids], [total], [payload]]
-            types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["part", "ordinal", "doc_ids", "n_tokens", "payload"])
+            row = [[part], [inside], [doc_ids], [total], [payload]]
+            types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["part", "inside", "doc_ids", "n_tokens", "payload"])
 
         for texts, ids in texts_of(batches, text_col, id_col, limit=BATCH_BYTES):
             for doc_id, made in zip(ids, encoder.encode(texts), strict=True):
@@ -173,7 +173,8 @@ def _segments(path: str, end_id: int, text_col: str, id_col: str):
                 total += len(packed[-1]) // 4
                 if total >= SEGMENT_TOKENS:
                     yield segment()
-                    doc_ids, packed, total, ordinal = [], [], 0, ordinal + 1
+                    inside += total
+                    doc_ids, packed, total = [], [], 0
         if doc_ids:
             yield segment()
 
@@ -194,13 +195,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_col: str
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The segments of a folder, each with ``start``: the number of ids in all segments before it."""
     segments = spark.read.schema(SEGMENT).parquet(folder)
-    # one row for each task that wrote, then running sums inside each task's own rows
+    # a segment knows how many ids its own task wrote before it; one row for each task gives what earlier tasks wrote
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("part").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    places = segments.select("part", "ordinal", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside"))
-    places = places.join(before, "part").select("part", "ordinal", (F.col("before") + F.col("inside")).alias("start"))
-    return segments.join(places, ["part", "ordinal"])
+    return segments.join(before, "part").withColumn("start", F.col("before") + F.col("inside")).drop("before")
 
 
 def documents(segments: DataFrame) -> DataFrame:
