@@ -4,8 +4,8 @@ Subwords are predicted by class: the commonest ones are classes of their own, th
 share of its class comes from the whole corpus. Class logits start from how often a class follows the last subword (corpus counts) and add
 what attention over the last 16 to 32 subwords gives. Texts are cut into blocks of 16; the window of a block is the block before and itself,
 masked to what lies before each place, so windows overlap and every subword is scored once. A word's probability is that of its first
-subword's class, among those that start words, times a mixture: spelling out the rest up to its end, or its share among the corpus's
-commonest words of that class.
+subword's class, among those that start words, times its share among the corpus's words of that class; words that are not among the
+commonest mix that share with spelling out their other subwords. Of each class, what the corpus has met once is the chance of a new word.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ BLOCK = 16
 SIZE = 16  # width of embeddings, queries, keys and values
 EMBEDDED = 1024
 #: Bounds: words that tasks hold as a table, and the sample the attention weights are fitted on (texts, and words of each).
-TOP_WORDS = 200_000
+TOP_WORDS = 100_000
 SAMPLE_TEXTS = 4_000
 SAMPLE_WORDS = 120
 EPOCHS = 4
@@ -37,7 +37,7 @@ BATCH_BYTES = 2 << 20
 
 
 class Subwords:
-    """Ids of the words of a text, each with a blank before it; one more id ends a text."""
+    """Ids of words, each with a blank before it; one more id ends a text."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
@@ -49,9 +49,8 @@ class Subwords:
         self.starts[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
         self.starts[self.end] = True
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        text = " " + b" ".join(words).decode() if words else ""
-        return np.array([*self.coder.encode_ordinary(text), self.end], np.int64)
+    def word(self, word: bytes) -> list[int]:
+        return self.coder.encode_ordinary(" " + word.decode())
 
 
 # ---- corpus counts ----
@@ -71,33 +70,55 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _pair_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
-    """(last, next, n) of subwords inside words over the whole corpus; last is -1 where next starts the word, next is -1 where last ends it.
+def _commonest(counts: DataFrame) -> dict[bytes, int]:
+    """Words above a count that at most TOP_WORDS reach, commonest first; found from a histogram, without a sort of all words."""
+    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    total, cut = 0, None
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        total += r["words"]
+        if total > TOP_WORDS:
+            break
+        cut = r["least"]
+    if cut is None:
+        return {}
+    found = counts.filter(F.col("n") >= cut).toArrow()
+    return dict(sorted(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
 
-    Each task adds up its words first. The result has one row for each pair of subwords met, of which a vocabulary bounds the number;
-    pairs of rare subwords are summed under -2.
+
+def _subword_pairs(counts: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(a, b, n): how often subword b follows a inside words of the whole corpus; a is -1 where b starts the word, b is -1 where a ends it;
+    with a = -3, how many words that b starts occur once.
+
+    Each task adds up its words first; a vocabulary bounds the number of pairs.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, pairs = Subwords(path, pattern), Counter()
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                last = -1
-                for i in subwords.coder.encode_ordinary(" " + word.decode()):
+                last, ids = -1, subwords.word(word)
+                for i in ids:
                     pairs[last, i] += n
                     last = i
                 pairs[last, -1] += n
+                if n == 1:
+                    pairs[-3, ids[0]] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array([a for a, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.int32()), pa.array(pairs.values(), pa.int64())], names=["a", "b", "n"]
         )
 
-    rows = written(counts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "subword-pairs")
-    common = rows.groupBy("b").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "b").limit(EMBEDDED).select(F.col("b").alias("a"))
-    kept = rows.join(common.union(common.sparkSession.createDataFrame([(-1,)], "a int")).distinct(), "a")
-    rest = rows.join(kept.select("a").distinct(), "a", "left_anti")
-    rest = rest.groupBy("b").agg(F.sum("n").alias("n")).select(F.lit(-2).alias("a"), "b", "n")
-    by_class_input = kept.select("a", "b", "n").unionByName(rest)
-    return np.array([tuple(r) for r in by_class_input.toLocalIterator()], np.int64).reshape(-1, 3)
+    return written(counts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "subword-pairs")
+
+
+def _by_class(pairs: DataFrame, m: Model) -> np.ndarray:
+    """(row, class, n), at most rows times classes: pairs by the model's rows and classes; class -1 is the end of the word, row -1 its start,
+    row -3 words met once."""
+    spark = pairs.sparkSession
+    known = spark.createDataFrame(pa.table({"id": pa.array(range(len(m.class_of)), pa.int32()), "class": pa.array(m.class_of, pa.int32()), "row": pa.array(m.row_of, pa.int32())}))
+    rows = pairs.join(known.select(F.col("id").alias("a"), "row"), "a", "left").join(known.select(F.col("id").alias("b"), "class"), "b", "left")
+    cells = rows.groupBy(F.coalesce("row", "a").alias("row"), F.coalesce("class", F.lit(-1)).alias("class")).agg(F.sum("n").alias("n"))
+    found = cells.toArrow()
+    return np.stack([found[c].to_numpy().astype(np.int64) for c in ("row", "class", "n")], axis=1)
 
 
 # ---- the model ----
@@ -115,8 +136,12 @@ class Model:
     value: np.ndarray
     distance: np.ndarray  # attention bias by distance
     out: np.ndarray  # (SIZE, CLASSES)
-    top: dict[bytes, float]  # log share of the commonest words in the class of their first subword; b"" is the end of a text
-    mix: np.ndarray  # weight of that share, by class
+    top: dict[bytes, int]  # place of each of the commonest words in the next three
+    top_count: np.ndarray
+    top_ids: list[bytes]  # subwords, as 32-bit integers
+    top_share: np.ndarray  # log share among all words whose first subword is of the same class
+    words: np.ndarray  # how many words of the corpus start with each class
+    old: np.ndarray  # chance that a word of a class is one of the corpus's
 
 
 PAD = -1
@@ -160,35 +185,41 @@ def _attend(m: Model, last: np.ndarray, window: np.ndarray):
     return rows, wide, scores
 
 
-def class_logits(m: Model, last: np.ndarray, window: np.ndarray) -> np.ndarray:
-    rows, wide, weights = _attend(m, last, window)
-    z = (weights @ m.value[wide]).reshape(-1, SIZE) @ m.out
-    z += m.start[rows.reshape(-1)]
-    return z
+def log_probabilities(m: Model, ids: list[np.ndarray], end: int, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all subwords of all texts in a row: natural log probability of its class, and of the event that a word starts there.
 
-
-def log_probabilities(m: Model, ids: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """For all subwords of all texts in a row: natural log probability of its class, and of the event that a word starts there."""
+    Attention covers every subword; class probabilities are worked out where ``need`` says, and are zero elsewhere.
+    """
     last, following, window = blocks(ids, end)
+    real = (following != PAD).ravel()
+    wanted = np.zeros(following.size, bool)
+    wanted[real] = need
     chance, starts = np.zeros(following.size), np.zeros(following.size)
     begins = m.begins.astype(np.float32)
     for at in range(0, len(last), 64):
-        z = class_logits(m, last[at : at + 64], window[at : at + 64])
-        part = slice(at * BLOCK, at * BLOCK + len(z))
-        hit = z[np.arange(len(z)), m.class_of[following[at : at + 64].reshape(-1)]]
+        part = np.nonzero(wanted[at * BLOCK : (at + 64) * BLOCK])[0]
+        rows, wide, weights = _attend(m, last[at : at + 64], window[at : at + 64])
+        z = (weights @ m.value[wide]).reshape(-1, SIZE)[part] @ m.out
+        z += m.start[rows.reshape(-1)[part]]
+        hit = z[np.arange(len(z)), m.class_of[following[at : at + 64].reshape(-1)[part]]]
         whole = np.log(np.exp(z, out=z).sum(axis=1))
-        chance[part], starts[part] = hit - whole, np.log(z @ begins) - whole
-    real = following.reshape(-1) != PAD
+        chance[at * BLOCK + part], starts[at * BLOCK + part] = hit - whole, np.log(z @ begins) - whole
     return chance[real], starts[real]
 
 
-def _tables(pairs: np.ndarray, n_texts: int, n_words: int, sub: Subwords) -> Model:
-    """The model before any training: classes, shares and start logits from corpus counts."""
-    a, b, n = pairs.T
-    counts = np.full(sub.size, 0.5)
-    np.add.at(counts, b[b >= 0], n[b >= 0])
+def _tables(counts: np.ndarray, by_class, n_texts: int, n_words: int, sub: Subwords) -> Model:
+    """The model before any training: classes, shares and start logits from corpus counts.
+
+    ``counts`` has each subword's; ``by_class(model)`` gives the pairs by rows and classes.
+    """
+    counts = counts + 0.5
     counts[sub.end] += n_texts
     order = np.argsort(-counts, kind="stable")
+    row_of = np.zeros(sub.size, np.int64)  # row 0: a rare subword, row 1: the end
+    common = order[order != sub.end][:EMBEDDED]
+    row_of[common] = np.arange(2, len(common) + 2)
+    row_of[sub.end] = 1
+    size = len(common) + 2
     class_of = np.zeros(sub.size, np.int64)
     own = CLASSES - 2 * SHARED
     order = np.r_[sub.end, order[order != sub.end]]  # the end of a text is a class of its own
@@ -201,18 +232,20 @@ def _tables(pairs: np.ndarray, n_texts: int, n_words: int, sub: Subwords) -> Mod
     share = np.log(counts) - np.log(np.bincount(class_of, weights=counts, minlength=CLASSES))[class_of]
     begins = np.zeros(CLASSES, bool)
     begins[class_of[sub.starts]] = True
-    common = np.unique(a[a >= 0])
-    row_of = np.zeros(sub.size, np.int64)  # row 0: a rare subword, row 1: the end
-    row_of[common] = np.arange(2, len(common) + 2)
-    row_of[sub.end] = 1
-    size = len(common) + 2
-    inside, ends = np.zeros((size, CLASSES)), np.zeros(size)
-    row = np.where(a >= 0, row_of[a], 0)
-    within = (b >= 0) & (a != -1)
-    np.add.at(inside, (row[within], class_of[b[within]]), n[within])
-    np.add.at(ends, row[b < 0], n[b < 0])
-    first = np.zeros(CLASSES) + 0.1
-    np.add.at(first, class_of[b[a == -1]], n[a == -1])
+    rng = np.random.default_rng(7)
+    key, query, value = (rng.normal(0, 0.3, (size, SIZE)).astype(np.float32) for _ in range(3))
+    distance = np.linspace(0, -1, 2 * BLOCK + 1).astype(np.float32)
+    out = rng.normal(0, 0.05, (SIZE, CLASSES)).astype(np.float32)
+    m = Model(class_of, share, begins, row_of, np.zeros((size, CLASSES), np.float32), key, query, value, distance, out, {}, np.zeros(0), [], np.zeros(0), np.zeros(CLASSES), np.full(CLASSES, 0.5))
+    row, kind, n = by_class(m).T
+    inside, ends, first = np.zeros((size, CLASSES)), np.zeros(size), np.full(CLASSES, 0.1)
+    within, starting = (row >= 0) & (kind >= 0), (row == -1) & (kind >= 0)
+    np.add.at(inside, (row[within], kind[within]), n[within])
+    np.add.at(ends, row[(kind < 0) & (row >= 0)], n[(kind < 0) & (row >= 0)])
+    np.add.at(first, kind[starting], n[starting])
+    once = np.bincount(kind[row == -3], weights=n[row == -3], minlength=CLASSES)
+    m.words = first - 0.1
+    m.old = 1 - (once + 0.5) / (m.words + 1)
     after_text = first / first.sum()
     stop = n_texts / max(1, n_texts + n_words)
     after_word = after_text * (1 - stop)
@@ -221,11 +254,8 @@ def _tables(pairs: np.ndarray, n_texts: int, n_words: int, sub: Subwords) -> Mod
     backed /= backed.sum()
     chance = inside + ends[:, None] * after_word + 20 * (0.5 * backed + 0.5 * after_word)
     chance[1] = after_text + 1e-4
-    start = np.log(chance / chance.sum(axis=1, keepdims=True)).astype(np.float32)
-    rng = np.random.default_rng(7)
-    key, query, value = (rng.normal(0, 0.3, (size, SIZE)).astype(np.float32) for _ in range(3))
-    distance = np.linspace(0, -1, 2 * BLOCK + 1).astype(np.float32)
-    return Model(class_of, share, begins, row_of, start, key, query, value, distance, np.zeros((SIZE, CLASSES), np.float32), {}, np.full(CLASSES, 0.5))
+    m.start = np.log(chance / chance.sum(axis=1, keepdims=True)).astype(np.float32)
+    return m
 
 
 def _sum_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -245,7 +275,6 @@ def train(m: Model, ids: list[np.ndarray], end: int, epochs: int = EPOCHS, rate:
     names = ("key", "query", "value", "distance", "out")
     state = {k: (np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))) for k in names}
     rng, t = np.random.default_rng(3), 0
-    m.out += rng.normal(0, 0.05, m.out.shape).astype(np.float32)
     steps = max(1, epochs * -(-len(last) // batch))
     for _ in range(epochs):
         order = rng.permutation(len(last))
@@ -282,56 +311,59 @@ def train(m: Model, ids: list[np.ndarray], end: int, epochs: int = EPOCHS, rate:
                 getattr(m, name)[...] -= slow * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.99**t)) + 1e-6)
 
 
-def _parts(m: Model, sub: Subwords, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all words and ends in a row: log probability of the first subword's class, given that a word starts; of the word's other
-    subwords and its own end, given that class; the word's share among the commonest words of the class; and the class."""
-    ids = [sub.ids(t) for t in texts]
-    if not ids:
-        return (*(np.zeros(0) for _ in range(3)), np.zeros(0, np.int64))
-    flat = np.concatenate(ids)
-    chance, starts = log_probabilities(m, ids, sub.end)
-    first = np.nonzero(sub.starts[flat])[0]
+def _spelt(m: Model, sub: Subwords, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(subwords, size of each word, place of each word among the commonest or -1), with the end after each text as a word of its own;
+    and the number of subwords of each text."""
+    get, end = m.top.get, np.int32(sub.end).tobytes()
+    packed, sizes, places, totals = [], [], [], []
+    for words in texts:
+        at = [get(w, -1) for w in words]
+        parts = [m.top_ids[i] if i >= 0 else np.array(sub.word(w), np.int32).tobytes() for i, w in zip(at, words, strict=True)]
+        parts.append(end)
+        n = [len(p) for p in parts]
+        packed.extend(parts)
+        sizes.extend(n)
+        places.extend(at)
+        places.append(-1)
+        totals.append(sum(n) // 4)
+    return np.frombuffer(b"".join(packed), np.int32).astype(np.int64), np.array(sizes, np.int64) // 4, np.array(places, np.int64), np.array(totals, np.int64)
+
+
+def texts_as_subwords(m: Model, sub: Subwords, texts: list[list[bytes]]) -> list[np.ndarray]:
+    flat, _, _, totals = _spelt(m, sub, texts)
+    return np.split(flat, np.cumsum(totals)[:-1])
+
+
+def word_scores(m: Model, sub: Subwords, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all words and ends of all texts in a row: natural log probability, the word's place among the commonest or -1, and for others
+    than these (log probability of their class alone) the weights (log) of their count and of 1 in what is still to be multiplied in."""
+    if not texts:
+        return np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    flat, sizes, places, totals = _spelt(m, sub, texts)
+    first = np.cumsum(sizes) - sizes
+    ends = flat[first] == sub.end
+    common = places >= 0
+    need = np.repeat(~common & ~ends, sizes)
+    need[first] = True
+    chance, starts = log_probabilities(m, np.split(flat, np.cumsum(totals)[:-1]), sub.end, need)
     head = chance[first] - starts[first]
     spelt = chance + m.share[flat]
     spelt[first] = m.share[flat[first]]
-    spelt = np.add.reduceat(spelt, first)
-    is_end = flat[first] == sub.end
-    stop = np.r_[starts[first[1:]], 0.0]
-    spelt += np.where(is_end, 0.0, stop)
-    get = m.top.get
-    top = np.array([get(w, -np.inf) for t in texts for w in (*t, b"")])
-    return head, spelt, top, m.class_of[flat[first]]
+    spelt = np.add.reduceat(spelt, first) + np.r_[starts[first[1:]], 0.0]
+    kind = m.class_of[flat[first]]
+    old = np.log(m.old)[kind]
+    share = np.r_[m.top_share, 0.0][places]
+    return head + np.where(common, old + share, 0.0), places, old - np.log(np.maximum(m.words, 1))[kind], np.log1p(-m.old)[kind] + spelt
 
 
-def word_scores(m: Model, sub: Subwords, texts: list[list[bytes]]) -> np.ndarray:
-    """Natural log probability of every word and end of all texts, in a row: its class, then a mixture of spelling it out and its share."""
-    first, rest, top, kind = _parts(m, sub, texts)
-    return first + np.logaddexp(np.log(m.mix)[kind] + top, np.log1p(-m.mix)[kind] + rest)
-
-
-def _fit_mix(m: Model, sub: Subwords, texts: list[list[bytes]], counts: dict[bytes, int]) -> np.ndarray:
-    """The mixing weight of each class by expectation maximisation, on texts the weights were not fitted on.
-
-    These texts are part of the counts, so each word is taken out of its own count.
-    """
-    _, rest, top, kind = _parts(m, sub, texts)
-    own = np.array([counts.get(w, 0) for t in texts for w in (*t, b"")], np.float64)
-    ends = np.array([not w for t in texts for w in (*t, b"")], bool)
-    top = np.where(ends, top, np.where(own > 1, top + np.log(np.maximum(own - 1, 1)) - np.log(np.maximum(own, 1)), -np.inf))
-    mix = np.full(CLASSES, 0.7)
-    for _ in range(20):
-        known = np.exp(np.log(mix)[kind] + top - np.logaddexp(np.log(mix)[kind] + top, np.log1p(-mix)[kind] + rest))
-        mix = (np.bincount(kind, weights=known, minlength=CLASSES) + 7) / (np.bincount(kind, minlength=CLASSES) + 10)
-    return np.clip(mix, 0.001, 0.999)
-
-
-def top_shares(m: Model, sub: Subwords, top: dict[bytes, int]) -> dict[bytes, float]:
-    """Log share of each of the commonest words among those whose first subword is of the same class; the end of a text is its class."""
-    words = list(top)
-    kind = m.class_of[[sub.coder.encode_ordinary(" " + w.decode())[0] for w in words]] if words else np.zeros(0, np.int64)
-    n = np.array([top[w] for w in words], np.float64)
-    share = np.log(n) - np.log(np.bincount(kind, weights=n, minlength=CLASSES)[kind]) if words else n
-    return {**dict(zip(words, share.tolist(), strict=True)), b"": 0.0}
+def with_top(m: Model, sub: Subwords, top: dict[bytes, int]) -> None:
+    """The commonest words: their counts, subwords and shares of the class of their first subword."""
+    m.top = {w: k for k, w in enumerate(top)}
+    ids = [sub.word(w) for w in top]
+    m.top_ids = [np.array(i, np.int32).tobytes() for i in ids]
+    m.top_count = np.array(list(top.values()), np.float64)
+    kind = m.class_of[np.array([i[0] for i in ids], np.int64)]
+    m.top_share = np.log(m.top_count) - np.log(np.maximum(m.words, 1))[kind]
 
 
 # ---- operator ----
@@ -365,7 +397,7 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
 
     Tokens are A-Z-lowered words and one end. ``base_score`` is the base's log10 probability (counts plus one half), ``score`` the model's.
     Counts cover all texts that are not held out; attention weights are fitted on a bounded sample of them. A null or blank text is its end
-    alone. Words outside the commonest TOP_WORDS meet their counts in a join, as one row for each text and word. Rows that repeat an
+    alone. Words outside the commonest TOP_WORDS meet their counts in a join. Rows that repeat an
     id come out one for one; with no text to learn from, counts are zero and all weights as they start.
     """
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id")).withColumn("held_out", held_out(F.col("id")))
@@ -374,49 +406,58 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     n_texts = taught.count()
     n_words, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total = n_words + n_texts
-    top = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()}
+    top = _commonest(counts)
     sub = Subwords(path, pattern)
-    model = _tables(_pair_counts(counts, path, pattern), n_texts, n_words, sub)
-    model.top = top_shares(model, sub, top)
+    pairs = _subword_pairs(counts, path, pattern)
+    met = np.zeros(sub.size)
+    found = pairs.filter("b >= 0 AND a <> -3").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    met[found["b"].to_numpy()] = found["n"].to_numpy()
+    model = _tables(met, lambda m: _by_class(pairs, m), n_texts, n_words, sub)
+    with_top(model, sub, top)
     texts = _sample(taught, n_texts, "text", "id")
-    train(model, [sub.ids(t) for k, t in enumerate(texts) if k % 8], sub.end)
-    model.mix = _fit_mix(model, sub, texts[::8], top)
+    train(model, texts_as_subwords(model, sub, texts), sub.end)
     distinct = vocabulary + (n_texts > 0)
     below = float(np.log10(total + 0.5 * (distinct + 1)))
-    sent = source.sparkSession.sparkContext.broadcast((model, top))
+    sent = source.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, top = sent.value
+        model = sent.value
         sub = Subwords(path, pattern)
         end = float(np.log10(n_texts + 0.5))
         for texts, ids, out in texts_of(batches, "text", "id", "held_out", limit=BATCH_BYTES):
             words = [split_words(t.lower() if t else None) for t in texts]
-            scores, bases, knowns, rare = [], [], [], []
-            n = [len(w) + 1 for w in words]
-            logs = np.add.reduceat(word_scores(model, sub, words), np.cumsum([0, *n[:-1]])) / np.log(10)
-            for w, p in zip(words, logs.tolist(), strict=True):
-                scores.append(p)
-                found = np.array([top.get(x, 0) for x in w], np.float64)
-                bases.append(float(np.log10(found[found > 0] + 0.5).sum()) + end)
-                knowns.append(int((found > 0).sum()) + (n_texts > 0))
-                other = Counter([x for x, c in zip(w, found.tolist(), strict=True) if not c])
-                rare.append([{"word": x, "k": k} for x, k in other.items()])
+            n = np.array([len(w) + 1 for w in words], np.int64)
+            starts = np.cumsum(n) - n
+            logs, places, of_count, of_one = word_scores(model, sub, words)
+            found = np.r_[model.top_count, 0.0][places]
+            scores = np.add.reduceat(logs, starts) / np.log(10)
+            bases = np.add.reduceat(np.where(found > 0, np.log10(found + 0.5), 0.0), starts) + end
+            knowns = np.add.reduceat((found > 0).astype(np.int64), starts) + (n_texts > 0)
+            rare = [
+                [{"word": w[k], "a": of_count[f + k], "b": of_one[f + k]} for k in np.nonzero(places[f : f + len(w)] < 0)[0].tolist()]
+                for w, f in zip(words, starts.tolist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(n, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases), pa.array(scores),
-                 pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))],
+                 pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("a", pa.float64()), ("b", pa.float64())])))],
                 names=["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
             )
 
-    schema = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, k: long>>"
+    schema = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, a: double, b: double>>"
     rows = source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "scored")
-    rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k")
+    rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.*")
     met = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    # sums of logarithms in decimals: the same whatever the order
-    log = F.sum((F.col("k") * F.log10(F.col("n") + 0.5)).cast("decimal(28,12)")).cast("double")
-    added = met.groupBy("row").agg(log.alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"))
+
+    def log_sum(c: Column) -> Column:  # in decimals: the same whatever the order
+        return F.sum(F.log10(c).cast("decimal(28,12)")).cast("double")
+
+    added = met.groupBy("row").agg(
+        log_sum(F.col("n") + 0.5).alias("more"), log_sum(F.exp("a") * F.col("n") + F.exp("b")).alias("more_score"), F.count_if(F.col("n") > 0).alias("more_known")
+    )
     out = rows.drop("rare").join(added, "row", "left")
     return out.select(
         "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
