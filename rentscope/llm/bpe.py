@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.llm.words import texts_of
+from rentscope.llm.words import release_memory, texts_of
 
 CACHED = 150_000
 BATCH_BYTES = 6 << 20
@@ -190,6 +190,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         encoder = Encoder(path, pattern)
         for texts, ids in texts_of(batches, text_col, id_col, limit=BATCH_BYTES):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(encoder.encode(texts), pa.binary())], names=["id", "ids"])
+        encoder = None
+        release_memory()
 
     return docs.select(F.col(text_col).cast("string"), F.col(id_col).cast("long")).mapInArrow(run, "id long, ids binary")
 
@@ -204,5 +206,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(made, pa.binary())], names=["id", "ids", "bytes"]
             )
+        made = packed = None
+        release_memory()
 
     return encoded.select("ids", "id").mapInArrow(run, "id long, ids binary, bytes binary")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentscope.llm.words import texts_of
+from rentscope.llm.words import release_memory, texts_of
 
 #: Bound of the labelled sample: documents a language, and characters of each.
 SAMPLE_DOCS = 400
@@ -152,13 +152,17 @@ def phrases(texts: list[np.ndarray], starts: np.ndarray, steps: np.ndarray) -> n
 def samples(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, list[str]]:
     """Bounded labelled sample: a slice from the middle of the texts with the lowest id hashes, SAMPLE_DOCS a language.
 
-    Only rows with a language and at least one letter count. Ranks are limited in each task before the shuffle.
+    Only rows with a language and at least one letter count. Hashes beyond about eight times the sample go before the shuffle, so that what a
+    language's rank sees doesn't grow with the corpus.
     """
     text = F.col(text_col)
     middle = F.greatest(F.lit(1), (F.length(text) / 2).cast("int") - SAMPLE_CHARS // 2)
     rows = docs.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.substring(text, middle, F.lit(SAMPLE_CHARS)).alias("slice"), F.xxhash64(F.col(id_col), F.lit(1)).alias("place")
+        F.col(lang_col).alias("lang"), F.substring(text, middle, F.lit(SAMPLE_CHARS)).alias("slice"),
+        F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(1 << 40)).alias("place"),
     )
+    sizes = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg((8 * SAMPLE_DOCS / F.count("*")).alias("share"))
+    rows = rows.join(sizes, "lang").filter(F.col("place") < F.col("share") * (1 << 40))
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "slice"))).filter(F.col("n") <= SAMPLE_DOCS)
     out: dict[str, list[str]] = {}
     for row in ranked.select("lang", "slice", "n").orderBy("lang", "n").collect():
@@ -197,6 +201,7 @@ def predict(docs: DataFrame, learned: dict[str, list[str]], keep: list[str], tex
                 columns = [batch.column(c).slice(at, len(texts)) for c in keep]
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+        release_memory()
 
     return source.mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentscope.llm.components import components
-from rentscope.llm.words import split_words, texts_of, written
+from rentscope.llm.words import release_memory, split_words, texts_of, written
 
 BITS = 64
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -323,6 +323,7 @@ def _sketches(width: int, id_col: str, text_col: str):
                  pa.array(bands, pa.list_(pa.int64()))],
                 names=["id", "fp", "sequence", "bands"],
             )
+        release_memory()
 
     return run
 
@@ -334,6 +335,7 @@ def _shingle_sets(width: int):
         for texts, ids in texts_of(batches, "text", "id"):
             sets = [np.unique(shingle_hashes(t, width).astype(np.uint32)).view(np.int32) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["id", "shingles"])
+        release_memory()
 
     return run
 
