@@ -28,6 +28,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if configured is None and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rentscope-ckpt-"))
