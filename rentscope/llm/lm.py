@@ -1,8 +1,9 @@
 """LM scoring: a causal self-attention model, trained in numpy on subword ids.
 
 Subwords are predicted by class: the commonest ones are classes of their own, the others share classes by kind and frequency, and a subword's
-share of its class comes from the whole corpus. Class logits start from how often a class follows the last subword (corpus counts) and add
-what attention over the last 16 to 32 subwords gives. Texts are cut into blocks of 16; the window of a block is the block before and itself,
+share of its class comes from the whole corpus. Class logits start from how often a class follows the last subword (corpus counts, inside
+words and across their borders) and add what attention over the last 16 to 32 subwords gives. The attention weights are fitted on every
+text: each task goes through its texts from the same weights, and the mean of what the tasks come to is the next round's. Texts are cut into blocks of 16; the window of a block is the block before and itself,
 masked to what lies before each place, so windows overlap and every subword is scored once. A word's probability is that of its first
 subword's class, among those that start words, times its share among the corpus's words of that class; words that are not among the
 commonest mix that share with spelling out their other subwords. Of each class, what the corpus has met once is the chance of a new word.
@@ -13,26 +14,28 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.llm.words import split_words, texts_of, written
+from rentscope.llm.words import release_memory, split_words, texts_of, written
 
 CLASSES = 128
 SHARED = 8  # classes for the rest of the subwords that start a word, and as many for those that don't
 BLOCK = 16
 SIZE = 16  # width of embeddings, queries, keys and values
 EMBEDDED = 1024
-#: Bounds: words that tasks hold as a table, and the sample the attention weights are fitted on (texts, and words of each).
+#: Bound: words that tasks hold as a table.
 TOP_WORDS = 100_000
-SAMPLE_TEXTS = 4_000
-SAMPLE_WORDS = 120
 EPOCHS = 4
+#: Groups in which the weights of tasks are added up before the driver gets them; words of a file of texts to train on.
+SLOTS = 64
+FILE_WORDS = 500_000
 BATCH_BYTES = 2 << 20
 
 
@@ -207,10 +210,11 @@ def log_probabilities(m: Model, ids: list[np.ndarray], end: int, need: np.ndarra
     return chance[real], starts[real]
 
 
-def _tables(counts: np.ndarray, by_class, n_texts: int, n_words: int, sub: Subwords) -> Model:
+def _tables(counts: np.ndarray, by_class, n_texts: int, n_words: int, sub: Subwords, borders=None) -> Model:
     """The model before any training: classes, shares and start logits from corpus counts.
 
-    ``counts`` has each subword's; ``by_class(model)`` gives the pairs by rows and classes.
+    ``counts`` has each subword's; ``by_class(model)`` gives the pairs by rows and classes, ``borders(model)`` those across word borders;
+    without it what follows a word is taken to be independent of it.
     """
     counts = counts + 0.5
     counts[sub.end] += n_texts
@@ -252,8 +256,9 @@ def _tables(counts: np.ndarray, by_class, n_texts: int, n_words: int, sub: Subwo
     after_word[class_of[sub.end]] += stop
     backed = inside.sum(axis=0) + 0.1
     backed /= backed.sum()
-    chance = inside + ends[:, None] * after_word + 20 * (0.5 * backed + 0.5 * after_word)
-    chance[1] = after_text + 1e-4
+    across = None if borders is None else borders(m)
+    chance = inside + (ends[:, None] * after_word if across is None else across) + 20 * (0.5 * backed + 0.5 * after_word)
+    chance[1] = after_text + 1e-4 if across is None else across[1] + 20 * (after_text + 1e-4)
     m.start = np.log(chance / chance.sum(axis=1, keepdims=True)).astype(np.float32)
     return m
 
@@ -266,49 +271,70 @@ def _sum_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     into[sorted_rows[starts]] += np.add.reduceat(values.reshape(-1, values.shape[-1])[order], starts, axis=0)
 
 
-def train(m: Model, ids: list[np.ndarray], end: int, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 128) -> None:
+WEIGHTS = ("key", "query", "value", "distance", "out")
+
+
+def _gradients(m: Model, x: np.ndarray, following: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of the next class over blocks."""
+    y = following.reshape(-1)
+    rows, wide, weights = _attend(m, x, w)
+    v, k, q = m.value[wide], m.key[wide], m.query[rows]
+    seen = weights @ v
+    z = seen.reshape(-1, SIZE) @ m.out + m.start[rows.reshape(-1)]
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z, out=z)
+    p /= p.sum(axis=1, keepdims=True)
+    real = y >= 0
+    p[np.arange(len(p)), m.class_of[y]] -= 1
+    p[~real] = 0
+    p /= max(1, real.sum())
+    d_seen = (p @ m.out.T).reshape(seen.shape)
+    d_weights = d_seen @ v.transpose(0, 2, 1)
+    d_scores = weights * (d_weights - (d_weights * weights).sum(axis=2, keepdims=True))
+    grads = {name: np.zeros_like(getattr(m, name)) for name in WEIGHTS}
+    grads["out"] = seen.reshape(-1, SIZE).T @ p
+    _sum_rows(grads["value"], wide, weights.transpose(0, 2, 1) @ d_seen)
+    grads["distance"] += np.bincount(_BACK.ravel(), weights=d_scores.sum(axis=0).ravel(), minlength=len(m.distance))
+    d_scores *= np.float32(SIZE**-0.5)
+    _sum_rows(grads["query"], rows, d_scores @ k)
+    _sum_rows(grads["key"], wide, d_scores.transpose(0, 2, 1) @ q)
+    return grads
+
+
+class Adam:
+    """Moments of the gradients of a model's weights."""
+
+    def __init__(self, m: Model):
+        self.state = {k: (np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))) for k in WEIGHTS}
+        self.t = 0
+
+    def step(self, m: Model, grads: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        for name, (one, two) in self.state.items():
+            one += 0.1 * (grads[name] - one)
+            two += 0.01 * (grads[name] ** 2 - two)
+            one[np.abs(one) < 1e-18] = 0  # what fades away would be slow to count with
+            two[two < 1e-30] = 0
+            getattr(m, name)[...] -= rate * (one / (1 - 0.9**self.t)) / (np.sqrt(two / (1 - 0.99**self.t)) + 1e-6)
+
+
+def train(
+    m: Model, ids: list[np.ndarray], end: int, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 128, adam: Adam | None = None, fall: float = 1.0,
+) -> int:
     """Fit the attention tables and output weights to the next class, by Adam on cross-entropy; batches in a fixed random order.
 
-    The start logits stay what the corpus says.
+    The start logits stay what the corpus says. The rate falls by the share ``fall`` on the way. Gives the number of blocks.
     """
     last, following, window = blocks(ids, end)
-    names = ("key", "query", "value", "distance", "out")
-    state = {k: (np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))) for k in names}
-    rng, t = np.random.default_rng(3), 0
+    adam, rng, done = adam or Adam(m), np.random.default_rng(3), 0
     steps = max(1, epochs * -(-len(last) // batch))
     for _ in range(epochs):
         order = rng.permutation(len(last))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            x, y, w = last[pick], following[pick].reshape(-1), window[pick]
-            rows, wide, weights = _attend(m, x, w)
-            v, k, q = m.value[wide], m.key[wide], m.query[rows]
-            seen = weights @ v
-            z = seen.reshape(-1, SIZE) @ m.out + m.start[rows.reshape(-1)]
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            real = y >= 0
-            p[np.arange(len(p)), m.class_of[y]] -= 1
-            p[~real] = 0
-            p /= max(1, real.sum())
-            d_seen = (p @ m.out.T).reshape(seen.shape)
-            d_weights = d_seen @ v.transpose(0, 2, 1)
-            d_scores = weights * (d_weights - (d_weights * weights).sum(axis=2, keepdims=True))
-            grads = {name: np.zeros_like(getattr(m, name)) for name in names}
-            grads["out"] = seen.reshape(-1, SIZE).T @ p
-            _sum_rows(grads["value"], wide, weights.transpose(0, 2, 1) @ d_seen)
-            grads["distance"] += np.bincount(_BACK.ravel(), weights=d_scores.sum(axis=0).ravel(), minlength=len(m.distance))
-            d_scores *= np.float32(SIZE**-0.5)
-            _sum_rows(grads["query"], rows, d_scores @ k)
-            _sum_rows(grads["key"], wide, d_scores.transpose(0, 2, 1) @ q)
-            t += 1
-            slow = rate * (1 - t / (steps + 1))
-            for name in names:
-                one, two = state[name]
-                one += 0.1 * (grads[name] - one)
-                two += 0.01 * (grads[name] ** 2 - two)
-                getattr(m, name)[...] -= slow * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.99**t)) + 1e-6)
+            done += 1
+            adam.step(m, _gradients(m, last[pick], following[pick], window[pick]), rate * (1 - fall * done / (steps + 1)))
+    return len(last)
 
 
 def _spelt(m: Model, sub: Subwords, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -374,29 +400,86 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def _sample(docs: DataFrame, n_docs: int, text_col: str, id_col: str) -> list[list[bytes]]:
-    """A bounded sample: SAMPLE_WORDS words from the middle of about SAMPLE_TEXTS texts, by id hash."""
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1 << 20))
-    picked = docs.filter(place < min(1 << 20, int((1 << 20) * SAMPLE_TEXTS / max(1, n_docs)) + 1)).select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+def _borders(texts: DataFrame, m: Model, path: str, pattern: str) -> np.ndarray:
+    """(rows, CLASSES): how often a class follows the last subword of a word, or the end of a text (row 1), over all of ``texts``."""
+    sent = texts.sparkSession.sparkContext.broadcast(m)
 
-    def middle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, ids in texts_of(batches, "text", "id"):
-            cut = []
-            for t in texts:
-                w = split_words(t.lower() if t else None)
-                at = max(0, len(w) - SAMPLE_WORDS) // 2
-                cut.append(b" ".join(w[at : at + SAMPLE_WORDS]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cut, pa.binary())], names=["id", "text"])
-
-    rows = picked.mapInArrow(middle, "id long, text binary").collect()
-    return [bytes(r["text"]).split() for r in sorted(rows, key=lambda r: (r["id"] is None, r["id"], bytes(r["text"])))]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, sub = sent.value, Subwords(path, pattern)
+        cells = np.zeros(m.start.size, np.int64)
+        for (part,) in texts_of(batches, "text", limit=BATCH_BYTES):
+            flat, sizes, _, _ = _spelt(m, sub, [split_words(t.lower() if t else None) for t in part])
+            stops = np.cumsum(sizes)
+            before = np.r_[sub.end, flat[stops[:-1] - 1]]  # a text's end stands before the next one's first word
+            cells += np.bincount(m.row_of[before] * CLASSES + m.class_of[flat[stops - sizes]], minlength=len(cells))
+        found = np.nonzero(cells)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(cells[found], pa.int64())], names=["cell", "n"])
+        release_memory()
+
+    found = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(m.start.size)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    sent.destroy()
+    return out.reshape(m.start.shape)
+
+
+def fit(texts: DataFrame, m: Model, path: str, pattern: str, epochs: int = EPOCHS, rate: float = 0.01) -> None:
+    """Fit the attention weights on all of ``texts``, ``epochs`` times over.
+
+    Each time every task trains on its texts from the same weights; the next ones are the mean of the tasks', by their blocks. They are
+    added up in SLOTS groups, in the order of the tasks, so that the driver gets as many at most. The rate falls from one time to the next.
+    """
+    fixed = texts.sparkSession.sparkContext.broadcast(m)
+    shapes = [getattr(m, k).shape for k in WEIGHTS]
+    *cuts, size = np.cumsum([getattr(m, k).size for k in WEIGHTS]).tolist()
+
+    def put(m: Model, flat: np.ndarray) -> None:
+        for name, part, shape in zip(WEIGHTS, np.split(flat, cuts), shapes, strict=True):
+            setattr(m, name, part.reshape(shape).astype(np.float32))
+
+    def flat(m: Model) -> np.ndarray:
+        return np.concatenate([getattr(m, k).ravel() for k in WEIGHTS])
+
+    def added(rows: pa.Table) -> pa.Table:
+        n = rows["blocks"].to_numpy()
+        total = np.zeros(size)
+        for k in np.argsort(rows["task"].to_numpy(), kind="stable").tolist():
+            total += n[k] * np.frombuffer(rows["weights"][k].as_buffer(), np.float32)
+        return pa.table({"task": rows["slot"].slice(0, 1), "blocks": pa.array([n.sum()], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
+
+    for epoch in range(epochs):
+        start, now = flat(m), rate * (1 - epoch / epochs)
+
+        def run(batches: Iterable[pa.RecordBatch], start: np.ndarray = start, now: float = now) -> Iterator[pa.RecordBatch]:
+            m, sub, n = replace(fixed.value), Subwords(path, pattern), 0
+            put(m, start)
+            adam = Adam(m)
+            for (part,) in texts_of(batches, "text", limit=BATCH_BYTES):
+                ids = texts_as_subwords(m, sub, [split_words(t.lower() if t else None) for t in part])
+                n += train(m, ids, sub.end, 1, now, adam=adam, fall=0.0)
+            if n:
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([task % SLOTS], pa.int32()), pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([flat(m).tobytes()], pa.binary())],
+                    names=["slot", "task", "blocks", "weights"],
+                )
+            release_memory()
+
+        came = texts.select("text").mapInArrow(run, "slot int, task int, blocks long, weights binary")
+        sums = came.groupBy("slot").applyInArrow(added, "task int, blocks long, weights binary").toArrow()
+        if not sums.num_rows:
+            break
+        sums = sums.sort_by("task")
+        total = sum(np.frombuffer(w.as_buffer(), np.float64) for w in sums["weights"])
+        put(m, total / sum(sums["blocks"].to_pylist()))
+    fixed.destroy()
 
 
 def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Tokens are A-Z-lowered words and one end. ``base_score`` is the base's log10 probability (counts plus one half), ``score`` the model's.
-    Counts cover all texts that are not held out; attention weights are fitted on a bounded sample of them. A null or blank text is its end
+    Counts cover all texts that are not held out, and attention weights are fitted on all of them. A null or blank text is its end
     alone. Words outside the commonest TOP_WORDS meet their counts in a join. Rows that repeat an
     id come out one for one; with no text to learn from, counts are zero and all weights as they start.
     """
@@ -412,10 +495,18 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     met = np.zeros(sub.size)
     found = pairs.filter("b >= 0 AND a <> -3").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     met[found["b"].to_numpy()] = found["n"].to_numpy()
-    model = _tables(met, lambda m: _by_class(pairs, m), n_texts, n_words, sub)
-    with_top(model, sub, top)
-    texts = _sample(taught, n_texts, "text", "id")
-    train(model, texts_as_subwords(model, sub, texts), sub.end)
+
+    # training takes much longer than reading: texts are dealt out evenly, however large the row groups they came in
+    place = taught.select("text", F.xxhash64("id", "text").alias("place"))
+    dealt = place.repartition(1 + n_words // FILE_WORDS, "place").sortWithinPartitions("place", "text").select("text")
+    texts = written(dealt, "taught")
+
+    def borders(m: Model) -> np.ndarray:
+        with_top(m, sub, top)
+        return _borders(texts, m, path, pattern)
+
+    model = _tables(met, lambda m: _by_class(pairs, m), n_texts, n_words, sub, borders)
+    fit(texts, model, path, pattern)
     distinct = vocabulary + (n_texts > 0)
     below = float(np.log10(total + 0.5 * (distinct + 1)))
     sent = source.sparkSession.sparkContext.broadcast(model)

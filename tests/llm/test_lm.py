@@ -1,5 +1,6 @@
 """LM scoring: base against brute force, gradients, a proper distribution, held-out gain."""
 
+import copy
 import math
 import re
 import zlib
@@ -108,3 +109,23 @@ def test_odd_rows(spark):
     assert len(out) == len(rows) and all(r.score < 0 and math.isfinite(r.score) and math.isfinite(r.base_score) for r in out)
     assert sorted(r.n_tokens for r in out) == sorted(len(WORD.findall((t or "").encode())) + 1 for _, t in rows)
     assert lm.score(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_borders_and_weights_cover_all_texts(spark, small):
+    sub, _, model = small
+    rng = np.random.default_rng(8)
+    texts = [[w.decode() for w in rng.choice([b"the", b"bridge", b"is", b"red", b"zebra"], rng.integers(0, 9))] for _ in range(90)]
+    docs = spark.createDataFrame([(" ".join(t) or None,) for t in texts], "text string").repartition(7)
+    want = np.zeros(model.start.shape)
+    for t in texts:
+        ids = [sub.word(w.encode()) for w in t] + [[sub.end]]
+        for a, b in zip([[sub.end], *ids], ids):
+            want[model.row_of[a[-1]], model.class_of[b[0]]] += 1
+    np.testing.assert_array_equal(lm._borders(docs, model, PATH, P.PATTERN), want)
+    one, two = (copy.deepcopy(model) for _ in range(2))
+    lm.fit(docs, one, PATH, P.PATTERN, epochs=1)
+    lm.fit(docs.filter("text NOT LIKE '%zebra%'"), two, PATH, P.PATTERN, epochs=1)
+    row = model.row_of[sub.word(b"zebra")[0]]
+    assert row == 0 or (one.query[row] != model.query[row]).any()
+    assert any((getattr(one, k) != getattr(two, k)).any() for k in lm.WEIGHTS)
+    lm.fit(docs.limit(0), two, PATH, P.PATTERN)
