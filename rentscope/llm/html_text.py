@@ -203,17 +203,17 @@ def main_text(page: str | None) -> str:
     while node is not body and node is not root:
         node = node.parent
         threshold = min(threshold, node.density)
+    lifted: Node | None = core  # the core's own article, if it stands in one
+    while lifted is not None and lifted.tag not in ("article", "main"):
+        lifted = lifted.parent
+    lifted = lifted or core
     marked: set[int] = set()
     order: list[Node] = []
     stack: list[Node] = [body]
     while stack:  # in page order
         node = stack.pop()
         if node.density >= threshold:
-            best = node.best
-            up = best
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            best = up or best
+            best = lifted if node.best is core else node.best
             if id(best) not in marked:
                 marked.add(id(best))
                 order.append(best)
@@ -226,8 +226,6 @@ def main_text(page: str | None) -> str:
                 return True
         return False
 
-    if any(n.tag in ("article", "main") for n in order):
-        order = [n for n in order if n.tag in ("article", "main")]
     place = {id(n): k for k, n in enumerate(nodes)}
     return _text(sorted((n for n in order if not inside(n)), key=lambda n: place[id(n)]))
 

@@ -61,3 +61,9 @@ def test_odd_rows(spark):
     rows = html_text.extract(pages, ["page_id", "url", "text"]).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in rows) == [(0, A, len(A)), (1, "", 0), (1, A, len(A))]
     assert html_text.extract(pages.limit(0), ["page_id"]).count() == 0
+
+
+def test_teasers_in_articles_do_not_replace_the_text():
+    teasers = "".join(f"<article><h3>Story {i}</h3><p>{A[:40]}</p></article>" for i in range(4))
+    text = html_text.main_text(f"<body><div id=content><p>{A}</p><p>{B}</p><p>{C}</p></div><div>{teasers}</div></body>")
+    assert PLAIN in text
