@@ -37,7 +37,9 @@ ENDS = {
     "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody", "tfoot"), ("table",)), "body": (("head",), ()),
 }
 IN_P = frozenset("table td th caption button object applet marquee html body".split())
-NEVER = frozenset("head nav footer aside form button select dialog fieldset label object canvas audio video menu".split())
+NEVER = frozenset("head nav footer aside button select dialog canvas audio video menu".split())
+#: Never article text either, unless they hold most of the page or an article.
+WRAPPERS = frozenset("form fieldset label object".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 #: Words in a class or id that tell what is not the article, and whole names that do so where the word alone would not.
 NAMED = frozenset(
@@ -55,25 +57,28 @@ class Node:
     def __init__(self, parent: Node | None, tag: str):
         self.parent, self.tag = parent, tag
         self.children: list[Node | str] = []
-        self.out = 0  # 1: never article text, 2: by its name
+        self.out = 0  # 1: never article text, 2: by its name or as a wrapper that may hold the page
         self.chars = self.tags = self.link_chars = self.link_tags = 0
 
 
 def _left_out(tag: str, attributes: str, inside_article: bool) -> int:
     if tag in NEVER or (tag == "header" and not inside_article):
         return 1
+    out = 2 if tag in WRAPPERS else 0
     if not attributes or tag in KEPT:
-        return 0
+        return out
     for m in NAMES.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return 1
         if name == "role" and value in ROLES:
-            return 1
+            if value != "form":
+                return 1
+            out = 2
         if name in ("class", "id"):
             if not WHOLE_NAMES.isdisjoint(value.split()) or not NAMED.isdisjoint(re.split(r"[^a-z]+", value)):
-                return 2
-    return 0
+                out = 2
+    return out
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -153,7 +158,7 @@ def _measure(nodes: list[Node]) -> None:
 
 
 def _named_back(nodes: list[Node]) -> None:
-    """A name doesn't take out what holds most of the page's text or an article: there it names a neighbour or the layout."""
+    """A name or a form doesn't take out what holds most of the page's text or an article: there it names a neighbour or the layout."""
     size = {id(n): 0 for n in nodes}
     holds = dict.fromkeys(size, False)
     for node in reversed(nodes):

@@ -67,3 +67,9 @@ def test_teasers_in_articles_do_not_replace_the_text():
     teasers = "".join(f"<article><h3>Story {i}</h3><p>{A[:40]}</p></article>" for i in range(4))
     text = html_text.main_text(f"<body><div id=content><p>{A}</p><p>{B}</p><p>{C}</p></div><div>{teasers}</div></body>")
     assert PLAIN in text
+
+
+@pytest.mark.parametrize("wrapper", ["form id=aspnetForm", "fieldset", "object", "div role=form", "form class=comment"])
+def test_a_form_around_the_whole_page_keeps_its_text(wrapper):
+    inner = f"{NAV}<div><p>{A}</p><p>{B}</p><p>{C}</p></div><form><label>Your name</label><input><button>Send</button></form>"
+    assert html_text.main_text(f"<body><{wrapper}>{inner}</{wrapper.split()[0]}></body>") == PLAIN
