@@ -5,9 +5,10 @@ known by the id of its first line (two 64-bit hashes) and its rank among the suf
 array's buckets, ranks order each bucket. A doubling step sorts suffixes of equal rank by the rank of the suffix 2**k lines on: each one's
 new rank is its old one plus the number of equals that come before, so no global sort is needed.
 
-Suffixes whose ranks agree on a window are one interval of the longest-common-prefix array. The runs that matter have a least number of
-characters, which bounds the depth: doubling goes on until the longest window that any suffix needs is covered. Overlapping
-windows add up to the maximal repeated runs; every copy but the first is deleted.
+Suffixes whose ranks agree on a window are one interval of the longest-common-prefix array. From each line the shortest window of a least
+number of characters is compared, which bounds the depth: doubling goes on until the longest window that any suffix needs is covered.
+Windows that an earlier place has are deleted, and overlapping ones add up. They don't reach all of a maximal repeated run: its last lines
+stay where they hold fewer characters together and what follows them differs.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def _later_runs(rows: DataFrame, levels: int) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` with later copies of repeated line runs deleted from the text, plus ``removed_lines``.
 
-    A run is one or more consecutive lines of together ``min_chars`` characters or more that occur in the same order at an earlier place: in a
+    A run is the shortest one of consecutive lines from a line on, together of ``min_chars`` characters or more, that occur in the same order at an earlier place: in a
     document of a smaller id (null first; equal ids by a hash of the text) or further up in the same one. Lines are compared without white
     space at their ends; blank lines are passed over and never deleted. ``removed_lines`` are the deleted places, counted from 0.
     Null and empty texts stay as they are. Rows that repeat id and text come out alike. ``removed_lines`` replaces a column of that name.
