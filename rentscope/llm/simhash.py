@@ -314,10 +314,10 @@ def _sketches(width: int, id_col: str, text_col: str):
             fps, seqs, bands = [], [], []
             for t in texts:
                 parts = split_words(t.lower() if t else None)
-                hashes = shingle_hashes(t, width)
+                hashes = np.unique(shingle_hashes(t, width))  # sets, as the similarity that the radius bounds
                 fps.append(majority_bits(hashes))
                 seqs.append(xxhash.xxh3_128_digest(b" ".join(parts)))
-                bands.append(bands_of(np.unique(hashes)))
+                bands.append(bands_of(hashes))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(seqs, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))],

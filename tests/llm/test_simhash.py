@@ -116,3 +116,9 @@ def test_tiles_give_the_same_groups(spark):
     assert dict(map(tuple, whole.collect())) == brute_components(sets, linked)
     small = simhash.near_groups(docs, radius=6, most=16)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, simhash.near_groups(docs, radius=6).collect()))
+
+
+def test_a_repeated_phrase_does_not_part_similar_sets(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text + " spam" * 300)], "doc_id long, text string")
+    assert {r.id: r.component for r in simhash.similar_groups(docs).collect()} == {1: 1, 2: 1}
