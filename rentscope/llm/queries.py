@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentscope.llm import bpe, decontaminate, html_text, langid, line_dedup, lm, rules, simhash, substrings, token_store
+from rentscope.llm import bpe, decontaminate, html_text, langid, line_dedup, lm, merkle, rules, simhash, substrings, token_store
 from rentscope.llm.words import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,66 @@ def op2(spark, sf_dir):
 def op4(spark, sf_dir):
     out = lm.score(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.withColumnRenamed("id", "doc_id")
+
+
+@query("op12_merkle_manifest", """
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+bytes AS (SELECT i, c FROM steps WHERE k = 8),
+crc(s, idx, c) AS (
+  SELECT DISTINCT CAST(doc_id AS VARCHAR), 0, 4294967295 FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT s, idx + 1, xor(crc.c >> 8, bytes.c) FROM crc JOIN bytes ON bytes.i = xor(crc.c & 255, ascii(s[idx + 1])) WHERE idx < length(s)),
+even AS (SELECT CAST(s AS BIGINT) AS doc_id FROM crc WHERE idx = length(s) AND xor(c, 4294967295) % 2 = 0),
+written AS (
+  SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text,
+    CASE WHEN doc_id IN (SELECT doc_id FROM even) THEN replace(text, chr(10), '') ELSE text END AS now
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS seen
+  FROM written),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+nodes(source, lvl, pos, h, n) AS (
+  SELECT source, 0, pos, leaf, n FROM placed
+  UNION ALL SELECT source, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM nodes WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS seat, count(*) OVER () AS sources FROM nodes WHERE n = 1),
+tops(lvl, pos, h, n) AS (
+  SELECT 0, seat, subroot, sources FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM tops WHERE n > 1 GROUP BY lvl, pos // 3, n),
+runs AS (
+  SELECT a.source, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS ahead,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS behind
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+top_runs AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS ahead,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS behind
+  FROM tops a JOIN tops b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+inner_fold(source, pos, up, lvl, proof, h) AS (
+  SELECT source, pos, pos, 0, '', seen FROM placed
+  UNION ALL SELECT f.source, f.pos, f.up // 3, f.lvl + 1, f.proof || r.ahead || r.behind, sha256(r.ahead || f.h || r.behind)
+  FROM inner_fold f JOIN runs r ON r.source IS NOT DISTINCT FROM f.source AND r.lvl = f.lvl AND r.pos = f.up),
+inner_done AS (SELECT * FROM inner_fold QUALIFY row_number() OVER (PARTITION BY source, pos ORDER BY lvl DESC) = 1),
+outer_fold(source, pos, up, lvl, proof, h) AS (
+  SELECT d.source, d.pos, s.seat, 0, d.proof, d.h FROM inner_done d JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source
+  UNION ALL SELECT f.source, f.pos, f.up // 3, f.lvl + 1, f.proof || r.ahead || r.behind, sha256(r.ahead || f.h || r.behind)
+  FROM outer_fold f JOIN top_runs r ON r.lvl = f.lvl AND r.pos = f.up),
+outer_done AS (SELECT * FROM outer_fold QUALIFY row_number() OVER (PARTITION BY source, pos ORDER BY lvl DESC) = 1)
+SELECT p.doc_id, p.leaf, s.subroot, t.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root, o.h = t.h AS verified
+FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN outer_done o ON o.source IS NOT DISTINCT FROM p.source AND o.pos = p.pos
+CROSS JOIN (SELECT h FROM tops WHERE n = 1) t
+""")
+def op12(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    now = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("_order"), merkle.group_key(F.col("source")).alias("tree"),
+        merkle.leaf_digest(*head, F.col("text")).alias("leaf"), merkle.leaf_digest(*head, now).alias("seen"),
+    )
+    return merkle.manifest(rows).select(
+        F.col("id").cast("long").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("others", ""), 256).alias("proof_sha256"), "folded_root",
+        "verified",
+    )
