@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentscope.llm import bpe, decontaminate, html_text, langid, line_dedup, lm, merkle, rules, simhash, subspace, substrings, token_store
+from rentscope.llm import bpe, conversations, decontaminate, html_text, langid, line_dedup, lm, merkle, rules, simhash, subspace, substrings, token_store
 from rentscope.llm.words import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,9 @@ def op12(spark, sf_dir):
 def op13(spark, sf_dir):
     out = subspace.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.95)
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+@query("op11_conversation_repair")
+def op11(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repaired(conversations.damaged(rows), rows)
