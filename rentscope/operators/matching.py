@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentscope.functions import predicates as P
 from rentscope.functions import urls as U
-from rentscope.operators.scale import lag_by_segment
+from rentscope.operators.scale import cut_lineage, lag_by_segment
 
 
 def not_known(candidates: DataFrame, apartments: DataFrame) -> DataFrame:
@@ -74,11 +76,11 @@ def contains_join(left: DataFrame, text: str, right: DataFrame, part: str) -> Da
     return offered.join(anchored, "_a").where(F.col(text).contains(F.col(part))).drop("_a")
 
 
-def unique_within(snapshot: DataFrame, plans: DataFrame, tolerance: int = 5) -> DataFrame:
-    """Plan of a snapshot row by equal bedrooms and sqft within ``tolerance``, only when it is the only one.
+def near_plans(snapshot: DataFrame, plans: DataFrame, tolerance: int = 5) -> DataFrame:
+    """(apartment_id, pos, candidates, plan_id): number and lowest id of the active plans of equal bedrooms and sqft within ``tolerance``.
 
     Plans are first counted per distinct (apartment, bedrooms, sqft); a row probes its own and the two
-    neighbouring buckets of width ``tolerance``.
+    neighbouring buckets of width ``tolerance``.  Rows without a candidate are left out.
     """
     width = float(tolerance)
     sized = (
@@ -99,11 +101,28 @@ def unique_within(snapshot: DataFrame, plans: DataFrame, tolerance: int = 5) ->
         .where(close)
         .groupBy("apartment_id", "pos")
         .agg(F.sum("_n").alias("candidates"), F.min("_id").alias("plan_id"))
-        .where(F.col("candidates") == 1)
-        .select("apartment_id", "pos", "plan_id")
     )
 
 
+def unique_within(snapshot: DataFrame, plans: DataFrame, tolerance: int = 5) -> DataFrame:
+    """Plan of a snapshot row by equal bedrooms and sqft within ``tolerance``, only when it is the only one."""
+    return near_plans(snapshot, plans, tolerance).where(F.col("candidates") == 1).select("apartment_id", "pos", "plan_id")
+
+
+def size_runs(rows: DataFrame, keys: Sequence[str], size: str, segment: Callable[[Column], Column], apart: Callable[[Column, Column], Column]) -> DataFrame:
+    """The rows with ``grp`` (their keys) and ``run``: sizes of one key in a row, cut where ``apart(previous, size)``.
+
+    Only distinct sizes are put in order, per ``segment`` of them.
+    """
+    keyed = rows.withColumn("grp", F.concat_ws(":", *keys))
+    sizes = keyed.select("grp", F.col(size).alias("_size")).distinct()
+    gaps = lag_by_segment(sizes, "grp", segment(F.col("_size")), ["_size"], "_size", "_before")
+    starts = gaps.where(F.col("_before").isNull() | apart(F.col("_before"), F.col("_size"))).groupBy("grp").agg(
+        F.array_sort(F.collect_set("_size")).alias("_starts")
+    )
+    return keyed.join(starts, "grp").withColumn("run", F.size(F.filter("_starts", lambda s: s <= F.col(size)))).drop("_starts")
+
+
 def name_or_near_size(snapshot: DataFrame, plans: DataFrame, base: str = "stored", tolerance: float = 0.10) -> DataFrame:
     """Plan id of each snapshot row: smallest id of the same name, else smallest id of like size.
 
@@ -153,45 +172,61 @@ def rename_generic(
 ) -> DataFrame:
     """(plan_id, new_name): generically named plans take the code of a snapshot row of like size.
 
-    Rows are taken in order and a plan is used once, so the pairing is sequential.  It is confined to
-    runs of sizes of one apartment and bed count with no gap above the tolerance; rows in different
-    runs cannot compete.
+    Rows take, in order, the first free plan that fits.  Since all rows would rather have the lower plan id and all plans the earlier
+    row, that is the one pairing in which no row and plan would rather have each other: a row and a plan that are each other's first choice
+    pair off, and the rest choose again.  Rows and plans compete within runs of sizes of one listing and bed count only; where all of a
+    run fit each other, the n-th row takes the n-th plan at once.
     """
     sites = apartments.where(P.mentions_any(F.col("source_url"), hosts)).select(F.col("id").alias("apartment_id"))
     generic = F.col("name").rlike(P.GENERIC_NAME)
     stored = plans.where(F.col("is_available") & generic & (F.col("area_sqft") > 0)).select(
-        "apartment_id", "bedrooms", F.col("area_sqft").alias("size"), F.col("id").alias("ord"),
-        F.lit(None).cast("string").alias("name"),
+        "apartment_id", "bedrooms", F.col("area_sqft").alias("size"), F.col("id").cast("long").alias("ord"), F.lit(None).cast("string").alias("name"),
     )
     fresh = snapshot.where(F.col("name").isNotNull() & (F.col("name") != "") & ~generic & (F.col("size_sqft") > 0)).select(
-        "apartment_id", "bedrooms", F.col("size_sqft").alias("size"), F.col("pos").alias("ord"), "name"
+        "apartment_id", "bedrooms", F.col("size_sqft").alias("size"), F.col("pos").cast("long").alias("ord"), "name"
     )
     rows = stored.unionByName(fresh).join(sites, "apartment_id", "left_semi")
-    keyed = rows.withColumn("grp", F.concat_ws(":", "apartment_id", "bedrooms"))
-    sizes = keyed.select("grp", "size").distinct()
-    gaps = lag_by_segment(sizes, "grp", F.floor(F.log("size") / 0.1), ["size"], "size", "prev_size")
-    starts = gaps.where(
-        F.col("prev_size").isNull() | ((F.col("size") - F.col("prev_size")) / F.col("size") > tolerance / (1 - tolerance))
-    ).groupBy("grp").agg(F.array_sort(F.collect_set("size")).alias("starts"))
-    placed = keyed.join(starts, "grp").withColumn(
-        "run", F.size(F.filter("starts", lambda s: s <= F.col("size")))
-    ).drop("starts")
+    placed = size_runs(
+        rows, ["apartment_id", "bedrooms"], "size", lambda s: F.floor(F.log(s) / 0.1), lambda before, s: (s - before) / s > tolerance / (1 - tolerance)
+    )
+    old, new = F.when(F.col("name").isNull(), F.col("size")), F.when(F.col("name").isNotNull(), F.col("size"))
     both = placed.groupBy("grp", "run").agg(
-        F.count("name").alias("n_new"), F.count_if(F.col("name").isNull()).alias("n_old")
-    ).where((F.col("n_new") > 0) & (F.col("n_old") > 0)).select("grp", "run")
-    work = placed.join(both, ["grp", "run"], "left_semi").select("grp", "run", "size", "ord", "name")
-
-    def pair(pdf):
-        old = pdf[pdf["name"].isna()].sort_values("ord")
-        free = list(zip(old["ord"], old["size"], strict=True))
-        ids, names = [], []
-        for _, row in pdf[pdf["name"].notna()].sort_values("ord").iterrows():
-            for i, (plan_id, size) in enumerate(free):
-                if abs(size - row["size"]) / size <= tolerance:
-                    ids.append(plan_id)
-                    names.append(row["name"])
-                    del free[i]
-                    break
-        return pd.DataFrame({"plan_id": pd.Series(ids, dtype="int64"), "new_name": pd.Series(names, dtype=object)})
-
-    return work.groupBy("grp", "run").applyInPandas(pair, "plan_id long, new_name string")
+        F.min(old).alias("_old0"), F.max(old).alias("_old1"), F.min(new).alias("_new0"), F.max(new).alias("_new1")
+    ).where("_old0 IS NOT NULL AND _new0 IS NOT NULL")
+    # the farthest pairs of a run fit: the smallest plan with the largest row, the largest plan with the smallest row
+    all_fit = (F.abs(F.col("_old0") - F.col("_new1")) / F.col("_old0") <= tolerance) & (F.abs(F.col("_old1") - F.col("_new0")) / F.col("_old1") <= tolerance)
+    work = cut_lineage(placed.join(both.select("grp", "run", all_fit.alias("whole")), ["grp", "run"]).select("grp", "run", "size", "ord", "name", "whole"))
+
+    ranked = work.where("whole").withColumn(
+        "_no", F.row_number().over(Window.partitionBy("grp", "run", F.col("name").isNull()).orderBy("ord"))
+    )
+    plan_side = ranked.where(F.col("name").isNull()).select("grp", "run", "_no", F.col("ord").alias("plan_id"))
+    found = ranked.where(F.col("name").isNotNull()).join(plan_side, ["grp", "run", "_no"]).select("plan_id", F.col("name").alias("new_name"))
+    rest = work.where(~F.col("whole")).drop("whole")
+    while not rest.isEmpty():
+        pairs = cut_lineage(_first_choices(rest, tolerance))
+        if pairs.isEmpty():
+            break
+        found = found.unionByName(pairs.select("plan_id", F.col("name").alias("new_name")))
+        taken = pairs.select("grp", F.col("plan_id").alias("ord"), F.lit(True).alias("_old")).unionByName(
+            pairs.select("grp", F.col("row").alias("ord"), F.lit(False).alias("_old"))
+        )
+        rest = cut_lineage(rest.withColumn("_old", F.col("name").isNull()).join(taken, ["grp", "ord", "_old"], "left_anti").select(*rest.columns))
+    return found
+
+
+def _first_choices(rest: DataFrame, tolerance: float) -> DataFrame:
+    """(grp, row, name, plan_id): rows and plans that are each other's first choice.
+
+    Only the first of each distinct size can be chosen, so sizes meet rather than rows; a size probes three buckets of a log scale.
+    """
+    step = -math.log(1 - tolerance) * 1.01
+    bucket = F.floor(F.log("size") / step)
+    at = rest.groupBy("grp", "run", "size", F.col("name").isNull().alias("old")).agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name"))
+    olds = at.where("old").select("grp", "run", F.col("size").alias("plan_size"), F.col("ord").alias("plan_id"), bucket.alias("_b"))
+    news = at.where("NOT old").select("grp", "run", "size", F.col("ord").alias("row"), "name", bucket.alias("_b0"))
+    probes = news.withColumn("_b", F.explode(F.array(F.col("_b0") - 1, F.col("_b0"), F.col("_b0") + 1))).drop("_b0")
+    fits = probes.join(olds, ["grp", "run", "_b"]).where(F.abs(F.col("plan_size") - F.col("size")) / F.col("plan_size") <= tolerance)
+    of_row = fits.groupBy("grp", "row").agg(F.min("plan_id").alias("plan_id"), F.first("name").alias("name"))
+    of_plan = fits.groupBy("grp", "plan_id").agg(F.min("row").alias("row"))
+    return of_row.join(of_plan, ["grp", "row", "plan_id"]).select("grp", "row", "name", "plan_id")

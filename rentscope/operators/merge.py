@@ -15,7 +15,7 @@ from rentscope.operators import quality as Q
 from rentscope.operators.alerts import area_prices
 from rentscope.operators.history import last_two
 from rentscope.operators.listings import min_price_by_apartment
-from rentscope.operators.scale import cut_lineage, instant, lookup, newest, number_by_hash
+from rentscope.operators.scale import cut_lineage, instant, lookup, newest, number_by_hash, once
 from rentscope.operators.setops import first_seen, missing_children
 
 
@@ -62,56 +62,128 @@ def insert_if_absent(target: DataFrame, incoming: DataFrame, key: str, order: st
 
 # --- scraped plans ---------------------------------------------------------------------------
 
-def _same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+# Fixed value: the name of a plan made from rows without one.
+NAMELESS = "Unit"
+# Fixed value: sizes this close (in square feet) can be one plan.
+SIZE_TOLERANCE = 5
 
 
 def match_plans(snapshot: DataFrame, plans: DataFrame) -> DataFrame:
-    """(apartment_id, pos, plan_id, tier) for every snapshot row.
+    """(apartment_id, pos, name, tier, plan_id, made_by) for every snapshot row, as if rows were matched one after the other by ``pos``.
 
-    1 active plan of the name, 2 archived plan of the name, 3 the only active plan of like size,
-    4 a plan to be created, NULL when nothing fits.  A plan is created at the first row of its name
-    that has bedrooms and no other match; later rows of the name belong to it.  Rows without a name are one name.  Stored plans alone
-    take part in tier 3, so rows do not depend on plans made from other names of the same snapshot.
+    1 active plan of the name, 2 archived plan of the name, which is active from then on, 3 the only active plan of equal bedrooms and
+    like size, 4 a plan to be created, NULL when nothing fits.  Plans made or woken by earlier rows of the snapshot are candidates like the
+    stored ones; one that the snapshot made is named by the ``pos`` of its row in ``made_by`` instead of ``plan_id``.  Rows without a name make
+    plans called NAMELESS and are found by size only.  Of several plans of one name the lowest id (or the first made) counts.
+
+    Only rows without a stored plan of their name depend on earlier rows: by size within a run of neighbouring sizes of one listing
+    and bed count, which is folded in order, and by name with other runs.  The latter is settled in rounds: each folds all runs with the names
+    made elsewhere as the last round left them, until they stay.  Since a row depends on earlier rows only, what stays is the result of
+    the sequential rule.
     """
     named = plans.groupBy(F.col("apartment_id").alias("_apt"), F.col("name").alias("_name")).agg(
         F.min(F.when(F.col("is_available"), F.col("id"))).alias("active_id"),
         F.min(F.when(~F.col("is_available"), F.col("id"))).alias("archived_id"),
     )
-    near = M.unique_within(snapshot, plans).withColumnRenamed("plan_id", "near_id")
-    rows = snapshot.select("apartment_id", "pos", "name", "bedrooms")
-    rows = rows.join(named, (F.col("apartment_id") == F.col("_apt")) & _same(F.col("name"), F.col("_name")), "left").drop("_apt", "_name")
-    rows = rows.join(near, ["apartment_id", "pos"], "left")
-    unnamed = F.coalesce("active_id", "archived_id").isNull()
-    makes = unnamed & F.col("near_id").isNull() & F.col("bedrooms").isNotNull()
-    made_at = F.min(F.when(makes, F.col("pos"))).over(Window.partitionBy("apartment_id", "name"))
-    placed = rows.withColumn("created_at_pos", made_at)
-    created = unnamed & (F.col("pos") >= F.col("created_at_pos"))
-    tier = (
-        F.when(F.col("active_id").isNotNull(), 1).when(F.col("archived_id").isNotNull(), 2)
-        .when(F.coalesce(created, F.lit(False)), 4).when(F.col("near_id").isNotNull(), 3)
+    rows = snapshot.select("apartment_id", F.col("pos").cast("long").alias("pos"), "name", "bedrooms", "size_sqft")
+    rows = cut_lineage(rows.join(named, (F.col("apartment_id") == F.col("_apt")) & F.col("name").eqNullSafe(F.col("_name")), "left").drop("_apt", "_name"))
+    wakes = F.col("active_id").isNull() & F.col("archived_id").isNotNull()
+    woken = rows.where(wakes).groupBy("archived_id").agg(F.min("pos").alias("woken_at"))
+    by_name = rows.where(F.coalesce("active_id", "archived_id").isNotNull()).join(woken, "archived_id", "left").select(
+        "apartment_id", "pos", "name", F.when(wakes & (F.col("pos") == F.col("woken_at")), 2).otherwise(1).alias("tier"),
+        F.coalesce("active_id", "archived_id").alias("plan_id"), F.lit(None).cast("long").alias("made_by"),
     )
-    return placed.select(
-        "apartment_id", "pos", "name", tier.alias("tier"),
-        F.when(tier == 4, None).otherwise(F.coalesce("active_id", "archived_id", "near_id")).alias("plan_id"),
+    loose = rows.where(F.coalesce("active_id", "archived_id").isNull()).drop("active_id", "archived_id")
+    elements = cut_lineage(_fold_elements(loose, plans, woken))
+    folded = _folded(elements)
+    made = folded.where("tier = 4").groupBy("apartment_id", F.col("makes").alias("name")).agg(F.min("pos").alias("known_at"))
+    bedless = loose.where(F.col("bedrooms").isNull()).join(made, ["apartment_id", "name"], "left")
+    seen = F.col("known_at") < F.col("pos")
+    none = F.lit(None).cast("long")
+    out = folded.select("apartment_id", "pos", "name", "tier", "plan_id", "made_by").unionByName(
+        bedless.select("apartment_id", "pos", "name", F.when(seen, 1).alias("tier"), none.alias("plan_id"), F.when(seen, F.col("known_at")).alias("made_by"))
     )
+    return by_name.unionByName(out).withColumn("pos", F.col("pos").cast(snapshot.schema["pos"].dataType))
 
 
-# Fixed value: the name of a plan made from rows without one.
-NAMELESS = "Unit"
+def _fold_elements(loose: DataFrame, plans: DataFrame, woken: DataFrame) -> DataFrame:
+    """What the fold goes through: rows without a plan of their name, and archived plans from the row on that wakes them, in their runs."""
+    near = M.near_plans(loose, plans, SIZE_TOLERANCE).withColumnRenamed("plan_id", "near_id")
+    probes = loose.where(F.col("bedrooms").isNotNull()).join(near, ["apartment_id", "pos"], "left").select(
+        "apartment_id", "pos", "bedrooms", "name", F.coalesce("size_sqft", F.lit(0.0)).alias("size"), F.col("size_sqft").alias("probe"),
+        F.coalesce("candidates", F.lit(0)).alias("near_n"), "near_id", F.lit(None).cast("long").alias("id"),
+        F.coalesce(F.nullif("name", F.lit("")), F.lit(NAMELESS)).alias("makes"),
+    )
+    arrivals = plans.where(F.col("area_sqft").isNotNull() & F.col("bedrooms").isNotNull()).join(woken, F.col("id") == F.col("archived_id")).select(
+        "apartment_id", F.col("woken_at").alias("pos"), "bedrooms", F.col("area_sqft").alias("size"), "id"
+    )
+    both = probes.unionByName(arrivals, allowMissingColumns=True)
+    return M.size_runs(both, ["apartment_id", "bedrooms"], "size", lambda s: F.floor(s / 100), lambda before, s: s - before > SIZE_TOLERANCE)
+
+
+MADE = "array<struct<pos:bigint,id:bigint,name:string,size:double>>"
+PLACED = "array<struct<pos:bigint,name:string,makes:string,tier:int,plan_id:bigint,made_by:bigint>>"
+
+
+def _one_row(acc: Column, e: Column) -> Column:
+    """The fold's next state: the plans made or woken so far in the run, and where each row went."""
+    near = F.filter(acc["made"], lambda m: F.abs(m["size"] - e["probe"]) <= SIZE_TOLERANCE)
+    own = F.array_min(F.transform(F.filter(acc["made"], lambda m: m["name"] == e["name"]), lambda m: m["pos"]))
+    elsewhere = F.when(e["known_at"] < e["pos"], e["known_at"])
+
+    def placed(x: Column) -> Column:
+        only = e["near_n"] + F.size(x["near"]) == 1
+        tier = F.when(x["by_name"].isNotNull(), 1).when(only, 3).otherwise(4)
+        first, stored = F.get(x["near"], F.lit(0)), e["near_n"] == 1
+        return F.struct(
+            e["pos"].alias("pos"), e["name"].alias("name"), e["makes"].alias("makes"), tier.alias("tier"),
+            F.when(tier == 3, F.when(stored, e["near_id"]).otherwise(first["id"])).alias("plan_id"),
+            F.when(tier == 1, x["by_name"]).when(tier == 3, F.when(~stored, first["pos"])).otherwise(e["pos"]).alias("made_by"),
+        )
+
+    def grown(row: Column) -> Column:
+        plan = lambda pos, id_, name: F.array(F.struct(pos.alias("pos"), id_.alias("id"), name.alias("name"), e["size"].alias("size"))).cast(MADE)
+        nothing = F.lit(None)
+        more = F.when(row["tier"] == 4, plan(e["pos"], nothing, e["makes"])).otherwise(F.array().cast(MADE))
+        return F.struct(F.concat(acc["made"], more).alias("made"), F.concat(acc["out"], F.array(row).cast(PLACED)).alias("out"))
+
+    arrived = F.array(F.struct(F.lit(None).alias("pos"), e["id"].alias("id"), F.lit(None).alias("name"), e["size"].alias("size"))).cast(MADE)
+    return F.when(e["id"].isNotNull(), F.struct(F.concat(acc["made"], arrived).alias("made"), acc["out"].alias("out"))).otherwise(
+        once(F.struct(near.alias("near"), F.least(own, elsewhere).alias("by_name")), lambda x: once(placed(x), grown))
+    )
+
+
+def _folded(elements: DataFrame) -> DataFrame:
+    """(apartment_id, pos, name, makes, tier, plan_id, made_by) of the probing rows."""
+    names = elements.where(F.col("id").isNull()).groupBy("apartment_id", F.col("makes").alias("name"))
+    shared = names.agg(F.count_distinct("grp", "run").alias("n")).where("n > 1").select("apartment_id", "name")
+    known = cut_lineage(shared.limit(0).withColumn("known_at", F.lit(None).cast("long")))
+    parts = ["pos", "id", "name", "makes", "size", "probe", "near_n", "near_id", "known_at"]
+    start = F.struct(F.array().cast(MADE).alias("made"), F.array().cast(PLACED).alias("out"))
+    while True:
+        ordered = elements.join(known, ["apartment_id", "name"], "left").groupBy("apartment_id", "grp", "run").agg(
+            F.array_sort(F.collect_list(F.struct(*parts))).alias("rows")
+        )
+        placed = ordered.select("apartment_id", F.explode(F.aggregate("rows", start, _one_row)["out"]).alias("r"))
+        out = cut_lineage(placed.select("apartment_id", "r.*"))
+        now = out.where("tier = 4").groupBy("apartment_id", F.col("makes").alias("name")).agg(F.min("pos").alias("known_at")).join(
+            shared, ["apartment_id", "name"], "left_semi"
+        )
+        now = cut_lineage(now)
+        if now.exceptAll(known).isEmpty() and known.exceptAll(now).isEmpty():
+            return out
+        known = now
 
 
 def new_plans(snapshot: DataFrame, matched: DataFrame, plans: DataFrame) -> DataFrame:
-    """Rows for the plans to be created, described by the first snapshot row that created each; ``snapshot_name`` is that row's own."""
+    """Rows for the plans to be created, each described by the snapshot row that makes it; ``made_by`` is that row's ``pos``."""
     rows = snapshot.join(matched.where(F.col("tier") == 4).select("apartment_id", "pos"), ["apartment_id", "pos"], "left_semi")
-    cols = ["bedrooms", "bathrooms", "size_sqft", "min_price"]
-    first = first_seen(rows, ["apartment_id", "name"], "pos", cols)
-    numbered = next_ids(first, ["apartment_id", "name"], plans)
+    numbered = next_ids(rows, ["apartment_id", "pos"], plans)
     return numbered.select(
         "id", "apartment_id", F.coalesce(F.nullif("name", F.lit("")), F.lit(NAMELESS)).alias("name"), "bedrooms",
         F.when(F.col("bathrooms") != 0, F.col("bathrooms")).otherwise(1.0).alias("bathrooms"),
         F.coalesce("size_sqft", F.lit(0.0)).alias("area_sqft"), F.col("min_price").alias("price"),
-        F.col("min_price").alias("current_price"), F.lit(True).alias("is_available"), F.col("name").alias("snapshot_name"),
+        F.col("min_price").alias("current_price"), F.lit(True).alias("is_available"), F.col("pos").cast("long").alias("made_by"),
     )
 
 
@@ -201,37 +273,45 @@ def unavailable_notices(rules: DataFrame, paused: DataFrame, as_of) -> DataFrame
     )
 
 
+# Amenities that a scrape may know.
+AMENITIES = ("pets_allowed", "has_parking", "has_pool", "has_gym", "has_dishwasher", "has_washer_dryer", "has_air_conditioning")
+
+
 def apply_snapshot(
-    apartments: DataFrame, plans: DataFrame, units: DataFrame, rules: DataFrame, snapshot: DataFrame, as_of
+    apartments: DataFrame, plans: DataFrame, units: DataFrame, rules: DataFrame, snapshot: DataFrame, as_of,
+    hosts=M.RENAMING_HOSTS, scraped: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The whole refresh: sanitise, rename, match, update plans and units, append history, pause alerts.
+    """The whole refresh: amenities and special, sanitise, rename, match, update plans and units, append history, pause alerts.
 
-    Cleaned rows, renamed plans and placed rows are each read by several later steps, so each is
-    written once.
+    ``hosts`` are the sites whose generic plan names give way to codes.  ``scraped`` has one row of what else a scrape found for each
+    listing: its id, any of AMENITIES (NULL: unknown) and ``current_special`` (NULL: none).  Cleaned rows, renamed plans and placed rows are
+    each read by several later steps, so each is written once.
     """
     clean = cut_lineage(Q.sanitise(snapshot))
-    renames = M.rename_generic(clean, plans, apartments).withColumnRenamed("plan_id", "id")
+    renames = M.rename_generic(clean, plans, apartments, hosts).withColumnRenamed("plan_id", "id")
     named = cut_lineage(
         plans.join(renames, "id", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
     )
     matched = cut_lineage(match_plans(clean, named))
     created = cut_lineage(new_plans(clean, matched, named))
-    ids = created.select(F.col("apartment_id").alias("_apt"), "snapshot_name", F.col("id").alias("new_id"))
-    placed = (
-        matched.join(ids, (F.col("apartment_id") == F.col("_apt")) & _same(F.col("name"), F.col("snapshot_name")), "left")
-        .select("apartment_id", "pos", F.when(F.col("tier") == 4, F.col("new_id")).otherwise(F.col("plan_id")).alias("plan_id"))
-        .where(F.col("plan_id").isNotNull())
-    )
+    ids = created.select("apartment_id", "made_by", F.col("id").alias("new_id"))
+    placed = matched.join(ids, ["apartment_id", "made_by"], "left").select(
+        "apartment_id", "pos", F.coalesce("plan_id", "new_id").alias("plan_id")
+    ).where(F.col("plan_id").isNotNull())
     rows = cut_lineage(clean.join(placed, ["apartment_id", "pos"]))
-    all_plans = named.unionByName(created.drop("snapshot_name"), allowMissingColumns=True)
+    all_plans = named.unionByName(created.drop("made_by"), allowMissingColumns=True)
     after = refreshed_plans(rows, all_plans)
     history = rows.groupBy("plan_id").agg(F.min("min_price").alias("price")).where(F.col("price").isNotNull()).withColumn(
         "recorded_at", instant(as_of)
     )
     new_units = upsert_units(rows, units, as_of, seen_available=True)
     paused = pause_let_units(rules, new_units, all_plans, clean)
+    if scraped is not None:
+        keep = [c for c in AMENITIES if c in scraped.columns]
+        apartments = merge_amenities(apartments, scraped, keep, [c for c in ("current_special",) if c in scraped.columns])
     return {
-        "plans": after, "units": new_units, "history": history, "rules": paused, "notices": unavailable_notices(rules, paused, as_of),
+        "apartments": apartments, "plans": after, "units": new_units, "history": history, "rules": paused,
+        "notices": unavailable_notices(rules, paused, as_of),
     }
 
 

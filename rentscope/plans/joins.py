@@ -78,19 +78,19 @@ def j07(t):
 
 
 @query("j08_similar_double_join", """
-WITH tgt AS (SELECT p.bedrooms, p.price, a.city FROM plans p JOIN apartments a ON a.id = p.apartment_id
-  WHERE p.apartment_id = 7 AND p.is_available AND p.price IS NOT NULL ORDER BY p.price, p.id LIMIT 1)
-SELECT a.id, a.title, a.city, min(q.price) AS min_price, max(q.price) AS max_price, min(q.bedrooms) AS min_beds,
+WITH tgt AS (SELECT p.bedrooms, p.price, a.state AS city FROM plans p JOIN apartments a ON a.id = p.apartment_id
+  WHERE p.apartment_id = 3 AND p.is_available AND p.price IS NOT NULL ORDER BY p.price, p.id LIMIT 1)
+SELECT a.id, a.title, a.state AS city, min(q.price) AS min_price, max(q.price) AS max_price, min(q.bedrooms) AS min_beds,
   max(q.bedrooms) AS max_beds, count(q.id) AS plan_count,
   cast(sum(CASE WHEN q.is_available THEN 1 ELSE 0 END) AS bigint) AS available_count,
   min(abs(m.price - tgt.price)) AS price_diff
-FROM tgt JOIN apartments a ON a.city = tgt.city JOIN plans m ON m.apartment_id = a.id JOIN plans q ON q.apartment_id = a.id
-WHERE a.id <> 7 AND a.is_available AND m.is_available AND m.bedrooms = tgt.bedrooms
+FROM tgt JOIN apartments a ON a.state = tgt.city JOIN plans m ON m.apartment_id = a.id JOIN plans q ON q.apartment_id = a.id
+WHERE a.id <> 3 AND a.is_available AND m.is_available AND m.bedrooms = tgt.bedrooms
   AND m.price BETWEEN tgt.price * 0.75 AND tgt.price * 1.25
-GROUP BY a.id, a.title, a.city
+GROUP BY a.id, a.title, a.state
 """)
 def j08(t):
-    return L.similar(t.apartments, t.plans, 7, limit=None).select(
+    return L.similar(t.apartments.withColumn("city", F.col("state")), t.plans, 3, limit=None).select(
         "id", "title", "city", "min_price", "max_price", "min_beds", "max_beds", "plan_count", "available_count", "price_diff"
     )
 
@@ -112,7 +112,22 @@ def j11(t):
     return M.unique_within(t.snapshot, t.plans)
 
 
-@query("j12_greedy_rename")
+# The pairing row by row: a step takes the next named row of each listing and the first plan that fits and is still free.
+RENAMED = """ro AS (SELECT s.apartment_id, s.name, row_number() OVER (PARTITION BY s.apartment_id ORDER BY s.pos) AS rn,
+    list_sort(list(p.id) FILTER (p.id IS NOT NULL)) AS fits FROM {source} s JOIN apartments a ON a.id = s.apartment_id
+    AND (contains(lower(a.source_url), 'avalon') OR contains(lower(a.source_url), 'host'))
+  LEFT JOIN plans p ON p.apartment_id = s.apartment_id AND p.bedrooms IS NOT DISTINCT FROM s.bedrooms AND p.is_available AND p.area_sqft > 0
+    AND regexp_matches(p.name, '(?i)^\\s*(studio|[0-9]+)\\s*(bed)?(room)?s?\\s*[/-]\\s*[0-9]+\\s*bath') AND abs(p.area_sqft - s.size_sqft) / p.area_sqft <= 0.05
+  WHERE s.name <> '' AND s.size_sqft > 0 AND NOT regexp_matches(s.name, '(?i)^\\s*(studio|[0-9]+)\\s*(bed)?(room)?s?\\s*[/-]\\s*[0-9]+\\s*bath')
+  GROUP BY s.apartment_id, s.pos, s.name),
+rs AS (SELECT DISTINCT ro.apartment_id, cast(0 AS bigint) AS rn, cast(NULL AS varchar) AS new_name, cast(NULL AS bigint) AS plan_id, cast([] AS bigint[]) AS used FROM ro
+  UNION ALL SELECT x.apartment_id, x.rn, x.name, x.pick, CASE WHEN x.pick IS NULL THEN x.used ELSE list_append(x.used, x.pick) END
+  FROM (SELECT ro.apartment_id, ro.rn, ro.name, rs.used, list_filter(coalesce(ro.fits, []), lambda f: NOT list_contains(rs.used, f))[1] AS pick
+    FROM rs JOIN ro ON ro.apartment_id = rs.apartment_id AND ro.rn = rs.rn + 1) x),
+rg AS (SELECT rs.plan_id, rs.new_name FROM rs WHERE rs.plan_id IS NOT NULL)"""
+
+
+@query("j12_greedy_rename", f"WITH RECURSIVE {RENAMED.format(source='snapshot')} SELECT rg.plan_id, rg.new_name FROM rg")
 def j12(t):
     return M.rename_generic(t.snapshot, t.plans, t.apartments, hosts=("avalon", "host"))
 

@@ -7,6 +7,7 @@ from rentscope.operators import merge as G
 from rentscope.plans.alerting import _AREA, _LAST
 from rentscope.plans.dataquality import SANITISED
 from rentscope.plans.filters import AS_OF
+from rentscope.plans.joins import RENAMED
 from rentscope.plans.registry import query
 
 _LIVE = ("lower(coalesce(s.availability, '')) NOT LIKE '%waitlist%' AND lower(coalesce(s.availability, '')) NOT LIKE '%unavailable%'")
@@ -76,32 +77,68 @@ def m04_history(t):
     return G.seed_history(G.seed_plans(t.plans, t.snapshot), t.snapshot, AS_OF)
 
 
-def _match_sql(source: str) -> str:
+def _match_sql(source: str, plans: str = "plans") -> str:
+    """The rule row by row: a step takes the next row of each listing and carries the plans made or woken so far."""
     return f"""nm AS (SELECT p.apartment_id, p.name, min(CASE WHEN p.is_available THEN p.id END) AS act, min(CASE WHEN NOT p.is_available THEN p.id END)
-    AS arc FROM plans p GROUP BY 1, 2),
-nr AS (SELECT s.apartment_id, s.pos, min(p.id) AS id FROM {source} s JOIN plans p ON p.apartment_id = s.apartment_id AND p.bedrooms = s.bedrooms
-  AND p.is_available AND abs(p.area_sqft - s.size_sqft) <= 5 GROUP BY 1, 2 HAVING count(*) = 1),
-rw AS (SELECT s.apartment_id, s.pos, s.name, s.bedrooms, nm.act, nm.arc, nr.id AS nid FROM {source} s
-  LEFT JOIN nm ON nm.apartment_id = s.apartment_id AND nm.name = s.name LEFT JOIN nr ON nr.apartment_id = s.apartment_id AND nr.pos = s.pos),
-cr AS (SELECT rw.apartment_id, rw.name, min(rw.pos) AS cpos FROM rw WHERE rw.act IS NULL AND rw.arc IS NULL AND rw.nid IS NULL
-  AND rw.bedrooms IS NOT NULL GROUP BY 1, 2),
-mt AS (SELECT rw.apartment_id, rw.pos, rw.name, CASE WHEN rw.act IS NOT NULL THEN 1 WHEN rw.arc IS NOT NULL THEN 2 WHEN rw.pos >= cr.cpos THEN 4
-    WHEN rw.nid IS NOT NULL THEN 3 END AS tier, CASE WHEN rw.act IS NOT NULL THEN rw.act WHEN rw.arc IS NOT NULL THEN rw.arc
-    WHEN rw.pos >= cr.cpos THEN NULL ELSE rw.nid END AS plan_id
-  FROM rw LEFT JOIN cr ON cr.apartment_id = rw.apartment_id AND cr.name = rw.name)"""
-
-
-@query("m05_match_plans", f"WITH {_match_sql('snapshot')} SELECT mt.apartment_id, mt.pos, mt.tier, mt.plan_id FROM mt")
+    AS arc FROM {plans} p GROUP BY 1, 2),
+nr AS (SELECT s.apartment_id, s.pos, count(*) AS n, min(p.id) AS id FROM {source} s JOIN {plans} p ON p.apartment_id = s.apartment_id
+  AND p.bedrooms = s.bedrooms AND p.is_available AND abs(p.area_sqft - s.size_sqft) <= 5 GROUP BY 1, 2),
+st AS (SELECT s.apartment_id, s.pos, s.name, s.bedrooms, s.size_sqft, nm.act, nm.arc, w.bedrooms AS arc_beds, w.area_sqft AS arc_size, coalesce(nr.n, 0) AS near_n,
+    nr.id AS near_id, row_number() OVER (PARTITION BY s.apartment_id ORDER BY s.pos) AS rn FROM {source} s
+  LEFT JOIN nm ON nm.apartment_id = s.apartment_id AND nm.name IS NOT DISTINCT FROM s.name LEFT JOIN {plans} w ON w.id = nm.arc
+  LEFT JOIN nr ON nr.apartment_id = s.apartment_id AND nr.pos = s.pos),
+sq AS (SELECT DISTINCT st.apartment_id, cast(0 AS bigint) AS rn, cast(NULL AS bigint) AS pos, cast(NULL AS varchar) AS name, cast(NULL AS int) AS tier,
+    cast(NULL AS bigint) AS plan_id, cast(NULL AS bigint) AS made_by,
+    cast([] AS STRUCT(pos bigint, id bigint, name varchar, beds double, size double)[]) AS made FROM st
+  UNION ALL
+  SELECT d.apartment_id, d.rn, d.pos, d.name, d.tier, CASE WHEN d.act IS NOT NULL THEN d.act WHEN d.arc IS NOT NULL THEN d.arc WHEN d.tier = 3
+      THEN CASE WHEN d.near_n = 1 THEN d.near_id ELSE d.near[1].id END END,
+    CASE WHEN coalesce(d.act, d.arc) IS NOT NULL THEN NULL WHEN d.tier = 1 THEN d.own[1].pos WHEN d.tier = 3 AND d.near_n = 0 THEN d.near[1].pos WHEN d.tier = 4 THEN d.pos END,
+    CASE WHEN d.tier = 2 THEN list_append(d.made, {{'pos': NULL, 'id': d.arc, 'name': NULL, 'beds': d.arc_beds, 'size': d.arc_size}})
+      WHEN d.tier = 4 THEN list_append(d.made, {{'pos': d.pos, 'id': NULL, 'name': coalesce(nullif(d.name, ''), 'Unit'), 'beds': d.bedrooms, 'size': coalesce(d.size_sqft, 0)}})
+      ELSE d.made END
+  FROM (SELECT c.*, CASE WHEN c.act IS NOT NULL THEN 1 WHEN c.arc IS NOT NULL THEN CASE WHEN len(c.woken) = 0 THEN 2 ELSE 1 END WHEN len(c.own) > 0 THEN 1
+      WHEN c.near_n + len(c.near) = 1 THEN 3 WHEN c.bedrooms IS NOT NULL THEN 4 END AS tier
+    FROM (SELECT st.*, sq.made, list_filter(sq.made, lambda m: m.id = st.arc) AS woken, list_filter(sq.made, lambda m: m.id IS NULL AND m.name = st.name) AS own,
+        list_filter(sq.made, lambda m: m.beds = st.bedrooms AND abs(m.size - st.size_sqft) <= 5) AS near
+      FROM sq JOIN st ON st.apartment_id = sq.apartment_id AND st.rn = sq.rn + 1) c) d),
+mt AS (SELECT sq.apartment_id, sq.pos, sq.name, sq.tier, sq.plan_id, sq.made_by FROM sq WHERE sq.rn > 0)"""
+
+
+_MATCHED = ("apartment_id", "pos", "tier", "plan_id", "made_by")
+
+
+@query("m05_match_plans", f"WITH RECURSIVE {_match_sql('snapshot')} SELECT mt.apartment_id, mt.pos, mt.tier, mt.plan_id, mt.made_by FROM mt")
 def m05(t):
-    return G.match_plans(t.snapshot, t.plans).select("apartment_id", "pos", "tier", "plan_id")
-
-
-_NEWPLANS = """np AS (SELECT z.apartment_id, z.name, (SELECT max(x.id) FROM plans x) + row_number() OVER (ORDER BY
-    md5(cast(z.apartment_id AS string) || '|' || z.name), z.apartment_id, z.name) AS id FROM
-  (SELECT DISTINCT mt.apartment_id, mt.name FROM mt WHERE mt.tier = 4) z)"""
-_PLACED = f"""{SANITISED}, {_match_sql('san')}, {_NEWPLANS},
-pl AS (SELECT s.*, CASE WHEN mt.tier = 4 THEN np.id ELSE mt.plan_id END AS plan_id FROM san s JOIN mt ON mt.apartment_id = s.apartment_id
-  AND mt.pos = s.pos LEFT JOIN np ON np.apartment_id = mt.apartment_id AND np.name = mt.name WHERE mt.tier IS NOT NULL)"""
+    return G.match_plans(t.snapshot, t.plans).select(*_MATCHED)
+
+
+# Listings of many rows whose sizes and names run into each other, most plans unknown: what one row makes decides on later ones.
+_DENSE = """few AS (SELECT p.* REPLACE (p.apartment_id % 9 AS apartment_id, p.area_sqft % 190 AS area_sqft) FROM plans p WHERE p.id % 5 = 0),
+dn AS (SELECT s.* REPLACE (s.apartment_id % 9 AS apartment_id, s.size_sqft % 190 AS size_sqft, CASE WHEN s.pos % 6 = 0 THEN NULL WHEN s.pos % 10 = 1 THEN ''
+  WHEN s.pos % 4 = 1 THEN 'Unit' WHEN s.pos % 3 = 0 THEN s.name ELSE 'K' || cast(s.pos % 23 AS string) END AS name) FROM snapshot s)"""
+
+
+@query("m05_match_in_sequence", f"WITH RECURSIVE {_DENSE}, {_match_sql('dn', 'few')} SELECT mt.apartment_id, mt.pos, mt.tier, mt.plan_id, mt.made_by FROM mt")
+def m05_sequence(t):
+    i = F.col("pos")
+    few = t.plans.where(F.col("id") % 5 == 0).withColumns({"apartment_id": F.col("apartment_id") % 9, "area_sqft": F.col("area_sqft") % 190})
+    dense = t.snapshot.withColumns({
+        "apartment_id": F.col("apartment_id") % 9, "size_sqft": F.col("size_sqft") % 190,
+        "name": F.when(i % 6 == 0, None).when(i % 10 == 1, "").when(i % 4 == 1, "Unit").when(i % 3 == 0, F.col("name")).otherwise(F.concat(F.lit("K"), i % 23)),
+    })
+    return G.match_plans(dense, few).select(*_MATCHED)
+
+
+_NEWPLANS = """np AS (SELECT mt.apartment_id, mt.pos, (SELECT max(x.id) FROM plans x) + row_number() OVER (ORDER BY
+    md5(cast(mt.apartment_id AS string) || '|' || cast(mt.pos AS string)), mt.apartment_id, mt.pos) AS id FROM mt WHERE mt.tier = 4)"""
+# Hosts of the fixtures, so that stored generic names give way to codes.
+_HOSTS = ("avalon", "host")
+_PLACED = f"""{SANITISED}, {RENAMED.format(source='san')},
+named AS (SELECT p.* REPLACE (coalesce(rg.new_name, p.name) AS name) FROM plans p LEFT JOIN rg ON rg.plan_id = p.id),
+{_match_sql('san', 'named')}, {_NEWPLANS},
+pl AS (SELECT s.*, coalesce(mt.plan_id, np.id) AS plan_id FROM san s JOIN mt ON mt.apartment_id = s.apartment_id
+  AND mt.pos = s.pos LEFT JOIN np ON np.apartment_id = mt.apartment_id AND np.pos = mt.made_by WHERE mt.tier IS NOT NULL)"""
 # Which stored or new unit each row ends in: the last row of (plan, number), numbers '' when anonymous.
 _UNITS = """ic AS (SELECT i.*, coalesce(nullif(i.unit_number, ''), '') AS k FROM {src} i),
 ls AS (SELECT x.* FROM (SELECT ic.*, row_number() OVER (PARTITION BY ic.plan_id, ic.k ORDER BY ic.pos DESC) AS rn FROM ic) x WHERE x.rn = 1),
@@ -129,17 +166,16 @@ def m06(t):
 
 
 def _applied(t):
-    return G.apply_snapshot(t.apartments, t.plans, t.units, t.subscriptions, t.snapshot, AS_OF)
+    return G.apply_snapshot(t.apartments, t.plans, t.units, t.subscriptions, t.snapshot, AS_OF, _HOSTS, _scraped(t))
 
 
 @query("m07_apply_snapshot_plans", f"""
-WITH {_PLACED},
+WITH RECURSIVE {_PLACED},
 rp AS (SELECT x.* FROM (SELECT pl.*, row_number() OVER (PARTITION BY pl.plan_id ORDER BY pl.min_price NULLS LAST, pl.pos) AS rn FROM pl) x WHERE x.rn = 1),
 en AS (SELECT pl.plan_id, min(pl.min_price) AS lo, max(pl.min_price) AS hi FROM pl GROUP BY 1),
-fr AS (SELECT x.* FROM (SELECT s.*, np.id AS nid, row_number() OVER (PARTITION BY np.id ORDER BY s.pos) AS rn FROM san s JOIN mt
-  ON mt.apartment_id = s.apartment_id AND mt.pos = s.pos AND mt.tier = 4 JOIN np ON np.apartment_id = s.apartment_id AND np.name = s.name) x WHERE x.rn = 1),
+fr AS (SELECT s.* REPLACE (coalesce(nullif(s.name, ''), 'Unit') AS name), np.id AS nid FROM san s JOIN np ON np.apartment_id = s.apartment_id AND np.pos = s.pos),
 al AS (SELECT p.id, p.apartment_id, p.name, p.bedrooms, p.bathrooms, p.area_sqft, p.price, p.max_price, p.is_available, p.external_url, p.floor_level,
-  p.facing FROM plans p UNION ALL SELECT fr.nid, fr.apartment_id, fr.name, fr.bedrooms, coalesce(nullif(fr.bathrooms, 0), 1),
+  p.facing FROM named p UNION ALL SELECT fr.nid, fr.apartment_id, fr.name, fr.bedrooms, coalesce(nullif(fr.bathrooms, 0), 1),
   coalesce(fr.size_sqft, 0), fr.min_price, NULL, true, NULL, NULL, NULL FROM fr)
 SELECT al.id, al.apartment_id, CASE WHEN rp.name <> '' AND coalesce(al.name, '') IN ('', 'Unit') THEN rp.name ELSE al.name END AS name,
   coalesce(rp.bedrooms, al.bedrooms) AS bedrooms, coalesce(rp.bathrooms, al.bathrooms) AS bathrooms,
@@ -159,7 +195,7 @@ def m07(t):
 
 
 @query("m07_apply_snapshot_history", f"""
-WITH {_PLACED} SELECT pl.plan_id, min(pl.min_price) AS price, @ts'2001-11-05 00:00:00' AS recorded_at FROM pl GROUP BY pl.plan_id
+WITH RECURSIVE {_PLACED} SELECT pl.plan_id, min(pl.min_price) AS price, @ts'2001-11-05 00:00:00' AS recorded_at FROM pl GROUP BY pl.plan_id
 HAVING min(pl.min_price) IS NOT NULL
 """)
 def m07_history(t):
@@ -167,7 +203,7 @@ def m07_history(t):
 
 
 @query("m07_apply_snapshot_units", f"""
-WITH {_PLACED}, {_UNITS.format(src='pl', flag='true')}
+WITH RECURSIVE {_PLACED}, {_UNITS.format(src='pl', flag='true')}
 SELECT un.id, un.plan_id, un.unit_number, un.price, un.area_sqft, un.is_available FROM un
 """)
 def m07_units(t):
@@ -175,7 +211,7 @@ def m07_units(t):
 
 
 @query("m07_apply_snapshot_rules", f"""
-WITH {_PLACED}, {_UNITS.format(src='pl', flag='true')}
+WITH RECURSIVE {_PLACED}, {_UNITS.format(src='pl', flag='true')}
 SELECT s.id, s.is_active AND NOT coalesce(NOT un.is_available, false) AS is_active FROM subscriptions s LEFT JOIN un ON un.id = s.unit_id
   AND un.plan_id IN (SELECT p.id FROM plans p WHERE p.apartment_id IN (SELECT x.apartment_id FROM san x)
   UNION ALL SELECT np.id FROM np WHERE np.apartment_id IN (SELECT x.apartment_id FROM san x))
@@ -185,7 +221,7 @@ def m07_rules(t):
 
 
 @query("m07_apply_snapshot_notices", f"""
-WITH {_PLACED}, {_UNITS.format(src='pl', flag='true')}
+WITH RECURSIVE {_PLACED}, {_UNITS.format(src='pl', flag='true')}
 SELECT s.id AS subscription_id, s.user_id, s.unit_id, 'unit_unavailable' AS trigger_type, @ts'2001-11-05 00:00:00' AS sent_at
 FROM subscriptions s JOIN un ON un.id = s.unit_id JOIN plans p ON p.id = un.plan_id
 WHERE s.is_active AND NOT un.is_available AND p.apartment_id IN (SELECT x.apartment_id FROM san x)
@@ -210,24 +246,35 @@ def m09(t):
     return G.pause_let_units(t.subscriptions, t.units, t.plans, t.snapshot).select("id", "is_active")
 
 
-@query("m10_amenities_and_special", """
+_AMENITIES = """
 SELECT a.id, coalesce(CASE a.id % 5 WHEN 0 THEN true WHEN 1 THEN false END, a.pets_allowed) AS pets_allowed,
   coalesce(CASE a.id % 7 WHEN 0 THEN false END, a.has_parking) AS has_parking,
   CASE WHEN a.id % 2 = 0 THEN CASE WHEN a.id % 3 = 1 THEN 'Half off' END ELSE a.current_special END AS current_special
 FROM (SELECT x.* REPLACE (x.id AS id) FROM apartments x) a WHERE a.id % 2 = 0
 UNION ALL SELECT a.id, a.pets_allowed, a.has_parking, a.current_special FROM apartments a WHERE a.id % 2 <> 0
-""")
-def m10(t):
+"""
+
+
+def _scraped(t):
     i = F.col("id")
-    scraped = t.apartments.where(i % 2 == 0).select(
+    return t.apartments.where(i % 2 == 0).select(
         "id", F.when(i % 5 == 0, True).when(i % 5 == 1, False).alias("pets_allowed"),
         F.when(i % 7 == 0, False).alias("has_parking"), F.when(i % 3 == 1, "Half off").alias("current_special"),
     )
-    return G.merge_amenities(t.apartments, scraped, ["pets_allowed", "has_parking"], ["current_special"]).select(
+
+
+@query("m10_amenities_and_special", _AMENITIES)
+def m10(t):
+    return G.merge_amenities(t.apartments, _scraped(t), ["pets_allowed", "has_parking"], ["current_special"]).select(
         "id", "pets_allowed", "has_parking", "current_special"
     )
 
 
+@query("m07_apply_snapshot_listings", _AMENITIES)
+def m07_listings(t):
+    return _applied(t)["apartments"].select("id", "pets_allowed", "has_parking", "current_special")
+
+
 @query("m11_suppression_merge", """
 WITH l AS (SELECT r.url, r.run_at, r.id, r.outcome, CASE WHEN r.outcome IN ('success','content_unchanged','cache_hit','platform_direct') THEN 1
     WHEN r.outcome IN ('validated_fail','hard_fail') THEN 0 END AS ok FROM runs r),

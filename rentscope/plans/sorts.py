@@ -62,15 +62,15 @@ def o05(t):
 
 
 @query("o06_similar_top_five", """
-WITH tgt AS (SELECT p.bedrooms, p.price, a.city FROM plans p JOIN apartments a ON a.id = p.apartment_id
-  WHERE p.apartment_id = 7 AND p.is_available AND p.price IS NOT NULL ORDER BY p.price, p.id LIMIT 1)
-SELECT a.id, a.title, min(abs(m.price - tgt.price)) AS price_diff FROM tgt JOIN apartments a ON a.city = tgt.city
-JOIN plans m ON m.apartment_id = a.id WHERE a.id <> 7 AND a.is_available AND m.is_available AND m.bedrooms = tgt.bedrooms
+WITH tgt AS (SELECT p.bedrooms, p.price, a.state AS city FROM plans p JOIN apartments a ON a.id = p.apartment_id
+  WHERE p.apartment_id = 3 AND p.is_available AND p.price IS NOT NULL ORDER BY p.price, p.id LIMIT 1)
+SELECT a.id, a.title, min(abs(m.price - tgt.price)) AS price_diff FROM tgt JOIN apartments a ON a.state = tgt.city
+JOIN plans m ON m.apartment_id = a.id WHERE a.id <> 3 AND a.is_available AND m.is_available AND m.bedrooms = tgt.bedrooms
   AND m.price BETWEEN tgt.price * 0.75 AND tgt.price * 1.25
 GROUP BY a.id, a.title ORDER BY price_diff, a.id LIMIT 5
 """)
 def o06(t):
-    return L.similar(t.apartments, t.plans, 7).select("id", "title", "price_diff")
+    return L.similar(t.apartments.withColumn("city", F.col("state")), t.plans, 3).select("id", "title", "price_diff")
 
 
 @query("o07_primary_plans", """

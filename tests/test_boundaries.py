@@ -205,11 +205,11 @@ def test_card_rent(spark):
     assert {r["t"]: r["r"] for r in rows} == cards
 
 
-def test_rows_without_a_name_make_one_unit_plan(spark):
+def test_rows_without_a_name_are_found_by_size(spark):
     stored = plans(spark, (1, "A1", 1.0, 600.0), (2, None, 2.0, 900.0))
-    rows = snap(spark, (None, 2500.0, 1.0, 700.0), ("", 2600.0, 3.0, 1200.0), (None, 2400.0, 2.0, 900.0), ("", 2600.0, 3.0, 1200.0), (None, 1.0))
-    matched = {r["pos"]: (r["tier"], r["plan_id"]) for r in G.match_plans(rows, stored).collect()}
-    assert matched == {0: (1, 2), 1: (4, None), 2: (1, 2), 3: (4, None), 4: (1, 2)}
+    rows = snap(spark, (None, 2500.0, 1.0, 700.0), ("", 2600.0, 3.0, 1200.0), (None, 2400.0, 2.0, 900.0), ("", 2600.0, 3.0, 1200.0), (None, 1.0), ("Unit", 2.0, 1.0, 70.0))
+    matched = {r["pos"]: (r["tier"], r["plan_id"], r["made_by"]) for r in G.match_plans(rows, stored).collect()}
+    assert matched == {0: (1, 2, None), 1: (4, None, 1), 2: (1, 2, None), 3: (3, None, 1), 4: (1, 2, None), 5: (1, None, 1)}
     fresh = snap(spark, (None, 2500.0, 1.0, 700.0), ("", 2600.0, 3.0, 1200.0))
     none = stored.limit(0)
     made = G.new_plans(fresh, G.match_plans(fresh, none), none).collect()
@@ -237,3 +237,19 @@ def test_listings_without_url_know_no_url(spark):
     stored = spark.createDataFrame([("e1", None), ("e2", "https://a.example.com/")], "external_id string, source_url string")
     new = spark.createDataFrame([(1, "e1", None), (2, "n2", None), (3, "n3", "https://a.example.com"), (4, None, "")], "seq long, external_id string, source_url string")
     assert sorted(r["seq"] for r in M.not_known(new, stored).collect()) == [2, 4]
+
+
+def test_rows_of_like_size_make_one_plan(spark):
+    rows = snap(spark, ("N1", 2000.0, 1.0, 1000.0), ("N2", 2100.0, 1.0, 1003.0), ("N3", 2200.0, 1.0, 1006.0), ("N3", 2300.0, 1.0, 400.0), ("N2", 2400.0))
+    none = plans(spark, (1, "x", 1.0, 1.0)).limit(0)
+    matched = {r["pos"]: (r["tier"], r["made_by"]) for r in G.match_plans(rows, none).collect()}
+    assert matched == {0: (4, 0), 1: (3, 0), 2: (4, 2), 3: (1, 2), 4: (None, None)}
+    made = G.new_plans(rows, G.match_plans(rows, none), none).collect()
+    assert sorted((r["name"], r["area_sqft"]) for r in made) == [("N1", 1000.0), ("N3", 1006.0)]
+
+
+def test_woken_plans_are_candidates(spark):
+    stored = plans(spark, (1, "Old", 1.0, 600.0, False), (2, "New", 1.0, 603.0))
+    rows = snap(spark, ("X", 1.0, 1.0, 601.0), ("Old", 1.0, 9.0, 1.0), ("Y", 1.0, 1.0, 601.0), ("Old", 1.0))
+    matched = {r["pos"]: (r["tier"], r["plan_id"], r["made_by"]) for r in G.match_plans(rows, stored).collect()}
+    assert matched == {0: (3, 2, None), 1: (2, 1, None), 2: (4, None, 2), 3: (1, 1, None)}

@@ -7,7 +7,7 @@ from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 # Too few rows at this scale for these conditions to select any.
-MAY_BE_EMPTY = {"a35_dominant_name_batches", "x03_without_recent_run", "f20_client_filters", "j08_similar_double_join", "o05_second_page"}
+MAY_BE_EMPTY = {"a35_dominant_name_batches", "x03_without_recent_run", "f20_client_filters", "o05_second_page"}
 
 
 @pytest.fixture(scope="module")

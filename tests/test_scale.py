@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rentscope.operators import alerts as A
 from rentscope.operators import matching as M
+from rentscope.operators import merge as G
 from rentscope.operators import scale as S
 
 
@@ -117,3 +118,42 @@ def test_area_prices_matches_all_pairs(spark):
         price, count = got[i]
         assert (count or 0) == len(hit)
         assert price == (pytest.approx(sum(priced) / len(priced)) if priced else None)
+
+
+def sequential_match(rows, stored):
+    """Rows one after the other: {(listing, pos): (tier, plan id, pos of the row that made the plan)}."""
+    out = {}
+    for apt in {r[0] for r in rows}:
+        live = [{"id": p[0], "by": None, "name": p[2], "beds": p[3], "size": p[4], "on": p[5]} for p in sorted(stored) if p[1] == apt]
+        for _, pos, name, beds, size in sorted((r for r in rows if r[0] == apt), key=lambda r: r[1]):
+            same = [p for p in live if p["name"] == name and (p["by"] is None or name)]
+            hit, tier = next((p for p in same if p["on"]), None), 1
+            if hit is None:
+                hit, tier = next(iter(same), None), 2
+            if hit is None and beds is not None and size is not None:
+                near = [p for p in live if p["on"] and p["beds"] == beds and p["size"] is not None and abs(p["size"] - size) <= 5]
+                hit, tier = near[0] if len(near) == 1 else None, 3
+            if hit is None and beds is not None:
+                hit, tier = {"id": None, "by": pos, "name": name or "Unit", "beds": beds, "size": size or 0.0, "on": True}, 4
+                live.append(hit)
+            if hit is not None:
+                hit["on"] = True
+            out[apt, pos] = (tier, hit["id"], hit["by"]) if hit else (None, None, None)
+    return out
+
+
+def test_match_plans_is_sequential(spark):
+    rng = random.Random(23)
+    for seed in range(3):
+        names = ["Unit", "", None, *(f"P{i}" for i in range(25))]
+        stored = [(i, rng.randrange(4), rng.choice(names), rng.choice([None, 0.0, 1.0]), rng.choice([None, 0.0, float(rng.randrange(400, 520))]), rng.random() < 0.6)
+                  for i in range(40)]
+        rows = [(rng.randrange(4), i, rng.choice(names), rng.choice([None, 0.0, 1.0, 1.0]), rng.choice([None, 3.0, *(float(rng.randrange(400, 520)) for _ in range(4))]))
+                for i in range(260)]
+        got = G.match_plans(
+            spark.createDataFrame(rows, "apartment_id long, pos int, name string, bedrooms double, size_sqft double").repartition(5),
+            spark.createDataFrame(stored, "id long, apartment_id long, name string, bedrooms double, area_sqft double, is_available boolean"),
+        ).collect()
+        want = sequential_match(rows, stored)
+        assert {(r["apartment_id"], r["pos"]): (r["tier"], r["plan_id"], r["made_by"]) for r in got} == want
+        assert len({t for t, _, _ in want.values()}) == 5 and any(t == 3 and by is not None for t, _, by in want.values())
