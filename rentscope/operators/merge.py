@@ -176,7 +176,10 @@ def _folded(elements: DataFrame) -> DataFrame:
 
 
 def new_plans(snapshot: DataFrame, matched: DataFrame, plans: DataFrame) -> DataFrame:
-    """Rows for the plans to be created, each described by the snapshot row that makes it; ``made_by`` is that row's ``pos``."""
+    """Rows for the plans to be created, each described by the snapshot row that makes it; ``made_by`` is that row's ``pos``.
+
+    Ids follow the greatest one of ``plans``, of which no other column is read.
+    """
     rows = snapshot.join(matched.where(F.col("tier") == 4).select("apartment_id", "pos"), ["apartment_id", "pos"], "left_semi")
     numbered = next_ids(rows, ["apartment_id", "pos"], plans)
     return numbered.select(
@@ -220,11 +223,11 @@ def refreshed_plans(matched_rows: DataFrame, plans: DataFrame) -> DataFrame:
     }).drop("r", "_min", "_max", "_apt_seen")
 
 
-def upsert_units(rows: DataFrame, units: DataFrame, today, seen_available: bool = False) -> DataFrame:
+def upsert_units(rows: DataFrame, units: DataFrame, today, seen_available: bool = False, numbered_after: DataFrame | None = None) -> DataFrame:
     """Units after a scrape, by (plan, unit number); the last row of a unit wins.
 
     Rows without a number share one anonymous unit per plan and further stored ones are archived.
-    Where a plan's rows carry numbers, its other numbered units have been let.
+    Where a plan's rows carry numbers, its other numbered units have been let.  New ids follow the greatest of ``numbered_after`` (``units``).
     """
     flag, starts = T.parse_availability(F.col("availability"), today)
     number = F.nullif("unit_number", F.lit(""))
@@ -253,7 +256,7 @@ def upsert_units(rows: DataFrame, units: DataFrame, today, seen_available: bool
         F.col("is_available")
     )
     kept = old.withColumns(changed).select(*units.columns)
-    added = next_ids(last.join(first_id, ["plan_id", "_k"], "left_anti"), ["plan_id", "_k"], units)
+    added = next_ids(last.join(first_id, ["plan_id", "_k"], "left_anti"), ["plan_id", "_k"], units if numbered_after is None else numbered_after)
     return kept.unionByName(added.withColumn("unit_number", F.nullif("_k", F.lit(""))).select(*units.columns))
 
 
@@ -279,13 +282,14 @@ AMENITIES = ("pets_allowed", "has_parking", "has_pool", "has_gym", "has_dishwash
 
 def apply_snapshot(
     apartments: DataFrame, plans: DataFrame, units: DataFrame, rules: DataFrame, snapshot: DataFrame, as_of,
-    hosts=M.RENAMING_HOSTS, scraped: DataFrame | None = None,
+    hosts=M.RENAMING_HOSTS, scraped: DataFrame | None = None, tops: dict[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """The whole refresh: amenities and special, sanitise, rename, match, update plans and units, append history, pause alerts.
 
     ``hosts`` are the sites whose generic plan names give way to codes.  ``scraped`` has one row of what else a scrape found for each
-    listing: its id, any of AMENITIES (NULL: unknown) and ``current_special`` (NULL: none).  Cleaned rows, renamed plans and placed rows are
-    each read by several later steps, so each is written once.
+    listing: its id, any of AMENITIES (NULL: unknown) and ``current_special`` (NULL: none).  ``tops`` has the greatest ids of the
+    whole tables where ``plans`` and ``units`` are parts of them.  Cleaned rows, renamed plans and placed rows are each read by several
+    later steps, so each is written once.
     """
     clean = cut_lineage(Q.sanitise(snapshot))
     renames = M.rename_generic(clean, plans, apartments, hosts).withColumnRenamed("plan_id", "id")
@@ -293,7 +297,8 @@ def apply_snapshot(
         plans.join(renames, "id", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
     )
     matched = cut_lineage(match_plans(clean, named))
-    created = cut_lineage(new_plans(clean, matched, named))
+    tops = tops or {}
+    created = cut_lineage(new_plans(clean, matched, tops.get("plans", named)))
     ids = created.select("apartment_id", "made_by", F.col("id").alias("new_id"))
     placed = matched.join(ids, ["apartment_id", "made_by"], "left").select(
         "apartment_id", "pos", F.coalesce("plan_id", "new_id").alias("plan_id")
@@ -304,7 +309,7 @@ def apply_snapshot(
     history = rows.groupBy("plan_id").agg(F.min("min_price").alias("price")).where(F.col("price").isNotNull()).withColumn(
         "recorded_at", instant(as_of)
     )
-    new_units = upsert_units(rows, units, as_of, seen_available=True)
+    new_units = upsert_units(rows, units, as_of, seen_available=True, numbered_after=tops.get("units"))
     paused = pause_let_units(rules, new_units, all_plans, clean)
     if scraped is not None:
         keep = [c for c in AMENITIES if c in scraped.columns]

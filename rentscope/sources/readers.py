@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentscope.operators.scale import before
 from rentscope.schemas import DISCOVERY, PLACE, PLACE_PAYLOAD, SEED, STEP_CACHE, TABLES, WEBHOOK_EVENT
+from rentscope.sources.buckets import committed
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -109,3 +112,12 @@ def raw_place_rows(documents: DataFrame, json: str) -> DataFrame:
         F.col("p.rating").alias("rating"), F.col("p.userRatingCount").alias("user_rating_count"),
         F.col("p.location.latitude").alias("latitude"), F.col("p.location.longitude").alias("longitude"), F.col(json).alias("raw_json"),
     )
+
+
+def read_fact(spark: SparkSession, path: str, schema: str, runs: Iterable[int] | None = None) -> DataFrame:
+    """Rows that finished runs appended to a fact, with their ``run``; of the given runs only, if any are."""
+    done = [r for r in committed(spark, path, "run") if runs is None or r in set(runs)]
+    if not done:
+        return spark.createDataFrame([], schema).withColumn("run", F.lit(None).cast("long"))
+    rows = spark.read.schema(f"{schema}, run long").option("basePath", path)
+    return rows.parquet(*[f"{path}/run={r}" for r in done])

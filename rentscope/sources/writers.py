@@ -32,9 +32,11 @@ def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:
     })
 
 
-def append_fact(rows: DataFrame, path: str, defaults: dict, partition_by: str | None = None) -> None:
-    writer = with_defaults(rows, defaults).write.mode("append")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+def append_fact(rows: DataFrame, path: str, defaults: dict, partition_by: str | None = None, run: int | None = None) -> None:
+    """Append rows with defaulted columns.  Rows of a numbered ``run`` have a folder of their own, ``run=N``: a job that is repeated
+    replaces what it wrote, and ``readers.read_fact`` takes a run's rows once its writer has finished."""
+    writer = with_defaults(rows, defaults).write.mode("append" if run is None else "overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path if run is None else f"{path}/run={run}")
 
 
 def summary_totals(found: DataFrame, cost_per_city: float) -> DataFrame:

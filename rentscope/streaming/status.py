@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rentscope.sources.buckets import committed
+
 # Provider event to status, and the rank a status may not fall below.
 EVENT_STATUS = {
     "bounce": "bounced", "blocked": "bounced", "deferred": "failed", "delivered": "delivered", "open": "opened", "click": "clicked",
@@ -50,24 +52,60 @@ def current_status(notifications: DataFrame, updates: DataFrame) -> DataFrame:
     return notifications.join(last, "external_id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
 
 
-def start_status_stream(events: DataFrame, notifications: DataFrame, updates_path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
-    """Writes the status changes of each batch to ``updates_path/batch=N``; read them with ``current_status``.
+def levels(batches: int) -> list[tuple[int, int]]:
+    """(last batch, number of batches) of the folders that hold the first ``batches`` batches: one for each binary digit, shortest first."""
+    out = []
+    while batches:
+        span = batches & -batches
+        out.append((batches - 1, span))
+        batches -= span
+    return out
+
+
+def _folder(path: str, last: int, span: int) -> str:
+    return f"{path}/last={last}/span={span}"
+
+
+UPDATE = "external_id string, status string, batch bigint"
+
+
+def read_updates(spark: SparkSession, path: str, batches: int) -> DataFrame:
+    """The newest update of each message in the first ``batches`` batches, from as many folders as their number has binary ones."""
+    folders = [_folder(path, *f) for f in levels(batches)]
+    rows = spark.read.schema(UPDATE).parquet(*folders) if folders else spark.createDataFrame([], UPDATE)
+    return rows.groupBy("external_id").agg(F.max_by("status", "batch").alias("status"), F.max("batch").alias("batch"))
 
-    A batch looks only at the messages it names and at earlier batches, so one that is run again writes
-    the same folder again.
+
+def batches_written(spark: SparkSession, path: str) -> int:
+    """How many batches have been written: a batch's marker is the last thing it writes."""
+    return max(committed(spark, f"{path}/done", "batch"), default=-1) + 1
+
+
+def status_batch(events: DataFrame, notifications: DataFrame, path: str, batch_id: int, order: list[str]) -> None:
+    """Write the status changes of batch ``batch_id`` (0, 1, ...), folded with as many earlier batches as its level takes.
+
+    Like the digits of a counter, folders of 1, 2, 4 ... batches merge when the next of their length would appear, so a batch reads a number of
+    folders that is logarithmic in the number of batches, and each update is written again a logarithmic number of times.  Folders that were
+    merged stay, so a batch that is repeated reads and writes the same.
     """
     spark = events.sparkSession
-    schema = "external_id string, status string, batch bigint"
+    named = strongest(events, order).select("external_id")
+    earlier = read_updates(spark, path, batch_id)
+    before = current_status(notifications.join(named, "external_id", "left_semi"), earlier.join(named, "external_id", "left_semi"))
+    after = advance_status(events, before.withColumn("_old", F.col("status")), order)
+    changed = after.where(F.col("status") != F.col("_old")).select("external_id", "status", F.lit(batch_id).cast("long").alias("batch")).distinct()
+    last, span = levels(batch_id + 1)[0]
+    merged = [_folder(path, *f) for f in levels(batch_id) if f[1] < span]
+    rows = changed.unionByName(spark.read.schema(UPDATE).parquet(*merged)) if merged else changed
+    newest = rows.groupBy("external_id").agg(F.max_by("status", "batch").alias("status"), F.max("batch").alias("batch"))
+    newest.write.mode("overwrite").parquet(_folder(path, last, span))
+    spark.range(0).write.mode("overwrite").parquet(f"{path}/done/batch={batch_id}")
+
+
+def start_status_stream(events: DataFrame, notifications: DataFrame, updates_path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
+    """``status_batch`` on every batch; read the changes with ``read_updates`` and apply them with ``current_status``."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark.createDataFrame([], "external_id string, status string").write.mode("ignore").parquet(f"{updates_path}/batch=-1")
-        earlier = spark.read.schema(schema).parquet(updates_path).where(F.col("batch") < batch_id)
-        named = strongest(batch, order).select("external_id")
-        before = current_status(
-            notifications.join(named, "external_id", "left_semi"), earlier.join(named, "external_id", "left_semi")
-        )
-        after = advance_status(batch, before.withColumn("_old", F.col("status")), order)
-        changed = after.where(F.col("status") != F.col("_old")).select("external_id", "status").distinct()
-        changed.write.mode("overwrite").parquet(f"{updates_path}/batch={batch_id}")
+        status_batch(batch, notifications, updates_path, batch_id, order)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
