@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from rentscope.functions import pagetext as X
 from rentscope.functions import predicates as P
 from rentscope.functions import urls as U
-from rentscope.operators import folds
-from rentscope.operators.scale import any_of, cut_lineage, first_k
+from rentscope.operators.scale import any_of, first_k, once
 
 ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["'][^"']*["'][^>]*>.*?</a"""
 # Fixed patterns: paths of a single plan's page.
@@ -76,6 +75,35 @@ def _as_units(df: DataFrame) -> DataFrame:
     ])
 
 
+_UNIT_TYPES = dict(c.split() for c in UNIT.split(", ") if not c.startswith("page_id "))
+UNITS = "array<struct<" + ",".join(f"{c}:{t}" for c, t in _UNIT_TYPES.items()) + ">>"
+
+
+def _unit(**values) -> Column:
+    """One unit as a struct; columns that are not given are NULL."""
+    return F.struct(*[(values[c] if c in values else F.lit(None)).cast(t).alias(c) for c, t in _UNIT_TYPES.items()])
+
+
+def _exploded(pages: DataFrame, units: Column) -> DataFrame:
+    """The units of each page as rows.
+
+    Outer, then without NULLs: an inner explode would be given a filter of its own that reads the page a second time.
+    """
+    rows = pages.select("page_id", units.cast(UNITS).alias("_u")).select("page_id", F.explode_outer("_u").alias("u"))
+    return rows.where(F.col("u").isNotNull()).select("page_id", "u.*")
+
+
+def _by_key(rows: Column, key: str, use: Callable[[Column], Column]) -> Column:
+    """``use(rows of one key)`` for each key of an array of structs, keys in order of appearance."""
+    keys = lambda r: F.array_distinct(F.transform(r, lambda x: x[key]))
+    return once(rows, lambda r: F.transform(keys(r), lambda k: once(F.filter(r, lambda x: x[key] == k), use)))
+
+
+def _first(rows: Column, field: str, known: bool = False) -> Column:
+    """A field of the first row, or of the first row that knows it."""
+    return F.get(F.filter(rows, lambda x: x[field].isNotNull()) if known else rows, F.lit(0))[field]
+
+
 def _truthy(c: Column) -> Column:
     return F.when(~F.coalesce(c, F.lit("")).isin("", "0", "0.0", "false"), c)
 
@@ -88,25 +116,29 @@ _BLOB_SCHEMA = (
 )
 
 
-def content_blob_units(pages: DataFrame) -> DataFrame:
+def content_blob(html: Column) -> Column:
     """Units of the embedded content object: named plans only, price while available, date to the day."""
-    blob = F.from_json(X.matched(F.col("html"), CONTENT_BLOB), _BLOB_SCHEMA)
-    u = pages.select("page_id", F.posexplode(blob["units"]).alias("pos", "u"))
-    name = F.trim(F.coalesce("u.floorPlan.name", F.lit("")))
-    prices = "u.startingAtPricesUnfurnished.prices"
-    date = F.coalesce(_truthy(F.col("u.availableDateUnfurnished")), _truthy(F.col("u.startingAtPricesUnfurnished.moveInDate")))
-    free = F.coalesce("u.unitStatus", F.lit("")).isin("VacantAvailable", "Available", "NoticeAvailable", "")
-    price = F.coalesce(*[_truthy(F.col(f"{prices}.{c}")) for c in ("netEffectivePrice", "price", "totalPrice")]).try_cast("double")
-    as_int = lambda c: _truthy(F.col(c)).try_cast("int")
-    return _as_units(u.where(name != "").select(
-        "page_id", "pos", name.alias("plan_name"), F.nullif(F.trim("u.unitName"), F.lit("")).alias("unit_number"),
-        F.coalesce(F.col("u.bedroomNumber").try_cast("double"), F.lit(0.0)).alias("bedrooms"),
-        F.coalesce(F.col("u.bathroomNumber").try_cast("double"), F.lit(1.0)).alias("bathrooms"),
-        as_int("u.squareFeet").alias("size_sqft"), as_int("u.floorNumber").alias("floor_level"),
-        F.when(free, price).alias("price"),
-        F.when(~free, "unavailable").otherwise(F.coalesce(F.concat(F.lit("Available "), F.substring(date, 1, 10)), F.lit("Available Now")))
-        .alias("availability"),
-    ))
+
+    def unit(u: Column, i: Column) -> Column:
+        offer = u["startingAtPricesUnfurnished"]
+        date = F.coalesce(_truthy(u["availableDateUnfurnished"]), _truthy(offer["moveInDate"]))
+        free = F.coalesce(u["unitStatus"], F.lit("")).isin("VacantAvailable", "Available", "NoticeAvailable", "")
+        price = F.coalesce(*[_truthy(offer["prices"][c]) for c in ("netEffectivePrice", "price", "totalPrice")]).try_cast("double")
+        return _unit(
+            pos=i, plan_name=F.trim(F.coalesce(u["floorPlan"]["name"], F.lit(""))), unit_number=F.nullif(F.trim(u["unitName"]), F.lit("")),
+            bedrooms=F.coalesce(u["bedroomNumber"].try_cast("double"), F.lit(0.0)), bathrooms=F.coalesce(u["bathroomNumber"].try_cast("double"), F.lit(1.0)),
+            size_sqft=_truthy(u["squareFeet"]).try_cast("int"), floor_level=_truthy(u["floorNumber"]).try_cast("int"), price=F.when(free, price),
+            availability=F.when(~free, "unavailable").otherwise(
+                F.coalesce(F.concat(F.lit("Available "), F.substring(date, 1, 10)), F.lit("Available Now"))
+            ),
+        )
+
+    units = F.from_json(X.matched(html, CONTENT_BLOB), _BLOB_SCHEMA)["units"]
+    return F.filter(F.transform(units, unit), lambda u: u["plan_name"] != "")
+
+
+def content_blob_units(pages: DataFrame) -> DataFrame:
+    return _exploded(pages, content_blob(F.col("html")))
 
 
 AVAILABILITY_BLOB = r"(?s)ea5\.unitAvailability\s*=\s*(\{.*?\});\s*\n"
@@ -116,22 +148,22 @@ _AVAILABILITY_SCHEMA = (
 )
 
 
+def availability_blob(html: Column) -> Column:
+    """Plans of the embedded availability object: cheapest price, first known size and rooms."""
+    types = F.from_json(X.matched(html, AVAILABILITY_BLOB), _AVAILABILITY_SCHEMA)["BedroomTypes"]
+    rows = F.transform(F.flatten(F.transform(types, lambda b: b["AvailableUnits"])), lambda u, i: F.struct(
+        i.alias("pos"), F.coalesce(F.nullif(u["FloorplanId"], F.lit("")), u["FloorplanName"], F.lit("")).alias("fp"),
+        F.coalesce(u["FloorplanName"], F.lit("")).alias("plan_name"), u["BestTerm"]["Price"].alias("price"),
+        F.when(u["SqFt"] != 0, u["SqFt"]).alias("size_sqft"), u["Bed"].alias("bedrooms"), u["Bath"].alias("bathrooms"),
+    ))
+    return _by_key(rows, "fp", lambda r: _unit(
+        pos=_first(r, "pos"), plan_name=_first(r, "plan_name"), price=F.array_min(F.transform(r, lambda x: x["price"])),
+        **{c: _first(r, c, known=True) for c in ("size_sqft", "bedrooms", "bathrooms")}, availability=F.lit("available"),
+    ))
+
+
 def availability_blob_plans(pages: DataFrame) -> DataFrame:
-    """Plans of the embedded availability object: cheapest unit with its date, first known size and rooms."""
-    from rentscope.functions.labels import mdy_to_iso
-
-    blob = F.from_json(X.matched(F.col("html"), AVAILABILITY_BLOB), _AVAILABILITY_SCHEMA)
-    units = F.flatten(F.transform(blob["BedroomTypes"], lambda b: b["AvailableUnits"]))
-    rows = pages.select("page_id", F.posexplode(units).alias("pos", "u")).select(
-        "page_id", "pos", F.coalesce(F.nullif("u.FloorplanId", F.lit("")), "u.FloorplanName", F.lit("")).alias("fp"),
-        F.coalesce("u.FloorplanName", F.lit("")).alias("plan_name"), F.col("u.BestTerm.Price").alias("unit_price"),
-        F.when(F.col("u.SqFt") != 0, F.col("u.SqFt")).alias("size_sqft"), F.col("u.Bed").alias("bedrooms"),
-        F.col("u.Bath").alias("bathrooms"), mdy_to_iso(F.col("u.AvailableDate")).alias("available_from"),
-    )
-    folded = folds.first_wins(rows, ["page_id", "fp"], "pos", "unit_price", "available_from")
-    names = rows.groupBy("page_id", "fp").agg(F.min_by("plan_name", "pos").alias("plan_name"), F.min("pos").alias("pos"))
-    out = folded.join(names, ["page_id", "fp"]).withColumn("availability", F.lit("available"))
-    return _as_units(out)
+    return _exploded(pages, availability_blob(F.col("html")))
 
 
 _PLACES_SCHEMA = (
@@ -153,8 +185,9 @@ def _place_structs() -> Column:
 
 
 def structured_places(pages: DataFrame) -> DataFrame:
-    rows = pages.select("page_id", F.posexplode(_place_structs()).alias("pos", "p")).select("page_id", "pos", "p.*")
-    return _as_units(rows.withColumn("availability", F.lit("available")))
+    return _exploded(pages, F.transform(_place_structs(), lambda p, i: _unit(
+        pos=i, plan_name=p["plan_name"], bedrooms=p["bedrooms"], bathrooms=p["bathrooms"], availability=F.lit("available")
+    )))
 
 
 def name_anchored_prices(names: Column, text: Column) -> Column:
@@ -178,84 +211,132 @@ def name_anchored_prices(names: Column, text: Column) -> Column:
     return F.when(F.exists(anchored, lambda v: v.isNotNull()), anchored).otherwise(handed)
 
 
+def priced_places(html: Column) -> Column:
+    """The structured places with the price that stands near their name."""
+
+    def priced(places: Column) -> Column:
+        prices = name_anchored_prices(F.transform(places, lambda p: p["plan_name"]), X.html_text(html))
+        return once(prices, lambda v: F.transform(places, lambda p, i: _unit(
+            pos=i, plan_name=p["plan_name"], bedrooms=p["bedrooms"], bathrooms=p["bathrooms"], price=F.get(v, i), availability=F.lit("available")
+        )))
+
+    return once(_place_structs(), lambda places: F.when(F.size(places) > 0, priced(places)))
+
+
 def structured_places_priced(pages: DataFrame) -> DataFrame:
-    work = pages.withColumn("_p", _place_structs()).where(F.size("_p") > 0).withColumn("_t", X.html_text(F.col("html")))
-    prices = name_anchored_prices(F.transform("_p", lambda p: p["plan_name"]), F.col("_t"))
-    rows = work.withColumn("_v", prices).select("page_id", F.posexplode(F.arrays_zip("_p", "_v")).alias("pos", "z"))
-    return _as_units(rows.select("page_id", "pos", "z._p.*", F.col("z._v").alias("price"), F.lit("available").alias("availability")))
+    return _exploded(pages, priced_places(F.col("html")))
 
 
-def tagged_units(pages: DataFrame) -> DataFrame:
+def unit_tags(html: Column) -> Column:
     """Plans from unit tags with data attributes: cheapest available price, available if any is."""
-    tags = F.regexp_extract_all("html", F.lit(r"""<article[^>]*data-spaces-obj=["']unit["'][^>]*>"""), F.lit(0))
-    rows = pages.select("page_id", F.posexplode(tags).alias("pos", "tag"))
-    attr = lambda n: X.matched(F.col("tag"), rf"""data-spaces-{n}=["']([^"']+)["']""")
-    units = rows.select(
-        "page_id", "pos", attr("sort-plan-name").alias("plan_name"), F.coalesce(attr("available") == "true", F.lit(False)).alias("free"),
-        attr("sort-price").try_cast("double").alias("unit_price"), attr("sort-area").try_cast("int").cast("double").alias("size_sqft"),
-        F.coalesce(attr("sort-bed").try_cast("double"), F.lit(0.0)).alias("bedrooms"),
-        F.coalesce(attr("sort-bath").try_cast("double"), F.lit(1.0)).alias("bathrooms"),
-    ).where(F.col("plan_name").isNotNull())
-    folded = folds.cheapest_available(units, ["page_id", "plan_name"], "pos", "unit_price", "free")
-    first = units.groupBy("page_id", "plan_name").agg(F.min("pos").alias("pos"))
-    return _as_units(folded.join(first, ["page_id", "plan_name"]).withColumn(
-        "availability", F.when(F.col("is_available"), "available").otherwise("unavailable")
+
+    def row(tag: Column, i: Column) -> Column:
+        attr = lambda n: X.matched(tag, rf"""data-spaces-{n}=["']([^"']+)["']""")
+        free = F.coalesce(attr("available") == "true", F.lit(False))
+        return F.struct(
+            i.alias("pos"), attr("sort-plan-name").alias("plan_name"), free.alias("free"), F.when(free, attr("sort-price").try_cast("double")).alias("price"),
+            attr("sort-area").try_cast("int").cast("double").alias("size_sqft"),
+            F.coalesce(attr("sort-bed").try_cast("double"), F.lit(0.0)).alias("bedrooms"),
+            F.coalesce(attr("sort-bath").try_cast("double"), F.lit(1.0)).alias("bathrooms"),
+        )
+
+    tags = F.regexp_extract_all(html, F.lit(r"""<article[^>]*data-spaces-obj=["']unit["'][^>]*>"""), F.lit(0))
+    rows = F.filter(F.transform(tags, row), lambda r: r["plan_name"].isNotNull())
+    return _by_key(rows, "plan_name", lambda r: _unit(
+        **{c: _first(r, c) for c in ("pos", "plan_name", "bedrooms", "bathrooms")}, size_sqft=_first(r, "size_sqft", known=True),
+        price=F.array_min(F.transform(r, lambda x: x["price"])),
+        availability=F.when(F.exists(r, lambda x: x["free"]), "available").otherwise("unavailable"),
     ))
 
 
+def tagged_units(pages: DataFrame) -> DataFrame:
+    return _exploded(pages, unit_tags(F.col("html")))
+
+
 CALL = r"setGA4Cookie\('GT',\s*'([^']+)',\s*'([^']+)',\s*'([^']+)',\s*'([^']+)',\s*'([^']+)',\s*'([^']+)'\)"
 
 
+def calls(html: Column) -> Column:
+    """Name, rooms, size and prices of the first analytics call per name; "0" is unknown."""
+
+    def row(call: Column, i: Column) -> Column:
+        part = lambda n: F.regexp_extract(call, CALL, n)
+        known = lambda n: F.nullif(part(n), F.lit("0")).try_cast("double")
+        return F.struct(
+            part(1).alias("name"), part(2).try_cast("double").alias("bedrooms"), known(3).alias("size_sqft"), known(5).alias("min_price"),
+            known(6).alias("max_price"), i.alias("pos"),
+        )
+
+    found = F.transform(F.regexp_extract_all(html, F.lit(CALL), F.lit(0)), row)
+    return _by_key(F.filter(found, lambda r: r["bedrooms"].isNotNull()), "name", lambda r: F.get(r, F.lit(0)))
+
+
 def call_arguments(pages: DataFrame) -> DataFrame:
-    """(page_id, name, bedrooms, size_sqft, min_price, max_price) from the first analytics call per name; "0" is unknown."""
-    calls = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(CALL), F.lit(0))).alias("pos", "c"))
-    part = lambda i: F.regexp_extract("c", CALL, i)
-    known = lambda i: F.nullif(part(i), F.lit("0")).try_cast("double")
-    rows = calls.select(
-        "page_id", "pos", part(1).alias("name"), part(2).try_cast("double").alias("bedrooms"), known(3).alias("size_sqft"),
-        known(5).alias("min_price"), known(6).alias("max_price"),
-    ).where(F.col("bedrooms").isNotNull())
-    cols = ["bedrooms", "size_sqft", "min_price", "max_price", "pos"]
-    first = rows.groupBy("page_id", "name").agg(F.min_by(F.struct(*cols), "pos").alias("r"))
-    return first.select("page_id", "name", "r.*")
+    """(page_id, name, bedrooms, size_sqft, min_price, max_price, pos) of each page's calls."""
+    rows = pages.select("page_id", calls(F.col("html")).alias("_c")).select("page_id", F.explode_outer("_c").alias("r"))
+    return rows.where(F.col("r").isNotNull()).select("page_id", "r.*")
+
+
+def called_units(html: Column) -> Column:
+    return F.transform(calls(html), lambda c: _unit(
+        pos=c["pos"], plan_name=c["name"], bedrooms=c["bedrooms"], size_sqft=c["size_sqft"], price=c["min_price"], availability=F.lit("available")
+    ))
 
 
 # --- single-plan pages -----------------------------------------------------------------------
 
+def _plan(**values) -> Column:
+    return F.struct(*[v.alias(n) for n, v in values.items()])
+
+
+def detail_plan(html: Column, url: Column) -> Column:
+    """The one plan of a page: heading, title or slug as name, first bed count, size and plausible price."""
+    return once(X.html_text(html), lambda t: _plan(
+        plan_name=X.detail_name(html, url), bedrooms=X.bed_count(t), size_sqft=X.number(X.matched(t, X.SQFT_DETAIL)), price=X.plausible_price(t)
+    ))
+
+
+def spec_line_plan(html: Column, url: Column) -> Column:
+    """Variant with a "Studio | 1 Bath | 405 SF" line and a base-rent price."""
+    head = F.trim(F.split_part(X.page_title(html), F.lit("|"), F.lit(1)))
+
+    def plan(t: Column) -> Column:
+        rent = X.number(F.coalesce(X.matched(t, X.BASE_RENT, 1), X.matched(t, X.BASE_RENT, 2)))
+        kind = F.regexp_extract(t, X.SPEC_LINE, 1)
+        return _plan(
+            plan_name=F.coalesce(F.nullif(head, F.lit("")), X.slug(url)),
+            bedrooms=F.coalesce(F.regexp_extract(kind, r"(\d+)", 1).try_cast("double"), F.lit(0.0)),
+            size_sqft=X.number(X.matched(t, X.SPEC_LINE, 3)), price=F.when(rent.between(1_500, 20_000), rent),
+        )
+
+    return once(X.html_text(html), plan)
+
+
+def nearest_bed_plan(html: Column, url: Column) -> Column:
+    """Variant that takes the bed count written nearest to the size; headings equal to the slug name the plan."""
+    code = X.slug(url)
+    fine = F.filter(X.headings(html), lambda h: (h != "") & (F.length(h) < 80) & ~h.rlike(X.HEADING_NOISE_WIDE))
+    name = once(fine, lambda f: F.coalesce(X.first_where(f, lambda h: F.upper(h) == F.upper(code)), F.try_element_at(f, F.lit(1)), code))
+    return once(X.html_text(html), lambda t: _plan(
+        plan_name=name, bedrooms=X.nearest_beds(t), size_sqft=X.number(X.matched(t, X.SQFT_PLAIN)), price=X.plausible_price(t)
+    ))
+
+
+def _plans(pages: DataFrame, plan: Callable[[Column, Column], Column]) -> DataFrame:
+    return pages.select("page_id", plan(F.col("html"), F.col("url")).alias("_p")).select("page_id", "_p.*")
+
+
 def detail_plans(pages: DataFrame) -> DataFrame:
-    """One plan per page: heading, title or slug as name, first bed count, size and plausible price."""
-    rows = pages.withColumn("_t", X.html_text(F.col("html")))
-    t = F.col("_t")
-    return rows.select(
-        "page_id", X.detail_name(F.col("html"), F.col("url")).alias("plan_name"), X.bed_count(t).alias("bedrooms"),
-        X.number(X.matched(t, X.SQFT_DETAIL)).alias("size_sqft"), X.plausible_price(t).alias("price"),
-    )
+    """(page_id, plan_name, bedrooms, size_sqft, price): one plan per page."""
+    return _plans(pages, detail_plan)
 
 
 def spec_line_plans(pages: DataFrame) -> DataFrame:
-    """Variant with a "Studio | 1 Bath | 405 SF" line and a base-rent price."""
-    rows = pages.withColumn("_t", X.html_text(F.col("html")))
-    t = F.col("_t")
-    kind = F.regexp_extract(t, X.SPEC_LINE, 1)
-    head = F.trim(F.split_part(X.page_title(F.col("html")), F.lit("|"), F.lit(1)))
-    rent = X.number(F.coalesce(X.matched(t, X.BASE_RENT, 1), X.matched(t, X.BASE_RENT, 2)))
-    return rows.select(
-        "page_id", F.coalesce(F.nullif(head, F.lit("")), X.slug(F.col("url"))).alias("plan_name"),
-        F.coalesce(F.regexp_extract(kind, r"(\d+)", 1).try_cast("double"), F.lit(0.0)).alias("bedrooms"),
-        X.number(X.matched(t, X.SPEC_LINE, 3)).alias("size_sqft"), F.when(rent.between(1_500, 20_000), rent).alias("price"),
-    )
+    return _plans(pages, spec_line_plan)
 
 
 def nearest_bed_plans(pages: DataFrame) -> DataFrame:
-    """Variant that takes the bed count written nearest to the size; headings equal to the slug name the plan."""
-    rows = pages.withColumn("_t", X.html_text(F.col("html"))).withColumn("_h", X.headings(F.col("html")))
-    t, code = F.col("_t"), X.slug(F.col("url"))
-    fine = F.filter("_h", lambda h: (h != "") & (F.length(h) < 80) & ~h.rlike(X.HEADING_NOISE_WIDE))
-    same = X.first_where(fine, lambda h: F.upper(h) == F.upper(code))
-    return rows.select(
-        "page_id", F.coalesce(same, F.try_element_at(fine, F.lit(1)), code).alias("plan_name"), X.nearest_beds(t).alias("bedrooms"),
-        X.number(X.matched(t, X.SQFT_PLAIN)).alias("size_sqft"), X.plausible_price(t).alias("price"),
-    )
+    return _plans(pages, nearest_bed_plan)
 
 
 # --- free text -------------------------------------------------------------------------------
@@ -330,19 +411,18 @@ def has_plan_links(html: Column, url: Column, min_links: int = 2) -> Column:
 
 @dataclass(frozen=True)
 class Extractor:
-    """A page format: when it applies and how its plans are read."""
+    """A page format: when it applies and its units as an array (UNITS), both of a page's own row."""
 
     name: str
     detect: Column
-    extract: Callable[[DataFrame], DataFrame] | None = None
-
-
-def _detail(read: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    return lambda pages: _as_units(read(pages).withColumns({"pos": F.lit(0), "availability": F.lit("available")}))
+    units: Column | None = None
 
 
-def _called(pages: DataFrame) -> DataFrame:
-    return _as_units(call_arguments(pages).withColumnsRenamed({"name": "plan_name", "min_price": "price"}).withColumn("availability", F.lit("available")))
+def _detail(plan: Callable[[Column, Column], Column]) -> Column:
+    names = ("plan_name", "bedrooms", "size_sqft", "price")
+    return F.transform(F.array(plan(F.col("html"), F.col("url"))), lambda p: _unit(
+        pos=F.lit(0), **{c: p[c] for c in names}, availability=F.lit("available")
+    ))
 
 
 def default_extractors() -> list[Extractor]:
@@ -350,18 +430,18 @@ def default_extractors() -> list[Extractor]:
     html, url = F.col("html"), F.col("url")
     has = lambda text: html.contains(text)
     return [
-        Extractor("jonah_digital", has("jd-fp-floorplan-card"), _detail(nearest_bed_plans)),
-        Extractor("fatwin", has("fatwin.com"), _detail(spec_line_plans)),
-        Extractor("avalonbay", url.contains("avaloncommunities.com") | html.rlike(CONTENT_BLOB), content_blob_units),
-        Extractor("equity", F.lower(url).contains("equityapartments.com") & has("ea5.unitAvailability"), availability_blob_plans),
+        Extractor("jonah_digital", has("jd-fp-floorplan-card"), _detail(nearest_bed_plan)),
+        Extractor("fatwin", has("fatwin.com"), _detail(spec_line_plan)),
+        Extractor("avalonbay", url.contains("avaloncommunities.com") | html.rlike(CONTENT_BLOB), content_blob(html)),
+        Extractor("equity", F.lower(url).contains("equityapartments.com") & has("ea5.unitAvailability"), availability_blob(html)),
         Extractor("windsor", U.authority(url).contains("windsorcommunities.com")
-                  | html.rlike(r"""(?i)https://www\.windsorcommunities\.com/properties/[^"']+/floorplans/"""), tagged_units),
+                  | html.rlike(r"""(?i)https://www\.windsorcommunities\.com/properties/[^"']+/floorplans/"""), unit_tags(html)),
         Extractor("leasingstar", html.rlike(r"(?i)(?:c-leasestar-api\.realpage\.com|myleasestar\.com)")
                   & html.rlike(r"var\s+propertyId\s*=\s*'(\d+)'")),
         Extractor("sightmap", X.embed_url(html).isNotNull()),
-        Extractor("greystar", url.contains("greystar.com/properties/") | F.coalesce(F.size(_place_structs()) >= 1, F.lit(False)), structured_places_priced),
-        Extractor("rentcafe", html.rlike(r"(?i)(?:cdngeneralmvc|api)\.rentcafe\.com"), _called),
-        Extractor("generic_detail", has_plan_links(html, url), _detail(detail_plans)),
+        Extractor("greystar", url.contains("greystar.com/properties/") | F.coalesce(F.size(_place_structs()) >= 1, F.lit(False)), priced_places(html)),
+        Extractor("rentcafe", html.rlike(r"(?i)(?:cdngeneralmvc|api)\.rentcafe\.com"), called_units(html)),
+        Extractor("generic_detail", has_plan_links(html, url), _detail(detail_plan)),
     ]
 
 
@@ -383,22 +463,29 @@ def platform_coverage(pages: DataFrame, hint: str | None = "hint") -> DataFrame:
 
 
 def extract_all(pages: DataFrame, extractors: Sequence[Extractor] | None = None, hint: str | None = None) -> DataFrame:
-    """Units of every page from the first format that applies and yields any.
+    """Units of every page from the first format that applies and yields any, with its name as ``platform``.
 
-    A page goes through its formats in order (its hinted one first); the first with rows wins.  Each
-    format reads only the pages it applies to, and unreadable values become NULL rather than errors.
-    The extracted rows are written once, so that choosing the first format does not extract again.
+    A page goes through its formats in order (its hinted one first).  The walk is one expression of the page's row: a fold over the formats'
+    places that keeps what it has found and looks at a format only until then.  So pages are read once, whatever the number of formats,
+    nothing is shuffled, and unreadable values become NULL rather than errors.
     """
-    ways = [e for e in (default_extractors() if extractors is None else extractors) if e.extract is not None]
-    found = None
-    for rank, e in enumerate(ways):
-        rows = e.extract(pages.where(e.detect)).withColumns({"rank": F.lit(rank), "platform": F.lit(e.name)})
-        found = rows if found is None else found.unionByName(rows)
+    ways = [e for e in (default_extractors() if extractors is None else extractors) if e.units is not None]
+    found_type = f"struct<platform:string,units:{UNITS}>"
+
+    def tried(e: Extractor) -> Column:
+        units = once(e.units.cast(UNITS), lambda u: F.when(F.size(u) > 0, F.struct(F.lit(e.name).alias("platform"), u.alias("units"))))
+        return F.when(F.coalesce(e.detect, F.lit(False)), units)
+
+    def walked(found: Column, place: Column) -> Column:
+        here = F.when(place == 0, tried(ways[0]))
+        for i, e in enumerate(ways[1:], 1):
+            here = here.when(place == i, tried(e))
+        return F.coalesce(found, here.cast(found_type))
+
+    order = F.array(*[F.lit(i) for i in range(len(ways))])
     if hint:
-        hints = pages.where(F.col(hint).isNotNull()).select("page_id", F.col(hint).alias("_hint"))
-        found = found.join(hints, "page_id", "left").withColumn(
-            "rank", F.when(F.col("_hint") == F.col("platform"), -1).otherwise(F.col("rank"))
-        ).drop("_hint")
-    found = cut_lineage(found)
-    best = found.groupBy("page_id").agg(F.min("rank").alias("rank"))
-    return found.join(best, ["page_id", "rank"], "left_semi").drop("rank")
+        hinted = F.filter(order, lambda i: F.get(F.array(*[F.lit(e.name) for e in ways]), i) == F.col(hint))
+        order = F.concat(hinted, F.array_except(order, hinted))
+    found = F.aggregate(order, F.lit(None).cast(found_type), walked)
+    rows = pages.select("page_id", found.alias("_f")).select("page_id", F.col("_f.platform").alias("platform"), F.explode_outer("_f.units").alias("u"))
+    return rows.where(F.col("u").isNotNull()).select("page_id", "u.*", "platform")

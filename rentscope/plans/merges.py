@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from rentscope.operators import backoff
+from rentscope.operators import backoff, refresh
 from rentscope.operators import merge as G
 from rentscope.plans.alerting import _AREA, _LAST
 from rentscope.plans.dataquality import SANITISED
 from rentscope.plans.filters import AS_OF
 from rentscope.plans.joins import RENAMED
 from rentscope.plans.registry import query
+from rentscope.session import shared_folder
 
 _LIVE = ("lower(coalesce(s.availability, '')) NOT LIKE '%waitlist%' AND lower(coalesce(s.availability, '')) NOT LIKE '%unavailable%'")
 _LASTC = """lc AS (SELECT r.external_id, r.title, r.city, r.source_url FROM (SELECT c.*, row_number() OVER (PARTITION BY c.external_id
@@ -169,7 +170,10 @@ def _applied(t):
     return G.apply_snapshot(t.apartments, t.plans, t.units, t.subscriptions, t.snapshot, AS_OF, _HOSTS, _scraped(t))
 
 
-@query("m07_apply_snapshot_plans", f"""
+_PLAN_COLUMNS = (
+    "id", "apartment_id", "name", "bedrooms", "bathrooms", "area_sqft", "price", "max_price", "is_available", "external_url", "floor_level", "facing",
+)
+_PLANS_AFTER = f"""
 WITH RECURSIVE {_PLACED},
 rp AS (SELECT x.* FROM (SELECT pl.*, row_number() OVER (PARTITION BY pl.plan_id ORDER BY pl.min_price NULLS LAST, pl.pos) AS rn FROM pl) x WHERE x.rn = 1),
 en AS (SELECT pl.plan_id, min(pl.min_price) AS lo, max(pl.min_price) AS hi FROM pl GROUP BY 1),
@@ -186,12 +190,20 @@ SELECT al.id, al.apartment_id, CASE WHEN rp.name <> '' AND coalesce(al.name, '')
   coalesce(nullif(rp.external_url, ''), al.external_url) AS external_url, coalesce(rp.floor_level, al.floor_level) AS floor_level,
   coalesce(nullif(rp.facing, ''), al.facing) AS facing
 FROM al LEFT JOIN rp ON rp.plan_id = al.id LEFT JOIN en ON en.plan_id = al.id
-""")
+"""
+
+
+@query("m07_apply_snapshot_plans", _PLANS_AFTER)
 def m07(t):
-    return _applied(t)["plans"].select(
-        "id", "apartment_id", "name", "bedrooms", "bathrooms", "area_sqft", "price", "max_price", "is_available", "external_url",
-        "floor_level", "facing",
-    )
+    return _applied(t)["plans"].select(*_PLAN_COLUMNS)
+
+
+@query("m07_refreshed_store", _PLANS_AFTER)
+def m07_store(t):
+    """The same merge over stored tables, bucket by bucket."""
+    store = refresh.new_store(shared_folder(t.spark, "store"), t.apartments, t.plans, t.units, t.subscriptions, buckets=32)
+    refresh.refresh(t.spark, store, t.snapshot, AS_OF, 1, _HOSTS, _scraped(t))
+    return store.plans.read(t.spark).select(*_PLAN_COLUMNS)
 
 
 @query("m07_apply_snapshot_history", f"""

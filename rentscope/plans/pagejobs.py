@@ -411,3 +411,21 @@ SELECT b.page_id, 'avalonbay' AS platform, count(*) AS n FROM (SELECT x.page_id,
 """)
 def u01_units(t):
     return G.extract_all(t.blob_pages).groupBy("page_id", "platform").agg(F.count(F.lit(1)).alias("n"))
+
+
+# A hint that applies goes first, one that does not apply or yields nothing is passed over; formats that yield nothing are passed over too.
+@query("u01_hint_walk", """
+SELECT b.page_id, CASE b.page_id % 4 WHEN 0 THEN 'greystar' ELSE 'avalonbay' END AS platform, CASE b.page_id % 4 WHEN 0 THEN 'Alder' || cast(b.page_id % 7 AS string)
+  ELSE 'A' || cast(b.page_id % 9 AS string) END AS first_plan, 2 AS n FROM blob_pages b
+UNION ALL SELECT -1 - d.page_id, CASE WHEN contains(d.html, 'jd-fp-floorplan-card') THEN 'jonah_digital' WHEN contains(d.html, 'fatwin.com') THEN 'fatwin' ELSE 'generic_detail' END,
+  NULL, 1 FROM detail_pages d WHERE contains(d.html, 'jd-fp-floorplan-card') OR contains(d.html, 'fatwin.com') OR contains(d.html, '/floor-plans/b2')
+""")
+def u01_walk(t):
+    i = F.col("page_id")
+    blobs = t.blob_pages.select(
+        "page_id", "url", "html", F.when(i % 4 == 0, "greystar").when(i % 4 == 1, "equity").when(i % 4 == 2, "no such format").alias("hint")
+    )
+    details = t.detail_pages.select((-1 - i).alias("page_id"), "url", "html", F.lit("rentcafe").alias("hint"))
+    units = G.extract_all(blobs.unionByName(details), hint="hint")
+    first = F.min_by("plan_name", "pos")
+    return units.groupBy("page_id", "platform").agg(F.when(i >= 0, first).alias("first_plan"), F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +33,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured is None and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rentscope-ckpt-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name where the driver and all executors can write."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

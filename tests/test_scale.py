@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rentscope.operators import alerts as A
 from rentscope.operators import matching as M
 from rentscope.operators import merge as G
+from rentscope.operators import pages as E
 from rentscope.operators import scale as S
 
 
@@ -157,3 +158,17 @@ def test_match_plans_is_sequential(spark):
         want = sequential_match(rows, stored)
         assert {(r["apartment_id"], r["pos"]): (r["tier"], r["plan_id"], r["made_by"]) for r in got} == want
         assert len({t for t, _, _ in want.values()}) == 5 and any(t == 3 and by is not None for t, _, by in want.values())
+
+
+def test_extractors_read_pages_once(spark, tmp_path):
+    """All formats and hints are tried on one scan, and none is tried after the first that yields."""
+    html = "<a class='jd-fp-floorplan-card' href='/floorplans/a1/'>A1</a> fatwin.com <h2>A1</h2> Studio 1 Bed 500 sq ft $1,500"
+    rows = [(1, "https://x.example.com/floorplans/a1", html, None), (2, "https://x.example.com/floorplans/a1", html, "fatwin"), (3, "u", "nothing", "fatwin"), (4, None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, hint string").write.parquet(str(tmp_path / "p"))
+    out = E.extract_all(spark.read.parquet(str(tmp_path / "p")), hint="hint")
+    assert sorted((r["page_id"], r["platform"]) for r in out.collect()) == [(1, "jonah_digital"), (2, "fatwin")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan
+    boom = E.Extractor("boom", F.lit(True), F.raise_error(F.lit("tried")).cast(E.UNITS))
+    first = E.Extractor("first", F.lit(True), F.array(E._unit(pos=F.lit(0), plan_name=F.lit("A"))))
+    assert [r["platform"] for r in E.extract_all(spark.range(1).select(F.col("id").alias("page_id")), [first, boom]).collect()] == ["first"]
