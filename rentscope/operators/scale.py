@@ -100,15 +100,20 @@ def _value_bucket(v: Column) -> Column:
     return F.signum(v).cast("bigint") * F.floor(F.log2(F.abs(v) + 1) * 1024)
 
 
-def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+# Distinct values that one task may put in order.
+LEAF = 4096
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], leaf: int = LEAF) -> DataFrame:
     """Exact order statistics per key.
 
     ``ranks`` maps an output name to a 0-based rank written over the column ``n`` (rows per key).
-    Equal values are counted first, buckets of values narrow each rank to one bucket, and only that
-    bucket is ordered; no group is ever gathered whole.  Output: keys, ``n`` and one column per rank.
+    Equal values are counted first, and buckets of values narrow each rank to one bucket.  While a wanted bucket holds more than ``leaf``
+    distinct values, its range is cut into 1,024 equal parts and the part of the rank goes on, so no task orders more than ``leaf`` values
+    of a key or 1,024 sums.  Output: keys, ``n`` and one column per rank.
     """
     keys = list(keys)
-    counted = (
+    counted = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
@@ -118,7 +123,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict
     running = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buckets = (
         counted.groupBy(*keys, "_b")
-        .agg(F.sum("_c").alias("_bc"))
+        .agg(F.sum("_c").alias("_bc"), F.count(F.lit(1)).alias("_distinct"))
         .withColumn("_from", F.sum("_bc").over(running) - F.col("_bc"))
         .withColumn("n", F.sum("_bc").over(by_key))
     )
@@ -128,17 +133,15 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict
                                       for name, rank in ranks.items()]))
         )
         .where((F.col("_w.rank") >= F.col("_from")) & (F.col("_w.rank") < F.col("_from") + F.col("_bc")))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"),
-                "_from", "n", F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_rank"))
-    )
-    on = all_of([F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")])
-    inside = Window.partitionBy(*keys, "_b", "_name").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+        .select(*keys, "_b", "n", "_distinct", F.col("_w.name").alias("_name"), (F.col("_w.rank") - F.col("_from")).alias("_rank"))
     )
-    hit = (
-        counted.join(wanted, on)
-        .withColumn("_to", F.col("_from") + F.sum("_c").over(inside))
-        .where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
+    held = _join(counted, wanted.drop("_distinct"), [*keys, "_b"]).drop("_b")
+    most = wanted.agg(F.max("_distinct")).first()[0] or 0
+    while most > leaf:
+        held, most = _narrowed(held, keys)
+    inside = Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = held.withColumn("_to", F.sum("_c").over(inside)).where(
+        (F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c"))
     )
     return hit.groupBy(*keys).agg(
         F.max("n").alias("n"),
@@ -146,6 +149,27 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict
     )
 
 
+def _join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on columns that may be NULL on both sides."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = all_of([F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(renamed, same).drop(*[f"_r_{c}" for c in on])
+
+
+def _narrowed(held: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """The values in the part of each range that holds its rank, and the greatest number of distinct values left in one."""
+    ranges = held.groupBy(*keys, "_name").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    share = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
+    parted = _join(held, ranges, [*keys, "_name"]).withColumn("_part", F.floor(F.coalesce(share, F.lit(0)) * 1024)).drop("_low", "_high")
+    sums = parted.groupBy(*keys, "_name", "_part").agg(F.sum("_c").alias("_pc"), F.min("_rank").alias("_r"), F.count(F.lit(1)).alias("_distinct"))
+    running = Window.partitionBy(*keys, "_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sums.withColumn("_from", F.sum("_pc").over(running) - F.col("_pc"))
+    chosen = cut_lineage(placed.where((F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_from") + F.col("_pc"))))
+    kept = _join(parted, chosen.select(*keys, "_name", "_part", "_from"), [*keys, "_name", "_part"])
+    left = kept.withColumn("_rank", F.col("_rank") - F.col("_from")).drop("_part", "_from")
+    return cut_lineage(left), chosen.agg(F.max("_distinct")).first()[0]
+
+
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str) -> DataFrame:
     """Interpolated quantile per key (keys, ``n``, ``out``), equal to ``percentile(value, q)``."""
     pos = (F.col("n") - 1) * F.lit(float(q))
@@ -165,27 +189,33 @@ def lookup(df: DataFrame, side: DataFrame, key: str, spread_by: str = "id") -> D
     return salted.join(side.withColumn("_salt", F.lit(0)), [key, "_salt"], "left").drop("_salt")
 
 
-def running_number(df: DataFrame, bucket: Column, order: Sequence[str], out: str) -> DataFrame:
-    """1-based position over all rows in (bucket, order), with one task per bucket.
+def running_number(df: DataFrame, buckets: Column | Sequence[Column], order: Sequence[str], out: str) -> DataFrame:
+    """1-based position over all rows in the order of (buckets, order), with one task per bucket.
 
-    ``bucket`` must rise with ``order`` and hold a bounded number of rows; only the list of bucket
-    sizes is ordered in one place.
+    ``buckets`` go from coarse to fine, each rising with ``order``; the finest should hold a bounded number of rows and each other one a
+    bounded number of the next.  Sums of the coarsest alone are put in order in one place, those of a finer one per bucket above it.
     """
-    parted = df.withColumn("_bk", bucket)
-    sizes = parted.groupBy("_bk").agg(F.count(F.lit(1)).alias("_sz"))
-    offsets = sizes.select(
-        "_bk",
-        (F.sum("_sz").over(Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-         - F.col("_sz")).alias("_off"),
-    )
-    local = parted.withColumn("_pos", F.row_number().over(Window.partitionBy("_bk").orderBy(*order)))
-    return local.join(offsets, "_bk").withColumn(out, F.col("_off") + F.col("_pos")).drop("_bk", "_pos", "_off")
+    buckets = [buckets] if isinstance(buckets, Column) else list(buckets)
+    names = [f"_bk{i}" for i in range(len(buckets))]
+    parted = df.withColumns(dict(zip(names, buckets, strict=True)))
+    sizes = parted.groupBy(*names).agg(F.count(F.lit(1)).alias("_size"))
+    offsets = None
+    for depth in range(len(names)):
+        level = sizes.groupBy(*names[: depth + 1]).agg(F.sum("_size").alias("_size"))
+        above = Window.partitionBy(*names[:depth]) if depth else Window
+        running = above.orderBy(names[depth]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        here = level.select(*names[: depth + 1], (F.sum("_size").over(running) - F.col("_size")).alias("_here"))
+        offsets = here.withColumnRenamed("_here", "_off") if offsets is None else here.join(offsets, names[:depth]).select(
+            *names[: depth + 1], (F.col("_off") + F.col("_here")).alias("_off")
+        )
+    local = parted.withColumn("_pos", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
+    return local.join(offsets, names).withColumn(out, F.col("_off") + F.col("_pos")).drop(*names, "_pos", "_off")
 
 
 def number_by_hash(df: DataFrame, key: Sequence[str], out: str) -> DataFrame:
     """Dense 1-based numbers for rows with a unique ``key``, in order of the key's md5.
 
-    The md5 prefix is the bucket, so even keys of one parent spread over all buckets.
+    Two prefixes of the md5 are the buckets, 4,096 coarse ones of 4,096 each, so even keys of one parent spread over all of them.
     """
     hashed = df.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key])))
-    return running_number(hashed, F.substring("_h", 1, 3), ["_h", *key], out).drop("_h")
+    return running_number(hashed, [F.substring("_h", 1, 3), F.substring("_h", 1, 6)], ["_h", *key], out).drop("_h")

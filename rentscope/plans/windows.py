@@ -101,7 +101,7 @@ SELECT r.id, cast(floor((r.rn - 1) / 50) AS bigint) AS chunk, cast(floor((r.rn -
 FROM (SELECT p.id, row_number() OVER (ORDER BY p.id) AS rn FROM plans p WHERE p.is_available) r
 """)
 def w10(t):
-    rows = running_number(t.plans.where("is_available").select("id"), F.floor(F.col("id") / 100_000), ["id"], "rn")
+    rows = running_number(t.plans.where("is_available").select("id"), [F.floor(F.col("id") / n) for n in (100_000_000, 10_000)], ["id"], "rn")
     chunk = F.floor((F.col("rn") - 1) / 50)
     return rows.select("id", chunk.alias("chunk"), (chunk * 30).alias("delay_sec"))
 

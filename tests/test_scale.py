@@ -172,3 +172,24 @@ def test_extractors_read_pages_once(spark, tmp_path):
     boom = E.Extractor("boom", F.lit(True), F.raise_error(F.lit("tried")).cast(E.UNITS))
     first = E.Extractor("first", F.lit(True), F.array(E._unit(pos=F.lit(0), plan_name=F.lit("A"))))
     assert [r["platform"] for r in E.extract_all(spark.range(1).select(F.col("id").alias("page_id")), [first, boom]).collect()] == ["first"]
+
+
+def test_close_values_are_narrowed(spark):
+    """Distinct values within one bucket: parts are narrowed until few are left, and no task orders them all."""
+    rng = random.Random(9)
+    rows = [(k, 5000 + rng.random() / 10) for k in (None, "a") for _ in range(3000)] + [("a", 5000.05)] * 900 + [("b", -1.5), ("b", None), ("c", 7.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    ranks = {"low": F.lit(0), "mid": F.floor(F.col("n") / 2), "high": F.col("n") - 1}
+    got = {r["k"]: (r["n"], r["low"], r["mid"], r["high"]) for r in S.order_statistics(df, ["k"], "v", ranks, leaf=8).collect()}
+    for k in (None, "a", "b", "c"):
+        v = sorted(x for key, x in rows if key == k and x is not None)
+        assert got[k] == (len(v), v[0], v[len(v) // 2], v[-1])
+    whole = sorted(x for _, x in rows if x is not None)
+    assert S.order_statistics(df, [], "v", ranks, leaf=8).collect()[0]["mid"] == whole[len(whole) // 2]
+
+
+def test_running_numbers_in_levels(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 100_003).alias("seq")).repartition(6)
+    levels = [F.floor(F.col("seq") / n) for n in (20_000, 500, 40)]
+    got = {r["seq"]: r["no"] for r in S.running_number(df, levels, ["seq"], "no").collect()}
+    assert got == {x: i + 1 for i, x in enumerate(sorted(i * 7919 % 100_003 for i in range(5000)))}
