@@ -3,7 +3,7 @@
 from importlib import import_module, util
 
 SECTIONS = (
-    "filters", "joins", "aggregates", "windows", "sorts", "scalars", "merges", "dataquality", "alerting",
+    "filters", "joins", "aggregates", "windows", "sorts", "scalars", "merges", "dataquality", "alerting", "daily",
     "gates", "pagejobs", "streams", "inputs",
 )
 

@@ -173,8 +173,7 @@ def _applied(t):
 _PLAN_COLUMNS = (
     "id", "apartment_id", "name", "bedrooms", "bathrooms", "area_sqft", "price", "max_price", "is_available", "external_url", "floor_level", "facing",
 )
-_PLANS_AFTER = f"""
-WITH RECURSIVE {_PLACED},
+_FOLDED_PLANS = """
 rp AS (SELECT x.* FROM (SELECT pl.*, row_number() OVER (PARTITION BY pl.plan_id ORDER BY pl.min_price NULLS LAST, pl.pos) AS rn FROM pl) x WHERE x.rn = 1),
 en AS (SELECT pl.plan_id, min(pl.min_price) AS lo, max(pl.min_price) AS hi FROM pl GROUP BY 1),
 fr AS (SELECT s.* REPLACE (coalesce(nullif(s.name, ''), 'Unit') AS name), np.id AS nid FROM san s JOIN np ON np.apartment_id = s.apartment_id AND np.pos = s.pos),
@@ -191,6 +190,7 @@ SELECT al.id, al.apartment_id, CASE WHEN rp.name <> '' AND coalesce(al.name, '')
   coalesce(nullif(rp.facing, ''), al.facing) AS facing
 FROM al LEFT JOIN rp ON rp.plan_id = al.id LEFT JOIN en ON en.plan_id = al.id
 """
+_PLANS_AFTER = f"WITH RECURSIVE {_PLACED}, {_FOLDED_PLANS}"
 
 
 @query("m07_apply_snapshot_plans", _PLANS_AFTER)

@@ -298,6 +298,34 @@ SELECT c.c_custkey AS seq, 'ext_' || cast(c.c_custkey % (4 * (SELECT count(*) FR
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 """
 
+# One day's refresh: listings on 23 sites, what the registry knows of these, addresses that failed before, and the pages that could be fetched.
+VIEWS["daily_listings"] = """
+SELECT a.id, 'https://site' || cast(a.id % 23 AS string) || '.example.com/l/' || cast(a.id AS string) AS source_url, a.title, a.is_available,
+  CASE WHEN a.id % 13 = 5 THEN 'unscrapeable' ELSE 'brand_site' END AS data_source_type, a.current_special, a.last_scraped_at
+FROM apartments a
+"""
+VIEWS["daily_registry"] = """
+SELECT 'site' || cast(k.n AS string) || '.example.com' AS domain, CASE k.n % 9 WHEN 3 THEN false WHEN 5 THEN NULL ELSE true END AS robots_txt_allows,
+  k.n % 10 <> 7 AS is_active, CASE WHEN k.n % 8 = 6 THEN 'unscrapeable' ELSE 'brand_site' END AS data_source_type,
+  CASE WHEN k.n % 6 = 2 THEN 'https://corporate.example.com/' || cast(k.n AS string) END AS corporate_parent_url,
+  CASE k.n % 3 WHEN 0 THEN 'greystar' WHEN 1 THEN 'avalonbay' END AS last_successful_adapter, @ts'2001-10-01 00:00:00' AS last_adapter_success_at
+FROM (SELECT DISTINCT s.s_suppkey % 23 AS n FROM supplier s) k WHERE k.n % 11 <> 4
+"""
+VIEWS["daily_suppression"] = """
+SELECT d.source_url AS url, @ts'2001-10-10 00:00:00' AS first_failed_at, @ts'2001-10-20 00:00:00' AS last_failed_at, 'hard_fail' AS last_reason,
+  cast(2 AS bigint) AS attempt_count, CASE WHEN d.id % 17 = 9 THEN @ts'2001-11-20 00:00:00' ELSE @ts'2001-11-01 00:00:00' END AS retry_after
+FROM daily_listings d WHERE d.id % 17 IN (9, 10, 12)
+"""
+_UNITS_PAGE = """'<script>Fusion.globalContent={"units":[{"floorPlan":{"name":"A' || cast({n} % 3 AS string) || '"},"unitName":"1","bedroomNumber":1,"bathroomNumber":1,'
+  || '"squareFeet":' || cast(500 + {n} % 300 AS string) || ',"startingAtPricesUnfurnished":{"prices":{"price":' || cast(1800 + {n} % 50 AS string)
+  || '}}},{"floorPlan":{"name":"New' || cast({n} AS string) || '"},"unitName":"2","bedroomNumber":2,"bathroomNumber":2,"squareFeet":' || cast(900 + {n} % 300 AS string)
+  || ',"startingAtPricesUnfurnished":{"prices":{"price":' || cast(2500 + {n} % 50 AS string) || '}}}]};  Fusion.x=1;</script><p>Homes at number ' || cast({n} AS string) || '</p>'"""
+VIEWS["daily_pages"] = f"""
+SELECT d.source_url AS url, CASE WHEN d.id % 7 = 6 THEN NULL WHEN d.id % 5 = 0 THEN '<p>Welcome to number ' || cast(d.id AS string) || '</p>'
+  ELSE {_UNITS_PAGE.replace('{n}', 'd.id')} END AS html FROM daily_listings d
+UNION ALL SELECT g.corporate_parent_url, {_UNITS_PAGE.replace('{n}', '4711')} FROM daily_registry g WHERE g.corporate_parent_url LIKE '%8'
+"""
+
 VIEWS.update(PAGE_VIEWS)
 
 _WORD = re.compile(r"\b(?:FROM|JOIN)\s+\(?([a-z_]+)\b", re.IGNORECASE)
