@@ -104,19 +104,22 @@ def parser(samples: dict[str, list[str]]) -> tuple[list[str], np.ndarray, np.nda
     ``steps[start + state * SYMBOLS + symbol]`` is 4 * (start + next state * SYMBOLS) plus the number of phrase ends: 1 before a symbol
     that can't follow; a symbol the language has never shown is a phrase of its own, with an end behind it too.
     """
-    languages, starts, tables, offset = sorted(samples), [], [], 0
-    for language in languages:
-        parts = [symbols(t) for t in samples[language]]
-        moves = automaton(np.concatenate([np.zeros(1, np.uint8), *parts]))
-        again = np.maximum(moves[0], 0)
-        stuck = moves < 0
-        ends = np.where(stuck, 1 + (moves[0] < 0)[None, :], 0)
-        ends[0] = moves[0] < 0
-        to = np.where(stuck, again[None, :], moves).astype(np.int64) * SYMBOLS + offset
-        tables.append((to * 4 + ends).ravel().astype(np.int32))
-        starts.append(offset)
-        offset += moves.size
-    return languages, np.array(starts, np.int64), np.concatenate(tables) if tables else np.empty(0, np.int32)
+    languages = sorted(samples)
+    automata = [automaton(np.concatenate([np.zeros(1, np.uint8), *map(symbols, samples[n])])) for n in languages]
+    starts = np.cumsum([0, *(a.size for a in automata)])
+    steps = np.empty(starts[-1], np.int32 if 4 * starts[-1] < 2**31 else np.int64)
+    for i, start in enumerate(starts[:-1].tolist()):
+        moves, automata[i] = automata[i], None  # one at a time: a table is large beside the text it comes from
+        stuck, unknown = moves < 0, moves[0] < 0
+        to = steps[start : start + moves.size].reshape(moves.shape)
+        np.copyto(to, np.where(stuck, np.maximum(moves[0], 0), moves))
+        to *= SYMBOLS
+        to += start
+        to *= 4
+        to += stuck
+        to += stuck & unknown
+        to[0] -= unknown  # nothing ends before the first symbol
+    return languages, starts[:-1].astype(np.int64), steps
 
 
 def phrases(texts: list[np.ndarray], starts: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -134,7 +137,7 @@ def phrases(texts: list[np.ndarray], starts: np.ndarray, steps: np.ndarray) -> n
     grid = np.zeros((CHUNK, len(pieces)), np.uint8)
     for column, k in enumerate(order.tolist()):
         grid[: sizes[k], column] = pieces[k]
-    state = np.repeat(starts[:, None], len(pieces), axis=1).astype(np.int32)
+    state = np.repeat(starts[:, None], len(pieces), axis=1).astype(steps.dtype)
     ended = np.zeros(state.shape, np.int32)
     active = np.searchsorted(-sizes[order], -np.arange(CHUNK), side="left")  # chunks longer than t
     for t in range(int(sizes.max())):
@@ -152,17 +155,20 @@ def phrases(texts: list[np.ndarray], starts: np.ndarray, steps: np.ndarray) -> n
 def samples(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, list[str]]:
     """Bounded labelled sample: a slice from the middle of the texts with the lowest id hashes, SAMPLE_DOCS a language.
 
-    Only rows with a language and at least one letter count. Hashes beyond about eight times the sample go before the shuffle, so that what a
-    language's rank sees doesn't grow with the corpus.
+    Only rows with a language and at least one letter count. The languages' sizes, one row each, say which hashes may be among the lowest: about
+    eight times the sample. All others go before anything is shuffled, so what a language's rank sees doesn't grow with the corpus.
     """
     text = F.col(text_col)
     middle = F.greatest(F.lit(1), (F.length(text) / 2).cast("int") - SAMPLE_CHARS // 2)
-    rows = docs.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.substring(text, middle, F.lit(SAMPLE_CHARS)).alias("slice"),
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(1 << 40)).alias("place"),
-    )
-    sizes = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg((8 * SAMPLE_DOCS / F.count("*")).alias("share"))
-    rows = rows.join(sizes, "lang").filter(F.col("place") < F.col("share") * (1 << 40))
+    labelled = docs.filter(F.col(lang_col).isNotNull())
+    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()
+    if not sizes:
+        return {}
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 8 * SAMPLE_DOCS / r["n"])]), F.col("lang"))
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(1 << 40))
+    rows = labelled.select(F.col(lang_col).alias("lang"), text.alias("text"), place.alias("place"), middle.alias("middle"))
+    rows = rows.filter(F.col("place") < share * (1 << 40)).filter(F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", "place", F.substring("text", F.col("middle"), F.lit(SAMPLE_CHARS)).alias("slice"))
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "slice"))).filter(F.col("n") <= SAMPLE_DOCS)
     out: dict[str, list[str]] = {}
     for row in ranked.select("lang", "slice", "n").orderBy("lang", "n").collect():
@@ -182,6 +188,7 @@ def predict(docs: DataFrame, learned: dict[str, list[str]], keep: list[str], tex
     source = docs.select(*keep) if name in keep else docs.select(*keep, F.col(text_col).cast("string").alias(name))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     table = source.sparkSession.sparkContext.broadcast(parser(learned))
+    release_memory()  # the table has gone to a file; a driver needs its memory for what comes next
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, starts, steps = table.value
