@@ -12,6 +12,7 @@ commonest mix that share with spelling out their other subwords. Of each class,
 from __future__ import annotations
 
 import base64
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
@@ -540,11 +541,15 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.*")
     met = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
-    def log_sum(c: Column) -> Column:  # in decimals: the same whatever the order
-        return F.sum(F.log10(c).cast("decimal(28,12)")).cast("double")
+    def total_of(c: Column) -> Column:  # in decimals: the same whatever the order
+        return F.sum(c.cast("decimal(28,12)")).cast("double")
 
+    # log(exp(a) * n + exp(b)) without leaving the logarithms: a long unseen word's chance is below the least double
+    counted, spelt = F.col("a") + F.log("n"), F.col("b")
+    greatest, least = F.greatest(counted, spelt), F.least(counted, spelt)
+    logged = F.when(F.col("n") > 0, greatest + F.log1p(F.exp(least - greatest))).otherwise(spelt) / math.log(10)
     added = met.groupBy("row").agg(
-        log_sum(F.col("n") + 0.5).alias("more"), log_sum(F.exp("a") * F.col("n") + F.exp("b")).alias("more_score"), F.count_if(F.col("n") > 0).alias("more_known")
+        total_of(F.log10(F.col("n") + 0.5)).alias("more"), total_of(logged).alias("more_score"), F.count_if(F.col("n") > 0).alias("more_known")
     )
     out = rows.drop("rare").join(added, "row", "left")
     return out.select(

@@ -129,3 +129,18 @@ def test_borders_and_weights_cover_all_texts(spark, small):
     assert row == 0 or (one.query[row] != model.query[row]).any()
     assert any((getattr(one, k) != getattr(two, k)).any() for k in lm.WEIGHTS)
     lm.fit(docs.limit(0), two, PATH, P.PATTERN)
+
+
+def test_long_unseen_words_cost_what_they_spell(spark):
+    """A word of random letters, which nothing has shown: each further letter makes the text less likely."""
+    rng = np.random.default_rng(4)
+    taught = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5 != 1][:60]
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 20_000))
+    lengths = [50, 400, 2_000, 20_000]
+    rows = [(i, "the bridge over the river is red and the river is wide") for i in taught]
+    rows += [(i, f"the bridge is red {letters[:n]}") for i, n in zip(held, lengths, strict=True)]
+    out = {r.id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), PATH, P.PATTERN).collect()}
+    scores = [out[i] for i in held]
+    assert all(math.isfinite(s) for s in scores)
+    assert all(later < earlier - (m - n) / 10 for (earlier, later), (n, m) in zip(zip(scores, scores[1:], strict=False), zip(lengths, lengths[1:], strict=False), strict=False))
