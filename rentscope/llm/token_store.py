@@ -14,7 +14,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from rentscope.llm.words import split_words, texts_of
 MAGIC = b"DAC1"
 RANK_STEP = 512
 SEGMENT_TOKENS = 1 << 20
-CACHED = 300_000
+CACHED = 600_000
 BATCH_BYTES = 2 << 20
 WORD = np.dtype("<u4")
 
@@ -100,13 +102,28 @@ class Segment:
 
 PUNCTUATION = b".,!?*$%&#;:|"
 PLAIN_LETTERS = re.compile(rb"[a-z]+")
+LATIN_END = "\u0250"
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """The character that stands for each byte in this kind of vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: 0x100 + i for i, b in enumerate(others)}
+
+
+BYTE_ALPHABET = _byte_alphabet()
 
 
 class WordEncoder:
     """Encodes texts word by word: this kind of vocabulary lowers case and drops white space, so a text's ids are those of its words.
 
-    Punctuation at the end of a word is a run of its own to the tokenizer and is looked up apart. New words of letters a-z go to its
-    merge model, which is all that is left to do for them; other new words go to the whole tokenizer.
+    Punctuation at the end of a word is a run of its own to the tokenizer and is looked up apart. New words of letters that neither lower case nor
+    normal form changes go straight to its merge model, spelt in the byte alphabet, which is all that is left to do for them; other new words
+    go to the whole tokenizer. What is known is not encoded again.
+
+    The tokenizer finds the strings of its special tokens in a text before it lowers case and cuts words, so a text that may hold one, in any case,
+    goes to it whole.
     """
 
     def __init__(self, path: str):
@@ -114,42 +131,56 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string inside a text is ordinary text
+        self.marks = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        model, known = self.tokenizer.model, self.known
-        other = []
+        model, known, other = self.tokenizer.model, self.known, []
         for w in words:
             if PLAIN_LETTERS.fullmatch(w):
-                known[w] = np.array([t.id for t in model.tokenize(w.decode())], WORD).tobytes()
+                known[w] = array("I", [t.id for t in model.tokenize(w.decode())]).tobytes()
+            elif (text := w.decode()).isalpha() and text.lower() == text and max(text) < LATIN_END and is_normalized("NFC", text):
+                known[w] = array("I", [t.id for t in model.tokenize(w.decode("latin-1").translate(BYTE_ALPHABET))]).tobytes()
             else:
                 other.append(w)
         for at in range(0, len(other), 1024):
             part = other[at : at + 1024]
             for w, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(found.ids, WORD).tobytes()
+                known[w] = array("I", found.ids).tobytes()
+
+    def _meet(self, new: list[bytes]) -> None:
+        known, split, parts = self.known, [], set()
+        for w in new:
+            if w[-1] in PUNCTUATION:
+                s = w.rstrip(PUNCTUATION)
+                # a stem that ends with a letter: no character of its own can join the punctuation that follows
+                if s and s.decode()[-1].isalpha():
+                    split.append((w, s, e := w[len(s) :]))
+                    parts.add(s)
+                    parts.add(e)
+                    continue
+            parts.add(w)
+        self._learn([w for w in parts if w not in known])
+        for w, s, e in split:
+            known[w] = known[s] + known[e]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        words: dict[bytes, bytes] = {}  # one object for equal words
-        cut = []
-        for t in texts:
-            found = split_words(t.lower() if t else None)
-            cut.append(list(map(words.setdefault, found, found)))
-        known = self.known
-        new = [w for w in words if w not in known]
-        stems = [w.rstrip(PUNCTUATION) for w in new]
-        # a stem that ends with an ASCII letter: no character of its own can join the punctuation that follows
-        stems = [s if s and s[-1:].isalpha() and s[-1] < 128 else w for s, w in zip(stems, new, strict=True)]
-        ends = [w[len(s) :] for s, w in zip(stems, new, strict=True)]
-        self._learn([w for w in {*stems, *ends} if w and w not in known])
-        for w, s, e in zip(new, stems, ends, strict=True):
-            if e:
-                known[w] = known[s] + known[e]
-        ids = {w: known[w] for w in words}
-        if len(known) > CACHED:  # what is frequent is in every batch
-            self.known = dict(ids)
-        return [b"".join(map(ids.__getitem__, found)) for found in cut]
+        low = [t.lower() if t else b"" for t in texts]
+        special = {i for i, t in enumerate(low) if any(m in t for m in self.marks)}
+        cut = [[] if i in special else split_words(t) for i, t in enumerate(low)]
+        words = list(set().union(*cut))
+        ids = dict(zip(words, map(self.known.get, words), strict=True))  # smaller, so quicker to look up in, than all that is known
+        new = [w for w, known in ids.items() if known is None]
+        self._meet(new)
+        ids.update(zip(new, map(self.known.__getitem__, new), strict=True))
+        out = [
+            np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, WORD).tobytes() if i in special
+            else b"".join(map(ids.__getitem__, found))
+            for i, found in enumerate(cut)
+        ]
+        if len(self.known) > CACHED:  # what is frequent is in every batch
+            self.known = ids
+        return out
 
 
 def _segments(path: str, end_id: int, text_col: str, id_col: str):

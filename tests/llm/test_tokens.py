@@ -70,7 +70,6 @@ def test_bpe_odd_rows(spark):
 
 def reference_rows(rows):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     start, out = 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -107,3 +106,11 @@ def test_random_access(n):
     for i in rng.integers(0, n, min(n, 200)):
         assert segment.token(int(i)) == ids[i]
     assert sum((segment.document(k) for k in range(len(ends))), []) == ids[: ends[-1]].tolist()
+
+
+def test_strings_of_special_tokens():
+    encoder, tok = token_store.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    texts = ["hello <|endoftext|> world", "hello <|ENDOFTEXT|> World.", "a<|startoftext|>b\n\nc", "<|endoftext", "it's 12,5% <| x |>", ""]
+    for _ in range(2):  # new words, then known ones
+        assert [np.frombuffer(e, "<u4").tolist() for e in encoder.encode([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tok.encode(texts[0]).ids == [3306, 49407, 1002]
