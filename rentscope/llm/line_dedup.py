@@ -5,10 +5,11 @@ known by the id of its first line (two 64-bit hashes) and its rank among the suf
 array's buckets, ranks order each bucket. A doubling step sorts suffixes of equal rank by the rank of the suffix 2**k lines on: each one's
 new rank is its old one plus the number of equals that come before, so no global sort is needed.
 
-Suffixes whose ranks agree on a window are one interval of the longest-common-prefix array. From each line the shortest window of a least
-number of characters is compared, which bounds the depth: doubling goes on until the longest window that any suffix needs is covered.
-Windows that an earlier place has are deleted, and overlapping ones add up. They don't reach all of a maximal repeated run: its last lines
-stay where they hold fewer characters together and what follows them differs.
+Suffixes whose ranks agree on a window are one interval of the longest-common-prefix array. Deleted is the whole common prefix with an earlier
+place wherever it holds a least number of characters. Such a maximal run is the union of its windows from the shortest one that holds
+the least number of characters up to the one whose rest, without its first line, does so for the first time: a longer window is
+covered by the windows from its next line on, which an earlier place has too. A line that is not blank has one character at least, so no
+window is longer than the least number of characters, which bounds the depth of the doubling whatever the length of a run.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ def _line_rows(docs: DataFrame) -> DataFrame:
 
 
 def _suffixes(lines: DataFrame, min_chars: int) -> DataFrame:
-    """Lines that occur again, by segments, with ``need``: how many lines from here on hold ``min_chars`` characters."""
+    """Lines that occur again, by segments, with the windows to compare from here on: ``need`` lines, the fewest that hold ``min_chars``
+    characters (null if all that follow don't), up to ``upto`` lines, the most whose last ones are not in a window from the next line on."""
     again = lines.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
     rows = lines.join(again, ["a", "b"])
     by_row = Window.partitionBy("row", "id").orderBy("ord")
@@ -51,7 +53,10 @@ def _suffixes(lines: DataFrame, min_chars: int) -> DataFrame:
     sums = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda x, y: x + y))
     need = F.array_position(F.transform(sums, lambda s: s >= min_chars), True)
     own = F.when(F.col("size") >= min_chars, F.lit(1)).otherwise(need).cast("int")
-    return rows.withColumn("need", F.nullif(own, F.lit(0))).withColumn("r0", F.lit(0).cast("long"))
+    rows = rows.withColumn("need", F.nullif(own, F.lit(0)))
+    rest = F.count("*").over(ahead.rowsBetween(0, min_chars)).cast("int")
+    upto = F.greatest("need", F.coalesce(F.lead("need").over(ahead), rest))
+    return rows.withColumn("upto", F.when(F.col("need").isNotNull(), upto)).withColumn("r0", F.lit(0).cast("long"))
 
 
 def _doubled(rows: DataFrame, k: int) -> DataFrame:
@@ -67,41 +72,42 @@ def _doubled(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _later_runs(rows: DataFrame, levels: int) -> DataFrame:
-    """(row, id, ord, need) of windows that an earlier place has too."""
+    """(row, id, ord, length) of windows that an earlier place has too."""
     ranks = [f"r{k}" for k in range(levels + 1)]
     ahead = Window.partitionBy("row", "id", "segment").orderBy("ord").rowsBetween(0, 2**levels - 1)
     places = F.collect_list(F.struct("a", "b", *ranks)).over(ahead)
     # a window of any length is two windows of the power of two below it, from its start and up to its end
-    level = F.length(F.bin("need")) - 1
-    other = F.get(F.col("places"), F.col("need") - F.pow(F.lit(2), F.col("level")).cast("int"))
+    level = F.length(F.bin("length")) - 1
+    other = F.get(F.col("places"), F.col("length") - F.pow(F.lit(2), F.col("level")).cast("int"))
     rank = lambda of: F.get(F.array(*(of[r] for r in ranks)), F.col("level"))
-    keyed = rows.withColumn("places", places).filter("need IS NOT NULL").withColumn("level", level).withColumn("other", other)
+    keyed = rows.withColumn("places", places).filter("need IS NOT NULL").withColumn("length", F.explode(F.sequence("need", "upto")))
+    keyed = keyed.withColumn("level", level).withColumn("other", other)
     keyed = keyed.withColumn("own", F.struct(*ranks)).select(
-        "row", "id", "ord", "need", "a", "b", rank(F.col("own")).alias("rank"), F.col("other.a").alias("end_a"), F.col("other.b").alias("end_b"),
+        "row", "id", "ord", "length", "a", "b", rank(F.col("own")).alias("rank"), F.col("other.a").alias("end_a"), F.col("other.b").alias("end_b"),
         rank(F.col("other")).alias("end_rank"), F.struct("id", "row", "ord").alias("place"),
     )
-    interval = ["need", "a", "b", "rank", "end_a", "end_b", "end_rank"]
+    interval = ["length", "a", "b", "rank", "end_a", "end_b", "end_rank"]
     firsts = keyed.groupBy(*interval).agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return keyed.join(firsts, interval).filter("place > first").select("row", "id", "ord", "need")
+    return keyed.join(firsts, interval).filter("place > first").select("row", "id", "ord", "length")
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` with later copies of repeated line runs deleted from the text, plus ``removed_lines``.
 
-    A run is the shortest one of consecutive lines from a line on, together of ``min_chars`` characters or more, that occur in the same order at an earlier place: in a
-    document of a smaller id (null first; equal ids by a hash of the text) or further up in the same one. Lines are compared without white
-    space at their ends; blank lines are passed over and never deleted. ``removed_lines`` are the deleted places, counted from 0.
+    A run is the longest one of consecutive lines from a line on that occur in the same order at an earlier place: in a document of a
+    smaller id (null first; equal ids by a hash of the text) or further up in the same one; it is deleted if it holds ``min_chars``
+    characters or more. Lines are compared without white space at their ends; blank lines are passed over and never deleted. ``removed_lines`` are the deleted places, counted from 0.
     Null and empty texts stay as they are. Rows that repeat id and text come out alike. ``removed_lines`` replaces a column of that name.
     """
     own = [c for c in docs.columns if c != "removed_lines"]
     source = docs.select(F.struct(*own).alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     source = source.withColumn("row", F.xxhash64("id", "text"))
     rows = written(_suffixes(_line_rows(source.select("row", "id", "text")), min_chars), "line-suffixes")
-    longest = rows.agg(F.max("need")).first()[0] or 1
+    longest = rows.agg(F.max("upto")).first()[0] or 1
     levels = longest.bit_length() - 1
     for k in range(levels):
         rows = written(_doubled(rows, k), "line-ranks")
-    covered = _later_runs(rows, levels).select("row", F.explode(F.sequence(F.col("ord"), F.col("ord") + F.col("need") - 1)).alias("ord"))
+    covered = _later_runs(rows, levels).select("row", F.explode(F.sequence(F.col("ord"), F.col("ord") + F.col("length") - 1)).alias("ord"))
     places = rows.select("row", "ord", "pos").distinct()
     removed = covered.distinct().join(places, ["row", "ord"]).groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
     removed = removed.withColumnRenamed("row", "of")

@@ -76,8 +76,7 @@ filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ord
 ahead AS (SELECT a.doc_id, a.pos, a.ord, b.ord AS last, sum(length(b.line)) OVER w AS chars, string_agg(b.line, chr(10)) OVER w AS run
   FROM filled a JOIN filled b ON a.doc_id = b.doc_id AND b.ord BETWEEN a.ord AND a.ord + 15
   WINDOW w AS (PARTITION BY a.doc_id, a.ord ORDER BY b.ord)),
-least AS (SELECT * FROM ahead WHERE chars >= 16 QUALIFY row_number() OVER (PARTITION BY doc_id, ord ORDER BY last) = 1),
-later AS (SELECT * FROM least QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, ord) > 1),
+later AS (SELECT * FROM ahead WHERE chars >= 16 QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, ord) > 1),
 gone AS (SELECT DISTINCT f.doc_id, f.pos FROM later l JOIN filled f ON f.doc_id = l.doc_id AND f.ord BETWEEN l.ord AND l.last)
 SELECT r.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (g.pos IS NULL), '') AS text
 FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.pos = r.pos GROUP BY r.doc_id

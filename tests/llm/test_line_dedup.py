@@ -8,21 +8,24 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def brute(rows, least):
-    seen, out = set(), []
+    """From every line the longest run that starts at an earlier place too goes, if it holds ``least`` characters."""
+    filled, out = {}, []
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
-        lines = (text or "").split("\n")
-        filled = [(i, x.strip(BLANKS)) for i, x in enumerate(lines) if x.strip(BLANKS)]
-        gone = set()
-        for k in range(len(filled)):
-            chars, m = 0, 0
-            while k + m < len(filled) and chars < least:
-                chars, m = chars + len(filled[k + m][1]), m + 1
-            if chars >= least:
-                run = tuple(x for _, x in filled[k : k + m])
-                if run in seen:
-                    gone.update(i for i, _ in filled[k : k + m])
-                seen.add(run)
-        kept = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        filled[doc_id] = [(i, x.strip(BLANKS)) for i, x in enumerate((text or "").split("\n")) if x.strip(BLANKS)]
+    starts = {}  # earlier places by their first line
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        mine, gone, reach = [x for _, x in filled[doc_id]], set(), {}  # how far a match goes on, by the distance of the places
+        for k, first in enumerate(mine):
+            longest = 0
+            for other, j in starts.get(first, ()):
+                theirs, m = filled[other], max(0, reach.get((other, j - k), 0) - k)
+                while k + m < len(mine) and j + m < len(theirs) and theirs[j + m][1] == mine[k + m]:
+                    m += 1
+                reach[other, j - k], longest = k + m, max(longest, m)
+            if sum(map(len, mine[k : k + longest])) >= least:
+                gone.update(i for i, _ in filled[doc_id][k : k + longest])
+            starts.setdefault(first, []).append((doc_id, k))
+        kept = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
         out.append((doc_id, kept, sorted(gone)))
     return out
 
@@ -47,3 +50,11 @@ def test_odd_rows(spark):
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
     null_id = spark.createDataFrame([(None, "one line of some length"), (1, "one line of some length")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(null_id).collect()} == {None: "one line of some length", 1: ""}
+
+
+def test_whole_runs_go(spark):
+    foot = "All rights reserved by the owner\nShare\nPrint"
+    rows = [(1, f"one\n{foot}\nfirst"), (2, f"two\n{foot}\nsecond"), (3, f"three\n{foot}"), (4, "Share\nPrint"), (5, "a\nb\n" * 30 + "c"), (6, "a\nb\n" * 9)]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text, list(r.removed_lines)) for r in got) == sorted(brute(rows, 16))
+    assert {r.doc_id: r.text for r in got if r.doc_id in (2, 3, 4)} == {2: "two\nsecond", 3: "three", 4: "Share\nPrint"}
