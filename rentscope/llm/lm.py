@@ -3,10 +3,10 @@
 Subwords are predicted by class: the commonest ones are classes of their own, the others share classes by kind and frequency, and a subword's
 share of its class comes from the whole corpus. Class logits start from how often a class follows the last subword (corpus counts, inside
 words and across their borders) and add what attention over the last 16 to 32 subwords gives. The attention weights are fitted on every
-text: each task goes through its texts from the same weights, and the mean of what the tasks come to is the next round's. Texts are cut into blocks of 16; the window of a block is the block before and itself,
+text, in rounds: groups of texts train from the same weights, and the mean of what they come to is the next round's. Texts are cut into blocks of 16; the window of a block is the block before and itself,
 masked to what lies before each place, so windows overlap and every subword is scored once. A word's probability is that of its first
-subword's class, among those that start words, times its share among the corpus's words of that class; words that are not among the
-commonest mix that share with spelling out their other subwords. Of each class, what the corpus has met once is the chance of a new word.
+subword's class, among those that start words, times its share among the corpus's words of that class; a word that the corpus doesn't have is
+spelt out. Of each class, what the corpus has met once is the chance of a new word; the spelling's mass on words that the corpus has is left unused.
 """
 
 from __future__ import annotations
@@ -33,10 +33,11 @@ SIZE = 16  # width of embeddings, queries, keys and values
 EMBEDDED = 1024
 #: Bound: words that tasks hold as a table.
 TOP_WORDS = 100_000
-EPOCHS = 4
-#: Groups in which the weights of tasks are added up before the driver gets them; words of a file of texts to train on.
-SLOTS = 64
-FILE_WORDS = 500_000
+#: The weights of groups are averaged so many times while the texts are gone through once; how many weights are added up in a step; words of
+#: a group in a round, about.
+ROUNDS = 4
+FAN = 64
+GROUP_WORDS = 500_000
 BATCH_BYTES = 2 << 20
 
 
@@ -264,63 +265,65 @@ def _tables(counts: np.ndarray, by_class, n_texts: int, n_words: int, sub: Subwo
     return m
 
 
-def _sum_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Add ``values`` to the rows they belong to."""
-    order = np.argsort(rows.ravel(), kind="stable")
-    sorted_rows = rows.ravel()[order]
-    starts = np.nonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])[0]
-    into[sorted_rows[starts]] += np.add.reduceat(values.reshape(-1, values.shape[-1])[order], starts, axis=0)
+def _sum_rows(rows: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows that occur, and the sums of the ``values`` that belong to each."""
+    flat = rows.ravel()
+    order = np.argsort(flat.astype(np.int16), kind="stable")  # by digits, as there are few rows
+    flat = flat[order]
+    starts = np.nonzero(np.r_[True, flat[1:] != flat[:-1]])[0]
+    return flat[starts], [np.add.reduceat(v.reshape(-1, v.shape[-1])[order], starts, axis=0) for v in values]
 
 
 WEIGHTS = ("key", "query", "value", "distance", "out")
 
 
-def _gradients(m: Model, x: np.ndarray, following: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean cross-entropy of the next class over blocks."""
-    y = following.reshape(-1)
+def _gradients(m: Model, x: np.ndarray, following: np.ndarray, w: np.ndarray) -> dict[str, tuple[np.ndarray | slice, np.ndarray]]:
+    """Of the mean cross-entropy of the next class over blocks: by weight, the rows that the blocks touch and their gradients."""
+    real = np.nonzero(following.reshape(-1) >= 0)[0]
     rows, wide, weights = _attend(m, x, w)
     v, k, q = m.value[wide], m.key[wide], m.query[rows]
     seen = weights @ v
-    z = seen.reshape(-1, SIZE) @ m.out + m.start[rows.reshape(-1)]
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z, out=z)
-    p /= p.sum(axis=1, keepdims=True)
-    real = y >= 0
-    p[np.arange(len(p)), m.class_of[y]] -= 1
-    p[~real] = 0
-    p /= max(1, real.sum())
-    d_seen = (p @ m.out.T).reshape(seen.shape)
+    flat = seen.reshape(-1, SIZE)[real]
+    p = flat @ m.out
+    p += m.start[rows.reshape(-1)[real]]
+    np.exp(p, out=p)
+    p *= (1 / (p.sum(axis=1, keepdims=True) * max(1, len(real)))).astype(np.float32)
+    p[np.arange(len(p)), m.class_of[following.reshape(-1)[real]]] -= np.float32(1 / max(1, len(real)))
+    d_seen = np.zeros_like(seen)
+    d_seen.reshape(-1, SIZE)[real] = p @ m.out.T
     d_weights = d_seen @ v.transpose(0, 2, 1)
-    d_scores = weights * (d_weights - (d_weights * weights).sum(axis=2, keepdims=True))
-    grads = {name: np.zeros_like(getattr(m, name)) for name in WEIGHTS}
-    grads["out"] = seen.reshape(-1, SIZE).T @ p
-    _sum_rows(grads["value"], wide, weights.transpose(0, 2, 1) @ d_seen)
-    grads["distance"] += np.bincount(_BACK.ravel(), weights=d_scores.sum(axis=0).ravel(), minlength=len(m.distance))
+    d_weights -= (d_weights * weights).sum(axis=2, keepdims=True)
+    d_scores = np.multiply(weights, d_weights, out=d_weights)
+    d_distance = np.bincount(_BACK.ravel(), weights=d_scores.sum(axis=0).ravel(), minlength=len(m.distance))
     d_scores *= np.float32(SIZE**-0.5)
-    _sum_rows(grads["query"], rows, d_scores @ k)
-    _sum_rows(grads["key"], wide, d_scores.transpose(0, 2, 1) @ q)
-    return grads
+    asked, (d_query,) = _sum_rows(rows, d_scores @ k)
+    met, (d_value, d_key) = _sum_rows(wide, weights.transpose(0, 2, 1) @ d_seen, d_scores.transpose(0, 2, 1) @ q)
+    return {"out": (_ALL, flat.T @ p), "distance": (_ALL, d_distance.astype(np.float32)), "query": (asked, d_query), "value": (met, d_value), "key": (met, d_key)}
+
+
+_ALL = slice(None)
 
 
 class Adam:
-    """Moments of the gradients of a model's weights."""
+    """Moments of the gradients of a model's weights; a row's move when it is touched."""
 
     def __init__(self, m: Model):
         self.state = {k: (np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))) for k in WEIGHTS}
         self.t = 0
 
-    def step(self, m: Model, grads: dict[str, np.ndarray], rate: float) -> None:
+    def step(self, m: Model, grads: dict[str, tuple[np.ndarray | slice, np.ndarray]], rate: float) -> None:
         self.t += 1
-        for name, (one, two) in self.state.items():
-            one += 0.1 * (grads[name] - one)
-            two += 0.01 * (grads[name] ** 2 - two)
-            one[np.abs(one) < 1e-18] = 0  # what fades away would be slow to count with
-            two[two < 1e-30] = 0
-            getattr(m, name)[...] -= rate * (one / (1 - 0.9**self.t)) / (np.sqrt(two / (1 - 0.99**self.t)) + 1e-6)
+        wide, narrow = np.float32(rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.99**self.t))
+        for name, (rows, found) in grads.items():
+            one, two = self.state[name]
+            first = one[rows] + np.float32(0.1) * (found - one[rows])
+            second = two[rows] + np.float32(0.01) * (found * found - two[rows])
+            one[rows], two[rows] = first, second
+            getattr(m, name)[rows] -= wide * first / (np.sqrt(second * narrow) + np.float32(1e-6))
 
 
 def train(
-    m: Model, ids: list[np.ndarray], end: int, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 128, adam: Adam | None = None, fall: float = 1.0,
+    m: Model, ids: list[np.ndarray], end: int, epochs: int = 1, rate: float = 0.02, batch: int = 256, adam: Adam | None = None, fall: float = 1.0,
 ) -> int:
     """Fit the attention tables and output weights to the next class, by Adam on cross-entropy; batches in a fixed random order.
 
@@ -363,7 +366,8 @@ def texts_as_subwords(m: Model, sub: Subwords, texts: list[list[bytes]]) -> list
 
 def word_scores(m: Model, sub: Subwords, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For all words and ends of all texts in a row: natural log probability, the word's place among the commonest or -1, and for others
-    than these (log probability of their class alone) the weights (log) of their count and of 1 in what is still to be multiplied in."""
+    than these (log probability of their class alone) what is still to be added: with the log of its count for a word of the corpus, and
+    for a new one. The first is what the commonest words have, so that it makes no difference which words the table holds."""
     if not texts:
         return np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     flat, sizes, places, totals = _spelt(m, sub, texts)
@@ -424,11 +428,12 @@ def _borders(texts: DataFrame, m: Model, path: str, pattern: str) -> np.ndarray:
     return out.reshape(m.start.shape)
 
 
-def fit(texts: DataFrame, m: Model, path: str, pattern: str, epochs: int = EPOCHS, rate: float = 0.01) -> None:
-    """Fit the attention weights on all of ``texts``, ``epochs`` times over.
+def fit(texts: DataFrame, m: Model, path: str, pattern: str, groups: int = 1, rounds: int = ROUNDS, rate: float = 0.02) -> None:
+    """Fit the attention weights on all of ``texts``, (text, place) rows; every text is gone through once, in the round its place says.
 
-    Each time every task trains on its texts from the same weights; the next ones are the mean of the tasks', by their blocks. They are
-    added up in SLOTS groups, in the order of the tasks, so that the driver gets as many at most. The rate falls from one time to the next.
+    In a round the texts are dealt by place into ``groups``; each group trains from the same weights, and the next ones are the mean of the
+    groups', by their blocks. So what is learnt depends on the rows alone, not on files or cores. Weights are added up in a tree of
+    FAN groups a step, in the order of the groups; the driver gets FAN at most. The rate falls from one round to the next.
     """
     fixed = texts.sparkSession.sparkContext.broadcast(m)
     shapes = [getattr(m, k).shape for k in WEIGHTS]
@@ -441,38 +446,39 @@ def fit(texts: DataFrame, m: Model, path: str, pattern: str, epochs: int = EPOCH
     def flat(m: Model) -> np.ndarray:
         return np.concatenate([getattr(m, k).ravel() for k in WEIGHTS])
 
+    def row(group: int, n: int, weights: np.ndarray) -> pa.Table:
+        return pa.table({"place": pa.array([group], pa.int32()), "blocks": pa.array([n], pa.int64()), "weights": pa.array([weights.tobytes()], pa.binary())})
+
     def added(rows: pa.Table) -> pa.Table:
-        n = rows["blocks"].to_numpy()
         total = np.zeros(size)
-        for k in np.argsort(rows["task"].to_numpy(), kind="stable").tolist():
-            total += n[k] * np.frombuffer(rows["weights"][k].as_buffer(), np.float32)
-        return pa.table({"task": rows["slot"].slice(0, 1), "blocks": pa.array([n.sum()], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
+        for k in np.argsort(rows["place"].to_numpy(), kind="stable").tolist():
+            total += np.frombuffer(rows["weights"][k].as_buffer())
+        return row(rows["place"][0].as_py() // FAN, sum(rows["blocks"].to_pylist()), total)
 
-    for epoch in range(epochs):
-        start, now = flat(m), rate * (1 - epoch / epochs)
+    for now in range(rounds):
+        start, slower = flat(m), rate * (1 - now / rounds)
 
-        def run(batches: Iterable[pa.RecordBatch], start: np.ndarray = start, now: float = now) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], start: np.ndarray = start, rate: float = slower) -> Iterator[pa.RecordBatch]:
             m, sub, n = replace(fixed.value), Subwords(path, pattern), 0
             put(m, start)
             adam = Adam(m)
             for (part,) in texts_of(batches, "text", limit=BATCH_BYTES):
                 ids = texts_as_subwords(m, sub, [split_words(t.lower() if t else None) for t in part])
-                n += train(m, ids, sub.end, 1, now, adam=adam, fall=0.0)
+                n += train(m, ids, sub.end, 1, rate, adam=adam, fall=0.0)
             if n:
-                task = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task % SLOTS], pa.int32()), pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([flat(m).tobytes()], pa.binary())],
-                    names=["slot", "task", "blocks", "weights"],
-                )
+                yield from row(TaskContext.get().partitionId(), n, n * flat(m).astype(np.float64)).to_batches()
             release_memory()
 
-        came = texts.select("text").mapInArrow(run, "slot int, task int, blocks long, weights binary")
-        sums = came.groupBy("slot").applyInArrow(added, "task int, blocks long, weights binary").toArrow()
-        if not sums.num_rows:
-            break
-        sums = sums.sort_by("task")
-        total = sum(np.frombuffer(w.as_buffer(), np.float64) for w in sums["weights"])
-        put(m, total / sum(sums["blocks"].to_pylist()))
+        mine = texts.filter(F.pmod("place", F.lit(rounds)) == now).repartition(groups, "place").sortWithinPartitions("place", "text")
+        sums, left = mine.select("text").mapInArrow(run, "place int, blocks long, weights binary"), groups
+        while True:
+            sums = sums.groupBy(F.floor(F.col("place") / FAN)).applyInArrow(added, "place int, blocks long, weights binary")
+            left = -(-left // FAN)
+            if left <= FAN:
+                break
+        found = sums.toArrow().sort_by("place")
+        if found.num_rows:
+            put(m, sum(np.frombuffer(w.as_buffer()) for w in found["weights"]) / sum(found["blocks"].to_pylist()))
     fixed.destroy()
 
 
@@ -497,17 +503,12 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     found = pairs.filter("b >= 0 AND a <> -3").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     met[found["b"].to_numpy()] = found["n"].to_numpy()
 
-    # training takes much longer than reading: texts are dealt out evenly, however large the row groups they came in
-    place = taught.select("text", F.xxhash64("id", "text").alias("place"))
-    dealt = place.repartition(1 + n_words // FILE_WORDS, "place").sortWithinPartitions("place", "text").select("text")
-    texts = written(dealt, "taught")
-
     def borders(m: Model) -> np.ndarray:
         with_top(m, sub, top)
-        return _borders(texts, m, path, pattern)
+        return _borders(taught, m, path, pattern)
 
     model = _tables(met, lambda m: _by_class(pairs, m), n_texts, n_words, sub, borders)
-    fit(texts, model, path, pattern)
+    fit(taught.select("text", F.xxhash64("id", "text").alias("place")), model, path, pattern, 1 + n_words // (ROUNDS * GROUP_WORDS))
     distinct = vocabulary + (n_texts > 0)
     below = float(np.log10(total + 0.5 * (distinct + 1)))
     sent = source.sparkSession.sparkContext.broadcast(model)
@@ -544,10 +545,8 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     def total_of(c: Column) -> Column:  # in decimals: the same whatever the order
         return F.sum(c.cast("decimal(28,12)")).cast("double")
 
-    # log(exp(a) * n + exp(b)) without leaving the logarithms: a long unseen word's chance is below the least double
-    counted, spelt = F.col("a") + F.log("n"), F.col("b")
-    greatest, least = F.greatest(counted, spelt), F.least(counted, spelt)
-    logged = F.when(F.col("n") > 0, greatest + F.log1p(F.exp(least - greatest))).otherwise(spelt) / math.log(10)
+    # a word of the corpus has its share among these, as in the tasks' table; the chance of a new word is spelt out
+    logged = F.when(F.col("n") > 0, F.col("a") + F.log("n")).otherwise(F.col("b")) / math.log(10)
     added = met.groupBy("row").agg(
         total_of(F.log10(F.col("n") + 0.5)).alias("more"), total_of(logged).alias("more_score"), F.count_if(F.col("n") > 0).alias("more_known")
     )

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from rentscope.llm import lm
@@ -123,8 +124,9 @@ def test_borders_and_weights_cover_all_texts(spark, small):
             want[model.row_of[a[-1]], model.class_of[b[0]]] += 1
     np.testing.assert_array_equal(lm._borders(docs, model, PATH, P.PATTERN), want)
     one, two = (copy.deepcopy(model) for _ in range(2))
-    lm.fit(docs, one, PATH, P.PATTERN, epochs=1)
-    lm.fit(docs.filter("text NOT LIKE '%zebra%'"), two, PATH, P.PATTERN, epochs=1)
+    docs = docs.selectExpr("text", "xxhash64(text) AS place")
+    lm.fit(docs, one, PATH, P.PATTERN, groups=3)
+    lm.fit(docs.filter("text NOT LIKE '%zebra%'"), two, PATH, P.PATTERN, groups=3)
     row = model.row_of[sub.word(b"zebra")[0]]
     assert row == 0 or (one.query[row] != model.query[row]).any()
     assert any((getattr(one, k) != getattr(two, k)).any() for k in lm.WEIGHTS)
@@ -144,3 +146,26 @@ def test_long_unseen_words_cost_what_they_spell(spark):
     scores = [out[i] for i in held]
     assert all(math.isfinite(s) for s in scores)
     assert all(later < earlier - (m - n) / 10 for (earlier, later), (n, m) in zip(zip(scores, scores[1:], strict=False), zip(lengths, lengths[1:], strict=False), strict=False))
+
+
+def test_weights_depend_on_the_rows_alone(spark, small):
+    _, _, model = small
+    rng = np.random.default_rng(9)
+    texts = [" ".join(w.decode() for w in rng.choice([b"the", b"bridge", b"is", b"red"], 20)) for _ in range(300)]
+    docs = spark.createDataFrame([(t, i * 7919) for i, t in enumerate(texts)], "text string, place long")
+    one, two = (copy.deepcopy(model) for _ in range(2))
+    lm.fit(docs.repartition(7), one, PATH, P.PATTERN, groups=130)  # more than one step of the tree of sums
+    lm.fit(docs.repartition(2).orderBy(F.desc("place")), two, PATH, P.PATTERN, groups=130)
+    for k in lm.WEIGHTS:
+        np.testing.assert_array_equal(getattr(one, k), getattr(two, k))
+    assert (one.out != model.out).any()
+
+
+def test_the_table_of_words_makes_no_difference(spark, monkeypatch):
+    rows = [(i, "the bridge over the river is red and the river is wide" + " blue" * (i % 3)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for bound in (100_000, 3):
+        monkeypatch.setattr(lm, "TOP_WORDS", bound)
+        scores.append({r.id: r.score for r in lm.score(docs, PATH, P.PATTERN).collect()})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6)
