@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from rentscope.llm.words import texts_of
 
+#: What follows a tag's name: a quote opens a value only after "=", and one that is never closed is a character like others. Nothing is tried twice.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+|))*+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|textarea|noscript|template|svg|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"|<(script|style|textarea|noscript|template|svg|iframe|title)(?![^\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)",
     re.S | re.I,
 )
-NAMES = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
@@ -47,6 +49,10 @@ NAMED = frozenset(
     "consent gdpr notice notification alert banner popup modal overlay comment comments reply replies disqus share sharing social newsletter subscribe signup login "
     "related recommended pagination pager skip".split()
 )
+#: Of these, words that name other texts than the article: what holds them is not the page's layout.
+OTHERS = frozenset("comment comments reply replies disqus related recommended".split())
+#: Whole class names of an article that is a reader's comment.
+COMMENT_ARTICLES = frozenset("comment comment-body comment-content comment-item comment-text reply reply-body".split())
 WHOLE_NAMES = frozenset("header site-header page-header masthead topbar site-footer page-footer".split())
 KEPT = frozenset("html body main article".split())
 
@@ -57,7 +63,7 @@ class Node:
     def __init__(self, parent: Node | None, tag: str):
         self.parent, self.tag = parent, tag
         self.children: list[Node | str] = []
-        self.out = 0  # 1: never article text, 2: by its name or as a wrapper that may hold the page
+        self.out = 0  # 1: never article text, 2: by its name or as a wrapper that may hold the page, 3: named as another text
         self.chars = self.tags = self.link_chars = self.link_tags = 0
 
 
@@ -65,19 +71,26 @@ def _left_out(tag: str, attributes: str, inside_article: bool) -> int:
     if tag in NEVER or (tag == "header" and not inside_article):
         return 1
     out = 2 if tag in WRAPPERS else 0
-    if not attributes or tag in KEPT:
+    if not attributes or (tag in KEPT and tag != "article"):
         return out
-    for m in NAMES.finditer(attributes):
+    for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if tag == "article":
+            if name in ("class", "id") and not COMMENT_ARTICLES.isdisjoint(value.split()):
+                out = 3
+            continue
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return 1
         if name == "role" and value in ROLES:
             if value != "form":
                 return 1
-            out = 2
+            out = max(out, 2)
         if name in ("class", "id"):
-            if not WHOLE_NAMES.isdisjoint(value.split()) or not NAMED.isdisjoint(re.split(r"[^a-z]+", value)):
-                out = 2
+            words = re.split(r"[^a-z]+", value)
+            if not OTHERS.isdisjoint(words):
+                out = 3
+            elif not WHOLE_NAMES.isdisjoint(value.split()) or not NAMED.isdisjoint(words):
+                out = max(out, 2)
     return out
 
 
@@ -126,7 +139,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if tag not in VOID and not m[4].rstrip().endswith("/"):
             top = node
     if at < len(page):
-        top.children.append(re.sub(r"<[a-zA-Z/][^>]*\Z", "", page[at:]))  # a tag that never ends
+        top.children.append(re.sub(r"</\Z", "", page[at:]))
     return root, nodes
 
 
@@ -158,16 +171,29 @@ def _measure(nodes: list[Node]) -> None:
 
 
 def _named_back(nodes: list[Node]) -> None:
-    """A name or a form doesn't take out what holds most of the page's text or an article: there it names a neighbour or the layout."""
-    size = {id(n): 0 for n in nodes}
-    holds = dict.fromkeys(size, False)
+    """A name or a form doesn't take out what holds most of the page's text, or a large article: there it names a neighbour or the layout.
+
+    What is named as another text (comments, related stories) counts as such, articles in it too, unless nearly the whole page is in it.
+    """
+    size = dict.fromkeys(map(id, nodes), 0)
     for node in reversed(nodes):
         size[id(node)] += sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
         if node.parent is not None and node.out != 1:
             size[id(node.parent)] += size[id(node)]
-            holds[id(node.parent)] |= holds[id(node)] or node.tag in ("article", "main")
+    whole = size[id(nodes[0])]
+    other: set[int] = set()  # nodes of other texts
+    for node in nodes:
+        if node.out == 3 and 10 * size[id(node)] > 9 * whole:
+            node.out = 0
+        if node.out == 3 or (node.parent is not None and id(node.parent) in other):
+            other.add(id(node))
+    own = whole - sum(size[id(n)] for n in nodes if n.out == 3 and id(n.parent) not in other)
+    holds = {id(n) for n in nodes if n.tag in ("article", "main") and id(n) not in other and 4 * size[id(n)] > own}
+    for node in reversed(nodes):
+        if id(node) in holds and node.parent is not None:
+            holds.add(id(node.parent))
     for node in nodes:
-        if node.out == 2 and (2 * size[id(node)] > size[id(nodes[0])] or holds[id(node)]):
+        if node.out == 2 and id(node) not in other and (2 * size[id(node)] > own or id(node) in holds):
             node.out = 0
 
 
@@ -195,7 +221,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root, nodes = parse(page)
-    if any(n.out == 2 for n in nodes):
+    if any(n.out > 1 for n in nodes):
         _named_back(nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
     _measure(nodes)

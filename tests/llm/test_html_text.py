@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -73,3 +74,34 @@ def test_teasers_in_articles_do_not_replace_the_text():
 def test_a_form_around_the_whole_page_keeps_its_text(wrapper):
     inner = f"{NAV}<div><p>{A}</p><p>{B}</p><p>{C}</p></div><form><label>Your name</label><input><button>Send</button></form>"
     assert html_text.main_text(f"<body><{wrapper}>{inner}</{wrapper.split()[0]}></body>") == PLAIN
+
+
+STORY = f"<p>{A}</p><p>{B}</p><p>{C}</p>"
+REMARKS = "".join(f"<li class='comment'><article class='comment-body'><p>{A} I do not think so at all. {B}</p></article></li>" for _ in range(4))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><article>{STORY}</article><div id=comments><ol>{REMARKS}</ol></div></body>",
+    f"<body><div class=post>{STORY}</div><div id=comments><ol>{REMARKS}</ol></div></body>",
+    f"<body><main><div>{STORY}</div><div id='comments'><ol>{REMARKS}</ol></div></main></body>",
+    f"<body><article>{STORY}</article><article class='comment'><p>{B}</p></article></body>",
+    f"<body><div>{STORY}</div><div class='related'><article><h3>Other</h3><p>{A}</p></article></div></body>",
+    f"<body class='comments-open'><div class='promo-layout'>{NAV}<article class='post comments-open'>{STORY}</article></div></body>",
+])
+def test_comments_and_related_cards_stay_out(page):
+    assert html_text.main_text(page) == PLAIN
+
+
+@pytest.mark.parametrize("start", ["<p title=don't>", "<p don't>", "<p title='a > b'>", '<p title = "it\'s">', "<p title='a hidden gem' class=x>", "<p title=a\"b>", "<p a==b c='>'/>"])
+def test_quotes_in_tags(start):
+    assert html_text.main_text(f"<body><div>{start}{A}</p><p>{B}</p><p title='x'>{C}</p></div></body>") == PLAIN
+
+
+def test_unbalanced_quotes_take_linear_time():
+    took = []
+    for n in (4_000, 64_000):
+        page = "<p title=don't>it is so</p>" * n + "<a <a " * n
+        began = time.process_time()
+        html_text.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 60 * took[0] + 1
