@@ -181,19 +181,19 @@ def _pruned(rows: DataFrame, rule: Rule) -> tuple[Rule, float, int]:
     return rule[: 1 - minus_k], precision, p
 
 
-def learn(sample: DataFrame, max_rules: int = 8, max_conditions: int = 4, precision: float = 0.9, least: int = 5) -> list[Rule]:
+def learn(sample: DataFrame, precision: float = 0.9, least: int = 5) -> list[Rule]:
     """Ordered rules for bad rows, from a bounded sample with ``bad`` and ``prune`` booleans and the columns STATISTICS.
 
-    Growing ends when no good row is covered, no condition gains or ``max_conditions`` is reached; learning ends with the first rule that covers
+    Growing ends when no good row is covered or no condition gains; learning ends with the first rule that covers
     fewer than ``least`` bad rows or is below ``precision`` on the pruning rows. No rows, or one label alone, give no rule.
     """
     cells, cuts = _binned(sample)
     left = written(cells, "rule-cells")
     rules: list[Rule] = []
-    while len(rules) < max_rules:
+    while True:  # each rule takes ``least`` bad rows or more from those that are left
         uncovered = left.filter(~_any([_all([c.binned() for c in r]) for r in rules]))
         rule: Rule = ()
-        while len(rule) < max_conditions:
+        while True:  # each condition leaves fewer rows
             best, good = _best_condition(uncovered.filter(~F.col("prune") & _all([c.binned() for c in rule])), cuts, least)
             if best is None:
                 break
@@ -220,9 +220,9 @@ def labelled(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", label
 
 def verdict(rules: list[Rule]) -> Column:
     """The list as one conditional expression over STATISTICS: the number of the first rule that holds, null if none does."""
-    out = F.lit(None).cast("int")
-    for k in range(len(rules) - 1, -1, -1):
-        out = F.when(_all([c.column() for c in rules[k]]), F.lit(k)).otherwise(out)
+    out = F.when(F.lit(False), F.lit(-1))
+    for k, rule in enumerate(rules):
+        out = out.when(_all([c.column() for c in rule]), F.lit(k))
     return out
 
 
