@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
-Only a window that shares a shingle with an item can be similar to it, so windows are laid where a document's shingle occurs in an item, at
-the same offset and of the item's length. Their 64-bit SimHash meets the items' of that length in an index of radius + 1 bit blocks:
-two fingerprints within the radius agree on one block at least. What is within the radius is compared exactly.
+A window of an item's length is laid wherever enough of its shingles occur in items of that length to reach the similarity. It may begin
+with such a shingle, or be the document's last: any other is no more similar than the window one word on, which swaps its first, foreign shingle for
+another. The windows' 64-bit SimHash meets the items' of that length in an index of radius + 1 bit blocks: two fingerprints within the
+radius agree on one block at least. What is within the radius is compared exactly.
 """
 
 from __future__ import annotations
@@ -74,15 +75,36 @@ def _items(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 
 def _seeds(items: DataFrame) -> DataFrame:
-    """(width, h, offset, length): where a shingle stands in items of which length, however many items share it."""
+    """(width, h, length): which shingle stands in items of which length, however many items share it."""
 
     def of_width(w: int) -> DataFrame:
         made = F.transform(F.sequence(F.lit(0), F.col("length") - w), lambda i: _shingle_at(F.col("parts"), i, w))
-        return items.filter(F.col("width") == w).select(F.lit(w).alias("width"), "length", F.posexplode(made).alias("offset", "h"))
+        return items.filter(F.col("width") == w).select(F.lit(w).alias("width"), "length", F.explode(made).alias("h"))
 
     return reduce(DataFrame.unionAll, map(of_width, range(1, WIDTH + 1))).distinct()
 
 
+def _starts(hits: DataFrame, similarity: float) -> DataFrame:
+    """(row, start, length, width) of the windows that can reach the similarity; hits are (row, n, width, length, pos) with n words in the row.
+
+    A window of b shingles and an item of a with c in common have the similarity c / (a + b - c), so c must be at least
+    similarity * (a + b) / (1 + similarity). The places of a window at which any item of the length has the shingle bound c from above.
+    """
+    own = F.least(F.col("n"), F.col("length"))
+    rows = hits.groupBy("row", "n", "width", "length").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    rows = rows.withColumn("own", F.greatest(F.lit(1), own - F.col("width") + 1)).withColumn("last", F.col("n") - own)
+    of_item = F.col("length") - F.col("width") + 1
+    # a hair less: rounding must not lose a window that just reaches it
+    rows = rows.withColumn("need", F.greatest(F.lit(1), F.ceil((of_item + F.col("own")) * similarity / (1 + similarity) - 1e-9).cast("int")))
+
+    def full(p: Column, i: Column) -> Column:
+        return (p < F.col("last")) & (F.get(F.col("at"), i + F.col("need") - 1) < p + F.col("own"))
+
+    at_end = F.get(F.col("at"), F.size("at") - F.col("need")) >= F.col("last")
+    starts = F.concat(F.filter("at", full), F.when(at_end, F.array("last")).otherwise(F.array().cast("array<int>")))
+    return rows.select("row", F.explode(starts).alias("start"), "length", "width")
+
+
 def _touched(docs: DataFrame, seeds: DataFrame, set_bound: int) -> DataFrame:
     """(row, id, parts, hits) of documents that share a shingle with an item; hits are (pos, width, h).
 
@@ -115,26 +137,27 @@ def _touched(docs: DataFrame, seeds: DataFrame, set_bound: int) -> DataFrame:
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, similarity: float = 0.8, radius: int = 18, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, items: DataFrame, similarity: float = 0.8, radius: int = 22, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", set_bound: int = SET_BOUND,
 ) -> DataFrame:
     """(row, id, item_id, start, n_words, similarity): the best window of each document that is similar enough to an item.
 
     Words are lowered A-Z; shingles take five words, or all of a shorter item. A window has the item's length, or what the document has of
-    it, and starts at word ``start``. ``row`` is a hash of id and text. ``radius`` is 18 of 64 bits: at a similarity of 0.8 fingerprints
-    differ by 10 in the mean, by more than 18 in 2 of 1,000 cases. Null and blank texts, of documents or items, match nothing; rows that repeat
-    an id and its text give one; ids may be null. Ties go to the first window. Other columns are not read.
+    it, and starts at word ``start``. ``row`` is a hash of id and text. ``radius`` is 22 of 64 bits: at a similarity of 0.8 fingerprints
+    differ by 10 in the mean, by more than 22 in some 4 of 100,000 cases. Null and blank texts, of documents or items, match nothing; rows that repeat
+    an id and its text give one; ids may be null. Ties go to the first window laid. Other columns are not read.
     """
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).withColumn("row", F.xxhash64("id", "text"))
     known = written(_items(items, item_col, item_text_col), "items")
     seeds = _seeds(known)
     touched = _touched(source, seeds, set_bound).dropDuplicates(["row"])
     hits = touched.select("row", F.size("parts").alias("n"), F.explode("hits").alias("x")).select("row", "n", "x.*")
-    fits = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("length")))
-    windows = hits.join(seeds, ["width", "h"]).groupBy("row").agg(F.collect_set(F.struct(fits.alias("start"), "length", "width")).alias("windows"))
-    window = F.transform("windows", lambda x: F.struct(x.alias("at"), F.slice(F.col("parts"), x["start"] + 1, x["length"]).alias("parts")))
-    laid = touched.join(windows, "row").select("row", "id", F.explode_outer(window).alias("w"))
-    laid = laid.select("row", "id", "w.at.*", F.size("w.parts").alias("n_words"), _shingles(F.col("w.parts"), F.col("w.at.width")).alias("own"))
+    starts = _starts(hits.join(seeds, ["width", "h"]), similarity)
+    windows = starts.groupBy("row").agg(F.collect_list(F.struct("start", "length", "width")).alias("windows"))
+    # one window a row before its words are cut out
+    laid = touched.join(windows, "row").select("row", "id", "parts", F.explode("windows").alias("w")).select("row", "id", "parts", "w.*")
+    laid = laid.withColumn("parts", F.slice(F.col("parts"), F.col("start") + 1, F.col("length")))
+    laid = laid.select("row", "id", "start", "length", "width", F.size("parts").alias("n_words"), _shingles(F.col("parts"), F.col("width")).alias("own"))
     laid = written(laid.withColumn("own_fp", _simhash(F.col("own"))), "windows")
     keys = laid.select("row", "start", "length", "own_fp", F.explode(_block_keys(F.col("own_fp"), radius)).alias("key"))
     index = known.select("item_id", "length", "fp", F.explode(_block_keys(F.col("fp"), radius)).alias("key"))

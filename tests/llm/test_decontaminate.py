@@ -67,3 +67,20 @@ def test_edited_passages_and_joined_seeds(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in docs if i not in {d for d, _ in want})
     assert decontaminate.without_leaks(table, bench.limit(0)).count() == len(docs)
     assert decontaminate.leaks(table.limit(0), bench).count() == 0
+
+
+def test_windows_at_other_offsets(spark):
+    """Halves swapped, a rotated item, an item at either end or longer than its document: all windows are judged."""
+    rng = random.Random(9)
+    one, two, fill = ([f"{k}{i}" for i in range(60)] for k in "abc")
+    items = [(1, " ".join(one + two)), (2, " ".join(one[:14])), (3, " ".join(fill[:9]))]
+    passages = [one + two, two + one, one[3:] + two + one[:3], (one + two)[:-7], (one + two)[9:], one[:14], one[1:14], fill[:8], fill[1:9]]
+    docs = []
+    for i, passage in enumerate(p for p in passages for _ in range(4)):
+        noise = [[f"n{rng.randrange(500)}" for _ in range(rng.choice([0, 1, 30]))] for _ in range(2)]
+        docs.append((i, " ".join(noise[0] + passage + noise[1])))
+    docs.append((100, " ".join(two + one + fill + one + two)))
+    got = {(r.id, r.item_id): r.similarity for r in decontaminate.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert got == want and {d for d, i in want if i == 1} >= {*range(8), 100}
