@@ -15,9 +15,8 @@ from rentscope.llm.words import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter go. The labels of documents that are not held out teach it."""
-    learned = langid.samples(docs.filter(~langid.held_out(docs)))
-    return langid.accepted(langid.predict(docs, learned, docs.columns)).select(docs.columns)
+    """Documents that read as a learned language; others and those without a letter go. Labels of documents not held out teach it."""
+    return langid.in_known_language(docs, langid.samples(docs.filter(~langid.held_out(docs))))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from rentscope.llm.words import release_memory, texts_of
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 100
 CHUNK = 256
+#: Phrases of five symbols are no sign of a strange text, however uniform the labelled text is.
+LEAST_RATE = 0.2
 NONE = "und"
 
 
@@ -192,27 +194,77 @@ def predict(docs: DataFrame, learned: dict[str, list[str]], keep: list[str], tex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, starts, steps = table.value
-        for batch in batches:
-            at = 0
-            for (texts,) in texts_of([batch], name):
-                made = [symbols(t.decode()) if t else np.empty(0, np.uint8) for t in texts]
-                names, scores = [], []
-                for t, row in zip(made, phrases(made, starts, steps), strict=True):
-                    if not len(t) or not languages:
-                        names.append(NONE)
-                        scores.append(0.0)
-                        continue
-                    best, *others = np.argsort(row, kind="stable").tolist()
-                    names.append(languages[best])
-                    scores.append(1 - float(row[best]) / float(row[others[0]]) if others else 1.0)
-                columns = [batch.column(c).slice(at, len(texts)) for c in keep]
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+        for part, made, counts in _parsed(batches, name, starts, steps):
+            names, scores = [], []
+            for t, row in zip(made, counts, strict=True):
+                if not len(t) or not languages:
+                    names.append(NONE)
+                    scores.append(0.0)
+                    continue
+                best, *others = np.argsort(row, kind="stable").tolist()
+                names.append(languages[best])
+                scores.append(1 - float(row[best]) / float(row[others[0]]) if others else 1.0)
+            columns = [part.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
         release_memory()
 
     return source.mapInArrow(run, schema)
 
 
+def _parsed(batches: Iterable[pa.RecordBatch], name: str, starts: np.ndarray, steps: np.ndarray) -> Iterator[tuple]:
+    """(rows, symbols of each text, phrases of each text and language) in runs of bounded size."""
+    for batch in batches:
+        at = 0
+        for (texts,) in texts_of([batch], name):
+            made = [symbols(t.decode()) if t else np.empty(0, np.uint8) for t in texts]
+            yield batch.slice(at, len(texts)), made, phrases(made, starts, steps)
+            at += len(texts)
+
+
+def usual_rates(learned: dict[str, list[str]], quantile: float = 0.9) -> dict[str, float]:
+    """Phrases a symbol that text of each language usually needs at most: every second slice, parsed by the others.
+
+    Slices are taken once each, as copies say nothing about other text, and a rate is no less than ``LEAST_RATE``. A language with one slice has no
+    measure: its rate is infinite.
+    """
+    distinct = {n: [t for t in dict.fromkeys(slices) if len(symbols(t))] for n, slices in learned.items()}
+    out = dict.fromkeys(learned, float("inf"))
+    tested = {n: slices for n, slices in distinct.items() if len(slices) > 1}
+    languages, starts, steps = parser({n: slices[::2] for n, slices in tested.items()})
+    for k, n in enumerate(languages):
+        made = [symbols(t) for t in tested[n][1::2]]
+        rates = phrases(made, starts, steps)[:, k] / np.array([len(m) for m in made])
+        out[n] = max(LEAST_RATE, float(np.quantile(rates, quantile)))
+    return out
+
+
+def in_known_language(docs: DataFrame, learned: dict[str, list[str]], text_col: str = "text", slack: float = 2.0, allowance: int = 3) -> DataFrame:
+    """The rows of ``docs``, columns as they are, whose text reads as one of the learned languages.
+
+    A text is rejected if in every language its parse needs more than ``slack`` times the usual phrases a symbol (see ``usual_rates``), and
+    ``allowance`` phrases more, so that a few names or a short text prove nothing: keyboard junk, encoded data, other scripts. Null texts and texts
+    without a letter are rejected. If nothing was learned, only these are. Rows that repeat fare alike.
+    """
+    is_text = docs.schema[text_col].dataType.simpleString() == "string"
+    name = text_col if is_text else "__text"
+    source = docs if is_text else docs.select("*", F.col(text_col).cast("string").alias(name))
+    rates = usual_rates(learned)
+    limits = np.array([slack * rates[n] for n in sorted(rates)])
+    table = source.sparkSession.sparkContext.broadcast(parser(learned))
+    release_memory()
+    kept = docs.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, starts, steps = table.value
+        for part, made, counts in _parsed(batches, name, starts, steps):
+            sizes = np.array([len(m) for m in made])
+            reads = (counts <= sizes[:, None] * limits + allowance).any(axis=1) if len(limits) else np.ones(len(made), bool)
+            yield part.select(kept).filter(pa.array((sizes > 0) & reads))
+        release_memory()
+
+    return source.mapInArrow(run, docs.schema)
+
+
 def held_out(docs: DataFrame, id_col: str = "doc_id"):
     """True for one document of five, by the crc32 of the id's text; such documents teach nothing. Null ids are not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -59,3 +59,34 @@ def test_odd_rows(spark):
     assert langid.samples(docs.limit(0)) == {}
     assert {r.lang_pred for r in langid.predict(docs, {}, ["doc_id"]).collect()} == {"und"}
     assert langid.predict(docs.limit(0), learned, ["doc_id"]).count() == 0
+
+
+def test_strange_texts_are_rejected(spark):
+    """Keyboard junk, encoded data and other scripts go, clean documents of any length stay; the decision agrees with a plain search."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = langid.samples(docs.filter(~langid.held_out(docs)))
+    rng = random.Random(5)
+    junk = ["".join(rng.choice("asdfghjklqwertyuiopzxcvbnm ") for _ in range(n)) for n in (60, 200, 1000, 5000)]
+    junk += ["Россия великая страна и мы все любим ее очень сильно каждый день", "日本語の文章はとても長いです漢字とひらがな",
+             "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(400))]
+    clean = [r.text for r in docs.filter(langid.held_out(docs)).select("text").collect()]
+    texts = junk + clean + ["Zyx.", "ok", None, "", "12 %%"]
+    table = spark.createDataFrame([(i, t, "x", 0.5) for i, t in enumerate(texts)], "doc_id int, text string, lang_pred string, score double")
+    got = langid.in_known_language(table, learned).collect()
+    assert all(r.text == texts[r.doc_id] and r.lang_pred == "x" and r.score == 0.5 for r in got)
+    ids = {r.doc_id for r in got}
+    assert ids == {i for i in range(len(junk), len(texts) - 3) if any(map(str.isalpha, texts[i]))}
+
+    rates = langid.usual_rates(learned)
+    known = {n: "".join(map(chr, np.concatenate([[0], *(langid.symbols(t) for t in learned[n])]))) for n in learned}
+    for i in [*range(len(junk)), *range(len(junk), len(junk) + 25)]:
+        made = "".join(map(chr, langid.symbols(texts[i])))[:2560]
+        if len(made) < 2560:
+            pieces = [made[at : at + langid.CHUNK] for at in range(0, len(made), langid.CHUNK)]
+            fits = any(sum(brute_phrases(p, known[n]) for p in pieces) <= 2 * rates[n] * len(made) + 3 for n in known)
+            assert fits == (i in ids)
+
+    nothing = langid.in_known_language(table, {})
+    assert nothing.count() == sum(any(map(str.isalpha, t or "")) for t in texts)
+    assert langid.in_known_language(table.limit(0), learned).count() == 0
+    assert langid.in_known_language(table, {"en": [clean[0][:90]]}).count() == nothing.count()
