@@ -16,6 +16,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -183,11 +184,17 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """A Python worker's encoder: the tasks it runs one after the other share the words it has met, ``CACHED`` and a batch's at most."""
+    return WordEncoder(path)
+
+
 def _segments(path: str, end_id: int, text_col: str, id_col: str):
     end = WORD.type(end_id).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, inside = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, inside = _encoder(path), TaskContext.get().partitionId(), 0
         doc_ids, packed, total = [], [], 0
 
         def segment():
