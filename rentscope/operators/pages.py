@@ -174,8 +174,7 @@ _PLACES_SCHEMA = (
 def _place_structs() -> Column:
     """Named accommodations of the first JSON-LD block of a lodging business."""
     raw = X.matched(F.col("html"), r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script""")
-    data = F.from_json(raw, _PLACES_SCHEMA)
-    lodging = F.when(data["@type"] == "LodgingBusiness", data["containsPlace"])
+    lodging = once(F.from_json(raw, _PLACES_SCHEMA), lambda data: F.when(data["@type"] == "LodgingBusiness", data["containsPlace"]))
     kept = F.filter(lodging, lambda p: (p["@type"] == "Accommodation") & (F.trim(p["name"]) != ""))
     return F.transform(kept, lambda p: F.struct(
         F.trim(p["name"]).alias("plan_name"),
@@ -198,17 +197,18 @@ def name_anchored_prices(names: Column, text: Column) -> Column:
     amount = lambda t: X.number(X.matched(t, X.PRICE_OR_RANGE))
     ok = lambda v: v.between(500, 20_000)
 
-    def near(name):
-        at = F.position(name, text)
-        v = amount(F.substring(text, at, F.lit(600)))
-        return F.when((at > 0) & ok(v), v)
+    def near(name: Column, t: Column) -> Column:
+        return once(F.position(name, t), lambda at: once(amount(F.substring(t, at, F.lit(600))), lambda v: F.when((at > 0) & ok(v), v)))
 
-    anchored = F.transform(names, near)
-    harvested = F.filter(
-        F.transform(F.regexp_extract_all(text, F.lit(X.PRICE_OR_RANGE), F.lit(1)), X.number), ok
-    )
-    handed = F.transform(names, lambda _, i: F.get(harvested, i))
-    return F.when(F.exists(anchored, lambda v: v.isNotNull()), anchored).otherwise(handed)
+    def handed(t: Column) -> Column:
+        harvested = F.filter(F.transform(F.regexp_extract_all(t, F.lit(X.PRICE_OR_RANGE), F.lit(1)), X.number), ok)
+        return once(harvested, lambda h: F.transform(names, lambda _, i: F.get(h, i)))
+
+    def prices(t: Column) -> Column:
+        anchored = F.transform(names, lambda name: near(name, t))
+        return once(anchored, lambda a: F.when(F.exists(a, lambda v: v.isNotNull()), a).otherwise(handed(t)))
+
+    return once(text, prices)
 
 
 def priced_places(html: Column) -> Column:
