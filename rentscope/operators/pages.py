@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentscope.functions import pagetext as X
@@ -23,26 +23,44 @@ PLAN_PATHS = (
 LINK_WORDS = ("availability", "floor", "plans", "pricing")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(page_id, page_url, pos, href, text, url): every link of a page in order, its address made absolute."""
-    found = F.regexp_extract_all(X.without_hidden(F.col("html")), F.lit(ANCHOR), F.lit(0))
-    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(found).alias("pos", "tag"))
-    href = F.trim(F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1))
-    text = X.inner_text(F.regexp_extract("tag", r"(?is)^<a\b[^>]*>(.*)</a$", 1))
-    return rows.select("page_id", "page_url", "pos", X.unescaped(href).alias("href"), text.alias("text")).withColumn(
-        "url", U.resolve(F.col("page_url"), F.col("href"))
-    )
+HREF = r"""(?is)\bhref\s*=\s*["']([^"']*)["']"""
+# Parts of a link by name, from its tag, its href and the page's address.
+_LINK_PARTS = {
+    "href": lambda tag, href, base: href,
+    "text": lambda tag, href, base: X.inner_text(F.regexp_extract(tag, r"(?is)^<a\b[^>]*>(.*)</a$", 1)),
+    "url": lambda tag, href, base: U.resolve(base, href),
+}
+
+
+def links(pages: DataFrame, parts: Sequence[str] = ("href", "text", "url")) -> DataFrame:
+    """(page_id, page_url, pos, ``parts``): every link of a page in order; ``url`` is its address made absolute.
+
+    The parts are made before the rows are: a condition on a column made after it would be moved ahead of that column, its expressions with
+    it, and evaluate them again at each mention.  Outer, as in ``_exploded``.
+    """
+
+    def link(tag: Column) -> Column:
+        href = X.unescaped(F.trim(F.regexp_extract(tag, HREF, 1)))
+        return once(href, lambda h: F.struct(*[_LINK_PARTS[p](tag, h, F.col("url")).alias(p) for p in parts]))
+
+    found = F.transform(F.regexp_extract_all(X.without_hidden(F.col("html")), F.lit(ANCHOR), F.lit(0)), link)
+    rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode_outer(found).alias("pos", "_l"))
+    return rows.where(F.col("pos").isNotNull()).select("page_id", "page_url", "pos", *[F.col("_l")[p].alias(p) for p in parts])
+
+
+def _is_plan_path(url: Column) -> Column:
+    return once(U.path_of(url), lambda path: any_of([path.rlike(p) for p in PLAN_PATHS]))
 
 
 def plan_links(pages: DataFrame, min_links: int = 2) -> DataFrame:
     """Distinct plan-page addresses of pages with at least ``min_links`` of them, first place kept."""
-    path = U.path_of(F.col("url"))
-    hits = links(pages).where(
-        (F.col("href") != "") & ~F.col("href").rlike(r"^(#|mailto:|tel:|javascript:)") & any_of([path.rlike(p) for p in PLAN_PATHS])
+    hits = links(pages, ("href", "url")).where(
+        (F.col("href") != "") & ~F.col("href").rlike(r"^(#|mailto:|tel:|javascript:)") & _is_plan_path(F.col("url"))
     )
     unique = hits.groupBy("page_id", "url").agg(F.min("pos").alias("pos"))
-    enough = unique.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_links).select("page_id")
-    return unique.join(enough, "page_id", "left_semi")
+    # Counted beside the rows: a join with a count of them would read all pages again.
+    counted = unique.where(F.col("page_id").isNotNull()).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("page_id")))
+    return counted.where(F.col("_n") >= min_links).drop("_n")
 
 
 def keyword_links(pages: DataFrame, words: Sequence[str] = LINK_WORDS) -> DataFrame:

@@ -22,6 +22,12 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string, hint string").where("coalesce(page_id, 0) >= 0")
 
 
+def test_plan_links_read_pages_once(pages):
+    got = sorted((r["page_id"], r["url"], r["pos"]) for r in E.plan_links(pages).collect())
+    assert got == [(1, "https://h.example.com/floorplans/a1", 0), (1, "https://h.example.com/plans/b2/?x#y", 1), (1, "https://h.example.com/x/plans/b2/?x#y", 1)]
+    assert mentions(E.plan_links(pages), ".*?</a") == 1
+
+
 def test_named_prices_read_the_text_once(spark):
     html = ("<script type=\"application/ld+json\">{\"@type\":\"LodgingBusiness\",\"containsPlace\":[{\"@type\":\"Accommodation\",\"name\":\"Ash\"},"
             "{\"@type\":\"Accommodation\",\"name\":\"Elm\"}]}</script><p>$1,500</p><p>$99</p><p>$2,000</p>")
