@@ -64,11 +64,11 @@ def plan_links(pages: DataFrame, min_links: int = 2) -> DataFrame:
 
 
 def keyword_links(pages: DataFrame, words: Sequence[str] = LINK_WORDS) -> DataFrame:
-    return links(pages).where(P.mentions_any(F.col("text"), words)).select("page_id", "url").distinct()
+    return links(pages, ("text", "url")).where(P.mentions_any(F.col("text"), words)).select("page_id", "url").distinct()
 
 
 def scored_links(pages: DataFrame) -> DataFrame:
-    return links(pages).where(F.col("text") != "").withColumn(
+    return links(pages, ("href", "text")).where(F.col("text") != "").withColumn(
         "score", X.link_score(F.col("text"), F.col("href"), U.authority(F.col("page_url")))
     )
 

@@ -22,6 +22,16 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string, hint string").where("coalesce(page_id, 0) >= 0")
 
 
+def test_links_once(pages):
+    got = sorted((r["page_id"] or 0, r["page_url"] or "", r["pos"], r["href"], r["text"], r["url"] or "") for r in E.links(pages).collect())
+    assert len(got) == 12 and got[3:5] == [
+        (1, "https://h.example.com/", 0, "/floorplans/a1", "A & 1", "https://h.example.com/floorplans/a1"),
+        (1, "https://h.example.com/", 1, "plans/b2/?x#y", "B 2", "https://h.example.com/plans/b2/?x#y"),
+    ]
+    scored = E.scored_links(pages)
+    assert mentions(scored, ".*?</a") == 1 and mentions(scored, "(.*)</a$") == 1
+
+
 def test_plan_links_read_pages_once(pages):
     got = sorted((r["page_id"], r["url"], r["pos"]) for r in E.plan_links(pages).collect())
     assert got == [(1, "https://h.example.com/floorplans/a1", 0), (1, "https://h.example.com/plans/b2/?x#y", 1), (1, "https://h.example.com/x/plans/b2/?x#y", 1)]
