@@ -422,8 +422,8 @@ def typed_plans(units: DataFrame) -> DataFrame:
 def has_plan_links(html: Column, url: Column, min_links: int = 2) -> Column:
     """Whether a page itself names at least ``min_links`` plan pages (counted on its own row)."""
     found = F.regexp_extract_all(X.without_hidden(html), F.lit(ANCHOR), F.lit(0))
-    urls = F.transform(found, lambda a: U.resolve(url, F.trim(F.regexp_extract(a, r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1))))
-    hits = F.filter(urls, lambda u: any_of([U.path_of(u).rlike(p) for p in PLAN_PATHS]))
+    urls = F.transform(found, lambda a: once(F.trim(F.regexp_extract(a, HREF, 1)), lambda href: U.resolve(url, href)))
+    hits = F.filter(urls, _is_plan_path)
     return F.size(F.array_distinct(hits)) >= min_links
 
 
@@ -467,7 +467,8 @@ def detect_platform(pages: DataFrame, extractors: Sequence[Extractor] | None = N
     """First format that applies, the hinted one before all others; "agent" when none does."""
     ways = default_extractors() if extractors is None else extractors
     tests = [(e.name, F.coalesce(e.detect, F.lit(False))) for e in ways]
-    branches = [F.when((F.col(hint) == n) & d, n) for n, d in tests] if hint else []
+    # A missing hint counts as another one: NULL AND d would have to evaluate d.
+    branches = [F.when(F.coalesce(F.col(hint) == n, F.lit(False)) & d, n) for n, d in tests] if hint else []
     branches += [F.when(d, n) for n, d in tests]
     return pages.withColumn("platform", F.coalesce(*branches, F.lit("agent")))
 

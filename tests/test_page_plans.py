@@ -38,6 +38,12 @@ def test_plan_links_read_pages_once(pages):
     assert mentions(E.plan_links(pages), ".*?</a") == 1
 
 
+def test_detection_reads_a_link_once(pages):
+    assert [r["platform"] for r in E.detect_platform(pages).orderBy("page_id", "url").collect()].count("generic_detail") == 3
+    # Once for the hinted format, once for the walk.
+    assert mentions(E.detect_platform(pages), "href") <= 2 * 2
+
+
 def test_named_prices_read_the_text_once(spark):
     html = ("<script type=\"application/ld+json\">{\"@type\":\"LodgingBusiness\",\"containsPlace\":[{\"@type\":\"Accommodation\",\"name\":\"Ash\"},"
             "{\"@type\":\"Accommodation\",\"name\":\"Elm\"}]}</script><p>$1,500</p><p>$99</p><p>$2,000</p>")
