@@ -250,28 +250,31 @@ def match_start(text: Column, pattern: str) -> Column:
 
 def nearest_beds(text: Column) -> Column:
     """Bed count whose mention ends closest to where the size begins; a studio within 60 characters wins."""
-    at = match_start(text, SQFT_PLAIN)
-    near = F.substring(text, F.greatest(at - 59, F.lit(1)), F.least(at, F.lit(60)) + 20)
     mentions = F.regexp_extract_all(text, F.lit(BEDS), F.lit(0))
     pieces = F.arrays_zip(F.split(text, BEDS).alias("gap"), mentions.alias("hit"))
     start = F.struct(
         F.lit(0).alias("pos"), F.lit(2_147_483_647).alias("dist"), F.lit(None).cast("string").alias("best")
     )
 
-    def step(acc, x):
-        end = acc["pos"] + F.length(x["gap"]) + F.length(F.coalesce(x["hit"], F.lit("")))
-        dist = F.abs(at - end)
-        closer = x["hit"].isNotNull() & (dist < acc["dist"])
-        return F.struct(
-            end.alias("pos"), F.when(closer, dist).otherwise(acc["dist"]).alias("dist"),
-            F.when(closer, x["hit"]).otherwise(acc["best"]).alias("best"),
+    def anchored(at: Column) -> Column:
+        def step(acc, x):
+            def next_state(end):
+                dist = F.abs(at - end)
+                closer = x["hit"].isNotNull() & (dist < acc["dist"])
+                return F.struct(
+                    end.alias("pos"), F.when(closer, dist).otherwise(acc["dist"]).alias("dist"),
+                    F.when(closer, x["hit"]).otherwise(acc["best"]).alias("best"),
+                )
+
+            return once(acc["pos"] + F.length(x["gap"]) + F.length(F.coalesce(x["hit"], F.lit(""))), next_state)
+
+        near = F.substring(text, F.greatest(at - 59, F.lit(1)), F.least(at, F.lit(60)) + 20)
+        best = F.aggregate(pieces, start, step)["best"]
+        return F.when(near.rlike(r"(?i)\bstudio\b"), 0.0).otherwise(
+            F.coalesce(F.regexp_extract(best, r"(\d+)", 1).try_cast("double"), F.lit(0.0))
         )
 
-    best = F.aggregate(pieces, start, step)["best"]
-    anchored = F.when(near.rlike(r"(?i)\bstudio\b"), 0.0).otherwise(
-        F.coalesce(F.regexp_extract(best, r"(\d+)", 1).try_cast("double"), F.lit(0.0))
-    )
-    return F.when(text.rlike(SQFT_PLAIN), anchored).otherwise(bed_count(text, BEDS))
+    return F.when(text.rlike(SQFT_PLAIN), once(match_start(text, SQFT_PLAIN), anchored)).otherwise(bed_count(text, BEDS))
 
 
 def card_rent(text: Column) -> Column:

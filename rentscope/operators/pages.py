@@ -334,7 +334,8 @@ def nearest_bed_plan(html: Column, url: Column) -> Column:
     """Variant that takes the bed count written nearest to the size; headings equal to the slug name the plan."""
     code = X.slug(url)
     fine = F.filter(X.headings(html), lambda h: (h != "") & (F.length(h) < 80) & ~h.rlike(X.HEADING_NOISE_WIDE))
-    name = once(fine, lambda f: F.coalesce(X.first_where(f, lambda h: F.upper(h) == F.upper(code)), F.try_element_at(f, F.lit(1)), code))
+    same = lambda f, c: X.first_where(f, lambda h: F.upper(h) == F.upper(c))
+    name = once(fine, lambda f: once(code, lambda c: F.coalesce(same(f, c), F.try_element_at(f, F.lit(1)), c)))
     return once(X.html_text(html), lambda t: _plan(
         plan_name=name, bedrooms=X.nearest_beds(t), size_sqft=X.number(X.matched(t, X.SQFT_PLAIN)), price=X.plausible_price(t)
     ))

@@ -52,3 +52,9 @@ def test_named_prices_read_the_text_once(spark):
     assert sorted((r["page_id"], r["plan_name"], r["price"]) for r in priced.collect()) == [
         (1, "Ash", 1500.0), (1, "Elm", 2000.0), (2, "Ash", None), (2, "Elm", 1800.0)]
     assert mentions(priced, "<!--") == 1 and mentions(priced, "ld\\+json") == 1
+
+
+def test_nearest_beds_cut_the_text_once(pages):
+    text = pages.select(F.lit("2 bed 900 sq ft 3 beds").alias("t")).where("t > ''")
+    assert {r["n"] for r in text.select(X.nearest_beds(F.col("t")).alias("n")).collect()} == {2.0}
+    assert mentions(E.nearest_bed_plans(pages), f"{X.SQFT_PLAIN}, 2") == 1
