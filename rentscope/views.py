@@ -366,6 +366,10 @@ def duckdb_sql(sql: str) -> str:
     )
 
 
+# Tasks that pages are built and read in, also where few cores are known of when the query is built; each writes a file per shuffle partition.
+LEAST_TASKS = 24
+
+
 class Tables:
     """Domain tables of one data folder, each an unevaluated DataFrame."""
 
@@ -377,26 +381,31 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.schema(BASE_TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _base_view(self, name: str) -> str:
-        """Name of a session view over a base table of this folder."""
-        if name not in self._registered:
-            view = f"{name}_{hashlib.md5(self.sf_dir.encode()).hexdigest()[:10]}"
-            self.base(name).createOrReplaceTempView(view)
-            self._registered[name] = view
-        return self._registered[name]
+    def spread(self, name: str) -> DataFrame:
+        """A base table dealt out evenly by rows: a narrow one is a small file or two, which would leave the pages built from it to as many tasks."""
+        return self.base(name).repartition(max(2 * self.spark.sparkContext.defaultParallelism, LEAST_TASKS))
 
-    def _sql(self, sql: str) -> DataFrame:
+    def _base_view(self, name: str, spread: bool = False) -> str:
+        """Name of a session view over a base table of this folder."""
+        key = f"{name}_spread" if spread else name
+        if key not in self._registered:
+            view = f"{key}_{hashlib.md5(self.sf_dir.encode()).hexdigest()[:10]}"
+            (self.spread(name) if spread else self.base(name)).createOrReplaceTempView(view)
+            self._registered[key] = view
+        return self._registered[key]
+
+    def _sql(self, sql: str, spread: bool = False) -> DataFrame:
         def swap(m: re.Match) -> str:
             name = m.group(1)
             if name in BASE_TABLES and name not in VIEWS:
-                return m.group(0)[: m.start(1) - m.start(0)] + self._base_view(name)
+                return m.group(0)[: m.start(1) - m.start(0)] + self._base_view(name, spread)
             return m.group(0)
 
         return self.spark.sql(_WORD.sub(swap, with_views(sql).replace("@ts'", "timestamp_ntz '")))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            return self._sql(VIEWS[name])
+            return self._sql(VIEWS[name], spread=name in PAGE_VIEWS)
         if name in BASE_TABLES:
             return self.base(name)
         raise AttributeError(name)

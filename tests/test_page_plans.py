@@ -22,6 +22,12 @@ def pages(spark):
     return spark.createDataFrame(rows, "page_id long, url string, html string, hint string").where("coalesce(page_id, 0) >= 0")
 
 
+def test_pages_are_dealt_out(spark):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    for view in (tables.detail_pages, tables.blob_pages):
+        assert view.rdd.getNumPartitions() >= LEAST_TASKS and view.count() == tables.part.count()
+
+
 def test_links_once(pages):
     got = sorted((r["page_id"] or 0, r["page_url"] or "", r["pos"], r["href"], r["text"], r["url"] or "") for r in E.links(pages).collect())
     assert len(got) == 12 and got[3:5] == [
