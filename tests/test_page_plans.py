@@ -64,3 +64,9 @@ def test_nearest_beds_cut_the_text_once(pages):
     text = pages.select(F.lit("2 bed 900 sq ft 3 beds").alias("t")).where("t > ''")
     assert {r["n"] for r in text.select(X.nearest_beds(F.col("t")).alias("n")).collect()} == {2.0}
     assert mentions(E.nearest_bed_plans(pages), f"{X.SQFT_PLAIN}, 2") == 1
+
+
+def test_extractor_walk_reads_each_format_once(pages):
+    walk = E.extract_all(pages, hint="hint")
+    # Page text: three formats of one plan and the priced places.  Links: one format.
+    assert mentions(walk, "<[^>]*>, \n") == 4 and mentions(walk, "href") <= 2 and mentions(walk, "ld\\+json") <= 4
