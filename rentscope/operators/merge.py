@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from rentscope.operators import quality as Q
 from rentscope.operators.alerts import area_prices
 from rentscope.operators.history import last_two
 from rentscope.operators.listings import min_price_by_apartment
-from rentscope.operators.scale import cut_lineage, instant, lookup, newest, number_by_hash, once
+from rentscope.operators.scale import cut_lineage, instant, lookup, newest, number_by_hash
 from rentscope.operators.setops import first_seen, missing_children
 
 
@@ -121,36 +124,73 @@ def _fold_elements(loose: DataFrame, plans: DataFrame, woken: DataFrame) -> Data
     return M.size_runs(both, ["apartment_id", "bedrooms"], "size", lambda s: F.floor(s / 100), lambda before, s: s - before > SIZE_TOLERANCE)
 
 
-MADE = "array<struct<pos:bigint,id:bigint,name:string,size:double>>"
-PLACED = "array<struct<pos:bigint,name:string,makes:string,tier:int,plan_id:bigint,made_by:bigint>>"
-
-
-def _one_row(acc: Column, e: Column) -> Column:
-    """The fold's next state: the plans made or woken so far in the run, and where each row went."""
-    near = F.filter(acc["made"], lambda m: F.abs(m["size"] - e["probe"]) <= SIZE_TOLERANCE)
-    own = F.array_min(F.transform(F.filter(acc["made"], lambda m: m["name"] == e["name"]), lambda m: m["pos"]))
-    elsewhere = F.when(e["known_at"] < e["pos"], e["known_at"])
-
-    def placed(x: Column) -> Column:
-        only = e["near_n"] + F.size(x["near"]) == 1
-        tier = F.when(x["by_name"].isNotNull(), 1).when(only, 3).otherwise(4)
-        first, stored = F.get(x["near"], F.lit(0)), e["near_n"] == 1
-        return F.struct(
-            e["pos"].alias("pos"), e["name"].alias("name"), e["makes"].alias("makes"), tier.alias("tier"),
-            F.when(tier == 3, F.when(stored, e["near_id"]).otherwise(first["id"])).alias("plan_id"),
-            F.when(tier == 1, x["by_name"]).when(tier == 3, F.when(~stored, first["pos"])).otherwise(e["pos"]).alias("made_by"),
-        )
-
-    def grown(row: Column) -> Column:
-        plan = lambda pos, id_, name: F.array(F.struct(pos.alias("pos"), id_.alias("id"), name.alias("name"), e["size"].alias("size"))).cast(MADE)
-        nothing = F.lit(None)
-        more = F.when(row["tier"] == 4, plan(e["pos"], nothing, e["makes"])).otherwise(F.array().cast(MADE))
-        return F.struct(F.concat(acc["made"], more).alias("made"), F.concat(acc["out"], F.array(row).cast(PLACED)).alias("out"))
-
-    arrived = F.array(F.struct(F.lit(None).alias("pos"), e["id"].alias("id"), F.lit(None).alias("name"), e["size"].alias("size"))).cast(MADE)
-    return F.when(e["id"].isNotNull(), F.struct(F.concat(acc["made"], arrived).alias("made"), acc["out"].alias("out"))).otherwise(
-        once(F.struct(near.alias("near"), F.least(own, elsewhere).alias("by_name")), lambda x: once(placed(x), grown))
-    )
+FOLD_ORDER = ("pos", "id", "name", "makes", "size", "probe", "near_n", "near_id", "known_at")
+PLACED = "pos bigint, name string, makes string, tier int, plan_id bigint, made_by bigint"
+
+
+class _Run:
+    """What rows of one run have made or woken so far: per name the first plan, per size the first two, since a third changes no count of one."""
+
+    def __init__(self) -> None:
+        self.sizes, self.of_size, self.of_name = [], {}, {}
+
+    def grow(self, size: float, pos: int | None, id_: int | None) -> None:
+        if not math.isfinite(size):
+            return
+        if size not in self.of_size:
+            bisect.insort(self.sizes, size)
+        held = self.of_size.setdefault(size, [])
+        if len(held) < 2:
+            held.append((pos, id_))
+
+    def near(self, probe: float | None) -> list[tuple]:
+        """Plans of like size, all of them if there are fewer than two."""
+        found = []
+        if probe is None or not math.isfinite(probe):
+            return found
+        i = bisect.bisect_left(self.sizes, probe - SIZE_TOLERANCE)
+        while i > 0 and abs(self.sizes[i - 1] - probe) <= SIZE_TOLERANCE:
+            i -= 1
+        while i < len(self.sizes) and len(found) < 2 and self.sizes[i] - probe <= SIZE_TOLERANCE:
+            if abs(self.sizes[i] - probe) <= SIZE_TOLERANCE:
+                found += self.of_size[self.sizes[i]]
+            i += 1
+        return found
+
+    def placed(self, e: dict) -> tuple | None:
+        """(pos, name, makes, tier, plan_id, made_by) of a probing row; nothing for an archived plan that is woken."""
+        pos, name, elsewhere = e["pos"], e["name"], e["known_at"]
+        if e["id"] is not None:
+            self.grow(e["size"], None, e["id"])
+            return None
+        known = [p for p in (self.of_name.get(name), elsewhere if elsewhere is not None and pos is not None and elsewhere < pos else None) if p is not None]
+        like = self.near(e["probe"])
+        if known:
+            return pos, name, e["makes"], 1, None, min(known)
+        if e["near_n"] + len(like) == 1:
+            made_by, plan_id = like[0] if like else (None, e["near_id"])
+            return pos, name, e["makes"], 3, plan_id, made_by
+        self.grow(e["size"], pos, None)
+        if self.of_name.get(e["makes"]) is None:
+            self.of_name[e["makes"]] = pos
+        return pos, name, e["makes"], 4, None, pos
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places rows that come run by run, each in order; only the plans of the run at hand are held."""
+    at, run = None, _Run()
+    for batch in batches:
+        rows = []
+        for e in batch.to_pylist():
+            key = e["apartment_id"], e["grp"], e["run"]
+            if key != at:
+                at, run = key, _Run()
+            placed = run.placed(e)
+            if placed:
+                rows.append((e["apartment_id"], *placed))
+        types = [batch.schema.field("apartment_id").type, pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+        names = ["apartment_id", "pos", "name", "makes", "tier", "plan_id", "made_by"]
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
 def _folded(elements: DataFrame) -> DataFrame:
@@ -158,14 +198,11 @@ def _folded(elements: DataFrame) -> DataFrame:
     names = elements.where(F.col("id").isNull()).groupBy("apartment_id", F.col("makes").alias("name"))
     shared = names.agg(F.count_distinct("grp", "run").alias("n")).where("n > 1").select("apartment_id", "name")
     known = cut_lineage(shared.limit(0).withColumn("known_at", F.lit(None).cast("long")))
-    parts = ["pos", "id", "name", "makes", "size", "probe", "near_n", "near_id", "known_at"]
-    start = F.struct(F.array().cast(MADE).alias("made"), F.array().cast(PLACED).alias("out"))
+    keys = ["apartment_id", "grp", "run"]
+    schema = f"apartment_id {elements.schema['apartment_id'].dataType.simpleString()}, {PLACED}"
     while True:
-        ordered = elements.join(known, ["apartment_id", "name"], "left").groupBy("apartment_id", "grp", "run").agg(
-            F.array_sort(F.collect_list(F.struct(*parts))).alias("rows")
-        )
-        placed = ordered.select("apartment_id", F.explode(F.aggregate("rows", start, _one_row)["out"]).alias("r"))
-        out = cut_lineage(placed.select("apartment_id", "r.*"))
+        ordered = elements.join(known, ["apartment_id", "name"], "left").select(*keys, *FOLD_ORDER).repartition(*keys).sortWithinPartitions(*keys, *FOLD_ORDER)
+        out = cut_lineage(ordered.mapInArrow(_fold, schema))
         now = out.where("tier = 4").groupBy("apartment_id", F.col("makes").alias("name")).agg(F.min("pos").alias("known_at")).join(
             shared, ["apartment_id", "name"], "left_semi"
         )
