@@ -40,9 +40,12 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256): little-endian 32-bit token ids of the texts."""
+    """(doc_id, n_tokens, ids, decoded_sha256): little-endian 32-bit token ids of the texts.
+
+    The ids are written before they are decoded, so that a task holds one Python worker at a time beside a heap that earlier stages have grown.
+    """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    made = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    made = bpe.decode(written(bpe.encode(docs, path, public_tokenizers.PATTERN), "pipeline-ids"), path)
     return made.select(
         F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256")
     )

@@ -21,20 +21,26 @@ from rentscope.llm.words import release_memory, texts_of
 
 CACHED = 150_000
 BATCH_BYTES = 6 << 20
+SLICE = 1 << 17
+
+
+@lru_cache(maxsize=2)
+def tokens(path: str) -> list[bytes]:
+    """Token bytes by id; empty where no token has an id."""
+    with open(path, "rb") as lines:
+        found = {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in lines if line.strip())}
+    return [found.get(rank, b"") for rank in range(max(found) + 1)]
 
 
 class Merges:
     """Ranks of a byte-level vocabulary: token bytes by id, and the id that a pair of ids merges to."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-        self.size = max(self.ranks.values()) + 1
-        self.tokens = [b""] * self.size
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.width = np.array([*map(len, self.tokens), -self.size])  # a dead symbol (-1) is never part of a pair
+        self.tokens = tokens(path)
+        self.ranks = {token: rank for rank, token in enumerate(self.tokens) if token}
+        self.size = len(self.tokens)
+        self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.width = np.array([*map(len, self.tokens), -self.size], np.int32)  # a dead symbol (-1) is never part of a pair
         pairs = [
             (self.ranks[token[:k]] * self.size + self.ranks[token[k:]], rank)
             for token, rank in self.ranks.items()
@@ -46,7 +52,7 @@ class Merges:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merged ids of pairs; -1 where they don't merge or the left side is missing (-1)."""
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         at = self.keys.searchsorted(key)
         found = self.merged[at]
         found[self.keys[at] != key] = -1
@@ -72,32 +78,37 @@ class Merges:
     def _merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Remaining symbols of all pieces in a row, and where each piece's symbols end."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        owner = np.repeat(np.arange(len(pieces)), sizes)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         symbol = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
         n = len(symbol)
-        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         ends = np.cumsum(sizes)
         following[ends - 1] = -1
         before[ends - sizes] = -1
 
-        # the index: for every rank the positions whose pair merges to it, taken in order of rank
-        index: list[list[int]] = [[] for _ in range(self.size)]
+        # the index: for every rank the positions whose pair merges to it, taken in order of rank; those of the start stay packed, by rank
+        first_ranks, first_at = self._pairs(symbol, following)
+        first_end = np.searchsorted(first_ranks, np.arange(self.size), "right").tolist()
+        del first_ranks
+        index: dict[int, list[int]] = {}
 
         def enter(positions: np.ndarray) -> int:
             ranks = self.rank(symbol[positions], symbol[following[positions]])
             merging = ranks >= 0
             ranks = ranks[merging].tolist()
             for r, p in zip(ranks, positions[merging].tolist(), strict=True):
-                index[r].append(p)
+                index.setdefault(r, []).append(p)
             return min(ranks, default=self.size)
 
-        rank = enter(np.nonzero(following >= 0)[0])
+        rank, taken = 0, 0
         while rank < self.size:
-            if not index[rank]:
+            if taken >= first_end[rank] and rank not in index:
                 rank += 1
                 continue
-            at = np.array(index[rank], np.int64)
-            index[rank] = []
+            at = np.array(index.pop(rank, ()), np.int32)
+            if taken < first_end[rank]:
+                at = np.concatenate([first_at[taken : first_end[rank]], at])
+                taken = first_end[rank]
             at.sort()
             # the bytes from an entry's position on don't change, so its pair still merges to this rank if it is as long
             after = following[at]
@@ -111,7 +122,8 @@ class Merges:
                     place = np.arange(len(at))
                     at = at[(place - np.maximum.accumulate(np.where(chained, 0, place))) % 2 == 0]
                 at, later = self._in_turn(at, rank, symbol, following, before, owner)
-                index[rank] = later.tolist()
+                if len(later):
+                    index[rank] = later.tolist()
             gone = following[at]
             after = following[gone]
             symbol[at], symbol[gone] = rank, -1
@@ -125,6 +137,18 @@ class Merges:
         left_over = symbol >= 0
         return symbol[left_over], np.cumsum(np.add.reduceat(left_over.astype(np.int64), ends - sizes))
 
+    def _pairs(self, symbol: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks that the pairs at the start merge to, ascending, and their positions; looked up in slices."""
+        ranks, places = [], []
+        for start in range(0, len(symbol), SLICE):
+            positions = np.nonzero(following[start : start + SLICE] >= 0)[0].astype(np.int32) + np.int32(start)
+            found = self.rank(symbol[positions], symbol[following[positions]])
+            ranks.append(found[found >= 0].astype(np.int32))
+            places.append(positions[found >= 0])
+        found = np.concatenate(ranks)
+        order = np.argsort(found, kind="stable")
+        return found[order], np.concatenate(places)[order]
+
     def _in_turn(self, at, rank, symbol, following, before, owner):
         """(positions to merge now, positions to look at again).
 
@@ -200,9 +224,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(id, ids, bytes) for the rows of ``encode``: the bytes that the ids stand for, empty for none."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        tokens = merges(path).tokens
+        known = tokens(path)
         for packed, ids in texts_of(batches, "ids", "id", limit=2 << 20):
-            made = [b"".join([tokens[i] for i in np.frombuffer(p or b"", "<u4").tolist()]) for p in packed]
+            made = [b"".join([known[i] for i in np.frombuffer(p or b"", "<u4").tolist()]) for p in packed]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(made, pa.binary())], names=["id", "ids", "bytes"]
             )

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from __spark_entry__ import queries
 from rentscope.llm import bpe, token_store
 
@@ -51,6 +53,24 @@ def test_lower_rank_made_by_a_merge_comes_first(tmp_path):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.encode_ordinary(t) for t in texts]
 
 
+def test_replay_holds_little_for_a_symbol():
+    rng = np.random.default_rng(5)
+    pieces = [bytes(row) for row in rng.integers(97, 123, (40_000, 10), np.uint8)]
+    merges = bpe.merges(MULTI)
+    tracemalloc.start()
+    symbols, ends = merges._merge_all(pieces)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ends[-1] == len(symbols) and peak < 60 * sum(map(len, pieces))
+
+
+def test_pipeline_tokens_take_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in ODD], "doc_id long, text string")
+    out = corpus_pipeline.tokens(spark, docs, SF)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id or 0, r.decoded_sha256) for r in out.collect()) == sorted((i or 0, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in ODD)
+
+
 def digests(tik, text):
     ids = np.array(tik.encode_ordinary(text or ""), "<u4")
     return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
