@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import Counter
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentscope.llm.words import release_memory, split_words, texts_of, written
+from rentscope.llm.words import lowered_words, release_memory, runs_of, written
 
 CLASSES = 128
 SHARED = 8  # classes for the rest of the subwords that start a word, and as many for those that don't
@@ -39,6 +39,7 @@ ROUNDS = 4
 FAN = 64
 GROUP_WORDS = 500_000
 BATCH_BYTES = 2 << 20
+SLICE = 1024  # places whose class probabilities are worked out at a time, so that they stay near the core
 
 
 class Subwords:
@@ -57,6 +58,10 @@ class Subwords:
     def word(self, word: bytes) -> list[int]:
         return self.coder.encode_ordinary(" " + word.decode())
 
+    def packed(self, word: bytes) -> bytes:
+        """The word's ids as 32-bit integers."""
+        return array("i", self.word(word)).tobytes()
+
 
 # ---- corpus counts ----
 
@@ -65,11 +70,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): how often each A-Z-lowered word occurs in all texts. Batches are counted before the shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (texts,) in texts_of(batches, text_col, limit=4 * BATCH_BYTES):
-            counts: Counter[bytes] = Counter()
-            for t in texts:
-                counts.update(split_words(t.lower() if t else None))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        for part in runs_of(batches, text_col, limit=4 * BATCH_BYTES):
+            found = lowered_words(part.column(0))[0].dictionary_encode()
+            counts = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+            yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(counts, pa.int64())], names=["word", "n"])
 
     rows = docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -98,18 +102,26 @@ def _subword_pairs(counts: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, pairs = Subwords(path, pattern), Counter()
+        sub = Subwords(path, pattern)
+        width = sub.size + 1
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                last, ids = -1, subwords.word(word)
-                for i in ids:
-                    pairs[last, i] += n
-                    last = i
-                pairs[last, -1] += n
-                if n == 1:
-                    pairs[-3, ids[0]] += 1
+            parts = list(map(sub.packed, batch.column(0).to_pylist()))
+            if not parts:
+                continue
+            n, sizes = batch.column(1).to_numpy(), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            flat, ends = np.frombuffer(b"".join(parts), np.int32).astype(np.int64), np.cumsum(sizes)
+            last = np.r_[-1, flat[:-1]]
+            last[ends - sizes] = -1
+            once = flat[(ends - sizes)[n == 1]]
+            a = np.concatenate([last, flat[ends - 1], np.full(len(once), -3)])
+            b = np.concatenate([flat, np.full(len(ends), -1), once])
+            keys, at = np.unique(np.concatenate([keys, (a + 3) * width + b + 1]), return_inverse=True)
+            more = np.concatenate([sums, np.repeat(n, sizes), n, np.ones(len(once), np.int64)])
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, at, more)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in pairs], pa.int32()), pa.array([b for _, b in pairs], pa.int32()), pa.array(pairs.values(), pa.int64())], names=["a", "b", "n"]
+            [pa.array(keys // width - 3, pa.int32()), pa.array(keys % width - 1, pa.int32()), pa.array(sums, pa.int64())], names=["a", "b", "n"]
         )
 
     return written(counts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "subword-pairs")
@@ -176,17 +188,18 @@ def blocks(ids: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.
 _PLACE = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]  # how far back
 _LATER = np.where(_PLACE < 0, np.float32(-1e9), np.float32(0))
 _BACK = np.maximum(_PLACE, 0)
+_ONES = np.ones(2 * BLOCK, np.float32)
 
 
 def _attend(m: Model, last: np.ndarray, window: np.ndarray):
     """Rows of the tables and attention weights of blocks; what is later or padding has none."""
-    rows, wide = m.row_of[last], m.row_of[window]
-    scores = m.query[rows] @ m.key[wide].transpose(0, 2, 1)
+    rows, wide = m.row_of.take(last), m.row_of.take(window)
+    scores = m.query.take(rows, axis=0) @ m.key.take(wide, axis=0).transpose(0, 2, 1)
     scores *= np.float32(SIZE**-0.5)
     scores += m.distance[_BACK] + _LATER
     scores += np.where(window < 0, np.float32(-1e9), np.float32(0))[:, None, :]
     np.exp(scores, out=scores)
-    scores /= scores.sum(axis=2, keepdims=True) + np.float32(1e-30)
+    scores /= (scores @ _ONES + np.float32(1e-30))[:, :, None]
     return rows, wide, scores
 
 
@@ -200,15 +213,15 @@ def log_probabilities(m: Model, ids: list[np.ndarray], end: int, need: np.ndarra
     wanted = np.zeros(following.size, bool)
     wanted[real] = need
     chance, starts = np.zeros(following.size), np.zeros(following.size)
-    begins = m.begins.astype(np.float32)
+    sums = np.stack([np.ones(CLASSES), m.begins], axis=1).astype(np.float32)
     for at in range(0, len(last), 64):
         part = np.nonzero(wanted[at * BLOCK : (at + 64) * BLOCK])[0]
         rows, wide, weights = _attend(m, last[at : at + 64], window[at : at + 64])
-        z = (weights @ m.value[wide]).reshape(-1, SIZE)[part] @ m.out
-        z += m.start[rows.reshape(-1)[part]]
+        z = (weights @ m.value.take(wide, axis=0)).reshape(-1, SIZE).take(part, axis=0) @ m.out
+        z += m.start.take(rows.reshape(-1).take(part), axis=0)
         hit = z[np.arange(len(z)), m.class_of[following[at : at + 64].reshape(-1)[part]]]
-        whole = np.log(np.exp(z, out=z).sum(axis=1))
-        chance[at * BLOCK + part], starts[at * BLOCK + part] = hit - whole, np.log(z @ begins) - whole
+        whole, begun = np.log(np.exp(z, out=z) @ sums).T
+        chance[at * BLOCK + part], starts[at * BLOCK + part] = hit - whole, begun - whole
     return chance[real], starts[real]
 
 
@@ -265,13 +278,13 @@ def _tables(counts: np.ndarray, by_class, n_texts: int, n_words: int, sub: Subwo
     return m
 
 
-def _sum_rows(rows: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def _sum_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that occur, and the sums of the ``values`` that belong to each."""
     flat = rows.ravel()
     order = np.argsort(flat.astype(np.int16), kind="stable")  # by digits, as there are few rows
     flat = flat[order]
     starts = np.nonzero(np.r_[True, flat[1:] != flat[:-1]])[0]
-    return flat[starts], [np.add.reduceat(v.reshape(-1, v.shape[-1])[order], starts, axis=0) for v in values]
+    return flat[starts], np.add.reduceat(values.reshape(-1, values.shape[-1]).take(order, axis=0), starts, axis=0)
 
 
 WEIGHTS = ("key", "query", "value", "distance", "out")
@@ -281,24 +294,34 @@ def _gradients(m: Model, x: np.ndarray, following: np.ndarray, w: np.ndarray) ->
     """Of the mean cross-entropy of the next class over blocks: by weight, the rows that the blocks touch and their gradients."""
     real = np.nonzero(following.reshape(-1) >= 0)[0]
     rows, wide, weights = _attend(m, x, w)
-    v, k, q = m.value[wide], m.key[wide], m.query[rows]
+    v, k, q = m.value.take(wide, axis=0), m.key.take(wide, axis=0), m.query.take(rows, axis=0)
     seen = weights @ v
-    flat = seen.reshape(-1, SIZE)[real]
-    p = flat @ m.out
-    p += m.start[rows.reshape(-1)[real]]
-    np.exp(p, out=p)
-    p *= (1 / (p.sum(axis=1, keepdims=True) * max(1, len(real)))).astype(np.float32)
-    p[np.arange(len(p)), m.class_of[following.reshape(-1)[real]]] -= np.float32(1 / max(1, len(real)))
-    d_seen = np.zeros_like(seen)
-    d_seen.reshape(-1, SIZE)[real] = p @ m.out.T
+    flat, after, kind = seen.reshape(-1, SIZE), rows.reshape(-1), m.class_of.take(following.reshape(-1))
+    d_seen, d_out = np.zeros_like(seen), np.zeros_like(m.out)
+    d_flat, ones = d_seen.reshape(-1, SIZE), np.ones(CLASSES, np.float32)
+    for at in range(0, len(real), SLICE):
+        part = real[at : at + SLICE]
+        mine = flat.take(part, axis=0)
+        p = mine @ m.out
+        p += m.start.take(after.take(part), axis=0)
+        np.exp(p, out=p)
+        whole = p @ ones
+        p[np.arange(len(p)), kind[part]] -= whole  # chances less what came, still to be divided by the whole
+        by = (1 / (whole * np.float32(len(real))))[:, None]
+        d_flat[part] = (p @ m.out.T) * by
+        d_out += (mine * by).T @ p
     d_weights = d_seen @ v.transpose(0, 2, 1)
-    d_weights -= (d_weights * weights).sum(axis=2, keepdims=True)
+    d_weights -= ((d_weights * weights) @ _ONES)[:, :, None]
     d_scores = np.multiply(weights, d_weights, out=d_weights)
     d_distance = np.bincount(_BACK.ravel(), weights=d_scores.sum(axis=0).ravel(), minlength=len(m.distance))
     d_scores *= np.float32(SIZE**-0.5)
-    asked, (d_query,) = _sum_rows(rows, d_scores @ k)
-    met, (d_value, d_key) = _sum_rows(wide, weights.transpose(0, 2, 1) @ d_seen, d_scores.transpose(0, 2, 1) @ q)
-    return {"out": (_ALL, flat.T @ p), "distance": (_ALL, d_distance.astype(np.float32)), "query": (asked, d_query), "value": (met, d_value), "key": (met, d_key)}
+    asked, d_query = _sum_rows(rows, d_scores @ k)
+    d_wide = np.empty((*wide.shape, 2 * SIZE), np.float32)
+    np.matmul(weights.transpose(0, 2, 1), d_seen, out=d_wide[..., :SIZE])
+    np.matmul(d_scores.transpose(0, 2, 1), q, out=d_wide[..., SIZE:])
+    met, d_met = _sum_rows(wide, d_wide)
+    d_value, d_key = d_met[:, :SIZE], d_met[:, SIZE:]
+    return {"out": (_ALL, d_out), "distance": (_ALL, d_distance.astype(np.float32)), "query": (asked, d_query), "value": (met, d_value), "key": (met, d_key)}
 
 
 _ALL = slice(None)
@@ -316,10 +339,20 @@ class Adam:
         wide, narrow = np.float32(rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.99**self.t))
         for name, (rows, found) in grads.items():
             one, two = self.state[name]
-            first = one[rows] + np.float32(0.1) * (found - one[rows])
-            second = two[rows] + np.float32(0.01) * (found * found - two[rows])
+            first = found - one[rows]
+            first *= np.float32(0.1)
+            first += one[rows]
+            second = found * found
+            second -= two[rows]
+            second *= np.float32(0.01)
+            second += two[rows]
             one[rows], two[rows] = first, second
-            getattr(m, name)[rows] -= wide * first / (np.sqrt(second * narrow) + np.float32(1e-6))
+            second *= narrow
+            np.sqrt(second, out=second)
+            second += np.float32(1e-6)
+            first *= wide
+            first /= second
+            getattr(m, name)[rows] -= first
 
 
 def train(
@@ -341,34 +374,43 @@ def train(
     return len(last)
 
 
-def _spelt(m: Model, sub: Subwords, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+Words = list[list[bytes]] | tuple[pa.Array, np.ndarray]  # of texts: by text, or all in a row and how many each text has
+
+
+def _spelt(m: Model, sub: Subwords, texts: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(subwords, size of each word, place of each word among the commonest or -1), with the end after each text as a word of its own;
-    and the number of subwords of each text."""
-    get, end = m.top.get, np.int32(sub.end).tobytes()
-    packed, sizes, places, totals = [], [], [], []
-    for words in texts:
-        at = [get(w, -1) for w in words]
-        parts = [m.top_ids[i] if i >= 0 else np.array(sub.word(w), np.int32).tobytes() for i, w in zip(at, words, strict=True)]
-        parts.append(end)
-        n = [len(p) for p in parts]
-        packed.extend(parts)
-        sizes.extend(n)
-        places.extend(at)
-        places.append(-1)
-        totals.append(sum(n) // 4)
-    return np.frombuffer(b"".join(packed), np.int32).astype(np.int64), np.array(sizes, np.int64) // 4, np.array(places, np.int64), np.array(totals, np.int64)
-
-
-def texts_as_subwords(m: Model, sub: Subwords, texts: list[list[bytes]]) -> list[np.ndarray]:
+    and the number of subwords of each text. A word that occurs several times is spelt once."""
+    if isinstance(texts, list):
+        texts = pa.array([w for words in texts for w in words], pa.binary()), np.array([len(words) for words in texts], np.int64)
+    words, n = texts
+    found = words.dictionary_encode()
+    distinct = found.dictionary.to_pylist()
+    at = np.fromiter((m.top.get(w, -1) for w in distinct), np.int64, len(distinct))
+    parts = [m.top_ids[k] if k >= 0 else sub.packed(w) for k, w in zip(at.tolist(), distinct, strict=True)]
+    parts.append(np.int32(sub.end).tobytes())
+    long = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    stops = np.cumsum(n + 1)
+    order = np.full(len(words) + len(n), len(distinct))
+    inside = np.ones(len(order), bool)
+    inside[stops - 1] = False
+    order[inside] = found.indices.to_numpy()
+    sizes = long[order]
+    ends = np.cumsum(sizes)
+    from_ = np.repeat((np.cumsum(long) - long)[order] - (ends - sizes), sizes)
+    from_ += np.arange(len(from_))
+    return np.frombuffer(b"".join(parts), np.int32)[from_].astype(np.int64), sizes, np.r_[at, -1][order], np.diff(ends[stops - 1], prepend=0)
+
+
+def texts_as_subwords(m: Model, sub: Subwords, texts: Words) -> list[np.ndarray]:
     flat, _, _, totals = _spelt(m, sub, texts)
     return np.split(flat, np.cumsum(totals)[:-1])
 
 
-def word_scores(m: Model, sub: Subwords, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_scores(m: Model, sub: Subwords, texts: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For all words and ends of all texts in a row: natural log probability, the word's place among the commonest or -1, and for others
     than these (log probability of their class alone) what is still to be added: with the log of its count for a word of the corpus, and
     for a new one. The first is what the commonest words have, so that it makes no difference which words the table holds."""
-    if not texts:
+    if not len(texts if isinstance(texts, list) else texts[1]):
         return np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     flat, sizes, places, totals = _spelt(m, sub, texts)
     first = np.cumsum(sizes) - sizes
@@ -391,7 +433,7 @@ def with_top(m: Model, sub: Subwords, top: dict[bytes, int]) -> None:
     """The commonest words: their counts, subwords and shares of the class of their first subword."""
     m.top = {w: k for k, w in enumerate(top)}
     ids = [sub.word(w) for w in top]
-    m.top_ids = [np.array(i, np.int32).tobytes() for i in ids]
+    m.top_ids = [array("i", i).tobytes() for i in ids]
     m.top_count = np.array(list(top.values()), np.float64)
     kind = m.class_of[np.array([i[0] for i in ids], np.int64)]
     m.top_share = np.log(m.top_count) - np.log(np.maximum(m.words, 1))[kind]
@@ -412,8 +454,8 @@ def _borders(texts: DataFrame, m: Model, path: str, pattern: str) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, sub = sent.value, Subwords(path, pattern)
         cells = np.zeros(m.start.size, np.int64)
-        for (part,) in texts_of(batches, "text", limit=BATCH_BYTES):
-            flat, sizes, _, _ = _spelt(m, sub, [split_words(t.lower() if t else None) for t in part])
+        for part in runs_of(batches, "text", limit=BATCH_BYTES):
+            flat, sizes, _, _ = _spelt(m, sub, lowered_words(part.column(0)))
             stops = np.cumsum(sizes)
             before = np.r_[sub.end, flat[stops[:-1] - 1]]  # a text's end stands before the next one's first word
             cells += np.bincount(m.row_of[before] * CLASSES + m.class_of[flat[stops - sizes]], minlength=len(cells))
@@ -462,8 +504,8 @@ def fit(texts: DataFrame, m: Model, path: str, pattern: str, groups: int = 1, ro
             m, sub, n = replace(fixed.value), Subwords(path, pattern), 0
             put(m, start)
             adam = Adam(m)
-            for (part,) in texts_of(batches, "text", limit=BATCH_BYTES):
-                ids = texts_as_subwords(m, sub, [split_words(t.lower() if t else None) for t in part])
+            for part in runs_of(batches, "text", limit=BATCH_BYTES):
+                ids = texts_as_subwords(m, sub, lowered_words(part.column(0)))
                 n += train(m, ids, sub.end, 1, rate, adam=adam, fall=0.0)
             if n:
                 yield from row(TaskContext.get().partitionId(), n, n * flat(m).astype(np.float64)).to_batches()
@@ -517,22 +559,24 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
         model = sent.value
         sub = Subwords(path, pattern)
         end = float(np.log10(n_texts + 0.5))
-        for texts, ids, out in texts_of(batches, "text", "id", "held_out", limit=BATCH_BYTES):
-            words = [split_words(t.lower() if t else None) for t in texts]
-            n = np.array([len(w) + 1 for w in words], np.int64)
-            starts = np.cumsum(n) - n
-            logs, places, of_count, of_one = word_scores(model, sub, words)
+        for part in runs_of(batches, "text", "id", "held_out", limit=BATCH_BYTES):
+            words, n = lowered_words(part.column(0))
+            ends = np.cumsum(n + 1) - 1
+            starts = ends - n
+            logs, places, of_count, of_one = word_scores(model, sub, (words, n))
             found = np.r_[model.top_count, 0.0][places]
             scores = np.add.reduceat(logs, starts) / np.log(10)
             bases = np.add.reduceat(np.where(found > 0, np.log10(found + 0.5), 0.0), starts) + end
             knowns = np.add.reduceat((found > 0).astype(np.int64), starts) + (n_texts > 0)
-            rare = [
-                [{"word": w[k], "a": of_count[f + k], "b": of_one[f + k]} for k in np.nonzero(places[f : f + len(w)] < 0)[0].tolist()]
-                for w, f in zip(words, starts.tolist(), strict=True)
-            ]
+            others = places < 0
+            others[ends] = False
+            rare = pa.StructArray.from_arrays(
+                [words.filter(pa.array(np.delete(others, ends))), pa.array(of_count[others]), pa.array(of_one[others])], names=["word", "a", "b"]
+            )
+            stops = pa.array(np.r_[0, np.cumsum(others)[ends]], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(n, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases), pa.array(scores),
-                 pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("a", pa.float64()), ("b", pa.float64())])))],
+                [part.column(1), part.column(2), pa.array(n + 1, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases), pa.array(scores),
+                 pa.ListArray.from_arrays(stops, rare)],
                 names=["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
             )
 

@@ -11,6 +11,7 @@ import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,22 +39,36 @@ def split_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+def lowered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All A-Z-lowered words of a text column in a row, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts.cast(pa.string())), ""))
+    found = parts.flatten()
+    filled = pc.greater(pc.binary_length(found), 0)  # blanks at an end of a text leave empty parts
+    kept = np.r_[0, np.cumsum(filled.to_numpy(zero_copy_only=False))]
+    return found.filter(filled).cast(pa.binary()), np.diff(kept[parts.offsets.to_numpy()])
+
+
 def texts_of(batches: Iterable[pa.RecordBatch], *columns: str, limit: int = 4 << 20) -> Iterator[tuple[list, ...]]:
     """Column values of Arrow batches, cut into runs of rows with at most ``limit`` bytes of text (one row at least).
 
     The first column is the text, given as UTF-8 bytes or None.
     """
+    yield from map(_values, runs_of(batches, *columns, limit=limit))
+
+
+def runs_of(batches: Iterable[pa.RecordBatch], *columns: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The runs of rows of ``texts_of`` as Arrow batches."""
     for batch in batches:
         table = batch.select(list(columns))
         start, size = 0, 0
         lengths = pc.fill_null(pc.binary_length(table.column(0).cast(pa.binary())), 0).to_pylist()
         for i, n in enumerate(lengths):
             if size and size + n > limit:
-                yield _values(table.slice(start, i - start))
+                yield table.slice(start, i - start)
                 start, size = i, 0
             size += n
         if start < len(lengths):
-            yield _values(table.slice(start))
+            yield table.slice(start)
 
 
 def _values(batch: pa.RecordBatch) -> tuple[list, ...]:

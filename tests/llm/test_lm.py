@@ -5,14 +5,17 @@ import math
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from rentscope.llm import lm
+from rentscope.llm.words import lowered_words
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -91,6 +94,25 @@ def test_windows_are_causal_and_score_once(small):
     np.testing.assert_allclose(chances(model, [changed], sub.end)[:50], whole[:50], rtol=1e-4, atol=1e-5)
 
 
+def test_a_word_is_spelt_once_a_batch(small, monkeypatch):
+    sub, _, model = small
+    asked = []
+    real = lm.Subwords.word
+    monkeypatch.setattr(lm.Subwords, "word", lambda self, word: asked.append(word) or real(self, word))
+    model = replace(model, top={}, top_ids=[], top_count=np.zeros(0), top_share=np.zeros(0))
+    logs, places, _, _ = lm.word_scores(model, sub, [[b"zebra", b"the"] * 50, [], [b"zebra"] * 7])
+    assert sorted(asked) == [b"the", b"zebra"] and len(logs) == 110 and (places == -1).all()
+    flat = lm.texts_as_subwords(model, sub, [[b"the", b"zebra"], [], [b"the"]])
+    assert [f.tolist() for f in flat] == [[*real(sub, b"the"), *real(sub, b"zebra"), sub.end], [sub.end], [*real(sub, b"the"), sub.end]]
+
+
+def test_lowered_words_of_odd_texts():
+    texts = [" a  b\tc\n", "", "   ", "A\x1cB\x85  x　 Ä ÉZ\x0b\x0cq\r", None, "x", "\x00 Y\x00z", "İ Σ"]
+    found, n = lowered_words(pa.array(["cut off", *texts]).slice(1))
+    want = [t.encode().lower().split() if t else [] for t in texts]
+    assert found.to_pylist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+
+
 def test_first_words_share_out_one(small):
     """What can come first in a text: the chances of all classes that start words sum to one, and so do the words of each."""
     sub, _, model = small
