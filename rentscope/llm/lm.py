@@ -23,8 +23,9 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rentscope.llm.words import lowered_words, release_memory, runs_of, written
+from rentscope.llm.words import lowered_words, release_memory, runs_of, text_bytes, written
 
 CLASSES = 128
 SHARED = 8  # classes for the rest of the subwords that start a word, and as many for those that don't
@@ -51,6 +52,7 @@ class Subwords:
         self.coder = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
         self.size = self.end + 1
+        self.stored = np.dtype("<u2" if self.size <= 1 << 16 else "<i4")  # how ids are kept between steps
         self.starts = np.zeros(self.size, bool)
         self.starts[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
         self.starts[self.end] = True
@@ -339,13 +341,14 @@ class Adam:
         wide, narrow = np.float32(rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.99**self.t))
         for name, (rows, found) in grads.items():
             one, two = self.state[name]
-            first = found - one[rows]
+            was, were = one[rows], two[rows]
+            first = found - was
             first *= np.float32(0.1)
-            first += one[rows]
+            first += was
             second = found * found
-            second -= two[rows]
+            second -= were
             second *= np.float32(0.01)
-            second += two[rows]
+            second += were
             one[rows], two[rows] = first, second
             second *= narrow
             np.sqrt(second, out=second)
@@ -413,9 +416,15 @@ def word_scores(m: Model, sub: Subwords, texts: Words) -> tuple[np.ndarray, np.n
     if not len(texts if isinstance(texts, list) else texts[1]):
         return np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     flat, sizes, places, totals = _spelt(m, sub, texts)
-    first = np.cumsum(sizes) - sizes
+    logs, of_count, of_one = _scored(m, sub, flat, np.cumsum(sizes) - sizes, places, totals)
+    return logs, places, of_count, of_one
+
+
+def _scored(m: Model, sub: Subwords, flat: np.ndarray, first: np.ndarray, places: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_scores`` without the places, of texts that are spelt: all subwords, where words begin, and how many subwords each text has."""
     ends = flat[first] == sub.end
     common = places >= 0
+    sizes = np.diff(first, append=len(flat))
     need = np.repeat(~common & ~ends, sizes)
     need[first] = True
     chance, starts = log_probabilities(m, np.split(flat, np.cumsum(totals)[:-1]), sub.end, need)
@@ -426,7 +435,7 @@ def word_scores(m: Model, sub: Subwords, texts: Words) -> tuple[np.ndarray, np.n
     kind = m.class_of[flat[first]]
     old = np.log(m.old)[kind]
     share = np.r_[m.top_share, 0.0][places]
-    return head + np.where(common, old + share, 0.0), places, old - np.log(np.maximum(m.words, 1))[kind], np.log1p(-m.old)[kind] + spelt
+    return head + np.where(common, old + share, 0.0), old - np.log(np.maximum(m.words, 1))[kind], np.log1p(-m.old)[kind] + spelt
 
 
 def with_top(m: Model, sub: Subwords, top: dict[bytes, int]) -> None:
@@ -447,23 +456,66 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
+def spelt(texts: DataFrame, m: Model, path: str, pattern: str) -> DataFrame:
+    """The rows with their subwords in place of their ``text``, so that each text is split and spelt once, whatever goes through it later.
+
+    ``bytes`` of the text; ``ids`` with the end; ``places`` of the words among the commonest, or -1, as 32-bit integers; the ``rare`` other words.
+    Where words begin is seen from the ids.
+    """
+    kept = [c for c in texts.columns if c != "text"]
+    schema = T.StructType([*texts.drop("text").schema.fields, *T.StructType.fromDDL("bytes int, ids binary, places binary, rare array<binary>").fields])
+    sent = texts.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, sub = sent.value, Subwords(path, pattern)
+        for part in runs_of(batches, "text", *kept, limit=BATCH_BYTES):
+            words, n = lowered_words(part.column(0))
+            flat, _, places, totals = _spelt(m, sub, (words, n))
+            ends = np.cumsum(n + 1) - 1
+            inside = np.delete(places, ends)
+            others = np.r_[0, np.cumsum(inside < 0)][np.r_[0, np.cumsum(n)]]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[1:], text_bytes(part.column(0)).cast(pa.int32()), _packed(flat.astype(sub.stored), totals), _packed(inside.astype("<i4"), n),
+                 pa.ListArray.from_arrays(pa.array(others, pa.int32()), words.filter(pa.array(inside < 0)))],
+                names=schema.names,
+            )
+        release_memory()
+
+    return texts.select("text", *kept).mapInArrow(run, schema)
+
+
+def _packed(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The numbers of each row as bytes."""
+    stops = np.r_[0, np.cumsum(sizes)] * flat.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _unpacked(rows: pa.Array, kind: np.dtype | str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in a row, and how many each row has."""
+    parts = rows.to_pylist()
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), kind).astype(np.int64), sizes
+
+
 def _borders(texts: DataFrame, m: Model, path: str, pattern: str) -> np.ndarray:
-    """(rows, CLASSES): how often a class follows the last subword of a word, or the end of a text (row 1), over all of ``texts``."""
+    """(rows, CLASSES): how often a class follows the last subword of a word, or the end of a text (row 1), over all of ``texts``, spelt or not."""
+    if "ids" not in texts.columns:
+        texts = spelt(texts.select("text"), m, path, pattern)
     sent = texts.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, sub = sent.value, Subwords(path, pattern)
         cells = np.zeros(m.start.size, np.int64)
-        for part in runs_of(batches, "text", limit=BATCH_BYTES):
-            flat, sizes, _, _ = _spelt(m, sub, lowered_words(part.column(0)))
-            stops = np.cumsum(sizes)
-            before = np.r_[sub.end, flat[stops[:-1] - 1]]  # a text's end stands before the next one's first word
-            cells += np.bincount(m.row_of[before] * CLASSES + m.class_of[flat[stops - sizes]], minlength=len(cells))
+        for part in runs_of(batches, "bytes", "ids", limit=BATCH_BYTES, sized=True):
+            flat, _ = _unpacked(part.column(1), sub.stored)
+            first = np.nonzero(sub.starts[flat])[0]
+            before = np.r_[sub.end, flat[first[1:] - 1]]  # a text's end stands before the next one's first word
+            cells += np.bincount(m.row_of[before] * CLASSES + m.class_of[flat[first]], minlength=len(cells))
         found = np.nonzero(cells)[0]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(cells[found], pa.int64())], names=["cell", "n"])
         release_memory()
 
-    found = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("bytes", "ids").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(m.start.size)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     sent.destroy()
@@ -471,13 +523,15 @@ def _borders(texts: DataFrame, m: Model, path: str, pattern: str) -> np.ndarray:
 
 
 def fit(texts: DataFrame, m: Model, path: str, pattern: str, groups: int = 1, rounds: int = ROUNDS, rate: float = 0.02) -> None:
-    """Fit the attention weights on all of ``texts``, (text, place) rows; every text is gone through once, in the round its place says.
+    """Fit the attention weights on all of ``texts``, (text, place) rows, spelt or not; every text is gone through once, in the round its place says.
 
     In a round the texts are dealt by place into ``groups``; each group trains from the same weights, and the next ones are the mean of the
     groups', by their blocks. So what is learnt depends on the rows alone, not on files or cores. Weights are added up in a tree of
     FAN groups a step, in the order of the groups; the driver gets FAN at most. The rate falls from one round to the next.
     """
-    fixed = texts.sparkSession.sparkContext.broadcast(m)
+    if "ids" not in texts.columns:
+        texts = spelt(texts.select("text", "place"), m, path, pattern)
+    fixed = texts.sparkSession.sparkContext.broadcast(replace(m, top={}, top_ids=[]))  # training needs no words
     shapes = [getattr(m, k).shape for k in WEIGHTS]
     *cuts, size = np.cumsum([getattr(m, k).size for k in WEIGHTS]).tolist()
 
@@ -504,15 +558,16 @@ def fit(texts: DataFrame, m: Model, path: str, pattern: str, groups: int = 1, ro
             m, sub, n = replace(fixed.value), Subwords(path, pattern), 0
             put(m, start)
             adam = Adam(m)
-            for part in runs_of(batches, "text", limit=BATCH_BYTES):
-                ids = texts_as_subwords(m, sub, lowered_words(part.column(0)))
+            for part in runs_of(batches, "bytes", "ids", limit=BATCH_BYTES, sized=True):
+                whole, sizes = _unpacked(part.column(1), sub.stored)
+                ids = np.split(whole, np.cumsum(sizes)[:-1])
                 n += train(m, ids, sub.end, 1, rate, adam=adam, fall=0.0)
             if n:
                 yield from row(TaskContext.get().partitionId(), n, n * flat(m).astype(np.float64)).to_batches()
             release_memory()
 
-        mine = texts.filter(F.pmod("place", F.lit(rounds)) == now).repartition(groups, "place").sortWithinPartitions("place", "text")
-        sums, left = mine.select("text").mapInArrow(run, "place int, blocks long, weights binary"), groups
+        mine = texts.filter(F.pmod("place", F.lit(rounds)) == now).select("place", "bytes", "ids").repartition(groups, "place").sortWithinPartitions("place", "ids")
+        sums, left = mine.select("bytes", "ids").mapInArrow(run, "place int, blocks long, weights binary"), groups
         while True:
             sums = sums.groupBy(F.floor(F.col("place") / FAN)).applyInArrow(added, "place int, blocks long, weights binary")
             left = -(-left // FAN)
@@ -545,25 +600,30 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     found = pairs.filter("b >= 0 AND a <> -3").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     met[found["b"].to_numpy()] = found["n"].to_numpy()
 
+    cut = []
+
     def borders(m: Model) -> np.ndarray:
         with_top(m, sub, top)
-        return _borders(taught, m, path, pattern)
+        cut.append(written(spelt(source.withColumn("place", F.xxhash64("id", "text")), m, path, pattern), "subwords", "zstd"))
+        return _borders(cut[0].filter(~F.col("held_out")), m, path, pattern)
 
     model = _tables(met, lambda m: _by_class(pairs, m), n_texts, n_words, sub, borders)
-    fit(taught.select("text", F.xxhash64("id", "text").alias("place")), model, path, pattern, 1 + n_words // (ROUNDS * GROUP_WORDS))
+    fit(cut[0].filter(~F.col("held_out")), model, path, pattern, 1 + n_words // (ROUNDS * GROUP_WORDS))
     distinct = vocabulary + (n_texts > 0)
     below = float(np.log10(total + 0.5 * (distinct + 1)))
-    sent = source.sparkSession.sparkContext.broadcast(model)
+    sent = source.sparkSession.sparkContext.broadcast(replace(model, top={}, top_ids=[]))  # words are spelt already
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         sub = Subwords(path, pattern)
         end = float(np.log10(n_texts + 0.5))
-        for part in runs_of(batches, "text", "id", "held_out", limit=BATCH_BYTES):
-            words, n = lowered_words(part.column(0))
+        for part in runs_of(batches, "bytes", "ids", "places", "rare", "id", "held_out", limit=BATCH_BYTES, sized=True):
+            flat, totals = _unpacked(part.column(1), sub.stored)
+            inside, n = _unpacked(part.column(2), "<i4")
             ends = np.cumsum(n + 1) - 1
             starts = ends - n
-            logs, places, of_count, of_one = word_scores(model, sub, (words, n))
+            places = np.insert(inside, np.cumsum(n), -1)
+            logs, of_count, of_one = _scored(model, sub, flat, np.nonzero(sub.starts[flat])[0], places, totals)
             found = np.r_[model.top_count, 0.0][places]
             scores = np.add.reduceat(logs, starts) / np.log(10)
             bases = np.add.reduceat(np.where(found > 0, np.log10(found + 0.5), 0.0), starts) + end
@@ -571,18 +631,18 @@ def score(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
             others = places < 0
             others[ends] = False
             rare = pa.StructArray.from_arrays(
-                [words.filter(pa.array(np.delete(others, ends))), pa.array(of_count[others]), pa.array(of_one[others])], names=["word", "a", "b"]
+                [part.column(3).flatten(), pa.array(of_count[others]), pa.array(of_one[others])], names=["word", "a", "b"]
             )
             stops = pa.array(np.r_[0, np.cumsum(others)[ends]], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part.column(1), part.column(2), pa.array(n + 1, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases), pa.array(scores),
+                [part.column(4), part.column(5), pa.array(n + 1, pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases), pa.array(scores),
                  pa.ListArray.from_arrays(stops, rare)],
                 names=["id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
             )
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, a: double, b: double>>"
-    rows = source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows, "scored")
+    rows = cut[0].mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows, "scored", "zstd")
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.*")
     met = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

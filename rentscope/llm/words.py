@@ -56,12 +56,17 @@ def texts_of(batches: Iterable[pa.RecordBatch], *columns: str, limit: int = 4 <<
     yield from map(_values, runs_of(batches, *columns, limit=limit))
 
 
-def runs_of(batches: Iterable[pa.RecordBatch], *columns: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The runs of rows of ``texts_of`` as Arrow batches."""
+def text_bytes(texts: pa.Array) -> pa.Array:
+    """UTF-8 bytes of each text, none for null."""
+    return pc.fill_null(pc.binary_length(texts.cast(pa.binary())), 0)
+
+
+def runs_of(batches: Iterable[pa.RecordBatch], *columns: str, limit: int = 4 << 20, sized: bool = False) -> Iterator[pa.RecordBatch]:
+    """The runs of rows of ``texts_of`` as Arrow batches; the first column may hold the bytes of texts that are not there (``sized``)."""
     for batch in batches:
         table = batch.select(list(columns))
         start, size = 0, 0
-        lengths = pc.fill_null(pc.binary_length(table.column(0).cast(pa.binary())), 0).to_pylist()
+        lengths = (table.column(0) if sized else text_bytes(table.column(0))).to_pylist()
         for i, n in enumerate(lengths):
             if size and size + n > limit:
                 yield table.slice(start, i - start)
@@ -82,10 +87,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows written to the shared folder as Parquet and read back: lineage ends there, and lost executors cost nothing."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -191,3 +191,27 @@ def test_the_table_of_words_makes_no_difference(spark, monkeypatch):
         monkeypatch.setattr(lm, "TOP_WORDS", bound)
         scores.append({r.id: r.score for r in lm.score(docs, PATH, P.PATTERN).collect()})
     assert scores[0] == pytest.approx(scores[1], rel=1e-6)
+
+
+def test_texts_are_spelt_once_for_all_steps(spark, small):
+    """Subwords, places and other words as kept between the steps; weights and borders from them are those of the texts."""
+    sub, _, model = small
+    model = copy.deepcopy(model)
+    lm.with_top(model, sub, {b"the": 5, b"bridge": 3})
+    texts = ["The zebra\tis the BRIDGE ", None, "", " \n", "\xa0 漢字 the\x1c", "red " * 40]
+    docs = spark.createDataFrame([(t, i * 7919) for i, t in enumerate(texts)], "text string, place long").repartition(3)
+    cut = lm.spelt(docs, model, PATH, P.PATTERN)
+    for r in cut.collect():
+        text = (texts[r.place // 7919] or "").encode()
+        words = [w.lower() for w in WORD.findall(text)]
+        flat = np.frombuffer(r.ids, sub.stored)
+        assert flat.tolist() == [i for w in words for i in sub.word(w)] + [sub.end] and r.bytes == len(text)
+        assert np.nonzero(sub.starts[flat])[0].tolist() == np.cumsum([0, *(len(sub.word(w)) for w in words)]).tolist()
+        assert np.frombuffer(r.places, "<i4").tolist() == [model.top.get(w, -1) for w in words]
+        assert [bytes(w) for w in r.rare] == [w for w in words if w not in model.top]
+    np.testing.assert_array_equal(lm._borders(cut, model, PATH, P.PATTERN), lm._borders(docs, model, PATH, P.PATTERN))
+    one, two = (copy.deepcopy(model) for _ in range(2))
+    lm.fit(cut, one, PATH, P.PATTERN, groups=3)
+    lm.fit(docs, two, PATH, P.PATTERN, groups=3)
+    for k in lm.WEIGHTS:
+        np.testing.assert_array_equal(getattr(one, k), getattr(two, k))
