@@ -39,15 +39,20 @@ def split_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def lowered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All A-Z-lowered words of a text column in a row, and how many each text has."""
-    parts = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts.cast(pa.string())), ""))
+def words_in_a_row(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of a text column in a row, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
     found = parts.flatten()
     filled = pc.greater(pc.binary_length(found), 0)  # blanks at an end of a text leave empty parts
     kept = np.r_[0, np.cumsum(filled.to_numpy(zero_copy_only=False))]
     return found.filter(filled).cast(pa.binary()), np.diff(kept[parts.offsets.to_numpy()])
 
 
+def lowered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All A-Z-lowered words of a text column in a row, and how many each text has."""
+    return words_in_a_row(pc.ascii_lower(texts.cast(pa.string())))
+
+
 def texts_of(batches: Iterable[pa.RecordBatch], *columns: str, limit: int = 4 << 20) -> Iterator[tuple[list, ...]]:
     """Column values of Arrow batches, cut into runs of rows with at most ``limit`` bytes of text (one row at least).
 

@@ -3,6 +3,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from __spark_entry__ import queries
 from rentscope.llm import substrings
 
@@ -51,3 +54,26 @@ def test_odd_rows(spark):
     twice = docs.filter("doc_id = 5").unionAll(docs.filter("doc_id = 5"))
     assert [r.n_removed for r in substrings.drop_repeats(twice).collect()] == [want[5][1]] * 2
     assert substrings.drop_repeats(docs.limit(0)).count() == 0
+
+
+def test_windows_of_a_batch_are_worked_out_together(monkeypatch):
+    """Words of all texts of a batch are hashed in one call; windows stay inside their texts, in sliced batches too, and ties go to the first place."""
+    rng = random.Random(3)
+    texts = ["cut off", *(" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 40))) for _ in range(30)), None, "", "a b " * 30]
+    ids = [None if i == 5 else 7 * i for i in range(len(texts))]
+    rows = pa.record_batch({"text": pa.array(texts), "id": pa.array(ids, pa.int64())}).slice(1)
+    calls, real = [], substrings._hashed
+    monkeypatch.setattr(substrings, "_hashed", lambda words: calls.append(len(words)) or real(words))
+    found = substrings.Windows(rows, 8, 8)
+    assert calls == [sum(len((t or "").split()) for t in texts[1:])]
+    owner, start = found.by_text(found.start)
+    assert list(zip(owner.tolist(), start.tolist(), strict=True)) == [
+        (d, i) for d, t in zip(ids[1:], texts[1:], strict=True) if d is not None for i in range(len((t or "").split()) - 7)
+    ]
+    words = found.words.to_pylist()
+    keys = list(zip(*(k.tolist() for k in found.keys()), strict=True))
+    assert len(set(keys)) == len({tuple(words[s : s + 8]) for s in found.start.tolist()})
+    for size in (1, 5, 7, 16):
+        values = np.array([rng.randrange(4) for _ in range(50)], np.uint64)
+        want = [i + int(values[i : i + size].argmin()) for i in range(51 - size)]
+        assert substrings._lowest(values, size).tolist() == want
