@@ -215,3 +215,39 @@ def test_texts_are_spelt_once_for_all_steps(spark, small):
     lm.fit(docs, two, PATH, P.PATTERN, groups=3)
     for k in lm.WEIGHTS:
         np.testing.assert_array_equal(getattr(one, k), getattr(two, k))
+
+
+def test_many_words_are_spelt_in_one_call(small, monkeypatch):
+    sub, _, _ = small
+    words = [b"the", b"it's", b"'s", b"x'll,", b"--", b"12345", b"a1b2!?", b"\x1cq\x00", b"<|endoftext|>", "né".encode(), "　x\xa0".encode(), b"...''", b"(don't)", b"Q" * 300] * 3
+    rng = np.random.default_rng(6)
+    words += [bytes(b for b in rng.integers(0, 127, 9).tolist() if b not in b" \t\n\x0b\x0c\r") + b"." for _ in range(2000)]
+    want = [sub.packed(w) for w in words]
+    asked, real = [], lm.Subwords.word
+    monkeypatch.setattr(lm.Subwords, "word", lambda self, word: asked.append(word) or real(self, word))
+    assert sub.all_packed(words) == want and all(not w.isascii() for w in asked) and len(asked) == 6
+    assert sub.all_packed(words[:3]) == want[:3] and sub.all_packed([]) == []
+
+
+def test_words_that_the_corpus_surely_has_are_not_spelt_out(small, monkeypatch):
+    sub, _, model = small
+    model = replace(model, top={}, top_ids=[], top_count=np.zeros(0), top_share=np.zeros(0))
+    texts = [[b"zxqvkzebra", b"the"], [], [b"zxqvkzebra"]]
+    flat, sizes, places, totals = lm._spelt(model, sub, texts)
+    first = np.cumsum(sizes) - sizes
+    whole = lm._scored(model, sub, flat, first, places, totals)
+    asked, real = [], lm.log_probabilities
+    monkeypatch.setattr(lm, "log_probabilities", lambda m, ids, end, need: asked.append(int(need.sum())) or real(m, ids, end, need))
+    less = lm._scored(model, sub, flat, first, places, totals, np.array([False] * 4 + [True, True]))
+    assert asked == [len(first) + sizes[4] - 1] and sizes[4] > 1
+    for a, b in zip(whole[:2], less[:2], strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-6)
+    assert less[2][0] == less[2][1] == 0 and less[2][4] == pytest.approx(whole[2][4], rel=1e-6)
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(5)
+    rows, values = rng.integers(0, 40, (8, 30)), rng.normal(size=(8, 30, 6)).astype(np.float32)
+    met, sums = lm._sum_rows(rows, values)
+    assert met.tolist() == sorted(set(rows.ravel().tolist())) and sums.dtype == np.float32
+    np.testing.assert_allclose(sums, [values[rows == r].sum(axis=0) for r in met], rtol=1e-4, atol=1e-5)
