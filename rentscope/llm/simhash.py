@@ -220,16 +220,18 @@ def _compare(radius: int, similarity: float | None):
     return run
 
 
-def _tiled(rows: DataFrame, weight: str, most: int) -> DataFrame:
+def _tiled(rows: DataFrame, weight: str, most: int, join: str | None = None) -> DataFrame:
     """Rows of each bucket, with buckets heavier than ``most`` cut into chunks that meet pairwise as tiles.
 
     Chunks are dealt by the id's hash. Buckets of one row go. The counts are combined before their shuffle; a hot bucket's
-    rows spread over its tiles, so no task holds more than two chunks of one bucket.
+    rows spread over its tiles, so no task holds more than two chunks of one bucket. ``join`` is a join hint, for rows that Spark
+    would take for fewer than they are.
     """
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(weight).alias("w")).filter("n > 1")
     chunks = F.ceil(F.col("w") / most).cast("int")
     own = F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.col("chunks")).cast("int")
-    dealt = rows.join(sizes.select("bucket", chunks.alias("chunks")), "bucket").withColumn("own", own)
+    sizes = sizes.select("bucket", chunks.alias("chunks"))
+    dealt = rows.join(sizes.hint(join) if join else sizes, "bucket").withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     keep = [c for c in rows.columns if c != weight]
@@ -286,7 +288,8 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str =
     """
     rows = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
     nodes = rows.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"))
-    edges = _edges(_tiled(_key_rows(nodes, radius), "one", most), radius, None)
+    # Spark sizes the key rows as if each node still were one row, and would broadcast all of them from the driver.
+    edges = _edges(_tiled(_key_rows(nodes, radius), "one", most, join="merge"), radius, None)
     reached = components(edges).select(F.col("node").alias("id"), F.col("component"))
     classes = nodes.join(reached, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     out = rows.join(classes, "fp", "left")

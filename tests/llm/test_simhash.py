@@ -122,3 +122,15 @@ def test_a_repeated_phrase_does_not_part_similar_sets(spark):
     text = " ".join(f"word{i}" for i in range(200))
     docs = spark.createDataFrame([(1, text), (2, text + " spam" * 300)], "doc_id long, text string")
     assert {r.id: r.component for r in simhash.similar_groups(docs).collect()} == {1: 1, 2: 1}
+
+
+def test_key_rows_are_not_broadcast(spark, monkeypatch):
+    tiles, edges = [], simhash._edges
+    monkeypatch.setattr(simhash, "_edges", lambda rows, *a: tiles.append(rows) or edges(rows, *a))
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(200)) + " tail" * (i % 2)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.near_groups(docs).count() == 200
+    assert tiles[0].collect()
+    plan = tiles[0]._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan
+    assert "Broadcast" not in plan
